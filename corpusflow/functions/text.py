@@ -11,6 +11,15 @@ from corpusflow import schemas as S
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body(value)``.
+
+    Without this, a long chain of expressions that each mention the previous one several times is
+    copied into every place a filter is pushed to.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -35,57 +44,66 @@ TITLE_TRAILING_NOISE = [
 TITLE_WORDS = 6
 
 
-def generate_title(message: Column, fallback: str = "New chat", max_length: int = S.MAX_TITLE_LENGTH) -> Column:
-    """A short title from the first user message."""
-    plain = F.regexp_replace(message, r"(?s)```.*?```", " ")
-    plain = F.regexp_replace(plain, r"[#*_`>~|]", " ")
-    lines = F.transform(F.split(plain, "\n"), strip)
-    line = F.get(F.filter(lines, lambda x: F.length(x) > 0), F.lit(0))
-    sentence = F.get(F.split(F.regexp_replace(line, SPACE, " "), r"(?<=[.?!]) "), F.lit(0))
+def _title_words(text: Column) -> Column:
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: F.length(w) > 0)
 
-    candidates = []
-    for pattern in TITLE_LEAD_INS:
-        shorter = F.regexp_replace(sentence, "(?i)" + pattern, "")
-        candidates.append(
-            F.when((shorter != sentence) & (F.length(strip(shorter)) > 0), shorter)
-        )
-    body = F.coalesce(*candidates, sentence)
 
-    def words_of(text: Column) -> Column:
-        return F.filter(F.split(text, f"{SPACE}+"), lambda w: F.length(w) > 0)
+def _capital(text: Column) -> Column:
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.right(text, F.length(text) - 1))
 
-    words = words_of(F.regexp_replace(body, r"[?!.,;:]+$", ""))
+
+def _without_lead_in(sentence: Column) -> Column:
+    """The sentence without its first matching lead-in that leaves something."""
+    stripped = F.array(*[F.regexp_replace(sentence, "(?i)" + p, "") for p in TITLE_LEAD_INS])
+    shorter = F.filter(stripped, lambda x: (x != sentence) & (F.length(strip(x)) > 0))
+    return F.coalesce(F.get(shorter, F.lit(0)), sentence)
+
+
+def _useful_words(words: Column) -> Column:
+    """Words up to the last one that is not noise; the first always stays."""
     noise = F.array(*[F.lit(w) for w in TITLE_TRAILING_NOISE])
-    # Index of the last word worth keeping; at least one word always stays.
-    useful = F.array_max(
-        F.transform(words, lambda w, i: F.when(~F.array_contains(noise, F.lower(w)), i + 1).otherwise(1))
+    last = F.array_max(
+        F.transform(words, lambda w, i: F.when(F.array_contains(noise, F.lower(w)), F.lit(1)).otherwise(i + 1))
     )
-    kept = F.when(F.size(words) > 0, F.slice(words, F.lit(1), useful)).otherwise(words_of(message))
-
-    title = F.array_join(
-        F.transform(
-            F.slice(kept, 1, TITLE_WORDS),
-            lambda w: F.when(
-                F.length(w) > 3, F.concat(F.upper(F.left(w, F.lit(1))), F.right(w, F.length(w) - 1))
-            ).otherwise(w),
-        ),
-        " ",
+    return F.when(F.size(words) > 0, F.slice(words, F.lit(1), last)).otherwise(words)
+
+
+def _finished_title(words: Column, fallback: str, max_length: int) -> Column:
+    cased = F.transform(
+        F.slice(words, 1, TITLE_WORDS), lambda w: F.when(F.length(w) > 3, _capital(w)).otherwise(w)
     )
-    cut = F.concat(F.rtrim(F.substring(title, 1, max_length - 1)), F.lit("…"))
-    title = F.when(F.length(title) > max_length, cut).otherwise(title)
-    title = F.concat(F.upper(F.left(title, F.lit(1))), F.right(title, F.length(title) - 1))
-    empty = line.isNull() | (F.size(kept) == 0)
-    return F.when(message.isNull() | empty, F.lit(fallback)).otherwise(title)
+    cut = lambda t: F.concat(F.rtrim(F.substring(t, 1, max_length - 1)), F.lit("…"))
+    full = let(F.array_join(cased, " "), lambda t: _capital(F.when(F.length(t) > max_length, cut(t)).otherwise(t)))
+    return F.when(F.size(words) > 0, full).otherwise(F.lit(fallback))
+
+
+def generate_title(message: Column, fallback: str = "New chat", max_length: int = S.MAX_TITLE_LENGTH) -> Column:
+    """A short title from the first user message."""
+    plain = F.regexp_replace(F.regexp_replace(message, r"(?s)```.*?```", " "), r"[#*_`>~|]", " ")
+    line = F.get(F.filter(F.transform(F.split(plain, "\n"), strip), lambda x: F.length(x) > 0), F.lit(0))
+    sentence = F.get(F.split(F.regexp_replace(line, SPACE, " "), r"(?<=[.?!]) "), F.lit(0))
+
+    def titled(text: Column) -> Column:
+        bare = F.regexp_replace(_without_lead_in(text), r"[?!.,;:]+$", "")
+        return let(
+            let(_title_words(bare), lambda w: F.when(F.size(w) > 0, _useful_words(w)).otherwise(_title_words(message))),
+            lambda w: _finished_title(w, fallback, max_length),
+        )
+
+    return let(sentence, lambda text: F.when(text.isNull(), F.lit(fallback)).otherwise(titled(text)))
 
 
 def search_snippet(text: Column, term: Column) -> Column:
     """160 characters starting 40 before the first literal hit, with ellipses on cut sides."""
-    start = F.greatest(F.lit(0), F.position(F.lower(term), F.lower(text)) - 41)
-    return F.concat(
-        F.when(start > 0, F.lit("…")).otherwise(F.lit("")),
-        strip(F.substring(text, start + 1, F.lit(160))),
-        F.when(start + 160 < F.length(text), F.lit("…")).otherwise(F.lit("")),
-    )
+
+    def cut(start: Column) -> Column:
+        return F.concat(
+            F.when(start > 0, F.lit("…")).otherwise(F.lit("")),
+            strip(F.substring(text, start + 1, F.lit(160))),
+            F.when(start + 160 < F.length(text), F.lit("…")).otherwise(F.lit("")),
+        )
+
+    return let(F.greatest(F.lit(0), F.position(F.lower(term), F.lower(text)) - 41), cut)
 
 
 def snippet(text: Column, n: int = S.SNIPPET_CHARS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import schemas as S
-from corpusflow.functions.text import file_extension
+from corpusflow.functions.text import file_extension, let
 from corpusflow.operators.retrieval import ready_only
 
 
@@ -137,28 +137,32 @@ def looks_like_text(content: Column) -> Column:
 
     A character cut by the sniffed length reads as invalid.
     """
-    head = F.substring(content, 1, SNIFF_BYTES)
-    text = F.try_validate_utf8(head.cast("string"))
-    control = F.regexp_count(text, F.lit(r"[\x00-\x08\x0E-\x1F]"))
-    # A stored replacement character is indistinguishable from a decoding failure.
-    bad = F.contains(text, F.lit("�")) | F.contains(text, F.lit("\x00"))
-    return F.coalesce(~bad & (control / F.greatest(F.length(text), F.lit(1)) < 0.05), F.lit(False))
+    text = F.try_validate_utf8(F.substring(content, 1, SNIFF_BYTES).cast("string"))
+
+    def plain(t: Column) -> Column:
+        control = F.regexp_count(t, F.lit(r"[\x00-\x08\x0E-\x1F]"))
+        # A stored replacement character is indistinguishable from a decoding failure.
+        bad = F.contains(t, F.lit("\ufffd")) | F.contains(t, F.lit("\x00"))
+        return F.coalesce(~bad & (control / F.greatest(F.length(t), F.lit(1)) < 0.05), F.lit(False))
+
+    return let(text, plain)
 
 
 def container_kind(content: Column) -> Column:
     """executable, pdf, zip, ole2, empty, text or unknown from the leading bytes."""
-    head = F.hex(F.substring(content, 1, 8))
+    def sniffed(head: Column) -> Column:
+        def begins(prefixes: list[str]) -> Column:
+            out = F.lit(False)
+            for prefix in prefixes:
+                out = out | F.startswith(head, F.lit(prefix))
+            return out
 
-    def begins(prefixes: list[str]) -> Column:
-        out = F.lit(False)
-        for prefix in prefixes:
-            out = out | F.startswith(head, F.lit(prefix))
-        return out
+        out = F.when(begins(DANGEROUS_PREFIXES), "executable")
+        for kind, prefixes in CONTAINER_PREFIXES.items():
+            out = out.when(begins(prefixes), kind)
+        return out.when(F.length(content) == 0, "empty").when(looks_like_text(content), "text").otherwise("unknown")
 
-    out = F.when(begins(DANGEROUS_PREFIXES), "executable")
-    for kind, prefixes in CONTAINER_PREFIXES.items():
-        out = out.when(begins(prefixes), kind)
-    return out.when(F.length(content) == 0, "empty").when(looks_like_text(content), "text").otherwise("unknown")
+    return let(F.hex(F.substring(content, 1, 8)), sniffed)
 
 
 def validate_files(files: DataFrame, max_bytes: int = S.UPLOAD_MAX_BYTES) -> DataFrame:
@@ -168,22 +172,24 @@ def validate_files(files: DataFrame, max_bytes: int = S.UPLOAD_MAX_BYTES) -> Dat
     """
     mime = F.lower(F.coalesce("mime_type", F.lit("")))
     mime_ok = mime.isin(ALLOWED_MIME_TYPES) | (mime == "application/octet-stream") | F.startswith(mime, F.lit("text/"))
-    expected = F.coalesce(
-        *[F.when(F.col("extension") == ext, F.lit(kind)) for ext, kind in CONTAINER_OF.items()]
-    )
-    code = (
-        F.when(~F.col("extension").isin(ALLOWED_EXTENSIONS), "UNSUPPORTED_FILE_TYPE")
-        .when(F.col("length") > max_bytes, "FILE_TOO_LARGE")
-        .when(~mime_ok, "UNSUPPORTED_MIME_TYPE")
-        .when(F.col("kind") == "executable", "DANGEROUS_FILE")
-        .when(F.col("kind") == "empty", "EMPTY_FILE")
-        .when(F.col("kind") != expected, "CONTENT_MISMATCH")
-    )
-    return (
-        files.withColumn("extension", file_extension(F.col("name")))
-        .withColumn("kind", container_kind(F.col("content")))
-        .withColumn("code", code).withColumn("ok", F.col("code").isNull())
+    containers = F.create_map(*[F.lit(x) for pair in CONTAINER_OF.items() for x in pair])
+
+    def code(v: Column) -> Column:
+        expected = F.try_element_at(containers, v["extension"])
+        return (
+            F.when(~v["extension"].isin(ALLOWED_EXTENSIONS), "UNSUPPORTED_FILE_TYPE")
+            .when(F.col("length") > max_bytes, "FILE_TOO_LARGE")
+            .when(~mime_ok, "UNSUPPORTED_MIME_TYPE")
+            .when(v["kind"] == "executable", "DANGEROUS_FILE")
+            .when(v["kind"] == "empty", "EMPTY_FILE")
+            .when(v["kind"] != expected, "CONTENT_MISMATCH")
+        )
+
+    found = F.struct(
+        file_extension(F.col("name")).alias("extension"), container_kind(F.col("content")).alias("kind")
     )
+    verdict = let(found, lambda v: F.struct(v["extension"].alias("extension"), v["kind"].alias("kind"), code(v).alias("code")))
+    return files.withColumn("_v", verdict).select("*", "_v.*").drop("_v").withColumn("ok", F.col("code").isNull())
 
 
 def extractable(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -302,6 +308,7 @@ def describe_progress(documents: DataFrame) -> DataFrame:
     sending = (status == "uploading") & upload.isNotNull()
     current = F.when(p["stage"].isNotNull() & ~p["stage"].isin("", "failed"), p["stage"]).otherwise(status)
     stage = F.when(backgrounded | failed | ready | sending, status).otherwise(current)
+    documents, stage = documents.withColumn("stage", stage), F.col("stage")
     labels = F.create_map(*[F.lit(x) for pair in STAGE_LABELS.items() for x in pair])
     label = F.when(backgrounded, F.lit("Still processing")).otherwise(
         F.coalesce(F.try_element_at(labels, stage), F.try_element_at(labels, status), F.lit("Processing"))
@@ -320,7 +327,7 @@ def describe_progress(documents: DataFrame) -> DataFrame:
     tone = F.when(backgrounded, "active").when(failed, "error").when(ready, "done").otherwise("active")
     return documents.withColumns(
         {
-            "stage": stage, "label": label, "detail": detail, "percent": percent, "tone": tone,
+            "label": label, "detail": detail, "percent": percent, "tone": tone,
             "done": ~backgrounded & (failed | ready),
         }
     )

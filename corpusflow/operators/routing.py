@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import SPACE, strip
+from corpusflow.functions.text import SPACE, let, strip
 
 # Signal patterns, matched ignoring case (unless marked) on ASCII word boundaries.
 DOCUMENT_SIGNALS = [
@@ -66,71 +66,129 @@ def signal_hits(text: Column, patterns: list[str]) -> Column:
 
 
 def needs_fresh_data(message: Column) -> Column:
-    return signal_hits(plain_ascii(F.coalesce(message, F.lit(""))), FRESH_DATA_SIGNALS) > 0
+    return let(
+        plain_ascii(F.coalesce(message, F.lit(""))), lambda text: signal_hits(text, FRESH_DATA_SIGNALS) > 0
+    )
 
 
-def with_signals(df: DataFrame, message: str = "message") -> DataFrame:
-    """Hit counts per family, computed once so that the decision reads plain integers."""
-    text = F.col("_text")
-    return (
-        df.withColumn("_text", plain_ascii(F.coalesce(F.col(message), F.lit(""))))
-        .withColumn("_empty", F.length(strip(F.coalesce(F.col(message), F.lit("")))) == 0)
-        .withColumn("_trimmed", strip(text))
-        .withColumns(
-            {
-                "trivial_hits": signal_hits(F.col("_trimmed"), TRIVIAL_SIGNALS),
-                "document_hits": signal_hits(text, DOCUMENT_SIGNALS),
-                "web_hits": signal_hits(text, WEB_SIGNALS),
-                "hybrid_hits": signal_hits(text, HYBRID_SIGNALS),
-                "general_hits": signal_hits(F.col("_trimmed"), GENERAL_SIGNALS),
-                "fresh_hits": signal_hits(text, FRESH_DATA_SIGNALS),
-            }
+def signals(message: Column) -> Column:
+    """Struct of hit counts per family."""
+
+    def counted(text: Column) -> Column:
+        return F.struct(
+            (F.length(text) == 0).alias("empty"),
+            signal_hits(text, TRIVIAL_SIGNALS).alias("trivial_hits"),
+            signal_hits(text, DOCUMENT_SIGNALS).alias("document_hits"),
+            signal_hits(text, WEB_SIGNALS).alias("web_hits"),
+            signal_hits(text, HYBRID_SIGNALS).alias("hybrid_hits"),
+            signal_hits(text, GENERAL_SIGNALS).alias("general_hits"),
+            signal_hits(text, FRESH_DATA_SIGNALS).alias("fresh_hits"),
         )
-        .drop("_text", "_trimmed")
-    )
 
+    return let(plain_ascii(strip(F.coalesce(message, F.lit("")))), counted)
 
-def _decision(route: str, confidence: float, reason: str) -> Column:
+
+def with_signals(df: DataFrame, message: str = "message") -> DataFrame:
+    return df.withColumn("_s", signals(F.col(message))).select(*df.columns, "_s.*").drop("empty")
+
+
+def _decision(route: Column | str, confidence: Column | float, reason: Column | str) -> Column:
+    as_column = lambda value: value if isinstance(value, Column) else F.lit(value)
     return F.struct(
-        F.lit(route).alias("route"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason")
+        as_column(route).alias("route"), as_column(confidence).alias("confidence"), as_column(reason).alias("reason")
     )
 
 
-def rule_decision() -> Column:
+def rule_decision(hits: Column) -> Column:
     """Decision struct of the rules alone; null when the signals are too weak."""
-    doc, web, hybrid = F.col("document_hits"), F.col("web_hits"), F.col("hybrid_hits")
+    doc, web = hits["document_hits"], hits["web_hits"]
     both = "refers to the user documents and to current information"
     return (
-        F.when(F.col("_empty"), _decision("llm", 1.0, "empty message"))
-        .when(F.col("trivial_hits") > 0, _decision("llm", 0.99, "conversational message"))
-        .when(hybrid > 0, _decision("hybrid", 0.9, both))
+        F.when(hits["empty"], _decision("llm", 1.0, "empty message"))
+        .when(hits["trivial_hits"] > 0, _decision("llm", 0.99, "conversational message"))
+        .when(hits["hybrid_hits"] > 0, _decision("hybrid", 0.9, both))
         .when((doc > 0) & (web > 0), _decision("hybrid", 0.75, both))
         .when(doc > 1, _decision("documents", 0.95, "refers to the user documents"))
         .when(doc > 0, _decision("documents", 0.85, "refers to the user documents"))
         .when(web > 1, _decision("web", 0.95, "asks for current information"))
         .when(web > 0, _decision("web", 0.8, "asks for current information"))
-        .when(F.col("general_hits") > 0, _decision("llm", 0.7, "general knowledge question"))
+        .when(hits["general_hits"] > 0, _decision("llm", 0.7, "general knowledge question"))
     )
 
 
 def apply_availability(decision: Column, has_documents: Column, web_enabled: Column) -> Column:
     """Downgrade a route that cannot be served."""
-    route = decision["route"]
+    no_documents, no_web = "; no documents available", "; web search unavailable"
 
-    def moved(target: str, note: str) -> Column:
-        return F.struct(
-            F.lit(target).alias("route"), decision["confidence"].alias("confidence"),
-            F.concat(decision["reason"], F.lit(note)).alias("reason"),
+    def judged(d: Column) -> Column:
+        def moved(target: str, note: str) -> Column:
+            return _decision(target, d["confidence"], F.concat(d["reason"], F.lit(note)))
+
+        hybrid = d["route"] == "hybrid"
+        return (
+            F.when(hybrid & ~has_documents & web_enabled, moved("web", no_documents))
+            .when(d["route"].isin("documents", "hybrid") & ~has_documents, moved("llm", no_documents))
+            .when(hybrid & ~web_enabled, moved("documents", no_web))
+            .when((d["route"] == "web") & ~web_enabled, moved("llm", no_web))
+            .otherwise(d)
         )
 
-    no_documents, no_web = "; no documents available", "; web search unavailable"
-    return (
-        F.when((route == "hybrid") & ~has_documents & web_enabled, moved("web", no_documents))
-        .when(route.isin("documents", "hybrid") & ~has_documents, moved("llm", no_documents))
-        .when((route == "hybrid") & ~web_enabled, moved("documents", no_web))
-        .when((route == "web") & ~web_enabled, moved("llm", no_web))
-        .otherwise(decision)
-    )
+    return let(decision, judged)
+
+
+def _fresh_override(decision: Column, fresh: Column, has_documents: Column, web_enabled: Column) -> Column:
+    """A figure that changes daily is never answered from memory while a search is possible."""
+
+    def judged(d: Column) -> Column:
+        upgraded = _decision(
+            F.when((d["route"] == "documents") & has_documents, F.lit("hybrid")).otherwise(F.lit("web")),
+            F.greatest(d["confidence"], F.lit(0.9)),
+            F.concat(d["reason"], F.lit("; overridden - needs current information")),
+        )
+        return F.when(web_enabled & fresh & ~d["route"].isin("web", "hybrid"), upgraded).otherwise(d)
+
+    return let(decision, judged)
+
+
+def route_decision(
+    message: Column, has_documents: Column, has_attachment: Column, web_enabled: Column, force_web: Column,
+    label: Column | None = None,
+) -> Column:
+    """Struct (route, confidence, reason, requires_fresh_data) of one message.
+
+    ``label`` is the answer of a classifier for messages the rules leave open.
+    """
+    default = F.when(
+        has_documents, _decision("documents", 0.4, "defaulting to the user documents")
+    ).otherwise(_decision("llm", 0.5, "no retrieval signal detected"))
+    if label is not None:
+        found = F.nullif(F.regexp_extract(F.lower(label), "llm|documents|web|hybrid", 0), F.lit(""))
+        default = let(
+            found,
+            lambda f: F.when(f.isNotNull(), _decision(f, 0.7, "classified by the language model")).otherwise(default),
+        )
+    force = force_web & web_enabled
+
+    def decided(hits: Column) -> Column:
+        fresh = hits["fresh_hits"] > 0
+        wants_web = ((hits["web_hits"] > 0) | (hits["hybrid_hits"] > 0)) & web_enabled
+        forced = _decision(
+            F.when(has_attachment, F.lit("hybrid")).otherwise(F.lit("web")), 1.0, "the user asked for a web search"
+        )
+        attached = _decision(
+            F.when(wants_web, F.lit("hybrid")).otherwise(F.lit("documents")), 0.99,
+            "a document was attached to this message",
+        )
+        base = F.coalesce(rule_decision(hits), default)
+        ruled = apply_availability(
+            _fresh_override(base, fresh, has_documents, web_enabled), has_documents, web_enabled
+        )
+        final = F.when(force, forced).when(has_attachment, attached).otherwise(ruled)
+        # The attachment shortcut carries no freshness flag.
+        flag = F.when(force, F.lit(True)).when(has_attachment, F.lit(None).cast("boolean")).otherwise(fresh)
+        return F.struct(final.alias("d"), flag.alias("requires_fresh_data"))
+
+    return let(signals(message), decided)
 
 
 def route_messages(messages: DataFrame, message: str = "message", labels: DataFrame | None = None) -> DataFrame:
@@ -140,69 +198,26 @@ def route_messages(messages: DataFrame, message: str = "message", labels: DataFr
     web_enabled (true). ``labels`` (message_id, label) answers for messages the rules leave open,
     in place of a model call.
     """
-    defaults = {"has_documents": False, "has_attachment": False, "web_enabled": True, "force_web": False}
-    df = messages
-    for name, value in defaults.items():
-        column = F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value)
-        df = df.withColumn(name, column)
-    df = with_signals(df, message)
-    classified = F.lit(None).cast("string")
+    df, label = messages, None
     if labels is not None:
         df = df.join(labels.select("message_id", F.col("label").alias("_label")), "message_id", "left")
-        found = F.regexp_extract(F.lower(strip(F.col("_label"))), "llm|documents|web|hybrid", 0)
-        classified = F.nullif(found, F.lit(""))
-
-    has_documents, web_enabled = F.col("has_documents"), F.col("web_enabled")
-    fresh = F.col("fresh_hits") > 0
-    labelled = F.when(
-        classified.isNotNull(),
-        F.struct(
-            classified.alias("route"), F.lit(0.7).alias("confidence"),
-            F.lit("classified by the language model").alias("reason"),
-        ),
-    )
-    default = F.when(
-        has_documents, _decision("documents", 0.4, "defaulting to the user documents")
-    ).otherwise(_decision("llm", 0.5, "no retrieval signal detected"))
-    df = df.withColumn("_base", F.coalesce(rule_decision(), labelled, default))
+        label = F.col("_label")
 
-    base = F.col("_base")
-    upgraded = F.struct(
-        F.when((base["route"] == "documents") & has_documents, F.lit("hybrid")).otherwise(F.lit("web")).alias("route"),
-        F.greatest(base["confidence"], F.lit(0.9)).alias("confidence"),
-        F.concat(base["reason"], F.lit("; overridden - needs current information")).alias("reason"),
-    )
-    df = df.withColumn(
-        "_routed",
-        F.when(web_enabled & fresh & ~base["route"].isin("web", "hybrid"), upgraded).otherwise(base),
-    )
-    available = apply_availability(F.col("_routed"), has_documents, web_enabled)
+    def flag(name: str, default: bool) -> Column:
+        return F.coalesce(F.col(name), F.lit(default)) if name in messages.columns else F.lit(default)
 
-    wants_web = (F.col("web_hits") > 0) | (F.col("hybrid_hits") > 0)
-    attached = F.struct(
-        F.when(wants_web & web_enabled, F.lit("hybrid")).otherwise(F.lit("documents")).alias("route"),
-        F.lit(0.99).alias("confidence"), F.lit("a document was attached to this message").alias("reason"),
-    )
-    forced = F.struct(
-        F.when(F.col("has_attachment"), F.lit("hybrid")).otherwise(F.lit("web")).alias("route"),
-        F.lit(1.0).alias("confidence"), F.lit("the user asked for a web search").alias("reason"),
-    )
-    force = F.col("force_web") & web_enabled
-    df = df.withColumn(
-        "_final", F.when(force, forced).when(F.col("has_attachment"), attached).otherwise(available)
+    decision = route_decision(
+        F.col(message), flag("has_documents", False), flag("has_attachment", False),
+        flag("web_enabled", True), flag("force_web", False), label,
     )
-    # The attachment shortcut carries no freshness flag.
-    flag = F.when(force, F.lit(True)).when(F.col("has_attachment"), F.lit(None)).otherwise(fresh)
-    return df.select(
-        *messages.columns, F.col("_final.route").alias("route"),
-        F.col("_final.confidence").alias("confidence"), F.col("_final.reason").alias("reason"),
-        flag.alias("requires_fresh_data"),
+    return df.withColumn("_r", decision).select(
+        *messages.columns, F.col("_r.d.route").alias("route"), F.col("_r.d.confidence").alias("confidence"),
+        F.col("_r.d.reason").alias("reason"), F.col("_r.requires_fresh_data").alias("requires_fresh_data"),
     )
 
 
 def retrieval_mode(route: Column) -> Column:
     """Route to the retrieval mode of the answering step."""
-    return (
-        F.when(route == "documents", "document").when(route == "web", "web")
-        .when(route == "hybrid", "hybrid").otherwise("llm")
-    )
+    modes = {"documents": "document", "web": "web", "hybrid": "hybrid"}
+    table = F.create_map(*[F.lit(x) for pair in modes.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, route), F.lit("llm"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import strip
 
@@ -16,7 +17,7 @@ from corpusflow.functions.text import strip
 FALLBACK_ENCODINGS = ["utf-16", "cp1252", "latin-1"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_fallback(content: pd.Series) -> pd.Series:
     def one(raw):
         if raw is None:

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow import schemas as S
 from corpusflow.functions.text import SPACE, strip
@@ -15,7 +16,7 @@ from corpusflow.operators.ordered import first_rows
 TRUNCATED = "... [truncated]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

@@ -6,7 +6,12 @@ row numbers, so the same definition can be written in any SQL engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = "timestamp_ntz'2024-01-01 00:00:00'"
@@ -164,3 +169,332 @@ def web_results(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("case when page_id % 3 = 0 then 'n/a' else cast((page_id % 97) / 97.0D as string) end").alias("score"),
         F.expr("regexp_extract(url, '^[a-z]+://(?:www\\\\.)?([^/:?#]+)', 1)").alias("query_id"),
     )
+
+
+def as_of() -> Column:
+    """The fixed "now" of every query that needs one."""
+    return F.expr("timestamp_ntz'2024-03-01 12:00:00'")
+
+
+def session_time() -> Column:
+    return F.expr("timestamp_ntz'2024-01-29 00:00:00'")
+
+
+def uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored texts as uploaded files of several kinds, some of them mislabelled."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"),
+        F.expr(
+            "concat('folder.v1/doc.', doc_id, element_at(array('.txt', '.md', '.pdf', '.docx', '.exe', '.TXT', ''),"
+            " cast(doc_id % 7 as int) + 1))"
+        ).alias("name"),
+        F.expr(
+            "case when doc_id % 13 = 0 then concat(encode('#!', 'UTF-8'), encode(text, 'UTF-8'))"
+            " when doc_id % 14 = 2 then concat(encode('%PDF', 'UTF-8'), encode(text, 'UTF-8'))"
+            " when doc_id % 14 = 3 then concat(unhex('504B0304'), encode(text, 'UTF-8'))"
+            " when doc_id % 17 = 0 then unhex('')"
+            " else encode(text, 'UTF-8') end"
+        ).alias("content"),
+        F.expr("case when doc_id % 11 = 0 then 'image/png' when doc_id % 11 = 1 then 'application/octet-stream' else 'text/plain' end").alias("mime_type"),
+    ).withColumn("length", F.length("content").cast("bigint"))
+
+
+def processing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in every processing status, with counters taken from their sizes."""
+    number = "cast(doc_id % 10 as bigint)"
+    stage = "element_at(array('uploading', 'extracting', 'ocr', 'chunking', 'embedding', 'failed'), cast(doc_id % 6 as int) + 1)"
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("document_id"),
+        F.expr(
+            "element_at(array('pending', 'uploading', 'extracting', 'ocr', 'chunking', 'embedding', 'processing',"
+            " 'ready', 'failed'), cast(doc_id % 9 as int) + 1)"
+        ).alias("status"),
+        F.expr(
+            "named_struct("
+            f"'stage', case when doc_id % 5 != 0 then {stage} end,"
+            f"'page', case when doc_id % 2 = 0 then {number} end,"
+            "'pages', case when doc_id % 4 = 0 then n_chars end,"
+            f"'ocrPages', case when doc_id % 7 = 0 then {number} end,"
+            f"'block', case when doc_id % 3 = 0 then {number} end,"
+            "'blocks', case when doc_id % 3 != 1 then n_chars end,"
+            f"'batches', case when doc_id % 4 != 1 then {number} end,"
+            "'batchesTotal', case when doc_id % 8 < 4 then n_chars end,"
+            "'chunks', n_chars, 'chunksTotal', n_chars)"
+        ).alias("progress"),
+        F.expr("cast(case when doc_id % 6 = 0 then 0 when doc_id % 6 = 1 then 1 when doc_id % 6 = 2 then n_chars end as int)").alias("chunk_count"),
+        F.expr("case when doc_id % 2 = 0 then 'boom' end").alias("error_message"),
+        F.expr("case when doc_id % 4 = 1 then cast(doc_id % 150 as double) + 0.25D - 10 end").alias("upload_percent"),
+        (F.col("doc_id") % 23 == 0).alias("backgrounded"),
+    )
+
+
+def page_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the stored texts as pages; short ones have recognised text or a blank one."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")
+    ).select(
+        "document_id", (F.col("pos") + 1).alias("page"), "text",
+        F.expr("case when document_id % 10 = 3 and pos = 0 then null when pos % 3 = 0 then '' else upper(text) end").alias("recognised_text"),
+    )
+
+
+def search_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """One search per user: a word of the user's own questions, and one with a wildcard."""
+    asked = messages(spark, folder).filter("role = 'user'").select(
+        F.expr("concat('src', conversation_id % 20)").alias("user_id"),
+        F.expr("lower(regexp_extract(content, '^([^ .,]+)', 1))").alias("word"),
+    )
+    words = asked.groupBy("user_id").agg(F.max("word").alias("word"))
+    return words.select(
+        "user_id", F.explode(F.expr("array(concat(' ', word), concat(substr(word, 1, 2), '_', substr(word, 4)), 'x')")).alias("term")
+    )
+
+
+def message_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations of every answer with the cited chunk's text: context input per answer."""
+    cited = sources(spark, folder).join(
+        chunks(spark, folder).select("chunk_id", F.col("content"), F.col("metadata.page").alias("page"),
+                                     F.col("metadata.documentName").alias("document_name")),
+        "chunk_id", "left",
+    )
+    return cited.select(
+        F.col("message_id").alias("query_id"), (F.col("position") + 1).alias("index"), "type", "document_id", "chunk_id",
+        F.expr("if(type = 'web', concat('Page ', message_id), document_name)").alias("title"),
+        F.expr("if(type = 'web', concat('https://example.com/', message_id), null)").alias("url"),
+        "document_name", "page", "content",
+        F.expr("if(type = 'web', concat('Snippet ', message_id), substr(content, 1, 600))").alias("snippet"),
+    )
+
+
+PHRASES = [
+    "What is the latest news about ", "Summarize my document: ", "Compare my report with the latest research on ",
+    "hello", "explain ", "", "According to the report on page 4, ", "box office collection of ", "In 2025, ",
+    "Please tell me about the ", "I uploaded a contract - ", "thanks!", "since 2026 ", "```code``` # Can you please describe the ",
+    "What does it say? How does this work",
+]
+
+
+def questions_asked(spark: SparkSession, folder: str) -> DataFrame:
+    """User messages behind phrases that carry routing signals, with the flags of their turn."""
+    phrases = ", ".join("'" + p + "'" for p in PHRASES)
+    ready = documents(spark, folder).filter("status = 'ready'").groupBy("user_id").agg(F.count("*").alias("ready"))
+    asked = messages(spark, folder).filter("role = 'user'").select(
+        "message_id", "conversation_id", F.expr("concat('src', conversation_id % 20)").alias("user_id"), "position",
+        F.expr(f"element_at(array({phrases}), cast((message_id div 3) % {len(PHRASES)} as int) + 1)").alias("phrase"),
+        "content",
+    )
+    return asked.join(ready, "user_id", "left").select(
+        "message_id", "conversation_id", "user_id", "position",
+        F.expr("case when phrase in ('hello', 'thanks!') then phrase else concat(phrase, content) end").alias("message"),
+        F.expr("coalesce(ready, 0) > 0 and conversation_id % 4 != 1").alias("has_documents"),
+        F.expr("message_id % 10 = 7").alias("has_attachment"),
+        F.expr("conversation_id % 5 != 2").alias("web_enabled"),
+        F.expr("message_id % 9 = 4").alias("force_web"),
+    )
+
+
+MODEL_PATH = (
+    "element_at(array("
+    "concat('C:\\\\hub\\\\models--org--model-', label, '\\\\snapshots\\\\', vec_id),"
+    "concat('/cache/models--a--b', label, '/snapshots/x'), concat('/models/local-', label, '/'),"
+    "concat('org/model-', label), concat('D:\\\\m\\\\plain', label), ''), cast(vec_id % 6 as int) + 1)"
+)
+ERROR_TEXT = (
+    "concat('Upstream status ', 404 + cast(get_json_object(props, '$.k') as int),"
+    " case event_type when 'error' then ' Unauthorized' when 'view' then ' Request timed out'"
+    " when 'click' then ' Rate Limit' else '' end)"
+)
+
+
+def paragraph_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored texts with every line as a paragraph of its own; every fifth has wider gaps."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("document_id"),
+        F.expr("replace(text, '\\n', if(doc_id % 5 = 0, '\\n\\n \\n\\n', '\\n\\n'))").alias("text"),
+    )
+
+
+def markdown_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored texts as Markdown: some lines become headings, some open or close a code fence."""
+    text = "regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(E[a-z])', '## $1'), '(?m)^(Th[a-f])', '```$1'), '(?m)^(An?[a-z])', ' # $1')"
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("document_id"), F.expr(text).alias("text")
+    )
+
+
+def _package(parts: dict[str, str]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as package:
+        for name, body in parts.items():
+            package.writestr(name, body)
+    return buffer.getvalue()
+
+
+def word_package(lines: list[str]) -> bytes:
+    """A Word package: first line as title, every fifth as heading, every fourth as list item,
+    and a table of the first two lines."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def paragraph(text: str, style: str | None) -> str:
+        props = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
+        return f"<w:p>{props}<w:r><w:t>{escape(text)}</w:t></w:r></w:p>"
+
+    body = []
+    for i, line in enumerate(lines):
+        style = "Title" if i == 0 else "H1" if i % 5 == 0 else "ListBullet" if i % 4 == 0 else None
+        body.append(paragraph(line, style))
+    cells = "".join(f"<w:tc>{paragraph(line, None)}</w:tc>" for line in lines[:2])
+    body.append(f"<w:tbl><w:tr>{cells}</w:tr></w:tbl>")
+    styles = "".join(
+        f'<w:style w:styleId="{i}"><w:name w:val="{n}"/></w:style>'
+        for i, n in (("Title", "Title"), ("H1", "heading 1"), ("ListBullet", "List Bullet"))
+    )
+    return _package({
+        "word/document.xml": f"<w:document {w}><w:body>{''.join(body)}</w:body></w:document>",
+        "word/styles.xml": f"<w:styles {w}>{styles}</w:styles>",
+    })
+
+
+def slide_package(slides: list[dict]) -> bytes:
+    """A slide package from dicts with title, lines [(level, text)], rows and notes."""
+    a = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    p = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rels = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+
+    def line(text: str, level: int = 0) -> str:
+        return f'<a:p><a:pPr lvl="{level}"/><a:r><a:t>{escape(text)}</a:t></a:r></a:p>'
+
+    def shape(kind: str | None, body: str) -> str:
+        mark = f'<p:ph type="{kind}"/>' if kind else ""
+        return f"<p:sp><p:nvSpPr><p:nvPr>{mark}</p:nvPr></p:nvSpPr><p:txBody>{body}</p:txBody></p:sp>"
+
+    parts, ids, links = {}, [], []
+    for number, slide in enumerate(slides, 1):
+        shapes = shape("title", line(slide["title"])) if slide.get("title") else ""
+        shapes += shape(None, "".join(line(t, lvl) for lvl, t in slide.get("lines", [])))
+        for row in slide.get("rows", []):
+            cells = "".join(f"<a:tc><a:txBody>{line(c)}</a:txBody></a:tc>" for c in row)
+            shapes += f"<p:graphicFrame><a:tbl><a:tr>{cells}</a:tr></a:tbl></p:graphicFrame>"
+        parts[f"ppt/slides/slide{number}.xml"] = f"<p:sld {a} {p}><p:cSld><p:spTree>{shapes}</p:spTree></p:cSld></p:sld>"
+        if slide.get("notes"):
+            parts[f"ppt/slides/_rels/slide{number}.xml.rels"] = (
+                f'<Relationships {rels}><Relationship Id="rId1" Type="{rel}/notesSlide" '
+                f'Target="../notesSlides/notesSlide{number}.xml"/></Relationships>'
+            )
+            notes = shape("body", line(slide["notes"]))
+            parts[f"ppt/notesSlides/notesSlide{number}.xml"] = f"<p:notes {a} {p}><p:cSld><p:spTree>{notes}</p:spTree></p:cSld></p:notes>"
+        ids.append(f'<p:sldId id="{255 + number}" r:id="rId{number}"/>')
+        links.append(f'<Relationship Id="rId{number}" Type="{rel}/slide" Target="slides/slide{number}.xml"/>')
+    parts["ppt/presentation.xml"] = f"<p:presentation {p} {r}><p:sldIdLst>{''.join(ids)}</p:sldIdLst></p:presentation>"
+    parts["ppt/_rels/presentation.xml.rels"] = f"<Relationships {rels}>{''.join(links)}</Relationships>"
+    return _package(parts)
+
+
+def _packaged(spark: SparkSession, folder: str, build) -> DataFrame:
+    def pack(batches):
+        for pdf in batches:
+            yield pd.DataFrame(
+                {"document_id": pdf["doc_id"], "content": [build(t.split("\n")) for t in pdf["text"]]}
+            )
+
+    return table(spark, folder, "documents").select("doc_id", "text").mapInPandas(
+        pack, "document_id bigint, content binary"
+    )
+
+
+def docx_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored text packed as a Word file."""
+    return _packaged(spark, folder, word_package)
+
+
+def pptx_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored text packed as slides: one per line, with bullets, a table and notes."""
+
+    def build(lines):
+        return slide_package([
+            {
+                "title": line if i % 3 != 2 else "", "lines": [(0, line), (i % 3, line)] if i % 2 == 0 else [],
+                "rows": [["row", line]] if i % 4 == 1 else [], "notes": line if i % 5 == 0 else "",
+            }
+            for i, line in enumerate(lines)
+        ])
+
+    return _packaged(spark, folder, build)
+
+
+LOG_SCHEMA = "event_id long, type string, stage string, page long"
+
+
+def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as JSON lines, some of them cut off."""
+    line = "concat('{\"event_id\":', event_id, ',\"type\":\"status\",\"stage\":\"', event_type, '\",\"page\":', get_json_object(props, '$.k'), '}')"
+    return table(spark, folder, "events").select(
+        F.expr(f"case when event_id % 13 = 0 then substr({line}, 1, 20) when event_id % 19 = 0 then concat('  ', {line}, ' ') else {line} end").alias("value")
+    )
+
+
+def sse_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as server-sent frames: heartbeats, unnamed, split and broken ones among them."""
+    return table(spark, folder, "events").select(
+        "event_id",
+        F.expr(
+            "case when event_id % 10 = 0 then ': ping'"
+            " when event_id % 10 = 1 then concat('data: ', props)"
+            " when event_id % 10 = 2 then concat(': note\\nevent: ', event_type, '\\ndata: {\"k\":\\ndata: 1}')"
+            " when event_id % 10 = 3 then concat('event: ', event_type, '\\ndata: {bad')"
+            " else concat('event: ', event_type, '\\ndata: ', props) end"
+        ).alias("value"),
+    )
+
+
+def processing_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored events read as processing events of one document per user."""
+    k = "cast(get_json_object(props, '$.k') as bigint)"
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), F.col("event_type"),
+        F.expr(k).alias("k"),
+    ).selectExpr(
+        "document_id", "seq",
+        "case when event_type = 'click' then 'chunks' when event_type = 'purchase' and k < 4 then 'result'"
+        " when event_type = 'error' and k >= 97 then 'error' else 'status' end as type",
+        "case when event_type = 'signup' and k < 10 then 'ocr' else 'extracting' end as stage",
+        "case when event_type != 'click' and k % 2 = 0 then k end as page",
+        "case when event_type != 'click' and k % 5 = 0 then k + 100 end as pages",
+        "case when event_type = 'signup' then k end as ocrPages",
+        "case when event_type = 'view' and k % 3 = 0 then k end as block",
+        "case when event_type = 'view' and k % 7 = 0 then k + 50 end as blocks",
+        "k % 64 as count", "seq as index", "k + 1 as batches",
+        "case when k = 98 then null else concat('E', k) end as code", "concat('failed at ', k) as message",
+    )
+
+
+def answer_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers replayed as token events, word by word, each ended by a done or an error event."""
+    answers = messages(spark, folder).filter("role = 'assistant'")
+    words = answers.select("message_id", F.posexplode(F.split("content", " ", -1)).alias("seq", "word"))
+    tokens = words.select(
+        "message_id", F.col("seq").cast("bigint").alias("seq"),
+        F.expr("case when message_id % 5 = 0 and seq % 10 = 9 then 'critique_token' else 'token' end").alias("type"),
+        F.expr("case when message_id % 13 = 0 then ' ' else concat(word, ' ') end").alias("text"),
+        F.lit(None).cast("string").alias("finish_reason"), F.lit(None).cast("string").alias("code"),
+        F.lit(False).alias("aborted"),
+    )
+    ends = answers.select(
+        "message_id", F.lit(1_000_000).cast("bigint").alias("seq"),
+        F.expr("if(message_id % 11 = 0, 'error', 'done')").alias("type"), F.lit(None).cast("string").alias("text"),
+        F.expr("if(message_id % 3 = 0, 'stop', null)").alias("finish_reason"),
+        F.expr("if(message_id % 22 = 0, 'LLM_TIMEOUT', null)").alias("code"),
+        F.expr("message_id % 7 = 0").alias("aborted"),
+    )
+    return tokens.unionByName(ends)
+
+
+def requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored events as a request log; time in microseconds since 1970."""
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "event_type",
+        F.expr("cast(get_json_object(props, '$.k') as int)").alias("k"),
+        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"),
+    )

@@ -67,7 +67,7 @@ if __name__ == "__main__":
 
     spark = build_session(
         "oracle-check", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions=8,
-        spark__driver__memory="8g",
+        spark__driver__memory="12g",
     )
     spark.sparkContext.setLogLevel("ERROR")
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
