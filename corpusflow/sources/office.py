@@ -150,7 +150,7 @@ def _elements(files: DataFrame, reader) -> DataFrame:
                 except Exception:  # noqa: BLE001 - one bad file must not fail the job
                     found = [{"kind": "error", "text": "PARSE_FAILED"}]
                 rows += [{"document_id": key, "seq": i, **element} for i, element in enumerate(found)]
-            frame = pd.DataFrame(rows, columns=names)
+            frame = pd.DataFrame({n: pd.Series([row.get(n) for row in rows], dtype=object) for n in names})
             for name in ("seq", "part", "level"):
                 frame[name] = frame[name].astype("Int32")
             yield frame

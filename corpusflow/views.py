@@ -234,7 +234,7 @@ def page_table(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")
     ).select(
         "document_id", (F.col("pos") + 1).alias("page"), "text",
-        F.expr("case when document_id % 10 = 3 and pos = 0 then null when pos % 3 = 0 then '' else upper(text) end").alias("recognised_text"),
+        F.expr("case when document_id % 10 = 3 and pos = 0 then null when pos % 3 = 0 then '' else concat('Scan ', text) end").alias("recognised_text"),
     )
 
 
