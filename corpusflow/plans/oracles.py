@@ -607,7 +607,7 @@ add("generate_titles", "asked", f"""
     useful as (select *, greatest(1, coalesce(list_max(list_transform(range(1, len(words) + 1),
         lambda i: case when lower(words[i]) in {tuple(_NOISE)} then 1 else i end)), 1)) as n from worded),
     cased as (select message_id, line, array_to_string(list_transform(words[1:least(n, 6)],
-        lambda w: case when length(w) > 3 then upper(substr(w, 1, 1)) || substr(w, 2) else w end), ' ') as t from useful)
+        lambda w: case when length(w) > 3 then replace(upper(substr(w, 1, 1)), chr(7838), 'SS') || substr(w, 2) else w end), ' ') as t from useful)
     select message_id, case when line is null then 'New chat' else
         upper(substr(c, 1, 1)) || substr(c, 2) end as title
     from (select *, case when length(t) > 60 then rtrim(substr(t, 1, 59)) || '…' else t end as c from cased)""")
@@ -745,3 +745,239 @@ add("embedding_mismatches", "", """
 add("zip_embeddings", "", """
     select d.doc_id, len(e.embedding)::int as dim, case when e.vec_id is not null then 'm' end as embedding_model
     from documents d left join embeddings e on e.vec_id = d.doc_id""")
+
+# --- events ------------------------------------------------------------------------------------
+
+_K = "json_extract_string(props, '$.k')::int"
+add("parse_events", "", f"""
+    select event_id, 'status' as type, event_type as stage, {_K}::bigint as page from events where event_id % 13 != 0""")
+add("parse_sse", "", """
+    select event_id, case when event_id % 10 = 1 then 'message' else event_type end as event,
+           case when event_id % 10 = 2 then '{"k":' || chr(10) || '1}' else props end as data
+    from events where event_id % 10 not in (0, 3)""")
+add("latest_events", "", """
+    select user_id, event_id, event_type, value from events
+    qualify row_number() over (partition by user_id order by event_id desc) = 1""")
+VIEWS["processing_events"] = f"""
+    select user_id as document_id, event_id as seq,
+        case when event_type = 'click' then 'chunks' when event_type = 'purchase' and k < 4 then 'result'
+             when event_type = 'error' and k >= 97 then 'error' else 'status' end as type,
+        event_type = 'signup' and k < 10 as ocr, case when event_type != 'click' and k % 2 = 0 then k end as page,
+        case when event_type != 'click' and k % 5 = 0 then k + 100 end as pages, case when event_type = 'signup' then k end as ocr_pages,
+        case when event_type = 'view' and k % 3 = 0 then k end as block, case when event_type = 'view' and k % 7 = 0 then k + 50 end as blocks,
+        k % 64 as n, event_id as idx, k + 1 as batches, case when k = 98 then null else 'E' || k end as code, 'failed at ' || k as message
+    from (select *, {_K} as k from events)"""
+add("document_state", "processing_events", """
+    with folded as (
+        select document_id,
+            arg_max(page, seq) filter (type = 'status' and page is not null) as page,
+            arg_max(pages, seq) filter (type = 'status' and pages is not null) as pages,
+            arg_max(ocr_pages, seq) filter (type = 'status' and ocr_pages is not null) as ocr_pages,
+            arg_max(block, seq) filter (type = 'status' and block is not null) as block,
+            arg_max(blocks, seq) filter (type = 'status' and blocks is not null) as blocks,
+            coalesce(bool_or(ocr) filter (type = 'status'), false) as ocr, bool_or(type = 'chunks') as emb,
+            bool_or(type = 'result') as res, bool_or(type = 'error') as err,
+            list(code order by seq) filter (type = 'error') as codes, list(message order by seq) filter (type = 'error') as notes,
+            coalesce(sum(n) filter (type = 'chunks'), 0) as chunks, arg_max(idx, seq) filter (type = 'chunks') as frames,
+            max(batches) filter (type = 'result') as total
+        from processing_events group by document_id),
+    judged as (select *, err or (res and chunks = 0) as failed, res and not (err or chunks = 0) as done from folded)
+    select document_id, case when failed then 'failed' when done then 'ready' when emb then 'embedding' when ocr then 'ocr' else 'extracting' end as status,
+        case when err then coalesce(codes[1], 'EXTRACTION_FAILED') when failed then 'NO_TEXT_EXTRACTED' end as error_code,
+        case when err then notes[1] when failed then 'Could not extract readable text from this document.' end as error_message,
+        case when failed then 0 else chunks end::bigint as chunk_count,
+        case when done then pages when not failed then page end::bigint as page, case when not failed then pages end::bigint as pages,
+        case when not failed then ocr_pages end::bigint as ocr_pages, case when not failed and not done then block end::bigint as block,
+        case when not failed and not done then blocks end::bigint as blocks,
+        case when done then coalesce(total, frames) when not failed then frames end::bigint as batches,
+        case when done then coalesce(total, frames) end::bigint as batches_total, case when done then chunks end::bigint as chunks_total
+    from judged""")
+VIEWS["answers"] = """
+    select message_id, conversation_id, content, critique, tokens,
+        case when empty and err is null and reason = 'stop' then 'error' else reason end as finish_reason,
+        case when empty and err is null and reason = 'stop' then 'EMPTY_RESPONSE' else err end as error_code
+    from (select *, trim(content) = '' as empty,
+              case when base != 'error' and message_id % 7 = 0 then 'aborted' else base end as reason,
+              case when base = 'error' then case when message_id % 22 = 0 then 'LLM_TIMEOUT' else 'RAG_ERROR' end end as err
+          from (select m.message_id, m.conversation_id, case when m.message_id % 11 = 0 then 'error' else 'stop' end as base,
+                    coalesce(string_agg(word, '' order by pos) filter (not crit), '') as content,
+                    nullif(case when trim(coalesce(string_agg(word, '' order by pos) filter (crit), '')) != ''
+                           then string_agg(word, '' order by pos) filter (crit) end, '') as critique,
+                    count(*) filter (not crit) as tokens
+                from (select message_id, conversation_id, g.pos, m2.message_id % 5 = 0 and g.pos % 10 = 9 as crit,
+                             case when m2.message_id % 13 = 0 then ' ' else string_split(m2.content, ' ')[g.pos + 1] || ' ' end as word
+                      from messages m2, unnest(range(len(string_split(m2.content, ' ')))) g(pos) where m2.role = 'assistant') m
+                group by all))"""
+NEEDS["answers"] = ["turns", "messages"]
+add("assemble_answers", "answers", "select * exclude (conversation_id) from answers")
+VIEWS["outcomes"] = f"""
+    select a.message_id, a.conversation_id, r.user_id, r.route, {_MODE.replace('route', 'r.route')} as mode, a.finish_reason,
+           trim(a.content) != '' as has_answer, a.error_code is not null as has_error
+    from routed r join answers a on a.message_id = r.message_id + 1"""
+NEEDS["outcomes"] = ["routed", "answers"]
+add("route_summary", "outcomes", "select route, mode, finish_reason, count(*) as turns from outcomes group by all")
+add("turn_report", "routed answers message_sources", f"""
+    with used as (select query_id, count(*) filter (type = 'document') as d, count(*) filter (type = 'web') as w
+                  from message_sources group by 1),
+    titles as ({SQL['generate_titles'][1].strip()})
+    select r.message_id, r.route, {_MODE.replace('route', 'r.route')} as mode, coalesce(d, 0) as document_sources, coalesce(w, 0) as web_sources,
+           a.finish_reason, a.error_code, trim(a.content) != '' as has_answer,
+           (case when r.message_id % 4 = 0 then r.message || '?' else r.message end) != r.message
+               and length(trim(r.message || '?', ' ' || chr(10))) between 1 and 400
+             or (r.message_id % 4 != 0 and trim(r.message, ' ' || chr(10)) != r.message and length(trim(r.message, ' ' || chr(10))) between 1 and 400) as rewritten,
+           case when r.position = 0 then t.title end as new_title
+    from routed r left join answers a on a.message_id = r.message_id + 1 left join used on query_id = r.message_id + 1
+    left join titles t on t.message_id = r.message_id""")
+
+# Window starts by recursion per key: the next window opens at the first able event after the last one ended.
+VIEWS["requests"] = f"""
+    select user_id as key, event_id as request_id, event_type, {_K} as k, epoch_us(ts) as at from events"""
+add("fixed_window_limits", "requests", """
+    with recursive opened(key, start) as (
+        select key, min(at) from requests group by key
+        union all
+        select r.key, min(r.at) from opened o join requests r on r.key = o.key and r.at >= o.start + 86400000000 group by r.key, o.start),
+    placed as (
+        select r.*, (select max(start) from opened o where o.key = r.key and o.start <= r.at) as start from requests r),
+    counted as (select *, row_number() over (partition by key, start order by at, request_id) as used from placed)
+    select request_id, used::int as used, used <= 2 as allowed, greatest(2 - used, 0)::int as remaining,
+           case when (start + 86400000000 - at + 500000) // 1000000 > 0 then (start + 86400000000 - at + 500000) // 1000000 else 86400 end::bigint as reset_seconds
+    from counted""")
+VIEWS["cache_requests"] = """
+    select key as owner, event_type as name, request_id, at, k % 4 != 0 as able,
+           (select count(*) from requests c where c.key = r.key and c.event_type = 'purchase' and c.k % 2 = 0
+            and (c.at, c.request_id) <= (r.at, r.request_id)) as epoch
+    from requests r where event_type != 'purchase'"""
+NEEDS["cache_requests"] = ["requests"]
+add("ttl_cache_hits", "cache_requests", """
+    with recursive fills(owner, name, epoch, at) as (
+        select owner, name, epoch, min(at) from cache_requests where able group by all
+        union all
+        select r.owner, r.name, r.epoch, min(r.at) from fills f join cache_requests r
+          on r.owner = f.owner and r.name = f.name and r.epoch = f.epoch and r.able and r.at >= f.at + 3 * 86400000000
+        group by r.owner, r.name, r.epoch, f.at)
+    select request_id, exists (
+        select 1 from fills f where f.owner = r.owner and f.name = r.name and f.epoch = r.epoch
+          and f.at < r.at and r.at < f.at + 3 * 86400000000) as hit
+    from cache_requests r""")
+VIEWS["ticks"] = """
+    select key, request_id, at, event_type = 'signup' as stage_change,
+           sum((event_type = 'signup')::int) over (partition by key order by at, request_id) as epoch from requests"""
+NEEDS["ticks"] = ["requests"]
+add("progress_throttle", "ticks", """
+    with recursive writes(key, epoch, at) as (
+        select key, epoch, min(at) from ticks group by all
+        union all
+        select t.key, t.epoch, min(t.at) from writes w join ticks t
+          on t.key = w.key and t.epoch = w.epoch and t.at >= w.at + 86400000000 group by t.key, t.epoch, w.at)
+    select t.request_id, exists (select 1 from writes w where w.key = t.key and w.epoch = t.epoch and w.at = t.at) as written
+    from ticks t""")
+
+# --- changes -------------------------------------------------------------------------------------
+
+add("append_chunks", "lib_chunks", """
+    select chunk_id, document_id, user_id, embedding_model from lib_chunks where status != 'failed'""")
+add("append_sources", "message_sources", """
+    select query_id as message_id, document_id, chunk_id, (idx - 1)::int as position,
+           '{"index":' || idx || coalesce(',"document_id":' || document_id, '') || coalesce(',"chunk_id":' || chunk_id, '') || '}' as metadata
+    from message_sources""")
+add("append_documents", "lib_documents", """
+    select sha256(user_id || '|' || content_hash) as document_id, user_id, name, 'pending' as status, 0 as chunk_count from lib_documents""")
+add("append_conversations", "convs", """
+    select conversation_id, case when conversation_id % 2 = 0 then title else 'New chat' end as title,
+           case when conversation_id % 3 = 0 then mode else 'document' end as mode, false as pinned from convs""")
+_NOW = "'2024-03-01 12:00:00'"
+add("apply_document_status", "lib_documents", f"""
+    select d.document_id, case when l.quality = 1 then 'ready' when l.quality = 0 then 'failed' else d.status end as status,
+           case when l.doc_id is null then d.error_message when l.quality = 0 then 'bad text' end as error_message,
+           case when l.doc_id is null then d.error_code end as error_code,
+           case when l.toxic = 1 then 7 else 0 end as chunk_count,
+           case when l.doc_id is null then d.created_at::varchar else {_NOW} end as updated_at
+    from lib_documents d left join labels l on l.doc_id = d.document_id""")
+add("fail_stale", "lib_documents", f"""
+    select document_id, case when status in ('ready', 'failed') then status else 'failed' end as status,
+           case when status in ('ready', 'failed') then error_message
+                else 'Processing was interrupted. Please upload the document again.' end as error_message,
+           case when status in ('ready', 'failed') then error_code else 'INTERRUPTED' end as error_code,
+           case when status in ('ready', 'failed') then created_at::varchar else {_NOW} end as updated_at
+    from lib_documents""")
+VIEWS["doomed"] = """
+    select document_id, user_id from lib_documents d join labels l on l.doc_id = d.document_id
+    where (toxic = 1 or quality = 0) and document_id % 5 != 0"""
+NEEDS["doomed"] = ["lib_documents"]
+add("delete_documents", "doomed lib_chunks lib_documents", """
+    select d.document_id, d.user_id, d.storage_key,
+           (select count(*) from lib_chunks c where c.document_id = d.document_id) as deleted_chunks
+    from lib_documents d where d.document_id in (select document_id from doomed)""")
+add("delete_documents_kept", "doomed lib_chunks lib_documents", """
+    select d.document_id, nullif((select count(*) from lib_chunks c where c.document_id = d.document_id), 0) as chunks
+    from lib_documents d where d.document_id not in (select document_id from doomed)""")
+VIEWS["left_users"] = "select user_id from users where password_hash is not null or google_id is not null"
+NEEDS["left_users"] = ["users"]
+VIEWS["left_sources"] = """
+    select s.message_id, s.position,
+           case when s.chunk_id in (select chunk_id from lib_chunks where user_id in (select user_id from left_users)) then s.chunk_id end as chunk_id,
+           case when s.document_id in (select document_id from lib_documents where user_id in (select user_id from left_users)) then s.document_id end as document_id
+    from sources s join messages m on m.message_id = s.message_id join convs c on c.conversation_id = m.conversation_id
+    where c.user_id in (select user_id from left_users)"""
+NEEDS["left_sources"] = ["left_users", "turns", "messages", "sources", "convs", "lib_documents", "lib_chunks"]
+add("cascade_sources", "left_sources", "select * from left_sources")
+add("cascade_delete", "left_sources sessions", """
+    select 'users' as table_name, count(*) as rows_left from left_users
+    union all select 'sessions', count(*) from sessions where user_id in (select user_id from left_users)
+    union all select 'documents', count(*) from lib_documents where user_id in (select user_id from left_users)
+    union all select 'chunks', count(*) from lib_chunks where user_id in (select user_id from left_users)
+    union all select 'conversations', count(*) from convs where user_id in (select user_id from left_users)
+    union all select 'messages', count(*) from messages m join convs c on c.conversation_id = m.conversation_id
+              where c.user_id in (select user_id from left_users)
+    union all select 'sources', count(*) from left_sources""")
+add("delete_conversations", "convs messages", """
+    select conversation_id, nullif((select count(*) from messages m where m.conversation_id = c.conversation_id), 0) as messages
+    from convs c where mode != 'web' or pinned""")
+add("clear_messages", "convs messages", """
+    select m.conversation_id, count(*) as deleted from messages m join convs c on c.conversation_id = m.conversation_id
+    where c.mode = 'hybrid' group by 1""")
+add("patch_conversations", "convs", f"""
+    select conversation_id, case when mode != 'auto' and pinned then 'Renamed' else title end as title,
+           case when mode = 'web' then 'auto' else mode end as mode, case when mode != 'hybrid' then document_id end as document_id,
+           case when mode = 'auto' then updated_at::varchar else {_NOW} end as updated_at from convs""")
+add("touch_conversations", "convs", f"""
+    select conversation_id, case when pinned then {_NOW} else updated_at::varchar end as updated_at from convs""")
+add("set_pinned", "convs", f"""
+    select conversation_id, mode = 'auto' as pinned, case when mode = 'auto' then {_NOW} end as pinned_at from convs""")
+add("purge_sessions", "sessions", "select session_id, user_id from sessions where expires_at > timestamp '2024-01-29'")
+add("revoke_sessions", "sessions users", """
+    select session_id, user_id from sessions where user_id in (select user_id from users where google_id is null)""")
+add("sessions_with_users", "sessions users", """
+    select s.session_id, s.user_id, u.name, u.email from sessions s join users u on u.user_id = s.user_id
+    where s.expires_at > timestamp '2024-01-29'""")
+add("users_by_email", "users", """
+    select user_id, email from users where lower(email) in (select lower(source || '@example.COM') from documents)""")
+add("session_expiry", "", """
+    select event_id, strftime(ts + interval 30 day, '%Y-%m-%d %H:%M:%S') as expires_at from events""")
+add("rollback_conversations", "outcomes convs", """
+    select conversation_id from convs where conversation_id not in (
+        select conversation_id from outcomes group by conversation_id having bool_or(has_error) and not bool_or(has_answer))""")
+add("check_constraints", "users turns", """
+    select 'users' as table_name, 'auth_method_present' as rule, user_id as row_key from users
+    where password_hash is null and google_id is null
+    union all select 'messages', 'role_known', message_id::varchar from turns where role not in ('user', 'assistant')""")
+add("unique_violations", "lib_documents", """
+    select 'documents_user_content_key' as rule, user_id || '|' || content_hash as row_key, count(*) as holders
+    from lib_documents group by user_id, content_hash having count(*) > 1""")
+add("ingest_documents", "judged lib_documents", """
+    with files as (
+        select *, 'src' || ((substr(user_id, 4)::int + document_id % 2) % 20) as sender, sha256(body) as hash from judged),
+    firsts as (select *, min(name) filter (code is null) over (partition by sender, hash) as first_name from files),
+    known as (
+        select user_id, content_hash, min(case status when 'ready' then 0 when 'failed' then 2 else 1 end) as best
+        from lib_documents group by all),
+    acted as (
+        select f.*, case when code is not null then 'reject' when name != first_name then 'reuse' when best = 0 then 'reuse'
+                         when best = 1 then 'conflict' when best = 2 then 'replace' else 'new' end as action
+        from firsts f left join known k on k.user_id = f.sender and k.content_hash = f.hash)
+    select sender as user_id, name, code, action,
+           case when action in ('new', 'replace') then case when extension in ('.txt', '.md') then 'ready' else 'failed' end end as status,
+           case when action in ('new', 'replace') then case when extension = '.docx' then 'NO_TEXT_EXTRACTED'
+                when extension not in ('.txt', '.md') then 'UNSUPPORTED_FORMAT' end end as error_code
+    from acted""")
