@@ -1,26 +1,29 @@
-"""Windows anchored at the first event of a key, distributed over time slabs.
+"""Windows anchored at the first event of a key.
 
 A window opens at an event, covers ``width`` microseconds, and the next window opens at the
 first event after it ended. This is not a calendar window: where a window starts depends on the
-whole history of the key. To avoid folding a hot key in one task, its timeline is cut into slabs:
-
-1. per (key, slab): for every event that could open the first window of the slab, which
-   window is open when the slab ends (a small monotone table);
-2. per key, over slabs in time order: one lookup per slab gives the window open at its start;
-3. per (key, slab): with that window known, every event gets its window.
+whole history of the key, so each key is read in time order by one pass with a single number of
+state. Keys with more than ``hot_rows`` events would make one task the straggler; their timeline
+is cut into slabs of about that many events, and
+
+1. per slab: for every event that could open its first window, which window is open when the
+   slab ends (a small monotone table);
+2. per hot key, over its slabs in time order: one lookup per slab gives the window open at its start;
+3. the ordinary pass then runs per slab, starting from that window.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.operators.ordered import slab_running_sum
 
-SLAB_WINDOWS = 16
+HOT_ROWS = 1_000_000
+HOT_KEYS_BROADCAST = 10_000
 
 
 def chain_ends(times: np.ndarray, width: int) -> np.ndarray:
@@ -37,113 +40,160 @@ def chain_ends(times: np.ndarray, width: int) -> np.ndarray:
 
 
 def slab_summary(times: np.ndarray, slab_start: int, width: int):
-    """Openers that may meet a window reaching into the slab, with the window open at its end."""
+    """Openers that may meet a window reaching into the slab, the window open at its end and its events."""
     reach = np.searchsorted(times, slab_start + width, side="left") + 1
     ends = times[chain_ends(times, width)][:reach]
     opens = times[: len(ends)]
     keep = np.append(ends[1:] != ends[:-1], True)
-    return opens[keep], ends[keep]
-
-
-def assign_windows(times: np.ndarray, openers: np.ndarray, entry: int | None, width: int) -> np.ndarray:
-    """Window start per event (sorted), -1 outside any window; ``entry`` is the window already open."""
-    starts = [] if entry is None else [entry]
-    able = times[openers]
-    position = 0 if entry is None else np.searchsorted(able, entry + width, side="left")
-    while position < len(able):
-        starts.append(able[position])
-        position = np.searchsorted(able, able[position] + width, side="left")
-    if not starts:
-        return np.full(len(times), -1, dtype=np.int64)
-    known = np.asarray(starts, dtype=np.int64)
-    at = np.searchsorted(known, times, side="right") - 1
-    found = known[np.maximum(at, 0)]
-    return np.where((at >= 0) & (times < found + width), found, -1)
-
-
-def anchored_windows(
-    events: DataFrame, keys: list[str], time: str, width: int, slab_windows: int = SLAB_WINDOWS
-) -> DataFrame:
-    """Add ``window_start`` (null outside any window) to narrow event rows.
-
-    ``time`` is in microseconds. An optional boolean column ``can_open`` marks the events that
-    may open a window; without it every event may.
-    """
-    length = width * slab_windows
-    rows = events if "can_open" in events.columns else events.withColumn("can_open", F.lit(True))
-    rows = rows.withColumn("_slab", F.floor(F.col(time) / length).cast("bigint"))
+    inside = len(times) - np.searchsorted(times, ends[keep], side="left")
+    return opens[keep], ends[keep], inside
+
+
+def _hot_keys(rows: DataFrame, keys: list[str], time: str, width: int, hot_rows: int) -> DataFrame | None:
+    """Key, first time and slab length of the keys to cut, or None without any."""
+    sized = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min(time).alias("_origin"), F.max(time).alias("_last")
+    ).filter(F.col("_n") > hot_rows)
+    span = F.col("_last") - F.col("_origin") + 1
+    slabs = F.ceil(F.col("_n") / hot_rows)
+    hot = sized.select(*keys, "_origin", F.greatest(F.ceil(span / slabs), F.lit(width)).cast("bigint").alias("_length"))
+    probe = hot.limit(HOT_KEYS_BROADCAST + 1).toArrow()
+    if probe.num_rows == 0:
+        return None
+    if probe.num_rows > HOT_KEYS_BROADCAST:
+        return hot
+    return F.broadcast(rows.sparkSession.createDataFrame(probe.to_pandas(), hot.schema))
+
+
+def _entries(hot_rows: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
+    """Window open at the start of every slab of the hot keys."""
     group = [*keys, "_slab"]
-    key_fields = [rows.schema[k] for k in keys]
+    key_fields = [hot_rows.schema[k] for k in keys]
     slab_field = T.StructField("_slab", T.LongType())
-    times_type = T.ArrayType(T.LongType())
+    times = T.ArrayType(T.LongType())
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[time].to_numpy(dtype=np.int64))
-        opens, ends = slab_summary(times, int(pdf["_slab"].iloc[0]) * length, width)
+        opens, ends, inside = slab_summary(
+            np.sort(pdf[time].to_numpy(dtype=np.int64)), int(pdf["_slab_start"].iloc[0]), width
+        )
         head = pdf[group].iloc[:1].reset_index(drop=True)
-        return head.assign(_opens=[opens.tolist()], _ends=[ends.tolist()])
+        return head.assign(_opens=[opens.tolist()], _ends=[ends.tolist()], _inside=[inside.tolist()], _rows=len(pdf))
 
-    summary = rows.filter("can_open").select(*group, time).groupBy(*group).applyInPandas(
+    summary = hot_rows.filter("can_open").select(*group, "_slab_start", time).groupBy(*group).applyInPandas(
         summarise,
-        T.StructType([*key_fields, slab_field, T.StructField("_opens", times_type), T.StructField("_ends", times_type)]),
+        T.StructType([
+            *key_fields, slab_field, T.StructField("_opens", times), T.StructField("_ends", times),
+            T.StructField("_inside", times), T.StructField("_rows", T.LongType()),
+        ]),
     )
 
-    # Every slab with events gets a row, so that its entry window is known even without openers.
     def carry(batches):
-        key, current = None, None
+        key, current, used = None, None, 0
         for pdf in batches:
-            entries = []
+            found, counts = [], []
             for row in pdf.itertuples(index=False):
                 mine = tuple(row[: len(keys)])
                 if mine != key:
-                    key, current = mine, None
-                entries.append(current)
-                opens, ends = row[len(keys) + 1], row[len(keys) + 2]
+                    key, current, used = mine, None, 0
+                found.append(current)
+                counts.append(used)
+                opens, ends, inside, size = row[len(keys) + 1 :]
                 if opens is None or not len(opens):
                     continue
                 at = 0 if current is None else int(np.searchsorted(opens, current + width, side="left"))
                 if at < len(opens):
-                    current = int(ends[at])
-            yield pdf[group].assign(_entry=pd.array(entries, dtype="Int64"))
-
-    slabs = rows.groupBy(*group).agg(F.count("*").alias("_n")).drop("_n")
-    ordered = (
-        slabs.join(summary, group, "left").select(*group, "_opens", "_ends")
-        .repartition(*keys).sortWithinPartitions(*group)
+                    current, used = int(ends[at]), int(inside[at])
+                else:
+                    used += int(size)
+            yield pdf[group].assign(_entry=pd.array(found, dtype="Int64"), _used=counts)
+
+    # Every slab with events gets a row, so that its entry is known even without openers.
+    slabs = hot_rows.select(*group).distinct().join(summary, group, "left").select(
+        *group, "_opens", "_ends", "_inside", "_rows"
     )
-    entries = ordered.mapInPandas(
-        carry, T.StructType([*key_fields, slab_field, T.StructField("_entry", T.LongType())])
+    ordered = slabs.repartition(*keys).sortWithinPartitions(*group)
+    return ordered.mapInPandas(
+        carry,
+        T.StructType([*key_fields, slab_field, T.StructField("_entry", T.LongType()), T.StructField("_used", T.LongType())]),
     )
 
-    columns = events.columns
-    out_schema = T.StructType([*events.schema.fields, T.StructField("window_start", T.LongType())])
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable", ignore_index=True)
-        entry = pdf["_entry"].iloc[0]
-        found = assign_windows(
-            pdf[time].to_numpy(dtype=np.int64), pdf["can_open"].to_numpy(dtype=bool),
-            None if pd.isna(entry) else int(entry), width,
-        )
-        starts = pd.array(found, dtype="Int64")
-        starts[found == -1] = pd.NA
-        return pdf[columns].assign(window_start=starts)
 
-    return rows.join(entries, group).groupBy(*group).applyInPandas(assign, out_schema)
+def anchored_windows(
+    events: DataFrame, keys: list[str], time: str, width: int, tie: str = "request_id", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``window_start`` (null outside any window), ``opened`` (this event opened it) and ``ordinal``
+    (openers of the window so far) to narrow event rows.
 
+    ``time`` is in microseconds; events of the same time are taken in the order of ``tie``. An
+    optional boolean column ``can_open`` marks the events that may open a window; without it
+    every event may.
+    """
+    rows = events if "can_open" in events.columns else events.withColumn("can_open", F.lit(True))
+    hot = _hot_keys(rows, keys, time, width, hot_rows)
+    none = F.lit(None).cast("bigint")
+    if hot is None:
+        rows = rows.withColumns({"_slab": F.lit(0).cast("bigint"), "_entry": none, "_used": none})
+    else:
+        index = F.coalesce(F.floor((F.col(time) - F.col("_origin")) / F.col("_length")), F.lit(0)).cast("bigint")
+        rows = rows.join(hot, keys, "left").withColumn("_slab", index).withColumn(
+            "_slab_start", F.col("_origin") + F.col("_slab") * F.col("_length")
+        )
+        entries = _entries(rows.filter("_origin is not null"), keys, time, width)
+        rows = rows.join(entries, [*keys, "_slab"], "left").drop("_origin", "_length", "_slab_start")
 
-def fixed_window_limits(requests: DataFrame, points: int, window_seconds: int, keys: list[str] | None = None) -> DataFrame:
+    group = [*keys, "_slab"]
+    columns = events.columns
+
+    def assign(batches):
+        group_key, start, used = None, None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            fresh = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
+            fresh[0] = tuple(pdf[group].iloc[0]) != group_key
+            group_key = tuple(pdf[group].iloc[-1])
+            entries = [None if missing else int(value) for value, missing in zip(pdf["_entry"], pdf["_entry"].isna())]
+            before = pdf["_used"].fillna(0).astype("int64").tolist()
+            starts, opened, ordinals = [], [], []
+            for new, entry, count, at, able in zip(
+                fresh.tolist(), entries, before, pdf[time].tolist(), pdf["can_open"].tolist()
+            ):
+                if new:
+                    start, used = entry, count
+                opens = able and (start is None or at >= start + width)
+                if opens:
+                    start, used = at, 0
+                inside = start is not None and at < start + width
+                used += able and inside
+                starts.append(start if inside else None)
+                opened.append(opens)
+                ordinals.append(used if inside else None)
+            yield pdf[columns].assign(
+                window_start=pd.array(starts, dtype="Int64"), opened=opened, ordinal=pd.array(ordinals, dtype="Int64")
+            )
+
+    ordered = rows.select(*dict.fromkeys([*columns, "can_open", "_slab", "_entry", "_used"]))
+    ordered = ordered.repartition(*group).sortWithinPartitions(*group, time, tie)
+    added = [
+        T.StructField("window_start", T.LongType()), T.StructField("opened", T.BooleanType()),
+        T.StructField("ordinal", T.LongType()),
+    ]
+    return ordered.mapInPandas(assign, T.StructType([*events.schema.fields, *added]))
+
+
+def fixed_window_limits(
+    requests: DataFrame, points: int, window_seconds: int, keys: list[str] | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Rate limit decision per request; rejected requests count as well.
 
     ``requests``: keys, request_id, at (microseconds).
     """
     keys = keys or ["key"]
     width = window_seconds * 1_000_000
-    windows = anchored_windows(requests, keys, "at", width)
-    order = Window.partitionBy(*keys, "window_start").orderBy("at", "request_id")
+    windows = anchored_windows(requests, keys, "at", width, hot_rows=hot_rows)
     left = F.col("window_start") + width - F.col("at")
     seconds = F.floor((left + 500_000) / 1_000_000)
-    return windows.withColumn("used", F.row_number().over(order)).withColumns(
+    return windows.drop("opened").withColumnRenamed("ordinal", "used").withColumns(
         {
             "allowed": F.col("used") <= points,
             "remaining": F.greatest(F.lit(points) - F.col("used"), F.lit(0)),
@@ -160,15 +210,9 @@ def _epochs(events: DataFrame, keys: list[str], starts: str, width: int, out: st
     )
 
 
-def _opener(keys: list[str], can_open=None) -> Column:
-    """Id of the event that opened the window of a row; rows outside windows stand alone."""
-    able = F.col("can_open") if can_open is None else can_open
-    apart = F.coalesce("window_start", -F.abs(F.xxhash64("request_id")) - 1)
-    opening = able & (F.col("at") == F.col("window_start"))
-    return F.min(F.when(opening, F.col("request_id"))).over(Window.partitionBy(*keys, apart))
-
-
-def ttl_cache_hits(requests: DataFrame, invalidations: DataFrame, ttl_seconds: int) -> DataFrame:
+def ttl_cache_hits(
+    requests: DataFrame, invalidations: DataFrame, ttl_seconds: int, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``hit`` per request of a cache filled by misses and cleared by the owner's changes.
 
     ``requests``: owner, key, request_id, at, storable (a miss without a storable result fills
@@ -182,22 +226,20 @@ def ttl_cache_hits(requests: DataFrame, invalidations: DataFrame, ttl_seconds: i
     events = requests.select("owner", "key", "request_id", "at", "storable", F.lit(False).alias("_clears")).unionByName(marks)
     dated = _epochs(events, ["owner"], "_clears", width, "_epoch").filter("not _clears").drop("_clears")
     windows = anchored_windows(
-        dated.withColumnRenamed("storable", "can_open"), ["owner", "key", "_epoch"], "at", width
+        dated.withColumnRenamed("storable", "can_open"), ["owner", "key", "_epoch"], "at", width, hot_rows=hot_rows
     )
-    opener = _opener(["owner", "key", "_epoch"])
-    after_fill = (F.col("at") > F.col("window_start")) | (F.col("request_id") > opener)
-    return windows.withColumn("hit", F.coalesce(after_fill, F.lit(False))).select(
+    # The event that opened a window is the miss that filled it.
+    return windows.withColumn("hit", F.col("window_start").isNotNull() & ~F.col("opened")).select(
         "owner", "key", "request_id", "at", F.col("can_open").alias("storable"), "hit"
     )
 
 
-def throttled_writes(events: DataFrame, interval_ms: int) -> DataFrame:
+def throttled_writes(events: DataFrame, interval_ms: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Progress events that are written: every stage change, and at most one counter per interval.
 
     ``events``: document_id, request_id, at, stage_change. A stage change restarts the clock.
     """
     width = interval_ms * 1000
     dated = _epochs(events, ["document_id"], "stage_change", width, "_epoch")
-    windows = anchored_windows(dated, ["document_id", "_epoch"], "at", width)
-    opener = _opener(["document_id", "_epoch"], F.lit(True))
-    return windows.withColumn("written", F.col("request_id") == opener).drop("_epoch")
+    windows = anchored_windows(dated, ["document_id", "_epoch"], "at", width, hot_rows=hot_rows)
+    return windows.withColumnRenamed("opened", "written").drop("_epoch", "ordinal")

@@ -25,6 +25,7 @@ from corpusflow.sources import office as SO
 from corpusflow.sources import pages as SP
 from corpusflow.sources import text_files as ST
 from corpusflow.sources import web as SW
+from corpusflow.streaming import jobs as J
 
 QUERIES = {}
 
@@ -910,3 +911,42 @@ def check_constraints(spark, folder):
 def unique_violations(spark, folder):
     docs = V.documents(spark, folder)
     return C.unique_violations(docs, [F.col("user_id"), F.col("content_hash")], "documents_user_content_key")
+
+
+# --- streams: the stored events replayed through the streaming operators ---------------------------
+
+
+def _event_stream(spark, folder):
+    session = J.stream_session(spark, spark.sparkContext.defaultParallelism)
+    schema = V.table(spark, folder, "events").schema
+    stream = session.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return V.request_rows(stream)
+
+
+@query
+def rate_limit_stream(spark, folder):
+    rows = J.rate_limit_stream(_event_stream(spark, folder).select("key", "request_id", "at"), 2, 86400)
+    return J.drain(rows, spark, "rate-limit")
+
+
+@query
+def ttl_memo_stream(spark, folder):
+    rows = _event_stream(spark, folder).filter("event_type != 'purchase' or k % 2 = 0").select(
+        F.col("key").alias("owner"), F.col("event_type").alias("key"), "request_id", "at",
+        F.expr("k % 4 != 0").alias("storable"), F.expr("event_type = 'purchase'").alias("clears"),
+    )
+    return J.drain(J.ttl_memo_stream(rows, 3 * 86400), spark, "memo")
+
+
+@query
+def progress_throttle_stream(spark, folder):
+    rows = _event_stream(spark, folder).select(
+        F.col("key").alias("document_id"), "request_id", "at", F.expr("event_type = 'signup'").alias("stage_change")
+    )
+    return J.drain(J.progress_throttle_stream(rows, 86_400_000), spark, "throttle")
+
+
+@query
+def document_state_stream(spark, folder):
+    stream = V.processing_rows(_event_stream(spark, folder))
+    return J.drain(J.ingest_progress_stream(stream), spark, "document-state", "update", "document_id")

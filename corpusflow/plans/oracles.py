@@ -831,46 +831,46 @@ add("turn_report", "routed answers message_sources", f"""
 
 # Window starts by recursion per key: the next window opens at the first able event after the last one ended.
 VIEWS["requests"] = f"""
-    select user_id as key, event_id as request_id, event_type, {_K} as k, epoch_us(ts) as at from events"""
+    select user_id as key, event_id as request_id, event_type, {_K} as k, epoch_us(ts) as us from events"""
 add("fixed_window_limits", "requests", """
     with recursive opened(key, start) as (
-        select key, min(at) from requests group by key
+        select key, min(us) from requests group by key
         union all
-        select r.key, min(r.at) from opened o join requests r on r.key = o.key and r.at >= o.start + 86400000000 group by r.key, o.start),
+        select r.key, min(r.us) from opened o join requests r on r.key = o.key and r.us >= o.start + 86400000000 group by r.key, o.start),
     placed as (
-        select r.*, (select max(start) from opened o where o.key = r.key and o.start <= r.at) as start from requests r),
-    counted as (select *, row_number() over (partition by key, start order by at, request_id) as used from placed)
-    select request_id, used::int as used, used <= 2 as allowed, greatest(2 - used, 0)::int as remaining,
-           case when (start + 86400000000 - at + 500000) // 1000000 > 0 then (start + 86400000000 - at + 500000) // 1000000 else 86400 end::bigint as reset_seconds
+        select r.*, (select max(start) from opened o where o.key = r.key and o.start <= r.us) as start from requests r),
+    counted as (select *, row_number() over (partition by key, start order by us, request_id) as used from placed)
+    select request_id, used, used <= 2 as allowed, greatest(2 - used, 0) as remaining,
+           case when (start + 86400000000 - us + 500000) // 1000000 > 0 then (start + 86400000000 - us + 500000) // 1000000 else 86400 end::bigint as reset_seconds
     from counted""")
 VIEWS["cache_requests"] = """
-    select key as owner, event_type as name, request_id, at, k % 4 != 0 as able,
+    select key as owner, event_type as name, request_id, us, k % 4 != 0 as able,
            (select count(*) from requests c where c.key = r.key and c.event_type = 'purchase' and c.k % 2 = 0
-            and (c.at, c.request_id) <= (r.at, r.request_id)) as epoch
+            and (c.us, c.request_id) <= (r.us, r.request_id)) as epoch
     from requests r where event_type != 'purchase'"""
 NEEDS["cache_requests"] = ["requests"]
 add("ttl_cache_hits", "cache_requests", """
-    with recursive fills(owner, name, epoch, at) as (
-        select owner, name, epoch, min(at) from cache_requests where able group by all
+    with recursive fills(owner, name, epoch, us) as (
+        select owner, name, epoch, min(us) from cache_requests where able group by all
         union all
-        select r.owner, r.name, r.epoch, min(r.at) from fills f join cache_requests r
-          on r.owner = f.owner and r.name = f.name and r.epoch = f.epoch and r.able and r.at >= f.at + 3 * 86400000000
-        group by r.owner, r.name, r.epoch, f.at)
+        select r.owner, r.name, r.epoch, min(r.us) from fills f join cache_requests r
+          on r.owner = f.owner and r.name = f.name and r.epoch = f.epoch and r.able and r.us >= f.us + 3 * 86400000000
+        group by r.owner, r.name, r.epoch, f.us)
     select request_id, exists (
         select 1 from fills f where f.owner = r.owner and f.name = r.name and f.epoch = r.epoch
-          and f.at < r.at and r.at < f.at + 3 * 86400000000) as hit
+          and f.us < r.us and r.us < f.us + 3 * 86400000000) as hit
     from cache_requests r""")
 VIEWS["ticks"] = """
-    select key, request_id, at, event_type = 'signup' as stage_change,
-           sum((event_type = 'signup')::int) over (partition by key order by at, request_id) as epoch from requests"""
+    select key, request_id, us, event_type = 'signup' as stage_change,
+           sum((event_type = 'signup')::int) over (partition by key order by us, request_id) as epoch from requests"""
 NEEDS["ticks"] = ["requests"]
 add("progress_throttle", "ticks", """
-    with recursive writes(key, epoch, at) as (
-        select key, epoch, min(at) from ticks group by all
+    with recursive writes(key, epoch, us) as (
+        select key, epoch, min(us) from ticks group by all
         union all
-        select t.key, t.epoch, min(t.at) from writes w join ticks t
-          on t.key = w.key and t.epoch = w.epoch and t.at >= w.at + 86400000000 group by t.key, t.epoch, w.at)
-    select t.request_id, exists (select 1 from writes w where w.key = t.key and w.epoch = t.epoch and w.at = t.at) as written
+        select t.key, t.epoch, min(t.us) from writes w join ticks t
+          on t.key = w.key and t.epoch = w.epoch and t.us >= w.us + 86400000000 group by t.key, t.epoch, w.us)
+    select t.request_id, exists (select 1 from writes w where w.key = t.key and w.epoch = t.epoch and w.us = t.us) as written
     from ticks t""")
 
 # --- changes -------------------------------------------------------------------------------------
@@ -981,3 +981,11 @@ add("ingest_documents", "judged lib_documents", """
            case when action in ('new', 'replace') then case when extension = '.docx' then 'NO_TEXT_EXTRACTED'
                 when extension not in ('.txt', '.md') then 'UNSUPPORTED_FORMAT' end end as error_code
     from acted""")
+
+# --- streams give what their batch forms give -------------------------------------------------------
+
+for _stream, _batch in (
+    ("rate_limit_stream", "fixed_window_limits"), ("ttl_memo_stream", "ttl_cache_hits"),
+    ("progress_throttle_stream", "progress_throttle"), ("document_state_stream", "document_state"),
+):
+    SQL[_stream] = SQL[_batch]

@@ -451,10 +451,13 @@ def sse_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def processing_events(spark: SparkSession, folder: str) -> DataFrame:
     """Stored events read as processing events of one document per user."""
-    k = "cast(get_json_object(props, '$.k') as bigint)"
-    return table(spark, folder, "events").select(
-        F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), F.col("event_type"),
-        F.expr(k).alias("k"),
+    return processing_rows(requests(spark, folder))
+
+
+def processing_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("key").alias("document_id"), F.col("request_id").alias("seq"), "event_type",
+        F.col("k").cast("bigint").alias("k"),
     ).selectExpr(
         "document_id", "seq",
         "case when event_type = 'click' then 'chunks' when event_type = 'purchase' and k < 4 then 'result'"
@@ -493,7 +496,11 @@ def answer_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Stored events as a request log; time in microseconds since 1970."""
-    return table(spark, folder, "events").select(
+    return request_rows(table(spark, folder, "events"))
+
+
+def request_rows(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "event_type",
         F.expr("cast(get_json_object(props, '$.k') as int)").alias("k"),
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"),
