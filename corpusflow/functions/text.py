@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusflow import schemas as S
 
-# Every character that counts as white space when a text is trimmed.
+# Every character that counts as white space when a text is trimmed, as a class and as a trim set.
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+SPACE_CHARS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body) -> Column:
@@ -22,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACE_CHARS))
 
 
 # Lead-in phrases removed from the front of a title (first match wins).

@@ -189,7 +189,8 @@ def validate_files(files: DataFrame, max_bytes: int = S.UPLOAD_MAX_BYTES) -> Dat
         file_extension(F.col("name")).alias("extension"), container_kind(F.col("content")).alias("kind")
     )
     verdict = let(found, lambda v: F.struct(v["extension"].alias("extension"), v["kind"].alias("kind"), code(v).alias("code")))
-    return files.withColumn("_v", verdict).select("*", "_v.*").drop("_v").withColumn("ok", F.col("code").isNull())
+    rows = files.drop("extension", "kind", "code", "ok").withColumn("_v", verdict)
+    return rows.select("*", "_v.*").drop("_v").withColumn("ok", F.col("code").isNull())
 
 
 def extractable(files: DataFrame, chunks: DataFrame) -> DataFrame:

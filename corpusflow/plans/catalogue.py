@@ -519,7 +519,7 @@ def chunk_metadata(spark, folder):
 
 @query
 def strip_html(spark, folder):
-    return V.table(spark, folder, "pages").select("page_id", SW.strip_html(F.col("html")).alias("text"))
+    return V.pages(spark, folder).select("page_id", SW.strip_html(F.col("html")).alias("text"))
 
 
 @query
@@ -572,7 +572,7 @@ def page_info(spark, folder):
 
 @query
 def decode_text_files(spark, folder):
-    files = V.table(spark, folder, "documents").select(
+    files = V.texts(spark, folder).select(
         "doc_id",
         F.expr(
             "case when doc_id % 3 = 0 then concat(unhex('EFBBBF'), encode(text, 'UTF-8'))"
@@ -624,7 +624,7 @@ def chunk_stats(spark, folder):
 
 @query
 def embed_documents(spark, folder):
-    texts = EM.drop_blank_texts(V.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content")))
+    texts = EM.drop_blank_texts(V.texts(spark, folder).select("doc_id", F.col("text").alias("content")))
     rows = EM.hashing_embeddings(texts)
     return rows.select(
         "doc_id", F.size("embedding").alias("dim"), F.round(VF.l2_norm(F.col("embedding")), 3).alias("norm"), "embedding_model"

@@ -989,3 +989,75 @@ for _stream, _batch in (
     ("progress_throttle_stream", "progress_throttle"), ("document_state_stream", "document_state"),
 ):
     SQL[_stream] = SQL[_batch]
+
+# --- prompts -------------------------------------------------------------------------------------------
+
+_NOTICE = (
+    "chr(10) || chr(10) || 'No current web results could be retrieved for this question. Tell the user that live information is "
+    "unavailable right now and that any figure you might recall could be out of date. Do not state a specific current figure.'"
+)
+VIEWS["last_asked"] = f"""
+    select r.message_id as query_id, r.conversation_id, r.user_id, r.message as question, r.requires_fresh_data, m.created_at,
+           {_MODE.replace('route', 'r.route')} as mode, e.embedding::double[] as embedding, 'm' || (e.label % 2) as embedding_model
+    from routed r join messages m on m.message_id = r.message_id join embeddings e on e.vec_id = r.conversation_id % 500
+    qualify row_number() over (partition by r.conversation_id order by r.message_id desc) = 1"""
+NEEDS["last_asked"] = ["routed", "messages"]
+add("assemble_prompts", "last_asked lib_chunks page_texts", f"""
+    with spoken as (
+        select q.query_id, m.*, row_number() over (partition by q.query_id order by m.created_at desc, m.message_id desc) as back
+        from last_asked q join messages m on m.conversation_id = q.conversation_id and m.created_at < q.created_at
+        where trim(m.content) != '' qualify back <= 6),
+    cut as (select query_id, role, back, case when length(content) > 1200 then substr(content, 1, 1200) || ' ...' else content end as content from spoken),
+    fitted as (select *, sum(length(content)) over (partition by query_id order by back) as total from cut qualify back = 1 or total <= 6000),
+    history as (
+        select query_id, string_agg(case role when 'user' then 'User: ' else 'Assistant: ' end
+            || case when length(trim(content, ' ' || chr(10))) > 800 then substr(trim(content, ' ' || chr(10)), 1, 800) || ' ...'
+                    else trim(content, ' ' || chr(10)) end, chr(10) order by back desc) as history from fitted group by query_id),
+    pairs as (
+        select q.query_id, q.mode, c.chunk_id, c.content, c.document_name, c.page,
+               round(list_cosine_distance(q.embedding, c.embedding), 12) as d
+        from last_asked q join lib_chunks c on c.user_id = q.user_id and c.embedding_model = q.embedding_model
+        where c.status = 'ready' and q.mode in ('document', 'hybrid')),
+    ranked as (select * from pairs qualify row_number() over (partition by query_id order by d, chunk_id) <= 12),
+    flagged as (select *, max((d <= 0.75)::int) over (partition by query_id) as any_near from ranked),
+    kept as (
+        select *, row_number() over (partition by query_id order by d, chunk_id) as number from flagged
+        where d <= 0.75 or (any_near = 0 and mode = 'document') qualify number <= 5),
+    doc_blocks as (
+        select query_id, number, '[' || number || '] ' || document_name || case when page > 0 then ', page ' || page else '' end
+               || chr(10) || content as block from kept),
+    doc_context as (
+        select query_id, string_agg(block, chr(10) || chr(10) order by number) as context
+        from (select *, sum(length(block)) over (partition by query_id order by number) as used from doc_blocks qualify used <= 12000)
+        group by query_id),
+    doc_counts as (select query_id, count(*) as n from kept group by query_id),
+    hits as (
+        select p.page_id % 50 as grp, coalesce(nullif(regexp_extract(p.html, '<title>([^<]*)</title>', 1), ''), p.url) as title, p.url,
+               substr(t.text, 1, 600) as snippet, row_number() over (partition by p.page_id % 50 order by p.page_id) as pos
+        from pages p join page_texts t on t.page_id = p.page_id qualify pos <= 5),
+    web as (
+        select q.query_id, q.mode, h.pos, h.snippet, coalesce(n, 0) + h.pos as number, h.title, h.url
+        from last_asked q join hits h on h.grp = q.conversation_id % 50 left join doc_counts dc on dc.query_id = q.query_id
+        where q.mode in ('web', 'hybrid')),
+    web_context as (
+        select query_id, string_agg('[' || number || '] ' || title || ' - ' || url || chr(10) || snippet, chr(10) || chr(10) order by number) as context,
+               max(snippet) filter (pos = 1) as scraped
+        from web group by query_id),
+    whole as (
+        select q.*, coalesce(h.history, '(no previous messages)') as past,
+               coalesce(nullif(substr(d.context, 1, 12000), ''), '(no relevant passages found)') as doc_part,
+               coalesce(nullif(substr(coalesce(w.context, '')
+                   || case when w.scraped != '' then chr(10) || chr(10) || 'Full text of the most relevant page:' || chr(10) || w.scraped else '' end
+                   || case when q.requires_fresh_data and w.query_id is null then {_NOTICE} else '' end, 1, 12000), ''),
+                   '(no web results found)') as web_part
+        from last_asked q left join history h on h.query_id = q.query_id left join doc_context d on d.query_id = q.query_id
+        left join web_context w on w.query_id = q.query_id)
+    select query_id, mode, 'Conversation so far (for pronouns and follow-up context only):' || chr(10) || past || chr(10) || chr(10)
+        || case mode when 'llm' then 'Question:' || chr(10) || question
+           when 'document' then 'Retrieved context:' || chr(10) || doc_part || chr(10) || chr(10) || 'Question:' || chr(10) || question
+                || chr(10) || chr(10) || 'Answer the question from the retrieved context.'
+           when 'web' then 'Web research:' || chr(10) || web_part || chr(10) || chr(10) || 'Question:' || chr(10) || question
+                || chr(10) || chr(10) || 'Answer the question from the web research.'
+           else 'Document research:' || chr(10) || doc_part || chr(10) || chr(10) || 'Web research:' || chr(10) || web_part || chr(10) || chr(10)
+                || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Answer the question using both sources.' end as prompt
+    from whole""")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.functions.text import strip
+from corpusflow.functions.text import SPACE_CHARS, strip
 
 # Encodings tried in this order once UTF-8 has failed; the first that decodes wins.
 FALLBACK_ENCODINGS = ["utf-16", "cp1252", "latin-1"]
@@ -76,7 +76,7 @@ def markdown_lines(documents: DataFrame) -> DataFrame:
     lines = documents.select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     here = Window.partitionBy("document_id").orderBy("pos")
     before, upto = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(Window.unboundedPreceding, 0)
-    lead = F.regexp_replace("line", r"^\s+", "")
+    lead = F.ltrim("line", F.lit(SPACE_CHARS))
     fence = F.startswith(lead, F.lit("```"))
     inside = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2 == 1
     heading = ~F.col("is_fence") & ~F.col("in_fence") & F.startswith(lead, F.lit("#"))

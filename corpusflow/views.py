@@ -21,6 +21,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a table stored in fewer files than there are cores.
+
+    A one-file table with one row group is one task, however much work follows the scan. Tables
+    with enough files are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored texts, ready for work that costs far more than reading them."""
+    return spread(table(spark, folder, "documents"))
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "pages"))
+
+
 def _minutes(expression: str):
     return F.expr(f"{BASE} + make_dt_interval(0, 0, cast({expression} as int), 0)")
 
@@ -163,7 +182,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 
 def web_results(spark: SparkSession, folder: str) -> DataFrame:
     """Crawled pages as search results of a query per host, best page first by id."""
-    return table(spark, folder, "pages").select(
+    return pages(spark, folder).select(
         "page_id", "url", "html",
         F.expr("nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')").alias("title"),
         F.expr("case when page_id % 3 = 0 then 'n/a' else cast((page_id % 97) / 97.0D as string) end").alias("score"),
@@ -182,7 +201,7 @@ def session_time() -> Column:
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Stored texts as uploaded files of several kinds, some of them mislabelled."""
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"),
         F.expr(
             "concat('folder.v1/doc.', doc_id, element_at(array('.txt', '.md', '.pdf', '.docx', '.exe', '.TXT', ''),"
@@ -230,7 +249,7 @@ def processing(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_table(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the stored texts as pages; short ones have recognised text or a blank one."""
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")
     ).select(
         "document_id", (F.col("pos") + 1).alias("page"), "text",
@@ -278,7 +297,7 @@ def questions_asked(spark: SparkSession, folder: str) -> DataFrame:
     """User messages behind phrases that carry routing signals, with the flags of their turn."""
     phrases = ", ".join("'" + p + "'" for p in PHRASES)
     ready = documents(spark, folder).filter("status = 'ready'").groupBy("user_id").agg(F.count("*").alias("ready"))
-    asked = messages(spark, folder).filter("role = 'user'").select(
+    asked = spread(messages(spark, folder)).filter("role = 'user'").select(
         "message_id", "conversation_id", F.expr("concat('src', conversation_id % 20)").alias("user_id"), "position",
         F.expr(f"element_at(array({phrases}), cast((message_id div 3) % {len(PHRASES)} as int) + 1)").alias("phrase"),
         "content",
@@ -308,7 +327,7 @@ ERROR_TEXT = (
 
 def paragraph_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Stored texts with every line as a paragraph of its own; every fifth has wider gaps."""
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         F.col("doc_id").alias("document_id"),
         F.expr("replace(text, '\\n', if(doc_id % 5 = 0, '\\n\\n \\n\\n', '\\n\\n'))").alias("text"),
     )
@@ -317,7 +336,7 @@ def paragraph_texts(spark: SparkSession, folder: str) -> DataFrame:
 def markdown_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Stored texts as Markdown: some lines become headings, some open or close a code fence."""
     text = "regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(E[a-z])', '## $1'), '(?m)^(Th[a-f])', '```$1'), '(?m)^(An?[a-z])', ' # $1')"
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder).select(
         F.col("doc_id").alias("document_id"), F.expr(text).alias("text")
     )
 
@@ -399,7 +418,7 @@ def _packaged(spark: SparkSession, folder: str, build) -> DataFrame:
                 {"document_id": pdf["doc_id"], "content": [build(t.split("\n")) for t in pdf["text"]]}
             )
 
-    return table(spark, folder, "documents").select("doc_id", "text").mapInPandas(
+    return texts(spark, folder).select("doc_id", "text").mapInPandas(
         pack, "document_id bigint, content binary"
     )
 
