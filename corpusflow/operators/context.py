@@ -81,20 +81,22 @@ def build_context(sources: DataFrame, max_chars: int = S.CONTEXT_CHARS, start_in
     return blocks.groupBy("query_id").agg(ordered_concat("block", "number", "\n\n").alias("context"))
 
 
-def join_context_plain(sources: DataFrame) -> DataFrame:
-    """Older form: contents joined by blank lines, unnumbered."""
-    return sources.groupBy("query_id").agg(ordered_concat("content", "index", "\n\n").alias("context"))
+def join_context_plain(sources: DataFrame, k: int = S.RETRIEVAL_K) -> DataFrame:
+    """Older form: contents of the ``k`` best sources joined by blank lines, unnumbered."""
+    top = first_rows(sources, ["query_id"], [F.col("index")], k)
+    return top.groupBy("query_id").agg(ordered_concat("content", "index", "\n\n").alias("context"))
 
 
-def web_listing(results: DataFrame) -> DataFrame:
-    """Older form of search results: title, address and the first 500 characters, ruled off."""
+def web_listing(results: DataFrame, max_results: int = 5) -> DataFrame:
+    """Older form of the first search results: title, address and 500 characters each, ruled off."""
     line = F.concat(
         F.lit("\n            Title : "), F.coalesce("title", F.lit("")),
         F.lit("\n            URL : "), F.col("url"),
         F.lit("\n            Content : "), F.substring(F.col("content"), 1, 500),
         F.lit("\n            "),
     )
-    return results.withColumn("_line", line).groupBy("query_id").agg(
+    top = first_rows(results, ["query_id"], [F.col("index")], max_results)
+    return top.withColumn("_line", line).groupBy("query_id").agg(
         ordered_concat("_line", "index", "\n---\n").alias("listing")
     )
 

@@ -22,6 +22,7 @@ from corpusflow.operators.ordered import first_rows
 
 BROADCAST_QUERY_ROWS = 4096
 BROADCAST_QUERY_VALUES = 4_000_000
+PUSHED_KEY_VALUES = 1000
 CHUNK_BLOCK_ROWS = 16384
 QUERY_BLOCK_ROWS = 1024
 DISTANCE_DIGITS = {"cosine": 12, "l2": 6, "squared_l2": 6}
@@ -105,11 +106,13 @@ def nearest(
     broadcast_rows: int = BROADCAST_QUERY_ROWS,
     chunk_block_rows: int = CHUNK_BLOCK_ROWS,
     query_block_rows: int = QUERY_BLOCK_ROWS,
+    live: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, chunk_id, distance, rank)`` of the ``n`` nearest chunks sharing all ``keys``.
 
     ``queries``: query_id, keys, embedding and optionally ``scope`` (array of document ids;
     null or empty means every document). ``chunks``: chunk_id, document_id, keys, embedding.
+    ``live``: (document_id, user_id) of the documents that may answer; every document without it.
     """
     keys = list(keys)
     if "scope" not in queries.columns:
@@ -117,17 +120,20 @@ def nearest(
     query_rows = _prepared(
         queries.withColumn("scope", F.col("scope").cast("array<string>")), ["query_id", "scope"], keys
     )
-    chunk_rows = _prepared(
-        chunks.withColumn("document_id", F.col("document_id").cast("string")),
-        ["chunk_id", "document_id"], keys,
-    )
     id_types = (queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType)
     schema = f"query_id {id_types[0].simpleString()}, chunk_id {id_types[1].simpleString()}, distance double"
 
     # The probe is capped one row past the bound, so the driver never sees more than that.
     probe = query_rows.limit(broadcast_rows + 1).toArrow()
     values = int(sum(probe.column("_dim").to_pylist()))
-    if probe.num_rows <= broadcast_rows and values <= BROADCAST_QUERY_VALUES:
+    few = probe.num_rows <= broadcast_rows and values <= BROADCAST_QUERY_VALUES
+    wanted = _asked_spaces(chunks, probe, keys) if few else chunks
+    if live is not None:
+        wanted = wanted.join(live.select("document_id", "user_id"), ["document_id", "user_id"], "left_semi")
+    chunk_rows = _prepared(
+        wanted.withColumn("document_id", F.col("document_id").cast("string")), ["chunk_id", "document_id"], keys
+    )
+    if few:
         candidates = _scan_with_broadcast(probe, chunk_rows, keys, n, metric, schema)
     else:
         candidates = _block_join(
@@ -137,6 +143,15 @@ def nearest(
     return first_rows(candidates, ["query_id"], order, n, out="rank")
 
 
+def _asked_spaces(chunks, probe, keys):
+    """Chunks of the asked spaces: filters on key values that reach the scan, when they are few."""
+    for key in keys:
+        values = probe.column(key).unique().drop_null().to_pylist()
+        if len(values) <= PUSHED_KEY_VALUES:
+            chunks = chunks.filter(F.col(key).isin(values))
+    return chunks
+
+
 def _scan_with_broadcast(probe, chunk_rows, keys, n, metric, schema):
     spark = chunk_rows.sparkSession
     space = [*keys, "_dim"]

@@ -32,16 +32,15 @@ def append_chunks(new_chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def write_chunks(new_chunks: DataFrame, documents: DataFrame, path: str, user_buckets: int = 256) -> None:
     """Append to a chunk table laid out by user bucket and sorted by (user, model).
 
-    Users are hashed into buckets because one directory per user would mean millions of them.
-    Rows of a bucket are spread over several writers by document, so a large tenant does not
-    become one file written by one task.
+    Users are hashed into buckets because one directory per user would mean millions of them. The
+    rebalance hint lets adaptive execution cut the share of a large tenant into files of ordinary
+    size and merge the small ones, so no task writes a whole hot bucket.
     """
     rows = append_chunks(new_chunks, documents).withColumn(
         "user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(user_buckets)).cast("int")
     )
-    writer = F.pmod(F.xxhash64("document_id"), F.lit(8))
     (
-        rows.repartition("user_bucket", writer).sortWithinPartitions("user_bucket", "user_id", "embedding_model")
+        rows.hint("rebalance", "user_bucket").sortWithinPartitions("user_bucket", "user_id", "embedding_model")
         .write.mode("append").partitionBy("user_bucket").parquet(path)
     )
 

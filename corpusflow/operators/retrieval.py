@@ -55,13 +55,6 @@ def chunks_with_documents(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(names, ["document_id", "user_id"])
 
 
-def searchable_chunks(chunks: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """The narrow chunk columns a search may touch: ready documents, asked-for spaces only."""
-    narrow = chunks.select("chunk_id", "document_id", "user_id", "embedding_model", "embedding")
-    ready = ready_only(documents).select("document_id", "user_id")
-    return same_space(narrow, queries).join(ready, ["document_id", "user_id"], "left_semi")
-
-
 def distinct_questions(queries: DataFrame, text: str = "query") -> DataFrame:
     """One representative per identical (user, text, scope, weak-match flag) request.
 
@@ -78,9 +71,7 @@ def cosine_knn(
     k: int = S.RETRIEVAL_K, fetch_k: int = S.RETRIEVAL_FETCH_K, metric: str = "cosine", **blocks,
 ) -> DataFrame:
     """Exact filtered k-NN: the nearest ``max(k, fetch_k)`` chunks of every query."""
-    return nearest(
-        queries, searchable_chunks(chunks, documents, queries), max(k, fetch_k), metric, **blocks
-    )
+    return nearest(queries, chunks, max(k, fetch_k), metric, live=ready_only(documents), **blocks)
 
 
 def distance_filter(candidates: DataFrame, max_distance: float, allow_weak: Column) -> DataFrame:
@@ -148,7 +139,7 @@ def l2_retrieve(
     max_distance: float = S.MAX_L2_DISTANCE, metric: str = "l2", **blocks,
 ) -> DataFrame:
     """Older distance-scored search: all fetched rows stand in when none is close enough."""
-    found = nearest(queries, same_space(chunks, queries), max(k, fetch_k), metric, **blocks)
+    found = nearest(queries, chunks, max(k, fetch_k), metric, **blocks)
     kept = keep_first(distance_filter(found, max_distance, F.lit(True)), k)
     return kept.select(
         "query_id", "chunk_id", "index", relevance(F.col("distance")).alias("score"),
@@ -160,7 +151,7 @@ def score_threshold_retrieve(
     queries: DataFrame, chunks: DataFrame, threshold: float = 0.1, k: int = S.RETRIEVAL_K, **blocks
 ) -> DataFrame:
     """The ``k`` nearest whose similarity reaches the threshold."""
-    found = nearest(queries, same_space(chunks, queries), k, "cosine", **blocks)
+    found = nearest(queries, chunks, k, "cosine", **blocks)
     return found.filter(1.0 - F.col("distance") >= threshold).select(
         "query_id", "chunk_id", F.col("rank").alias("index"),
         similarity(F.col("distance")).alias("score"),

@@ -950,3 +950,23 @@ def progress_throttle_stream(spark, folder):
 def document_state_stream(spark, folder):
     stream = V.processing_rows(_event_stream(spark, folder))
     return J.drain(J.ingest_progress_stream(stream), spark, "document-state", "update", "document_id")
+
+
+@query
+def asked_spaces(spark, folder):
+    """Chunks whose owner and model occur among the questions that accept weak matches."""
+    asked = V.questions(spark, folder).filter("allow_weak")
+    return R.same_space(V.chunks(spark, folder), asked).select("chunk_id", "user_id", "embedding_model")
+
+
+@query
+def retrieve_distinct(spark, folder):
+    """Retrieval of repeated questions: each distinct request is searched once and joined back."""
+    asked = V.questions(spark, folder).drop("scope", "allow_weak")
+    twins = asked.withColumn("query_id", F.col("query_id") + 1_000_000)
+    every = asked.unionByName(twins).withColumn("query", F.expr("cast(query_id % 1000000 as string)"))
+    grouped = R.distinct_questions(every)
+    firsts = grouped.filter("query_id = asked_as")
+    found = R.retrieve(firsts.drop("asked_as"), V.chunks(spark, folder), V.documents(spark, folder), k=2)
+    kept = found.select(F.col("query_id").alias("asked_as"), "index", "chunk_id")
+    return grouped.select("query_id", "asked_as").join(kept, "asked_as").select("query_id", "index", "chunk_id")

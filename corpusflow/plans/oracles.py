@@ -675,7 +675,8 @@ add("web_listing", "web_results page_texts", """
     select w.query_id, string_agg(chr(10) || '            Title : ' || coalesce(w.title, '') || chr(10) || '            URL : ' || w.url
         || chr(10) || '            Content : ' || substr(t.text, 1, 500) || chr(10) || '            ', chr(10) || '---' || chr(10)
         order by w.page_id) as listing
-    from web_results w join page_texts t on t.page_id = w.page_id group by w.query_id""")
+    from (select * from web_results qualify row_number() over (partition by query_id order by page_id) <= 5) w
+    join page_texts t on t.page_id = w.page_id group by w.query_id""")
 
 # --- text sources ------------------------------------------------------------------------------
 
@@ -1031,13 +1032,13 @@ add("assemble_prompts", "last_asked lib_chunks page_texts", f"""
         from (select *, sum(length(block)) over (partition by query_id order by number) as used from doc_blocks qualify used <= 12000)
         group by query_id),
     doc_counts as (select query_id, count(*) as n from kept group by query_id),
-    hits as (
+    page_hits as (
         select p.page_id % 50 as grp, coalesce(nullif(regexp_extract(p.html, '<title>([^<]*)</title>', 1), ''), p.url) as title, p.url,
                substr(t.text, 1, 600) as snippet, row_number() over (partition by p.page_id % 50 order by p.page_id) as pos
         from pages p join page_texts t on t.page_id = p.page_id qualify pos <= 5),
     web as (
         select q.query_id, q.mode, h.pos, h.snippet, coalesce(n, 0) + h.pos as number, h.title, h.url
-        from last_asked q join hits h on h.grp = q.conversation_id % 50 left join doc_counts dc on dc.query_id = q.query_id
+        from last_asked q join page_hits h on h.grp = q.conversation_id % 50 left join doc_counts dc on dc.query_id = q.query_id
         where q.mode in ('web', 'hybrid')),
     web_context as (
         select query_id, string_agg('[' || number || '] ' || title || ' - ' || url || chr(10) || snippet, chr(10) || chr(10) order by number) as context,
@@ -1061,3 +1062,9 @@ add("assemble_prompts", "last_asked lib_chunks page_texts", f"""
            else 'Document research:' || chr(10) || doc_part || chr(10) || chr(10) || 'Web research:' || chr(10) || web_part || chr(10) || chr(10)
                 || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Answer the question using both sources.' end as prompt
     from whole""")
+
+add("asked_spaces", "lib_chunks questions", """
+    select chunk_id, user_id, embedding_model from lib_chunks
+    where (user_id, embedding_model) in (select (user_id, embedding_model) from questions where allow_weak)""")
+add("retrieve_distinct", "lib_chunks questions", _ranked() + _kept(0.75, "true") + """
+    select query_id + twin as query_id, idx as index, chunk_id from kept, (values (0), (1000000)) t(twin) where idx <= 2""")

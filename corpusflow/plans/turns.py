@@ -9,6 +9,7 @@ from corpusflow import views as V
 from corpusflow.functions.text import clean_rewrite, generate_title
 from corpusflow.operators import context, folds, retrieval, routing
 from corpusflow.plans import ingest
+from corpusflow.session import staged
 from corpusflow.sources.web import normalise_web_results, page_text
 
 # --- operators over question tables ------------------------------------------------
@@ -149,7 +150,8 @@ def turn_questions(spark, folder) -> DataFrame:
 
 def prompts_of_turns(spark, folder) -> DataFrame:
     """Prompts of the last questions; search results are those of the page group of the conversation."""
-    questions = turn_questions(spark, folder)
+    # Seven branches read the routed questions; they are routed once.
+    questions = staged(turn_questions(spark, folder), "questions")
     pages = V.web_results(spark, folder).select(
         (F.col("page_id") % 50).alias("query_id"), F.col("page_id").alias("rank"), "title", "url",
         page_text(F.col("html")).alias("content"), "score",
