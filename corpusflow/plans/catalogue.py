@@ -18,6 +18,7 @@ from corpusflow.operators import library as L
 from corpusflow.operators import mutations as M
 from corpusflow.operators import retrieval as R
 from corpusflow.operators import routing as RT
+from corpusflow.plans import ingest as I
 from corpusflow.plans import turns as T
 from corpusflow.sources import event_logs as SE
 from corpusflow.sources import files as SF
@@ -970,3 +971,10 @@ def retrieve_distinct(spark, folder):
     found = R.retrieve(firsts.drop("asked_as"), V.chunks(spark, folder), V.documents(spark, folder), k=2)
     kept = found.select(F.col("query_id").alias("asked_as"), "index", "chunk_id")
     return grouped.select("query_id", "asked_as").join(kept, "asked_as").select("query_id", "index", "chunk_id")
+
+
+@query
+def extraction_info(spark, folder):
+    """Reports of the stored texts read as Markdown, with the chunks stored for them."""
+    measured = ST.markdown_info(V.markdown_texts(spark, folder)).withColumn("error_code", F.lit(None).cast("string"))
+    return I.extraction_info(measured, V.chunks(spark, folder)).select("document_id", "chunk_count", "extraction_info")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import content_hash, display_name, storage_key
@@ -17,44 +17,102 @@ from corpusflow.session import staged
 from corpusflow.sources import office, pages, text_files
 
 
-def _text_blocks(files: DataFrame) -> DataFrame:
-    return text_files.extract_txt_blocks(text_files.decode_text_files(files.select("document_id", "content")))
+# Columns of an extraction report, in the order they are written. Absent measures stay absent.
+INFO_COLUMNS = {
+    "pageCount": "bigint", "usedOcr": "boolean", "ocrPages": "bigint", "paragraphs": "bigint", "tables": "bigint",
+    "slideCount": "bigint", "headings": "bigint", "lines": "bigint",
+}
+
+
+def _info(rows: DataFrame, **measured: str) -> DataFrame:
+    """Report rows ``(document_id, measures..., error_code)`` from a format's own counts."""
+    error = F.col("error_code") if "error_code" in rows.columns else F.lit(None).cast("string")
+    return rows.select(
+        "document_id", *[F.col(source).alias(name) for name, source in measured.items()], error.alias("error_code")
+    )
 
 
-def _markdown_blocks(files: DataFrame) -> DataFrame:
-    return text_files.extract_markdown_blocks(text_files.decode_text_files(files.select("document_id", "content")))
+def _text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    texts = text_files.decode_text_files(files.select("document_id", "content"))
+    lines = texts.select("document_id", text_files.line_count(F.col("text")).cast("bigint").alias("lines"))
+    return text_files.extract_txt_blocks(texts), _info(lines, lines="lines")
+
+
+def _markdown(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    texts = text_files.decode_text_files(files.select("document_id", "content"))
+    return text_files.extract_markdown_blocks(texts), _info(
+        text_files.markdown_info(texts), headings="headings", lines="lines"
+    )
 
 
-def _word_blocks(files: DataFrame) -> DataFrame:
-    return office.docx_blocks(office.docx_elements(files))
+def _word(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    elements = staged(office.docx_elements(files), "word-elements")
+    return office.docx_blocks(elements), _info(office.docx_info(elements), paragraphs="paragraphs", tables="tables")
 
 
-def _slide_blocks(files: DataFrame) -> DataFrame:
-    return office.pptx_blocks(office.pptx_elements(files))
+def _slides(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    elements = staged(office.pptx_elements(files), "slide-elements")
+    return office.pptx_blocks(elements), _info(office.pptx_info(elements), slideCount="slide_count")
 
 
-# Extractors by extension: each turns (document_id, content) rows into block rows.
-EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    ".txt": _text_blocks,
-    ".md": _markdown_blocks,
-    ".docx": _word_blocks,
-    ".pptx": _slide_blocks,
+# Extractors by extension: (document_id, content) rows to block rows and report rows.
+EXTRACTORS: dict[str, Callable[[DataFrame], tuple[DataFrame, DataFrame]]] = {
+    ".txt": _text,
+    ".md": _markdown,
+    ".docx": _word,
+    ".pptx": _slides,
 }
 
 
-def paged_extractor(read_pages: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+def paged_extractor(read_pages: Callable[[DataFrame], DataFrame]) -> Callable:
     """Extractor from a page reader giving (document_id, page, text, recognised_text)."""
-    return lambda files: pages.page_text_blocks(read_pages(files))
 
+    def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = staged(read_pages(files), "pages")
+        report = _info(pages.page_info(rows), pageCount="page_count", usedOcr="used_ocr", ocrPages="ocr_pages")
+        return pages.page_text_blocks(rows), report
 
-def extract_blocks(files: DataFrame, extractors: dict[str, Callable] | None = None) -> DataFrame:
-    """Blocks of all files: one branch per format, each over its own files only."""
-    branches = extractors or EXTRACTORS
-    out = None
-    for extension, extract in branches.items():
-        part = extract(files.filter(F.col("extension") == extension))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return extract
+
+
+def extract_blocks(files: DataFrame, extractors: dict[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blocks and reports of all files: one branch per format, each over its own files only."""
+    blocks, reports = None, None
+    for extension, extract in (extractors or EXTRACTORS).items():
+        part, report = extract(files.filter(F.col("extension") == extension))
+        blocks = part if blocks is None else blocks.unionByName(part)
+        reports = report if reports is None else reports.unionByName(report, allowMissingColumns=True)
+    return blocks, reports
+
+
+def extraction_info(reports: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One JSON report per document with what its format measured, plus chunk count and model."""
+    counts = chunks.groupBy("document_id").agg(
+        F.count("*").cast("int").alias("chunk_count"), F.max("embedding_model").alias("embedding_model")
+    )
+    measured = [
+        (F.col(name) if name in reports.columns else F.lit(None)).cast(kind).alias(name)
+        for name, kind in INFO_COLUMNS.items()
+    ]
+    joined = reports.join(counts, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
+    info = F.struct(*measured, F.col("chunk_count").alias("chunks"), F.col("embedding_model").alias("embeddingModel"))
+    return joined.select(
+        "document_id", "error_code", "chunk_count", "embedding_model", F.to_json(info).alias("extraction_info")
+    )
+
+
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """Rows with a row counter that is filled by whatever action runs over them."""
+    counter = Observation(name)
+    return rows.observe(counter, F.count(F.lit(1)).alias("rows")), counter
+
+
+def report_progress(counter: Observation, callback: Callable[[dict], None]) -> None:
+    """Hand the counted rows to a listener; a failing listener never breaks the job."""
+    try:
+        callback(counter.get)
+    except Exception:  # noqa: BLE001
+        pass
 
 
 def judge_files(files: DataFrame, documents: DataFrame) -> DataFrame:
@@ -97,8 +155,11 @@ def ingest_documents(
     bytes_of = files.select("user_id", "name", "content").join(
         wanted.select("document_id", "user_id", "name", "extension"), ["user_id", "name"]
     )
-    blocks = extract_blocks(bytes_of, branches)
-    pieces = embedding.drop_blank_texts(chunking.chunk_blocks(blocks))
+    blocks, reports = extract_blocks(bytes_of, branches)
+    reports = staged(reports, "reports")
+    # A document that failed part-way contributes no chunks.
+    broken = reports.filter("error_code is not null").select("document_id")
+    pieces = embedding.drop_blank_texts(chunking.chunk_blocks(blocks.join(broken, "document_id", "left_anti")))
     owned = pieces.join(wanted.select("document_id", "user_id", "name"), "document_id")
     rows = owned.select(
         F.sha2(F.concat_ws("|", "document_id", F.col("chunk_index").cast("string")), 256).alias("chunk_id"),
@@ -106,27 +167,16 @@ def ingest_documents(
         chunking.sparse_metadata(F.col("metadata"), F.lit(None).cast("string"), F.col("name")).alias("metadata"),
     )
     chunks = staged(embed(rows), "chunks")
-    counts = chunks.groupBy("document_id").agg(
-        F.count("*").cast("int").alias("chunk_count"), F.max("embedding_model").alias("embedding_model")
-    )
+    info = extraction_info(reports, chunks)
+    count = F.coalesce("chunk_count", F.lit(0))
     known_format = F.col("extension").isin(list(branches))
-    states = wanted.join(counts, "document_id", "left").select(
+    states = wanted.join(info, "document_id", "left").select(
         "document_id", "user_id", display_name(F.col("name")).alias("name"), F.col("name").alias("original_filename"),
         "mime_type", F.col("length").alias("file_size"),
         storage_key(F.col("user_id"), F.col("name"), F.col("content_hash")).alias("storage_key"), "content_hash",
-        F.when(F.col("chunk_count") > 0, "ready").otherwise("failed").alias("status"),
-        F.when(~known_format, "UNSUPPORTED_FORMAT").when(F.col("chunk_count").isNull(), "NO_TEXT_EXTRACTED").alias("error_code"),
-        F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "embedding_model",
+        F.when(count > 0, "ready").otherwise("failed").alias("status"),
+        F.when(~known_format, "UNSUPPORTED_FORMAT").when(F.col("error_code").isNotNull(), F.col("error_code"))
+        .when(count == 0, "NO_TEXT_EXTRACTED").alias("error_code"),
+        count.alias("chunk_count"), "embedding_model", F.when(count > 0, F.col("extraction_info")).alias("extraction_info"),
     )
     return {"verdicts": verdicts, "chunks": chunks, "documents": states}
-
-
-def extraction_info(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Counts per document over its blocks and chunks."""
-    meta = F.col("metadata")
-    per_blocks = blocks.groupBy("document_id").agg(
-        F.count("*").alias("blocks"), F.max(meta["page"]).alias("page_count"), F.max(meta["slide"]).alias("slide_count"),
-        F.max(meta["paragraph"]).alias("paragraphs"), F.max(meta["table"]).alias("tables"),
-    )
-    per_chunks = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
-    return per_blocks.join(per_chunks, "document_id", "left").fillna(0, ["chunks"])

@@ -979,7 +979,7 @@ add("ingest_documents", "judged lib_documents", """
         from firsts f left join known k on k.user_id = f.sender and k.content_hash = f.hash)
     select sender as user_id, name, code, action,
            case when action in ('new', 'replace') then case when extension in ('.txt', '.md') then 'ready' else 'failed' end end as status,
-           case when action in ('new', 'replace') then case when extension = '.docx' then 'NO_TEXT_EXTRACTED'
+           case when action in ('new', 'replace') then case when extension = '.docx' then 'PARSE_FAILED'
                 when extension not in ('.txt', '.md') then 'UNSUPPORTED_FORMAT' end end as error_code
     from acted""")
 
@@ -1068,3 +1068,11 @@ add("asked_spaces", "lib_chunks questions", """
     where (user_id, embedding_model) in (select (user_id, embedding_model) from questions where allow_weak)""")
 add("retrieve_distinct", "lib_chunks questions", _ranked() + _kept(0.75, "true") + """
     select query_id + twin as query_id, idx as index, chunk_id from kept, (values (0), (1000000)) t(twin) where idx <= 2""")
+
+add("extraction_info", "md_marked lib_chunks", """
+    with measured as (select document_id, sum(heading::int) as headings, count(*) as lines from md_marked group by document_id),
+    counts as (select document_id, count(*) as n, max(embedding_model) as model from lib_chunks group by document_id)
+    select m.document_id, coalesce(n, 0)::int as chunk_count,
+           '{"headings":' || headings || ',"lines":' || lines || ',"chunks":' || coalesce(n, 0)
+           || coalesce(',"embeddingModel":"' || model || '"', '') || '}' as extraction_info
+    from measured m left join counts c on c.document_id = m.document_id""")

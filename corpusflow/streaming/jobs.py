@@ -125,7 +125,7 @@ def incremental_ingest(
 DOCUMENT_COLUMNS = (
     "document_id string, user_id string, name string, original_filename string, mime_type string, file_size bigint, "
     "storage_key string, content_hash string, status string, error_code string, chunk_count int, "
-    "embedding_model string, batch bigint"
+    "embedding_model string, extraction_info string, batch bigint"
 )
 
 

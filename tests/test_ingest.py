@@ -39,9 +39,12 @@ def test_ingestion(spark):
     states = {r[0]: r[1:] for r in rows(out["documents"], "original_filename", "status", "error_code", "chunk_count")}
     assert states == {
         "a.txt": ("ready", None, 2), "b.md": ("ready", None, 1), "c.docx": ("ready", None, 3), "d.pptx": ("ready", None, 1),
-        "bad.docx": ("failed", "NO_TEXT_EXTRACTED", 0), "blank.txt": ("failed", "NO_TEXT_EXTRACTED", 0),
+        "bad.docx": ("failed", "PARSE_FAILED", 0), "blank.txt": ("failed", "NO_TEXT_EXTRACTED", 0),
         "e.pdf": ("failed", "UNSUPPORTED_FORMAT", 0), "h.txt": ("ready", None, 1),
     }
+    infos = dict(rows(out["documents"], "original_filename", "extraction_info"))
+    assert infos["b.md"] == '{"headings":1,"lines":3,"chunks":1,"embeddingModel":"hashing-tf-768"}'
+    assert infos["c.docx"].startswith('{"paragraphs":2,"tables":1,') and infos["bad.docx"] is None
     first = sorted(rows(out["chunks"].filter("content like '%foxes%'"), "chunk_index", "metadata"))
     assert first == [(1, '{"documentName":"a.txt","line":3}')]
 
@@ -70,6 +73,28 @@ def test_page_reader_plugs_in(spark):
     assert rows(out["documents"], "status", "chunk_count") == [("ready", 1)]
 
 
+def test_unread_scan_fails_the_document(spark):
+    def read_pages(pdfs):
+        return pdfs.select(
+            "document_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"),
+            F.lit("a page of text that is long enough to keep").alias("text"), F.lit(None).cast("string").alias("recognised_text"),
+        ).withColumn("text", F.when(F.col("page") == 1, F.col("text")).otherwise("scan"))
+
+    extractors = {".pdf": ingest.paged_extractor(read_pages)}
+    out = ingest.ingest_documents(upload_rows(spark).filter("name = 'e.pdf'"), library_rows(spark), extractors=extractors)
+    assert rows(out["documents"], "status", "error_code", "chunk_count") == [("failed", "OCR_UNAVAILABLE", 0)]
+    assert out["chunks"].count() == 0
+
+
+def test_a_failing_listener_is_harmless(spark):
+    counted, counter = ingest.observed(spark.range(7), "rows-read")
+    counted.count()
+    seen = []
+    ingest.report_progress(counter, seen.append)
+    ingest.report_progress(counter, lambda event: 1 / 0)
+    assert seen == [{"rows": 7}]
+
+
 def test_incremental_ingestion(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     (source / "u1").mkdir(parents=True)
