@@ -699,7 +699,7 @@ def ttl_cache_hits(spark, folder):
         F.col("key").alias("owner"), F.col("event_type").alias("key"), "request_id", "at",
         F.expr("k % 4 != 0").alias("storable"),
     )
-    clears = rows.filter("event_type = 'purchase' and k % 2 = 0").select(F.col("key").alias("owner"), "request_id", "at")
+    clears = rows.filter("event_type = 'purchase'").select(F.col("key").alias("owner"), "request_id", "at")
     return AN.ttl_cache_hits(asked, clears, 3 * 86400).select("request_id", "hit")
 
 
@@ -932,7 +932,7 @@ def rate_limit_stream(spark, folder):
 
 @query
 def ttl_memo_stream(spark, folder):
-    rows = _event_stream(spark, folder).filter("event_type != 'purchase' or k % 2 = 0").select(
+    rows = _event_stream(spark, folder).select(
         F.col("key").alias("owner"), F.col("event_type").alias("key"), "request_id", "at",
         F.expr("k % 4 != 0").alias("storable"), F.expr("event_type = 'purchase'").alias("clears"),
     )
@@ -978,3 +978,13 @@ def extraction_info(spark, folder):
     """Reports of the stored texts read as Markdown, with the chunks stored for them."""
     measured = ST.markdown_info(V.markdown_texts(spark, folder)).withColumn("error_code", F.lit(None).cast("string"))
     return I.extraction_info(measured, V.chunks(spark, folder)).select("document_id", "chunk_count", "extraction_info")
+
+
+@query
+def token_stream(spark, folder):
+    """Answers assembled while their tokens arrive."""
+    session = J.stream_session(spark, spark.sparkContext.defaultParallelism)
+    schema = V.table(spark, folder, "conversations").schema
+    stored = session.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
+    said = V.turn_rows(stored).filter(F.col("role").isin("user", "assistant"))
+    return J.drain(J.token_stream_assembly(V.token_rows(said)), spark, "tokens")

@@ -846,7 +846,7 @@ add("fixed_window_limits", "requests", """
     from counted""")
 VIEWS["cache_requests"] = """
     select key as owner, event_type as name, request_id, us, k % 4 != 0 as able,
-           (select count(*) from requests c where c.key = r.key and c.event_type = 'purchase' and c.k % 2 = 0
+           (select count(*) from requests c where c.key = r.key and c.event_type = 'purchase'
             and (c.us, c.request_id) <= (r.us, r.request_id)) as epoch
     from requests r where event_type != 'purchase'"""
 NEEDS["cache_requests"] = ["requests"]
@@ -1076,3 +1076,5 @@ add("extraction_info", "md_marked lib_chunks", """
            '{"headings":' || headings || ',"lines":' || lines || ',"chunks":' || coalesce(n, 0)
            || coalesce(',"embeddingModel":"' || model || '"', '') || '}' as extraction_info
     from measured m left join counts c on c.document_id = m.document_id""")
+
+SQL["token_stream"] = SQL["assemble_answers"]

@@ -137,7 +137,11 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """All stored turns, including roles the message table does not allow."""
-    return table(spark, folder, "conversations").select(
+    return turn_rows(table(spark, folder, "conversations"))
+
+
+def turn_rows(stored: DataFrame) -> DataFrame:
+    return stored.select(
         F.expr("conv_id * 100 + turn").alias("message_id"),
         F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"),
         F.col("turn").alias("position"),
@@ -494,7 +498,11 @@ def processing_rows(rows: DataFrame) -> DataFrame:
 
 def answer_events(spark: SparkSession, folder: str) -> DataFrame:
     """Answers replayed as token events, word by word, each ended by a done or an error event."""
-    answers = messages(spark, folder).filter("role = 'assistant'")
+    return token_rows(messages(spark, folder))
+
+
+def token_rows(said: DataFrame) -> DataFrame:
+    answers = said.filter("role = 'assistant'")
     words = answers.select("message_id", F.posexplode(F.split("content", " ", -1)).alias("seq", "word"))
     tokens = words.select(
         "message_id", F.col("seq").cast("bigint").alias("seq"),
