@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import benchmark_hits, quality_rules
+from corpusflow.llm import benchmark_hits, bpe_codec, quality_rules, shuffle_shards, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_bpe_codec": bpe_codec.op2_bpe_codec,
+    "op3_sharding": shuffle_shards.op3_sharding,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_benchmark_decontamination": benchmark_hits.op9_benchmark_decontamination,
 }
 
