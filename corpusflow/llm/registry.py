@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import benchmark_hits, bpe_codec, quality_rules, repeated_phrases, shuffle_shards, token_counts
+from corpusflow.llm import benchmark_hits, bpe_codec, near_duplicates, quality_rules, repeated_phrases, shuffle_shards, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_bpe_codec": bpe_codec.op2_bpe_codec,
     "op3_sharding": shuffle_shards.op3_sharding,
+    "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op6_substring_dedup": repeated_phrases.op6_substring_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_benchmark_decontamination": benchmark_hits.op9_benchmark_decontamination,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_near_duplicates": near_duplicates.ORACLE_SQL,
     "op6_substring_dedup": repeated_phrases.ORACLE_SQL,
     "op9_benchmark_decontamination": benchmark_hits.ORACLE_SQL,
 }
