@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import benchmark_hits, bpe_codec, near_duplicates, quality_rules, repeated_phrases, shuffle_shards, token_counts
+from corpusflow.llm import benchmark_hits, bpe_codec, lm_scores, near_duplicates, quality_rules, repeated_phrases, shuffle_shards, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op10_lm_scores": lm_scores.op10_lm_scores,
     "op2_bpe_codec": bpe_codec.op2_bpe_codec,
     "op3_sharding": shuffle_shards.op3_sharding,
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
