@@ -111,9 +111,19 @@ def snippet(text: Column, n: int = S.SNIPPET_CHARS) -> Column:
     return F.substring(text, 1, n)
 
 
+# A backslash before an ordinary character: the search language lets it pass, the engine refuses it.
+_IDLE_ESCAPE = r"(?s)\G((?:[^\\]|\\[%_\\])*)\\([^%_\\])"
+
+
 def ilike_contains(text: Column, term: Column) -> Column:
-    """Case-insensitive substring test; ``%`` and ``_`` in the term act as wildcards."""
-    return F.ilike(text, F.concat(F.lit("%"), term, F.lit("%")))
+    """Case-insensitive substring test; ``%`` and ``_`` in the term act as wildcards, a backslash
+    takes the next character literally (at the end of the term: the closing wildcard).
+
+    Terms without these characters are plain substring tests; no pattern is built for them.
+    """
+    pattern = F.regexp_replace(F.concat(F.lit("%"), term, F.lit("%")), _IDLE_ESCAPE, "$1$2")
+    plain = ~F.rlike(term, F.lit(r"[%_\\]"))
+    return F.when(plain, F.contains(F.lower(text), F.lower(term))).otherwise(F.ilike(text, F.when(~plain, pattern)))
 
 
 def search_term(term: Column) -> Column:

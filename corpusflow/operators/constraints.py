@@ -64,17 +64,23 @@ def unique_violations(df: DataFrame, columns: list[Column], name: str) -> DataFr
     )
 
 
-def embedding_guard(chunks: DataFrame, dimension: int) -> DataFrame:
-    """Per document: vector count, model mix, dimension range and the reasons to reject it."""
+def embedding_guard(chunks: DataFrame, dimension: int | None) -> DataFrame:
+    """Per document: vector count, model mix, dimension range and the reasons to reject it.
+
+    Without ``dimension`` the vectors of a document only have to agree with each other.
+    """
     report = chunks.groupBy("document_id").agg(
         F.count("*").alias("chunks"), F.count("embedding").alias("vectors"),
         (F.min("embedding_model") != F.max("embedding_model")).alias("mixed_models"),
         F.min(F.size("embedding")).alias("min_dim"), F.max(F.size("embedding")).alias("max_dim"),
     )
+    wrong = F.col("min_dim") != F.col("max_dim")
+    if dimension is not None:
+        wrong = (F.col("min_dim") != dimension) | (F.col("max_dim") != dimension)
     reason = F.concat_ws(
         ",",
         F.when(F.col("chunks") != F.col("vectors"), "EMBEDDING_MISMATCH"),
-        F.when((F.col("min_dim") != dimension) | (F.col("max_dim") != dimension), "DIMENSION_MISMATCH"),
+        F.when(wrong, "DIMENSION_MISMATCH"),
         F.when(F.col("mixed_models"), "MIXED_MODELS"),
     )
     return report.withColumn("violations", reason)

@@ -11,6 +11,7 @@ from corpusflow.operators.ordered import first_rows
 
 # "[i] " plus the line break: no context block is shorter than this.
 SHORTEST_BLOCK = 5
+# What stands in a prompt for missing parts, and the heading of a page that was read.
 NO_HISTORY = "(no previous messages)"
 NO_PASSAGES = "(no relevant passages found)"
 NO_WEB_RESULTS = "(no web results found)"

@@ -7,6 +7,8 @@ first, so wide rows move only when the planner has no broadcast-sized key set.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +81,28 @@ def append_conversations(requests: DataFrame, as_of: Column) -> DataFrame:
 # --- updates -------------------------------------------------------------------
 
 
-def apply_document_status(documents: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
-    """Apply at most one change per document.
+def one_per_key(changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The last change of each key, so that a batch with several never multiplies base rows.
+
+    ``order`` names the column that tells the last one; without it (and among equals) the largest
+    values win, which is the same choice in every run. Rows with a null key change nothing.
+    """
+    rest = [c for c in changes.columns if c not in keys]
+    rank = F.struct(*([F.col(order)] if order else []), *[F.col(c) for c in rest])
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    folded = changes.filter(present).groupBy(*keys).agg(F.max(rank).alias("_last"))
+    return folded.select(*keys, *[F.col("_last").getField(c).alias(c) for c in rest if c != order], *(
+        [F.col("_last").getField(order).alias(order)] if order else []
+    ))
+
+
+def apply_document_status(documents: DataFrame, changes: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
+    """Apply the last change of each document (by ``order``, a column of the changes).
 
     Status and error fields are replaced; chunk_count, extraction_info and progress keep their
     value when the change carries null.
     """
+    changes = one_per_key(changes, ["document_id"], order)
     changed = changes.select("document_id", *[F.col(c).alias(f"_{c}") for c in changes.columns if c != "document_id"])
     joined = documents.join(changed, "document_id", "left")
     hit = F.col("_status").isNotNull()
@@ -99,9 +117,10 @@ def apply_document_status(documents: DataFrame, changes: DataFrame, as_of: Colum
     return joined.withColumns(updates).select(*documents.columns)
 
 
-def apply_progress(documents: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
-    """Replace only the progress counters."""
-    joined = documents.join(changes.select("document_id", F.col("progress").alias("_p")), "document_id", "left")
+def apply_progress(documents: DataFrame, changes: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
+    """Replace only the progress counters, by the last change of each document."""
+    last = one_per_key(changes, ["document_id"], order)
+    joined = documents.join(last.select("document_id", F.col("progress").alias("_p")), "document_id", "left")
     hit = F.col("_p").isNotNull()
     return joined.withColumns(
         {"progress": F.coalesce("_p", "progress"), "updated_at": F.when(hit, as_of).otherwise(F.col("updated_at"))}
@@ -121,9 +140,10 @@ def fail_stale_documents(documents: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def patch_conversations(conversations: DataFrame, patches: DataFrame, as_of: Column) -> DataFrame:
-    """Owned patches: title and mode when not null; document_id only when the patch contains it."""
-    p = patches.select(
+def patch_conversations(conversations: DataFrame, patches: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
+    """Owned patches, the last of each conversation: title and mode when not null; document_id only
+    when the patch contains it."""
+    p = one_per_key(patches, ["conversation_id", "user_id"], order).select(
         "conversation_id", "user_id", F.col("title").alias("_title"), F.col("mode").alias("_mode"),
         F.col("document_id").alias("_document_id"), F.col("has_document_id").alias("_has"),
         F.lit(True).alias("_hit"),
@@ -146,9 +166,9 @@ def touch_conversations(conversations: DataFrame, touched: DataFrame, as_of: Col
     ).select(*conversations.columns)
 
 
-def set_pinned(conversations: DataFrame, pins: DataFrame, as_of: Column) -> DataFrame:
-    """Pin or unpin owned conversations; the pin time is set or cleared with it."""
-    p = pins.select("conversation_id", "user_id", F.col("pinned").alias("_pin"))
+def set_pinned(conversations: DataFrame, pins: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:
+    """Pin or unpin owned conversations, by the last request of each; the pin time is set or cleared with it."""
+    p = one_per_key(pins, ["conversation_id", "user_id"], order).select("conversation_id", "user_id", F.col("pinned").alias("_pin"))
     joined = conversations.join(p, ["conversation_id", "user_id"], "left")
     return joined.withColumns(
         {
@@ -182,32 +202,48 @@ def delete_documents(documents: DataFrame, chunks: DataFrame, requests: DataFram
     return kept, kept_chunks, report
 
 
-def delete_chunks(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    return delete_using(chunks, requests, ["document_id", "user_id"])[0]
+def set_null_where_deleted(rows: DataFrame, column: str, victims: DataFrame, victim_key: str) -> DataFrame:
+    """``ON DELETE SET NULL``: clear references to the victims, which are far fewer than what lives on.
 
+    Rows without a reference stay out of the join, where they would all meet in one task.
+    """
+    keys = victims.select(F.col(victim_key).alias(column)).distinct().withColumn("_gone", F.lit(True))
+    joined = rows.filter(F.col(column).isNotNull()).join(keys, column, "left")
+    cleared = joined.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*rows.columns)
+    return cleared.unionByName(rows.filter(F.col(column).isNull()))
+
+
+def delete_with_references(tables: dict[str, DataFrame], requests: DataFrame) -> dict[str, DataFrame]:
+    """Delete owned documents with their chunks; conversations and citations lose their references.
 
-def set_null_where_gone(rows: DataFrame, column: str, live: DataFrame, live_key: str) -> DataFrame:
-    """``ON DELETE SET NULL``: clear references whose target is not in ``live``."""
-    keys = live.select(F.col(live_key).alias(column)).distinct().withColumn("_live", F.lit(True))
-    joined = rows.join(keys, column, "left")
-    return joined.withColumn(column, F.when(F.col("_live"), F.col(column))).select(*rows.columns)
+    ``tables``: documents, chunks, conversations, sources. ``requests``: document_id, user_id.
+    """
+    keys = ["document_id", "user_id"]
+    kept, gone = delete_using(tables["documents"], requests, keys)
+    kept_chunks, gone_chunks = delete_using(tables["chunks"], gone, keys)
+    sources = set_null_where_deleted(tables["sources"], "chunk_id", gone_chunks, "chunk_id")
+    return {
+        "documents": kept, "chunks": kept_chunks,
+        "conversations": set_null_where_deleted(tables["conversations"], "document_id", gone, "document_id"),
+        "sources": set_null_where_deleted(sources, "document_id", gone, "document_id"),
+    }
 
 
 def cascade_delete(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
     """Remove users and everything the foreign keys tie to them.
 
     ``tables``: users, sessions, documents, chunks, conversations, messages, sources. Tables with
-    an owner column are cut by it directly; messages and citations by their surviving parent.
+    an owner column are cut by it directly; messages and citations by their deleted parent.
     """
     gone = users.select("user_id").distinct()
     out = {name: tables[name].join(gone, "user_id", "left_anti")
            for name in ("users", "sessions", "documents", "chunks", "conversations")}
-    out["conversations"] = set_null_where_gone(out["conversations"], "document_id", out["documents"], "document_id")
-    talks = out["conversations"].select("conversation_id")
-    out["messages"] = tables["messages"].join(talks, "conversation_id", "left_semi")
-    sources = tables["sources"].join(out["messages"].select("message_id"), "message_id", "left_semi")
-    sources = set_null_where_gone(sources, "chunk_id", out["chunks"], "chunk_id")
-    out["sources"] = set_null_where_gone(sources, "document_id", out["documents"], "document_id")
+    lost = {name: tables[name].join(gone, "user_id", "left_semi") for name in ("documents", "chunks", "conversations")}
+    out["conversations"] = set_null_where_deleted(out["conversations"], "document_id", lost["documents"], "document_id")
+    out["messages"], lost_messages = delete_using(tables["messages"], lost["conversations"], ["conversation_id"])
+    sources = delete_using(tables["sources"], lost_messages, ["message_id"])[0]
+    sources = set_null_where_deleted(sources, "chunk_id", lost["chunks"], "chunk_id")
+    out["sources"] = set_null_where_deleted(sources, "document_id", lost["documents"], "document_id")
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import content_hash, display_name, storage_key
-from corpusflow.operators import chunking, embedding, library
+from corpusflow.operators import chunking, constraints, embedding, library, mutations
 from corpusflow.session import staged
 from corpusflow.sources import office, pages, text_files
 
@@ -33,13 +33,14 @@ def _info(rows: DataFrame, **measured: str) -> DataFrame:
 
 
 def _text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    texts = text_files.decode_text_files(files.select("document_id", "content"))
+    # Report and blocks read the decoded texts; bytes are read and decoded once.
+    texts = staged(text_files.decode_text_files(files.select("document_id", "content")), "texts")
     lines = texts.select("document_id", text_files.line_count(F.col("text")).cast("bigint").alias("lines"))
     return text_files.extract_txt_blocks(texts), _info(lines, lines="lines")
 
 
 def _markdown(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    texts = text_files.decode_text_files(files.select("document_id", "content"))
+    texts = staged(text_files.decode_text_files(files.select("document_id", "content")), "markdown-texts")
     return text_files.extract_markdown_blocks(texts), _info(
         text_files.markdown_info(texts), headings="headings", lines="lines"
     )
@@ -115,21 +116,34 @@ def report_progress(counter: Observation, callback: Callable[[dict], None]) -> N
         pass
 
 
+def keyed_files(files: DataFrame) -> DataFrame:
+    """Files with ``file_key``: the path where there is one, else owner, name and content.
+
+    Without a path two equal rows cannot be told apart, so they are one file.
+    """
+    if "file_key" in files.columns:
+        return files
+    if "path" in files.columns:
+        return files.withColumn("file_key", F.col("path"))
+    return files.withColumn("file_key", F.sha2(F.concat_ws("|", "user_id", "name", content_hash(F.col("content"))), 256))
+
+
 def judge_files(files: DataFrame, documents: DataFrame) -> DataFrame:
-    """Verdict, hash, library action and document id per file.
+    """Verdict, hash, library action and document id per file, without the bytes.
 
-    ``files``: user_id, name, mime_type, length, content. Copies of one content uploaded together
-    by a user are taken once: the copy with the smallest name.
+    ``files``: user_id, name, mime_type, length, content and optionally file_key or path. Copies of
+    one content uploaded together by a user are taken once: the copy with the smallest (name, key).
+    The bytes are read once, for the checks and the hash.
     """
-    checked = library.validate_files(files).withColumn("content_hash", content_hash(F.col("content")))
-    narrow = checked.drop("content")
-    firsts = narrow.filter("ok").groupBy("user_id", "content_hash").agg(F.min("name").alias("name"))
+    checked = library.validate_files(keyed_files(files)).withColumn("content_hash", content_hash(F.col("content")))
+    narrow = staged(checked.drop("content"), "judged-files").dropDuplicates(["user_id", "file_key"])
+    firsts = narrow.filter("ok").groupBy("user_id", "content_hash").agg(F.min(F.struct("name", "file_key")).alias("_first"))
     known = library.dedupe_against_library(
         firsts, documents.select("user_id", "content_hash", "status", "document_id")
-    ).select("user_id", "content_hash", F.col("name").alias("_first"), "action", "existing_id")
+    ).select("user_id", "content_hash", "_first", "action", "existing_id")
     judged = narrow.join(known, ["user_id", "content_hash"], "left")
     action = (
-        F.when(~F.col("ok"), "reject").when(F.col("name") != F.col("_first"), "reuse").otherwise(F.col("action"))
+        F.when(~F.col("ok"), "reject").when(F.col("file_key") != F.col("_first.file_key"), "reuse").otherwise(F.col("action"))
     )
     return judged.withColumn("action", action).withColumn(
         "document_id", F.sha2(F.concat_ws("|", "user_id", "content_hash"), 256)
@@ -142,20 +156,24 @@ def ingest_documents(
     embed: Callable[[DataFrame], DataFrame] = embedding.hashing_embeddings,
     extractors: dict[str, Callable] | None = None,
 ) -> dict[str, DataFrame]:
-    """``verdicts`` (per file), ``chunks`` (searchable rows) and ``documents`` (new states).
+    """``verdicts`` (per file), ``chunks`` (searchable rows), ``documents`` (new states) and ``replaced``.
 
-    ``embed`` adds embedding and embedding_model to rows with a content column. The verdicts and
-    the chunks are each written once to the shared folder, because several outputs read them.
+    ``embed`` adds embedding and embedding_model to rows with a content column. ``replaced``
+    (document_id, user_id) are the failed documents whose place a new upload takes: they and
+    their chunks go. A document whose vectors break the guard (missing, of several dimensions or
+    models) fails as a whole. What several outputs read is written once to the shared folder.
     """
     branches = extractors or EXTRACTORS
     verdicts = staged(judge_files(files, documents), "verdicts")
     wanted = verdicts.filter("action in ('new', 'replace')").select(
-        "document_id", "user_id", "name", "extension", "content_hash", "length", "mime_type"
-    )
-    bytes_of = files.select("user_id", "name", "content").join(
-        wanted.select("document_id", "user_id", "name", "extension"), ["user_id", "name"]
+        "document_id", "user_id", "file_key", "name", "extension", "content_hash", "length", "mime_type"
     )
-    blocks, reports = extract_blocks(bytes_of, branches)
+    readable = wanted.filter(F.col("extension").isin(list(branches))).select("document_id", "user_id", "file_key", "extension")
+    taken = keyed_files(files).select("user_id", "file_key", "content").join(readable, ["user_id", "file_key"])
+    if "path" not in files.columns and "file_key" not in files.columns:
+        taken = taken.dropDuplicates(["document_id"])
+    # Each format reads only its own folder of the written bytes.
+    blocks, reports = extract_blocks(staged(taken.drop("user_id", "file_key"), "bytes", "extension"), branches)
     reports = staged(reports, "reports")
     # A document that failed part-way contributes no chunks.
     broken = reports.filter("error_code is not null").select("document_id")
@@ -166,8 +184,10 @@ def ingest_documents(
         "document_id", "user_id", "chunk_index", "content",
         chunking.sparse_metadata(F.col("metadata"), F.lit(None).cast("string"), F.col("name")).alias("metadata"),
     )
-    chunks = staged(embed(rows), "chunks")
-    info = extraction_info(reports, chunks)
+    embedded = staged(embed(rows), "embedded-chunks")
+    guard = staged(constraints.embedding_guard(embedded, None).filter("violations != ''").select("document_id", "violations"), "guard")
+    chunks = mutations.append_chunks(embedded.join(guard.select("document_id"), "document_id", "left_anti"), wanted)
+    info = extraction_info(reports, chunks).join(guard, "document_id", "left")
     count = F.coalesce("chunk_count", F.lit(0))
     known_format = F.col("extension").isin(list(branches))
     states = wanted.join(info, "document_id", "left").select(
@@ -176,7 +196,9 @@ def ingest_documents(
         storage_key(F.col("user_id"), F.col("name"), F.col("content_hash")).alias("storage_key"), "content_hash",
         F.when(count > 0, "ready").otherwise("failed").alias("status"),
         F.when(~known_format, "UNSUPPORTED_FORMAT").when(F.col("error_code").isNotNull(), F.col("error_code"))
+        .when(F.col("violations").isNotNull(), F.col("violations"))
         .when(count == 0, "NO_TEXT_EXTRACTED").alias("error_code"),
         count.alias("chunk_count"), "embedding_model", F.when(count > 0, F.col("extraction_info")).alias("extraction_info"),
     )
-    return {"verdicts": verdicts, "chunks": chunks, "documents": states}
+    replaced = verdicts.filter("action = 'replace'").select(F.col("existing_id").alias("document_id"), "user_id")
+    return {"verdicts": verdicts, "chunks": chunks, "documents": states, "replaced": replaced}

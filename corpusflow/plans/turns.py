@@ -10,7 +10,7 @@ from corpusflow.functions.text import clean_rewrite, generate_title
 from corpusflow.operators import context, folds, retrieval, routing
 from corpusflow.plans import ingest
 from corpusflow.session import staged
-from corpusflow.sources.web import normalise_web_results, page_text
+from corpusflow.sources.web import normalise_web_results, page_text, strip_html
 
 # --- operators over question tables ------------------------------------------------
 
@@ -161,7 +161,11 @@ def prompts_of_turns(spark, folder) -> DataFrame:
     groups = questions.select("query_id", (F.col("conversation_id") % 50).alias("_group"), "mode")
     web = groups.join(top, "_group").drop("_group", "mode")
     documents_found, web_found = hybrid_retrieve(questions, V.chunks(spark, folder), V.documents(spark, folder), web)
-    scraped = web.filter("index = 1").select("query_id", F.col("snippet").alias("scraped"))
+    # The page of the first hit is read: its visible text up to the length limit, not the short snippet.
+    first = V.web_results(spark, folder).groupBy((F.col("page_id") % 50).alias("_group")).agg(
+        F.min_by("html", "page_id").alias("html")
+    )
+    scraped = groups.join(first, "_group").select("query_id", strip_html(F.col("html")).alias("scraped"))
     return assemble_turn_prompts(questions, V.messages(spark, folder), documents_found, web_found, scraped)
 
 

@@ -40,13 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     """Write a stage once to the shared folder and read it back.
 
     Used where several outputs branch off one expensive Python stage: the table
-    survives executor loss and the stage is not evaluated once per branch.
+    survives executor loss and the stage is not evaluated once per branch. ``partitions`` are columns
+    that get a folder per value.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusflow/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").partitionBy(*partitions).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

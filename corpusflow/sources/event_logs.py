@@ -33,8 +33,8 @@ def parse_sse_frames(frames: DataFrame, column: str = "value") -> DataFrame:
     lines = F.filter(F.split(F.col(column), "\n", -1), lambda x: ~F.startswith(x, F.lit(":")))
     named = F.filter(lines, lambda x: F.startswith(x, F.lit("event:")))
     data = F.filter(lines, lambda x: F.startswith(x, F.lit("data:")))
-    event = F.coalesce(F.trim(F.substring(F.try_element_at(named, F.lit(-1)), 7, 1 << 30)), F.lit("message"))
-    body = F.array_join(F.transform(data, lambda x: F.trim(F.substring(x, 6, 1 << 30))), "\n")
+    event = F.coalesce(F.trim(F.substr(F.try_element_at(named, F.lit(-1)), F.lit(7))), F.lit("message"))
+    body = F.array_join(F.transform(data, lambda x: F.trim(F.substr(x, F.lit(6)))), "\n")
     rest = [c for c in frames.columns if c != column]
     return (
         frames.filter(F.size(data) > 0).select(*rest, event.alias("event"), body.alias("data"))

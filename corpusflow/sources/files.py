@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +13,31 @@ from corpusflow.functions.text import content_hash, file_extension
 RAW_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def scan_raw_files(spark: SparkSession, *folders: str, glob: str = "*", stream: bool = False, max_files: int | None = None) -> DataFrame:
+def scan_raw_files(
+    spark: SparkSession, *folders: str, glob: str = "*", stream: bool = False, max_files: int | None = None,
+    max_bytes: int = S.UPLOAD_MAX_BYTES,
+) -> DataFrame:
     """Files of folders or prefixes (any file system Spark reads) as (path, name, length, content).
 
-    Files above the upload limit keep their row without their bytes being read.
+    Files above ``max_bytes`` keep their row with null content: the length is a filter of the
+    source, and their scan does not ask for bytes. A stream reads every folder as a source of its own.
     """
-    reader = spark.readStream.schema(RAW_FILE_SCHEMA) if stream else spark.read
-    reader = reader.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+
+    def load(reader, folder):
+        reader = reader.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+        files = reader.load(folder)
+        small = files.filter(F.col("length") <= max_bytes)
+        large = files.filter(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+        return small, large
+
     if stream:
+        reader = spark.readStream.schema(RAW_FILE_SCHEMA)
         if max_files:
             reader = reader.option("maxFilesPerTrigger", max_files)
-        files = reader.load(folders[0])
+        parts = [part for folder in folders for part in load(reader, folder)]
     else:
-        files = reader.load(list(folders))
+        parts = load(spark.read, list(folders))
+    files = reduce(DataFrame.unionByName, parts)
     return files.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).withColumn(
         "extension", file_extension(F.col("name"))
     )
@@ -43,7 +57,3 @@ def union_directories(*listings: DataFrame) -> DataFrame:
     for other in listings[1:]:
         out = out.unionByName(other)
     return out.dropDuplicates(["path"])
-
-
-def oversized(files: DataFrame, max_bytes: int = S.UPLOAD_MAX_BYTES) -> DataFrame:
-    return files.filter(F.col("length") > max_bytes)

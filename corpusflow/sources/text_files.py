@@ -37,7 +37,7 @@ def decode_text(content: Column) -> Column:
     """Bytes to text. Valid UTF-8 (with or without mark) stays in the JVM; the rest is decoded in Arrow batches."""
     as_text = content.cast("string")
     valid = F.is_valid_utf8(as_text)
-    plain = F.when(F.startswith(as_text, F.lit("﻿")), F.substring(as_text, 2, 1 << 30)).otherwise(as_text)
+    plain = F.when(F.startswith(as_text, F.lit("﻿")), F.substr(as_text, F.lit(2))).otherwise(as_text)
     return F.when(valid, plain).otherwise(_decode_fallback(F.when(~valid, content)))
 
 

@@ -27,8 +27,10 @@ def page_text(page: Column) -> Column:
     Everything runs in the JVM except entity decoding, which sees only texts with an ampersand.
     """
     bare = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[!/?a-zA-Z][^>]*>", " ")
+    # An element that is never closed hides the rest of the page.
+    bare = F.regexp_replace(bare, r"(?is)<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    # Quoted attribute values may contain ">".
+    bare = F.regexp_replace(bare, r"""(?s)<[!/?a-zA-Z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*>""", " ")
     coded = F.contains(bare, F.lit("&"))
     decoded = F.when(coded, _unescape(F.when(coded, bare))).otherwise(bare)
     return strip(F.regexp_replace(decoded, f"{SPACE}+", " "))
@@ -45,15 +47,18 @@ def strip_html(page: Column, max_chars: int = S.SCRAPE_CHARS) -> Column:
 def normalise_web_results(results: DataFrame, max_results: int = 5, scraped: DataFrame | None = None) -> DataFrame:
     """Search hits as numbered web sources.
 
-    ``results``: query_id, rank, title, url, content, score (text or number). ``scraped``
+    ``results``: query_id, rank, title, url, content, score (a number; text is no score). ``scraped``
     (url, text) marks the first source of a query whose page was read.
     """
+    # Only numbers count as scores: a score given as text is none.
+    kind = results.schema["score"].dataType
+    number = F.col("score").cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
     top = first_rows(results, ["query_id"], [F.col("rank")], max_results, out="index")
     sources = top.select(
         "query_id", "index", F.lit("web").alias("type"),
         F.coalesce(F.nullif("title", F.lit("")), F.col("url")).alias("title"), "url",
         F.substring(F.coalesce("content", F.lit("")), 1, S.SNIPPET_CHARS).alias("snippet"),
-        F.round(F.col("score").try_cast("double"), 4).alias("score"),
+        F.round(number, 4).alias("score"),
     )
     if scraped is None:
         return sources.withColumn("scraped", F.lit(False))

@@ -112,10 +112,11 @@ def incremental_ingest(
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = existing_documents(spark, target).filter(F.col("batch") != number)
+        known = current_documents(spark, target).filter(F.col("batch") != number)
         out = ingest.ingest_documents(batch, known, embed)
         out["chunks"].write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
         out["documents"].write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
+        out["replaced"].write.mode("overwrite").parquet(f"{target}/replaced/batch={number}")
 
     return (
         named.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
@@ -129,8 +130,13 @@ DOCUMENT_COLUMNS = (
 )
 
 
+def current_documents(spark: SparkSession, target: str) -> DataFrame:
+    """One row per ingested document: the latest, as a later batch may have replaced a failed one."""
+    return folds.latest_per_key(existing_documents(spark, target), ["document_id"], "batch")
+
+
 def existing_documents(spark: SparkSession, target: str) -> DataFrame:
-    """Documents ingested so far; empty before the first batch."""
+    """Document rows of all batches; empty before the first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/documents")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], DOCUMENT_COLUMNS)

@@ -189,7 +189,7 @@ def web_results(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select(
         "page_id", "url", "html",
         F.expr("nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '')").alias("title"),
-        F.expr("case when page_id % 3 = 0 then 'n/a' else cast((page_id % 97) / 97.0D as string) end").alias("score"),
+        F.expr("case when page_id % 3 != 0 then (page_id % 97) / 97.0D end").alias("score"),
         F.expr("regexp_extract(url, '^[a-z]+://(?:www\\\\.)?([^/:?#]+)', 1)").alias("query_id"),
     )
 

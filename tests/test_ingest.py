@@ -113,3 +113,60 @@ def test_incremental_ingestion(spark, tmp_path):
     documents, chunks = run()
     assert sorted(rows(documents, "original_filename")) == [("a.txt",), ("b.txt",)] and chunks.count() == 3
     assert run()[1].count() == 3
+
+
+def files_at(spark, entries):
+    return spark.createDataFrame(
+        [(p, u, p.rsplit("/", 1)[-1], "text/plain", len(c), bytearray(c)) for p, u, c in entries],
+        "path string, user_id string, name string, mime_type string, length long, content binary",
+    )
+
+
+def test_equal_names_stay_apart(spark):
+    uploads = files_at(spark, [
+        ("/one/a.txt", "u", b"first text"), ("/two/a.txt", "u", b"second text"), ("/three/a.txt", "u", b"second text"),
+        ("/one/a.txt#v", "v", b"first text"),
+    ]).withColumn("name", F.lit("a.txt"))
+    out = ingest.ingest_documents(uploads, library_rows(spark))
+    assert sorted(rows(out["verdicts"], "path", "action")) == [
+        ("/one/a.txt", "new"), ("/one/a.txt#v", "new"), ("/three/a.txt", "new"), ("/two/a.txt", "reuse"),
+    ]
+    assert sorted(rows(out["chunks"], "user_id", "content")) == [("u", "first text"), ("u", "second text"), ("v", "first text")]
+    assert sorted(rows(out["documents"], "user_id", "chunk_count")) == [("u", 1), ("u", 1), ("v", 1)]
+
+
+def test_equal_rows_without_a_path_are_one_file(spark):
+    twice = upload_rows(spark).filter("name = 'a.txt'")
+    out = ingest.ingest_documents(twice.union(twice), library_rows(spark))
+    assert out["verdicts"].count() == out["documents"].count() == 1 and out["chunks"].count() == 2
+
+
+def test_a_failed_upload_is_replaced(spark):
+    out = ingest.ingest_documents(upload_rows(spark).filter("name in ('h.txt', 'g.txt')"), library_rows(spark))
+    assert rows(out["replaced"], "document_id", "user_id") == [("x", "v")]
+
+
+def test_mixed_vectors_fail_the_document(spark):
+    def embed(df):
+        return df.withColumns({
+            "embedding": F.when(F.col("chunk_index") == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))),
+            "embedding_model": F.lit("m"),
+        })
+
+    out = ingest.ingest_documents(upload_rows(spark).filter("name in ('a.txt', 'b.md')"), library_rows(spark), embed)
+    assert sorted(rows(out["documents"], "original_filename", "status", "error_code", "chunk_count")) == [
+        ("a.txt", "failed", "DIMENSION_MISMATCH", 0), ("b.md", "ready", None, 1),
+    ]
+    assert out["chunks"].count() == 1
+
+
+def test_streams_read_every_folder_and_skip_large_bytes(spark, tmp_path):
+    for folder, text in (("x", "short"), ("y", "far too long for the limit")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "f.txt").write_text(text)
+    folders = [str(tmp_path / f) for f in ("x", "y")]
+    batch = files.scan_raw_files(spark, *folders, max_bytes=10)
+    assert sorted((n, c is not None) for n, c in rows(batch, "length", "content")) == [(5, True), (26, False)]
+    stream = files.scan_raw_files(spark, *folders, stream=True)
+    seen = jobs.drain(stream.select("path", "length"), spark, "two-folders")
+    assert sorted(r[0] for r in rows(seen, "length")) == [5, 26]

@@ -107,3 +107,27 @@ def test_dedupe_actions(spark):
     new = spark.createDataFrame([("a", "u", "h1"), ("b", "u", "h2"), ("c", "u", "h3"), ("d", "u", "h4")], "name string, user_id string, content_hash string")
     got = sorted(rows(library.dedupe_against_library(new, docs), "name", "action"))
     assert got == [("a", "reuse"), ("b", "conflict"), ("c", "replace"), ("d", "new")]
+
+
+def test_changes_of_one_key_are_folded(spark):
+    base = spark.createDataFrame([(1, "u", False, None)], "conversation_id int, user_id string, pinned boolean, pinned_at timestamp_ntz")
+    pins = spark.createDataFrame([(1, "u", True, 1), (1, "u", False, 2), (None, "u", True, 3)], "conversation_id int, user_id string, pinned boolean, at int")
+    now = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    assert rows(mutations.set_pinned(base, pins, now, order="at"), "conversation_id", "pinned") == [(1, False)]
+    documents = spark.createDataFrame([(1, "ready", None, None, None)], "document_id int, status string, error_message string, error_code string, updated_at timestamp_ntz")
+    changes = spark.createDataFrame([(1, "ocr"), (1, "ready")], "document_id int, status string")
+    assert rows(mutations.apply_document_status(documents, changes, now), "status") == [("ready",)]
+
+
+def test_deleted_documents_leave_no_references(spark):
+    tables = {
+        "documents": spark.createDataFrame([(1, "u"), (2, "u"), (3, "v")], "document_id int, user_id string"),
+        "chunks": spark.createDataFrame([(10, 1, "u"), (20, 2, "u"), (30, 3, "v")], "chunk_id int, document_id int, user_id string"),
+        "conversations": spark.createDataFrame([(5, 1), (6, 2), (7, None)], "conversation_id int, document_id int"),
+        "sources": spark.createDataFrame([(8, 1, 10), (9, 3, 30), (10, None, None)], "message_id int, document_id int, chunk_id int"),
+    }
+    requests = spark.createDataFrame([(1, "u"), (3, "u")], "document_id int, user_id string")
+    out = mutations.delete_with_references(tables, requests)
+    assert sorted(rows(out["documents"], "document_id")) == [(2,), (3,)] and sorted(rows(out["chunks"], "chunk_id")) == [(20,), (30,)]
+    assert sorted(rows(out["conversations"], "conversation_id", "document_id"), key=str) == [(5, None), (6, 2), (7, None)]
+    assert sorted(rows(out["sources"]), key=str) == [(10, None, None), (8, None, None), (9, 3, 30)]

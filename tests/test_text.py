@@ -89,3 +89,25 @@ def test_vectors(spark):
         vectors.vector_literal(F.col("a")), vectors.parse_vector_literal(F.lit("[1,2.5]")),
     ).first()
     assert row[0] == 5.0 and abs(row[1] - 0.04) < 1e-12 and row[2] == 1.0 and row[3] == "[3.0,4.0]" and row[4] == [1.0, 2.5]
+
+
+def test_search_terms_with_wildcards_and_backslashes(spark):
+    texts = ["path C:\\data", "path C:data", "100% sure", "100x sure", "a_b", "axb", "ends with %"]
+    cases = {
+        "c:\\data": ["path C:data"], "c:\\\\data": ["path C:\\data"], "100\\%": ["100% sure"], "100%": ["100% sure", "100x sure"],
+        "a_b": ["a_b", "axb"], "a\\_b": ["a_b"], "with \\": ["ends with %"], "SURE": ["100% sure", "100x sure"],
+    }
+    df = spark.createDataFrame([(t, q) for t in texts for q in cases], "t string, q string")
+    found = rows(df.filter(X.ilike_contains(F.col("t"), F.col("q"))), "q", "t")
+    assert {q: sorted(t for k, t in found if k == q) for q in cases} == {q: sorted(v) for q, v in cases.items()}
+
+
+def test_visible_text_of_awkward_pages(spark):
+    from corpusflow.sources import web
+
+    pages = {
+        '<p title="a > b">x</p>': "x", "<a href='?x>y'>link</a> tail": "link tail", "<p>one<script>var a = 1;": "one",
+        "<b class=it's>q</b>": "q", "a < b and c": "a < b and c", "<SCRIPT x='1'>no</script >yes": "yes",
+    }
+    df = spark.createDataFrame([(k,) for k in pages], "html string")
+    assert dict(rows(df, "html", web.page_text(F.col("html")))) == pages
