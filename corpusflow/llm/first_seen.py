@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.batches import slices, text_of
+from corpusflow.llm.batches import mixed, slices, text_of
 from corpusflow.llm.staging import parts_for, staged, text_bytes
 
 #: Text bytes whose keys share one task.
@@ -26,61 +26,81 @@ _SENT = "part bigint, local boolean, ids binary, owner binary, keys binary"
 _SENT_ARROW = pa.schema([
     ("part", pa.int64()), ("local", pa.bool_()), ("ids", pa.binary()), ("owner", pa.binary()), ("keys", pa.binary()),
 ])
-_FOUND = "doc_id bigint, keys binary"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
-
-
-def _by_owner(ids: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(id, sorted distinct keys) of each id."""
-    if not len(ids):
-        return
-    order = np.lexsort((keys, ids))
-    ids, keys = ids[order], keys[order]
-    fresh = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))
-    ids, keys = ids[fresh], keys[fresh]
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    for start, stop in zip(starts, np.append(starts[1:], len(ids)), strict=True):
-        yield int(ids[start]), keys[start:stop]
-
-
-def _split_seen(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, id), and whether each entry belongs to a larger id than its key's smallest."""
+#: Findings about one block of owners: rows of 64-bit numbers, the owner first.
+PACKED = "block bigint, rows binary"
+_PACKED_ARROW = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
+_FOUND = "doc_id bigint, seen_keys binary"
+
+
+def pack_by_block(rows: np.ndarray, blocks: int) -> pa.Table:
+    """One message per block of owners (first column), so that messages don't multiply with ranges and owners."""
+    block = (mixed(rows[:, 0].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    rows, block = rows[order], block[order]
+    heads = np.flatnonzero(np.diff(block, prepend=-1))
+    return pa.table([
+        pa.array(block[heads], pa.int64()),
+        pa.array([r.tobytes() for r in np.split(rows, heads[1:])] if len(heads) else [], pa.binary()),
+    ], schema=_PACKED_ARROW)
+
+
+def unpacked(group: pa.Table, columns: int, owner_columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of all messages of a block, sorted, and where each owner's rows begin (with the end)."""
+    rows = np.frombuffer(b"".join(group.column("rows").to_pylist()), np.int64).reshape(-1, columns)
+    if not len(rows):
+        return rows, np.zeros(1, np.int64)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    changed = rows[1:] != rows[:-1]
+    rows = rows[np.append(True, changed.any(axis=1))]
+    owner = np.append(True, (rows[1:, :owner_columns] != rows[:-1, :owner_columns]).any(axis=1))
+    return rows, np.append(np.flatnonzero(owner), len(rows))
+
+
+def _split_seen(ids: np.ndarray, keys: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (key, id), and which entries to report.
+
+    Those of a larger id than their key's smallest; with `both` all of keys that two ids own.
+    """
     order = np.lexsort((ids, keys))
     own_keys, own_ids = keys[order], ids[order]
     head = np.append(True, own_keys[1:] != own_keys[:-1])
-    smallest = own_ids[head][np.cumsum(head) - 1]
-    return order, own_ids > smallest
+    group = np.cumsum(head) - 1
+    if both:
+        last = own_ids[np.append(np.flatnonzero(head)[1:] - 1, len(own_ids) - 1)]
+        return order, (last > own_ids[head])[group]
+    return order, own_ids > own_ids[head][group]
 
 
-def _sender(keys_of: Callable, id_col: str, text_col: str, parts: int) -> Callable:
+def _packed_keys(part: int, local: bool, owners: np.ndarray, keys: np.ndarray) -> tuple:
+    table, at = np.unique(owners, return_inverse=True)
+    kind = np.uint16 if len(table) <= 0xFFFF else np.uint32
+    return part, local, table.tobytes(), at.astype(kind).tobytes(), keys.tobytes()
+
+
+def _sender(keys_of: Callable, parts: int, both: bool) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
-                owner_ids = batch.column(id_col)
+            for batch in slices(whole, "text"):
+                owner_ids = batch.column("doc_id")
                 known = np.array(owner_ids.is_valid().to_numpy(zero_copy_only=False), bool)
                 ids = np.array(owner_ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)[known]
-                texts = [t for t, k in zip(text_of(batch, text_col), known, strict=True) if k]
+                texts = [t for t, k in zip(text_of(batch, "text"), known, strict=True) if k]
                 keys, counts = keys_of(texts)
                 if not len(keys):
                     continue
                 owners = np.repeat(ids, counts)
-                order, later = _split_seen(owners, keys)
+                order, report = _split_seen(owners, keys, both)
                 keys, owners = keys[order], owners[order]
-                rows: list[tuple] = [
-                    (i % parts, True, np.int64(owner).tobytes(), b"", own.tobytes())
-                    for i, (owner, own) in enumerate(_by_owner(owners[later], keys[later]))
-                ]
+                rows = []
+                if report.any():
+                    rows.append(_packed_keys(int(ids[0]) % parts, True, owners[report], keys[report]))
                 head = np.append(True, keys[1:] != keys[:-1])
                 keys, owners = keys[head], owners[head]
                 # Ranges of the hash follow its order, so each range is one stretch.
                 part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                 cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 for start, stop in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
-                    table, at = np.unique(owners[start:stop], return_inverse=True)
-                    kind = np.uint16 if len(table) <= 0xFFFF else np.uint32
-                    rows.append((
-                        int(part[start]), False, table.tobytes(), at.astype(kind).tobytes(), keys[start:stop].tobytes(),
-                    ))
+                    rows.append(_packed_keys(int(part[start]), False, owners[start:stop], keys[start:stop]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT_ARROW, strict=True)],
                     schema=_SENT_ARROW,
@@ -89,42 +109,53 @@ def _sender(keys_of: Callable, id_col: str, text_col: str, parts: int) -> Callab
     return send
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """Of one hash range: passed-on findings, and entries whose key has a smaller owner."""
-    found: list[tuple[int, bytes]] = []
-    all_ids, all_keys = [], []
-    for row in group.select(["local", "ids", "owner", "keys"]).to_pylist():
-        if row["local"]:
-            found.append((int(np.frombuffer(row["ids"], np.int64)[0]), row["keys"]))
-            continue
-        keys = np.frombuffer(row["keys"], np.uint64)
-        at = np.frombuffer(row["owner"], np.uint16 if len(row["owner"]) == 2 * len(keys) else np.uint32)
-        all_ids.append(np.frombuffer(row["ids"], np.int64)[at])
-        all_keys.append(keys)
-    if all_keys:
-        ids, keys = np.concatenate(all_ids), np.concatenate(all_keys)
-        order, later = _split_seen(ids, keys)
-        found.extend((i, k.tobytes()) for i, k in _by_owner(ids[order][later], keys[order][later]))
-    return pa.table(
-        [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], schema=_FOUND_ARROW,
-    )
+def _answerer(both: bool, blocks: int) -> Callable:
+    def answer(group: pa.Table) -> pa.Table:
+        """Of one hash range: passed-on findings, and the entries to report."""
+        found, sent = [np.empty((0, 2), np.int64)], ([np.empty(0, np.int64)], [np.empty(0, np.uint64)])
+        for row in group.select(["local", "ids", "owner", "keys"]).to_pylist():
+            keys = np.frombuffer(row["keys"], np.uint64)
+            at = np.frombuffer(row["owner"], np.uint16 if len(row["owner"]) == 2 * len(keys) else np.uint32)
+            ids = np.frombuffer(row["ids"], np.int64)[at]
+            if row["local"]:
+                found.append(np.stack([ids, keys.view(np.int64)], axis=1))
+            else:
+                sent[0].append(ids)
+                sent[1].append(keys)
+        ids, keys = np.concatenate(sent[0]), np.concatenate(sent[1])
+        if len(keys):
+            order, report = _split_seen(ids, keys, both)
+            found.append(np.stack([ids[order][report], keys[order][report].view(np.int64)], axis=1))
+        return pack_by_block(np.concatenate(found), blocks)
+
+    return answer
+
+
+def _per_document(group: pa.Table) -> pa.Table:
+    rows, cuts = unpacked(group, 2, 1)
+    return pa.table({
+        "doc_id": pa.array(rows[cuts[:-1], 0], pa.int64()),
+        "seen_keys": pa.array([rows[a:b, 1].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+    })
 
 
 def seen_before(
     docs: DataFrame, keys_of: Callable, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES,
+    both: bool = False,
 ) -> DataFrame:
-    """(doc_id, keys): per document its keys (packed 64-bit) that a document with a smaller id has too.
+    """(doc_id, seen_keys): per document its keys (packed 64-bit) that a document with a smaller id has too.
 
-    keys_of takes a list of texts (bytes) and gives their keys, one behind the other, and
-    the number of keys of each text. Rows without id own no keys; rows with equal ids are one
-    document. A written table: one row per document that has such keys.
+    With `both`, the keys that any other document has too. keys_of takes a list of texts (bytes)
+    and gives their keys, one behind the other, and the number of keys of each text. Rows
+    without id own no keys; rows with equal ids are one document. One row per document that
+    has such keys, as a written table.
     """
     parts = parts_for(text_bytes(docs, text_col)[1], range_bytes)
     sent = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _sender(keys_of, "doc_id", "text", parts), _SENT,
+        _sender(keys_of, parts, both), _SENT,
     )
-    answered = staged(sent.groupBy("part").applyInArrow(_answer, _FOUND), "seen-keys")
-    return answered.groupBy("doc_id").agg(F.collect_list("keys").alias("seen_keys"))
+    answered = sent.groupBy("part").applyInArrow(_answerer(both, parts), PACKED)
+    return staged(answered.groupBy("block").applyInArrow(_per_document, _FOUND), "seen-keys")
 
 
 def with_seen(docs: DataFrame, seen: DataFrame, id_col: str, seen_col: str) -> DataFrame:
@@ -132,18 +163,10 @@ def with_seen(docs: DataFrame, seen: DataFrame, id_col: str, seen_col: str) -> D
     named = seen.select(F.col("doc_id").alias("_seen_id"), F.col("seen_keys").alias(seen_col))
     known = docs.where(F.col(id_col).isNotNull())
     joined = known.join(named, known[id_col] == named["_seen_id"], "left").drop("_seen_id")
-    unknown = docs.where(F.col(id_col).isNull()).withColumn(seen_col, F.lit(None).cast("array<binary>"))
+    unknown = docs.where(F.col(id_col).isNull()).withColumn(seen_col, F.lit(None).cast("binary"))
     return joined.unionByName(unknown)
 
 
-def merge_flags(length: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Places of 0 .. length - 1 that some window [start, start + width) covers."""
-    edge = np.zeros(length + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def runs_of(flags: np.ndarray) -> np.ndarray:
     """[start, end) of each run of true values, as a two-column array."""
     edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))

@@ -120,7 +120,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for batch in slices(whole, text_col):
                 words = [space_words(t) for t in text_of(batch, text_col)]
                 seen = [
-                    None if x is None else np.frombuffer(b"".join(x), np.uint64)
+                    None if x is None else np.frombuffer(x, np.uint64)
                     for x in batch.column(seen_col).to_pylist()
                 ]
                 spans = shard_spans(batch.column(id_col).to_pylist(), words, seen, window)
