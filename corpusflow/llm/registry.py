@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import benchmark_hits, bpe_codec, lm_scores, near_duplicates, quality_classifier, quality_rules, repeated_phrases, shuffle_shards, token_counts
+from corpusflow.llm import benchmark_hits, bpe_codec, lm_scores, near_duplicates, quality_classifier, quality_rules, repeated_bytes, repeated_phrases, shuffle_shards, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_substring_dedup": repeated_phrases.op6_substring_dedup,
+    "op7_byte_repeats": repeated_bytes.op7_byte_repeats,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_benchmark_decontamination": benchmark_hits.op9_benchmark_decontamination,
 }
