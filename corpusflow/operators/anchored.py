@@ -3,12 +3,12 @@
 A window opens at an event, covers ``width`` microseconds, and the next window opens at the
 first event after it ended. This is not a calendar window: where a window starts depends on the
 whole history of the key, so each key is read in time order by one pass with a single number of
-state. Keys with more than ``hot_rows`` events would make one task the straggler; their timeline
-is cut into slabs of about that many events, and
+state. Every key is cut into slabs of about ``hot_rows`` events, by quantiles of its times (most
+keys are one slab), and
 
 1. per slab: for every event that could open its first window, which window is open when the
    slab ends (a small monotone table);
-2. per hot key, over its slabs in time order: one lookup per slab gives the window open at its start;
+2. per key, over its slabs in time order: one lookup per slab gives the window open at its start;
 3. the ordinary pass then runs per slab, starting from that window.
 """
 
@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from corpusflow.operators.ordered import slab_running_sum
 
 HOT_ROWS = 1_000_000
-HOT_KEYS_BROADCAST = 10_000
+# Quantiles kept per key: the most slabs that a key is cut into.
+QUANTILES = 1024
 
 
 def chain_ends(times: np.ndarray, width: int) -> np.ndarray:
@@ -54,20 +55,22 @@ def slab_summary(times: np.ndarray, slab_start: int, width: int):
     return opens[keep], ends[keep], inside
 
 
-def _hot_keys(rows: DataFrame, keys: list[str], time: str, width: int, hot_rows: int) -> DataFrame | None:
-    """Key, first time and slab length of the keys to cut, or None without any."""
+def _slabs(rows: DataFrame, keys: list[str], time: str, hot_rows: int) -> DataFrame:
+    """Per key the times at which its slabs begin, the first slab's left out.
+
+    Quantiles of the times: a burst inside one window is spread like any other stretch.
+    """
+    steps = [i / QUANTILES for i in range(1, QUANTILES)]
     sized = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(time).alias("_origin"), F.max(time).alias("_last")
-    ).filter(F.col("_n") > hot_rows)
-    span = F.col("_last") - F.col("_origin") + 1
-    slabs = F.ceil(F.col("_n") / hot_rows)
-    hot = sized.select(*keys, "_origin", F.greatest(F.ceil(span / slabs), F.lit(width)).cast("bigint").alias("_length"))
-    probe = hot.limit(HOT_KEYS_BROADCAST + 1).toArrow()
-    if probe.num_rows == 0:
-        return None
-    if probe.num_rows > HOT_KEYS_BROADCAST:
-        return hot
-    return F.broadcast(rows.sparkSession.createDataFrame(probe.to_pandas(), hot.schema))
+        F.count("*").alias("_n"), F.percentile_approx(time, steps, 10_000).alias("_at"), F.min(time).alias("_origin")
+    )
+    slabs = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(QUANTILES)).cast("int")
+    picked = F.transform(
+        F.sequence(F.lit(1), F.greatest(slabs - 1, F.lit(1))), lambda i: F.get("_at", (i * QUANTILES / slabs).cast("int") - 1)
+    )
+    # Equal times stay in one slab.
+    cuts = F.when(slabs > 1, F.filter(F.array_distinct(picked), lambda c: c > F.col("_origin"))).otherwise(F.array().cast("array<bigint>"))
+    return sized.select(*keys, cuts.cast("array<bigint>").alias("_cuts"))
 
 
 def _entries(hot_rows: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
@@ -134,17 +137,18 @@ def anchored_windows(
     every event may.
     """
     rows = events if "can_open" in events.columns else events.withColumn("can_open", F.lit(True))
-    hot = _hot_keys(rows, keys, time, width, hot_rows)
-    none = F.lit(None).cast("bigint")
-    if hot is None:
-        rows = rows.withColumns({"_slab": F.lit(0).cast("bigint"), "_entry": none, "_used": none})
-    else:
-        index = F.coalesce(F.floor((F.col(time) - F.col("_origin")) / F.col("_length")), F.lit(0)).cast("bigint")
-        rows = rows.join(hot, keys, "left").withColumn("_slab", index).withColumn(
-            "_slab_start", F.col("_origin") + F.col("_slab") * F.col("_length")
-        )
-        entries = _entries(rows.filter("_origin is not null"), keys, time, width)
-        rows = rows.join(entries, [*keys, "_slab"], "left").drop("_origin", "_length", "_slab_start")
+    cut = rows.join(_slabs(rows, keys, time, hot_rows), keys, "left").withColumn(
+        "_slab", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(time))), F.lit(0)).cast("bigint")
+    )
+    later = cut.filter(F.size("_cuts") > 0).withColumn(
+        "_slab_start", F.when(F.col("_slab") > 0, F.get("_cuts", (F.col("_slab") - 1).cast("int"))).otherwise(F.lit(-(1 << 62)))
+    )
+    entries = _entries(later, keys, time, width)
+    # Keys of one slab have no entry and don't take part in the join.
+    single = cut.filter(F.coalesce(F.size("_cuts"), F.lit(0)) <= 0).withColumns(
+        {"_entry": F.lit(None).cast("bigint"), "_used": F.lit(None).cast("bigint")}
+    )
+    rows = single.unionByName(cut.filter(F.size("_cuts") > 0).join(entries, [*keys, "_slab"], "left")).drop("_cuts")
 
     group = [*keys, "_slab"]
     columns = events.columns

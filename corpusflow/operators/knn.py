@@ -1,13 +1,14 @@
 """Exact nearest neighbours by block products.
 
 Only the best ``n`` rows per query and task leave the Python stage: query-chunk
-pairs are never rows of a DataFrame. Two plans give the same answer:
-
-* few queries (their rows are counted first, never assumed): the query block is
-  broadcast and the chunk table is scanned once, without a shuffle of vectors;
-* many queries: chunks and queries are hashed into bounded blocks per space and
-  each pair of blocks is one task, so a tenant owning a third of the chunks is
-  spread over as many tasks as its size asks for.
+pairs are never rows of a DataFrame. Chunks and queries are hashed into bounded
+blocks per space and each pair of blocks is one task, so a tenant owning a third
+of the chunks is spread over as many tasks as its size asks for. The plan is the
+same for any number of queries.
+
+A caller that knows its queries to be few can ask for ``broadcast_queries``: the
+chunk table is then scanned once, without a shuffle of vectors. More queries than
+the stated bound are an error there, never another plan.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from corpusflow.operators.ordered import first_rows
 
 BROADCAST_QUERY_ROWS = 4096
 BROADCAST_QUERY_VALUES = 4_000_000
-PUSHED_KEY_VALUES = 1000
 CHUNK_BLOCK_ROWS = 16384
-QUERY_BLOCK_ROWS = 1024
+QUERY_BLOCK_ROWS = 4096
+# Chunks that one block of queries is multiplied with at a time.
+STEP_ROWS = 1024
 DISTANCE_DIGITS = {"cosine": 12, "l2": 6, "squared_l2": 6}
 
 
@@ -103,7 +105,7 @@ def nearest(
     n: int,
     metric: str = "cosine",
     keys: tuple[str, ...] = ("user_id", "embedding_model"),
-    broadcast_rows: int = BROADCAST_QUERY_ROWS,
+    broadcast_queries: bool = False,
     chunk_block_rows: int = CHUNK_BLOCK_ROWS,
     query_block_rows: int = QUERY_BLOCK_ROWS,
     live: DataFrame | None = None,
@@ -123,17 +125,17 @@ def nearest(
     id_types = (queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType)
     schema = f"query_id {id_types[0].simpleString()}, chunk_id {id_types[1].simpleString()}, distance double"
 
-    # The probe is capped one row past the bound, so the driver never sees more than that.
-    probe = query_rows.limit(broadcast_rows + 1).toArrow()
-    values = int(sum(probe.column("_dim").to_pylist()))
-    few = probe.num_rows <= broadcast_rows and values <= BROADCAST_QUERY_VALUES
-    wanted = _asked_spaces(chunks, probe, keys) if few else chunks
+    wanted = chunks
     if live is not None:
         wanted = wanted.join(live.select("document_id", "user_id"), ["document_id", "user_id"], "left_semi")
     chunk_rows = _prepared(
         wanted.withColumn("document_id", F.col("document_id").cast("string")), ["chunk_id", "document_id"], keys
     )
-    if few:
+    if broadcast_queries:
+        # The driver never sees more than one row past the bound.
+        probe = query_rows.limit(BROADCAST_QUERY_ROWS + 1).toArrow()
+        if probe.num_rows > BROADCAST_QUERY_ROWS or sum(probe.column("_dim").to_pylist()) > BROADCAST_QUERY_VALUES:
+            raise ValueError("too many queries to broadcast; leave broadcast_queries out")
         candidates = _scan_with_broadcast(probe, chunk_rows, keys, n, metric, schema)
     else:
         candidates = _block_join(
@@ -143,15 +145,6 @@ def nearest(
     return first_rows(candidates, ["query_id"], order, n, out="rank")
 
 
-def _asked_spaces(chunks, probe, keys):
-    """Chunks of the asked spaces: filters on key values that reach the scan, when they are few."""
-    for key in keys:
-        values = probe.column(key).unique().drop_null().to_pylist()
-        if len(values) <= PUSHED_KEY_VALUES:
-            chunks = chunks.filter(F.col(key).isin(values))
-    return chunks
-
-
 def _scan_with_broadcast(probe, chunk_rows, keys, n, metric, schema):
     spark = chunk_rows.sparkSession
     space = [*keys, "_dim"]
@@ -231,10 +224,9 @@ def _block_join(query_rows, chunk_rows, keys, n, metric, schema, chunk_block_row
             query_block["query_id"].to_numpy(), np.stack(query_block["embedding"].to_list()),
             list(query_block["scope"]), n, metric,
         )
-        best.add(
-            chunk_block["chunk_id"].to_numpy(), chunk_block["document_id"].to_numpy(),
-            np.stack(chunk_block["embedding"].to_list()),
-        )
+        for at in range(0, len(chunk_block), STEP_ROWS):
+            part = chunk_block.iloc[at:at + STEP_ROWS]
+            best.add(part["chunk_id"].to_numpy(), part["document_id"].to_numpy(), np.stack(part["embedding"].to_list()))
         return best.frame()
 
     return left.cogroup(right).applyInPandas(cell, schema)

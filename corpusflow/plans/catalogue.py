@@ -964,8 +964,9 @@ def asked_spaces(spark, folder):
 def retrieve_distinct(spark, folder):
     """Retrieval of repeated questions: each distinct request is searched once and joined back."""
     asked = V.questions(spark, folder).drop("scope", "allow_weak")
-    twins = asked.withColumn("query_id", F.col("query_id") + 1_000_000)
-    every = asked.unionByName(twins).withColumn("query", F.expr("cast(query_id % 1000000 as string)"))
+    asked = asked.withColumn("query", F.col("query_id").cast("string"))
+    # Negative ids can't collide with stored ones.
+    every = asked.unionByName(asked.withColumn("query_id", -1 - F.col("query_id")))
     grouped = R.distinct_questions(every)
     firsts = grouped.filter("query_id = asked_as")
     found = R.retrieve(firsts.drop("asked_as"), V.chunks(spark, folder), V.documents(spark, folder), k=2)

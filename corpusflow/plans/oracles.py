@@ -1018,7 +1018,8 @@ add("asked_spaces", "lib_chunks questions", """
     select chunk_id, user_id, embedding_model from lib_chunks
     where (user_id, embedding_model) in (select (user_id, embedding_model) from questions where allow_weak)""")
 add("retrieve_distinct", "lib_chunks questions", _ranked() + _kept(0.75, "true") + """
-    select query_id + twin as query_id, idx as index, chunk_id from kept, (values (0), (1000000)) t(twin) where idx <= 2""")
+    select case twin when 0 then query_id else -1 - query_id end as query_id, idx as index, chunk_id
+    from kept, (values (0), (1)) t(twin) where idx <= 2""")
 
 add("extraction_info", "md_marked lib_chunks", """
     with measured as (select document_id, sum(heading::int) as headings, count(*) as lines from md_marked group by document_id),

@@ -102,13 +102,17 @@ class AnswerAssembly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tokens = handle.getListState("tokens", "seq bigint, critique boolean, text string", self.ttl_ms)
+        self.ended = handle.getValueState("ended", "at bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
         pdf = _in_order(rows, ["seq"])
+        # An answer ends once; what arrives later would only fill the state.
+        if self.ended.exists():
+            return
         fresh = pdf[pdf["type"].isin(["token", "critique_token"])]
         if len(fresh):
             self.tokens.appendList(
-                [(int(s), t == "critique_token", x) for s, t, x in zip(fresh["seq"], fresh["type"], fresh["text"])]
+                [(int(s), t == "critique_token", x or "") for s, t, x in zip(fresh["seq"], fresh["type"], fresh["text"])]
             )
         ends = pdf[pdf["type"].isin(["done", "error"])]
         if not len(ends):
@@ -116,6 +120,7 @@ class AnswerAssembly(StatefulProcessor):
         pieces = sorted(self.tokens.get()) if self.tokens.exists() else []
         self.tokens.clear()
         last = ends.iloc[-1]
+        self.ended.update((int(last["seq"]),))
         content = "".join(text for _, critique, text in pieces if not critique)
         critique = "".join(text for _, critique, text in pieces if critique)
         errors = ends[ends["type"] == "error"]

@@ -22,13 +22,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread the rows of a table stored in fewer files than there are cores.
+    """Rows dealt evenly to the session's number of shuffle partitions, which is set by the size of the data.
 
-    A one-file table with one row group is one task, however much work follows the scan. Tables
-    with enough files are returned as they are, without a shuffle.
+    For work that costs far more than moving its input, such as parsing every text.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +39,8 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _minutes(expression: str):
-    return F.expr(f"{BASE} + make_dt_interval(0, 0, cast({expression} as int), 0)")
+    # Seconds as a decimal: minutes as an int would overflow on large ids.
+    return F.expr(f"{BASE} + make_dt_interval(0, 0, 0, cast({expression} as decimal(18, 0)) * 60)")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -512,7 +511,8 @@ def token_rows(said: DataFrame) -> DataFrame:
         F.lit(False).alias("aborted"),
     )
     ends = answers.select(
-        "message_id", F.lit(1_000_000).cast("bigint").alias("seq"),
+        # Behind the last token, however long the answer is.
+        "message_id", F.size(F.split("content", " ", -1)).cast("bigint").alias("seq"),
         F.expr("if(message_id % 11 = 0, 'error', 'done')").alias("type"), F.lit(None).cast("string").alias("text"),
         F.expr("if(message_id % 3 = 0, 'stop', null)").alias("finish_reason"),
         F.expr("if(message_id % 22 = 0, 'LLM_TIMEOUT', null)").alias("code"),

@@ -50,8 +50,8 @@ def brute(chunk_rows, query_rows, n, metric):
 @pytest.mark.parametrize("plan", ["broadcast", "blocks"])
 def test_both_plans_equal_brute_force(space, metric, plan):
     chunk_rows, query_rows, chunks, queries = space
-    # The block plan is forced by allowing no broadcast, with blocks far smaller than the hot tenant.
-    limits = {} if plan == "broadcast" else {"broadcast_rows": 0, "chunk_block_rows": 37, "query_block_rows": 3}
+    # Blocks far smaller than the hot tenant.
+    limits = {"broadcast_queries": True} if plan == "broadcast" else {"chunk_block_rows": 37, "query_block_rows": 3}
     found = knn.nearest(queries, chunks, 7, metric, **limits)
     assert set(rows(found, "query_id", "chunk_id", "rank")) == brute(chunk_rows, query_rows, 7, metric)
 
