@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusflow import schemas as S
 from corpusflow.functions.text import strip
 from corpusflow.operators.ordered import slab_running_sum
+from corpusflow.session import staged
 
 # Separators in order of preference; single characters come after them.
 SEPARATORS = ["\n\n", "\n", " "]
@@ -86,7 +87,8 @@ def chunk_blocks(blocks: DataFrame, size: int = S.CHUNK_SIZE, overlap: int = S.C
     Chunk numbers need only the piece counts of earlier blocks, which are accumulated by slabs of
     the block number, so a document with very many blocks is not gathered in one task.
     """
-    pieces = blocks.withColumn("_pieces", split_column(F.col("text"), size, overlap)).drop("text")
+    # Totals and rows both read the pieces: they are split once and written.
+    pieces = staged(blocks.withColumn("_pieces", split_column(F.col("text"), size, overlap)).drop("text"), "pieces")
     counted = slab_running_sum(
         pieces, ["document_id"], F.floor(F.col("block_no") / BLOCK_SLAB), [F.col("block_no")],
         F.size("_pieces"), "_before", inclusive=False,

@@ -1,15 +1,20 @@
 """Plain text and Markdown: decoding and located blocks.
 
-A document is one text cell, so the windows per document below are bounded by the size of
-one cell (uploads are limited to 25 MB); documents are spread over all tasks.
+A document is one text cell, so line numbers, fences and sections are one fold over
+that cell: Arrow batches go through Python once, and nothing is shuffled or sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusflow.functions.text import SPACE_CHARS, strip
 
@@ -56,54 +61,88 @@ def line_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("\n")) + 1
 
 
+def _rows_of(documents: DataFrame, fold: Callable[[str], Iterator[tuple]], columns: str) -> DataFrame:
+    """Rows ``(document_id, *columns)`` that ``fold`` makes of each text; null texts have none."""
+    added = T.StructType.fromDDL(columns)
+    schema = T.StructType([documents.schema["document_id"], *added.fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, found = [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                rows = [] if text is None else list(fold(text))
+                owners.extend([at] * len(rows))
+                found.extend(rows)
+            values = list(zip(*found, strict=True)) if found else [()] * len(added)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("document_id").take(pa.array(owners, pa.int64())),
+                 *(pa.array(list(v), kinds.field(f.name).type) for v, f in zip(values, added, strict=True))],
+                schema=kinds,
+            )
+
+    return documents.select("document_id", "text").mapInArrow(run, schema)
+
+
+def _txt_blocks(text: str) -> Iterator[tuple]:
+    line, number = 1, 0
+    for piece in text.split("\n\n"):
+        body = piece.strip(SPACE_CHARS)
+        if body:
+            yield number, body, line
+            number += 1
+        line += piece.count("\n") + 2
+
+
 def extract_txt_blocks(documents: DataFrame) -> DataFrame:
     """Blocks at blank lines with the line each starts on. ``documents``: document_id, text."""
-    pieces = documents.select("document_id", F.posexplode(F.split("text", "\n\n", -1)).alias("_pos", "_raw"))
-    earlier = Window.partitionBy("document_id").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    located = pieces.select(
-        "document_id", strip(F.col("_raw")).alias("text"), (line_count(F.col("_raw")) + 1).alias("_lines"), "_pos"
-    ).withColumn("_filled", (F.length("text") > 0).cast("int"))
-    return (
-        located.withColumn("line", 1 + F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-        .withColumn("block_no", F.coalesce(F.sum("_filled").over(earlier), F.lit(0)).cast("int"))
-        .filter("_filled = 1")
-        .select("document_id", "block_no", "text", location(line=F.col("line")).alias("metadata"))
+    return _rows_of(documents, _txt_blocks, "block_no int, text string, line int").select(
+        "document_id", "block_no", "text", location(line=F.col("line")).alias("metadata")
     )
 
 
+def _markdown_lines(text: str) -> Iterator[tuple]:
+    """(pos, line, is_fence, in_fence, is_heading, block, section) of each line."""
+    inside, block, section = False, 0, None
+    for pos, line in enumerate(text.split("\n")):
+        lead = line.lstrip(SPACE_CHARS)
+        fence = lead.startswith("```")
+        heading = not fence and not inside and lead.startswith("#")
+        if heading:
+            block += 1
+            # The heading test ignores leading blanks, the section text does not; a bare mark keeps the section.
+            section = line.lstrip("#").strip(SPACE_CHARS) or section
+        yield pos, line, fence, inside, heading, block, section
+        inside ^= fence
+
+
+def _markdown_blocks(text: str) -> Iterator[tuple]:
+    for block, lines in groupby(_markdown_lines(text), key=lambda row: row[5]):
+        held = list(lines)
+        body = "\n".join(row[1] for row in held).strip(SPACE_CHARS)
+        if body:
+            yield block, body, held[0][0] + 1, held[-1][6]
+
+
+def _markdown_counts(text: str) -> Iterator[tuple]:
+    rows = list(_markdown_lines(text))
+    yield sum(row[4] for row in rows), len(rows)
+
+
 def markdown_lines(documents: DataFrame) -> DataFrame:
     """Lines with fence state, heading flag, block number and section in force."""
-    lines = documents.select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    here = Window.partitionBy("document_id").orderBy("pos")
-    before, upto = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(Window.unboundedPreceding, 0)
-    lead = F.ltrim("line", F.lit(SPACE_CHARS))
-    fence = F.startswith(lead, F.lit("```"))
-    inside = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2 == 1
-    heading = ~F.col("is_fence") & ~F.col("in_fence") & F.startswith(lead, F.lit("#"))
-    # The heading test ignores leading blanks, the section text does not.
-    name = F.nullif(strip(F.regexp_replace("line", "^#+", "")), F.lit(""))
-    return (
-        lines.withColumn("is_fence", fence).withColumn("in_fence", inside)
-        .withColumn("is_heading", heading)
-        .withColumn("block", F.sum(F.col("is_heading").cast("int")).over(upto))
-        .withColumn("section", F.last(F.when(F.col("is_heading"), name), ignorenulls=True).over(upto))
+    return _rows_of(
+        documents, _markdown_lines,
+        "pos int, line string, is_fence boolean, in_fence boolean, is_heading boolean, block bigint, section string",
     )
 
 
 def extract_markdown_blocks(documents: DataFrame) -> DataFrame:
     """Blocks cut at headings outside code fences; each keeps its heading line and section."""
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    body = strip(F.array_join(F.transform(pairs, lambda p: p["line"]), "\n"))
-    blocks = markdown_lines(documents).groupBy("document_id", "block").agg(
-        body.alias("text"), (F.min("pos") + 1).alias("_line"), F.max_by("section", "pos").alias("_section")
-    )
-    return blocks.filter(F.length("text") > 0).select(
-        "document_id", F.col("block").cast("int").alias("block_no"), "text",
-        location(line=F.col("_line"), section=F.col("_section")).alias("metadata"),
+    return _rows_of(documents, _markdown_blocks, "block_no int, text string, line int, section string").select(
+        "document_id", "block_no", "text", location(line=F.col("line"), section=F.col("section")).alias("metadata")
     )
 
 
 def markdown_info(documents: DataFrame) -> DataFrame:
-    return markdown_lines(documents).groupBy("document_id").agg(
-        F.sum(F.col("is_heading").cast("int")).alias("headings"), F.count("*").alias("lines")
-    )
+    return _rows_of(documents, _markdown_counts, "headings bigint, lines bigint")

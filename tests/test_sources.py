@@ -145,11 +145,13 @@ def test_html(spark):
 
 
 def test_web_results(spark):
-    data = [("q", r, "" if r == 1 else f"T{r}", f"u{r}", "c" * 700, "0.98765" if r % 2 else "n/a") for r in range(1, 8)]
-    df = spark.createDataFrame(data, "query_id string, rank int, title string, url string, content string, score string")
+    data = [("q", r, "" if r == 1 else f"T{r}", f"u{r}", "c" * 700, 0.98765 if r % 2 else None) for r in range(1, 8)]
+    df = spark.createDataFrame(data, "query_id string, rank int, title string, url string, content string, score double")
     read = spark.createDataFrame([("u1", "text"), ("u2", "text")], "url string, text string")
     got = rows(web.normalise_web_results(df, scraped=read).orderBy("index"), "index", "title", "score", "scraped")
     assert got == [(1, "u1", 0.9877, True), (2, "T2", None, False), (3, "T3", 0.9877, False), (4, "T4", None, False), (5, "T5", 0.9877, False)]
+    texts = web.normalise_web_results(df.withColumn("score", F.col("score").cast("string")))
+    assert {r[0] for r in rows(texts, "score")} == {None}
 
 
 def test_event_log_and_sse(spark, tmp_path):
