@@ -87,13 +87,11 @@ def one_per_key(changes: DataFrame, keys: list[str], order: str | None = None) -
     ``order`` names the column that tells the last one; without it (and among equals) the largest
     values win, which is the same choice in every run. Rows with a null key change nothing.
     """
-    rest = [c for c in changes.columns if c not in keys]
-    rank = F.struct(*([F.col(order)] if order else []), *[F.col(c) for c in rest])
+    rest = sorted((c for c in changes.columns if c not in keys), key=lambda c: c != order)
+    rank = F.struct(*[F.col(c) for c in rest])
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     folded = changes.filter(present).groupBy(*keys).agg(F.max(rank).alias("_last"))
-    return folded.select(*keys, *[F.col("_last").getField(c).alias(c) for c in rest if c != order], *(
-        [F.col("_last").getField(order).alias(order)] if order else []
-    ))
+    return folded.select(*keys, *[F.col("_last").getField(c).alias(c) for c in rest])
 
 
 def apply_document_status(documents: DataFrame, changes: DataFrame, as_of: Column, order: str | None = None) -> DataFrame:

@@ -811,6 +811,27 @@ def cascade_sources(spark, folder):
     return _cascaded(spark, folder)["sources"].select("message_id", "position", "chunk_id", "document_id")
 
 
+@query
+def references_after_delete(spark, folder):
+    """Conversations and citations after every fifth document of its owner has been deleted with its chunks."""
+    asked = V.documents(spark, folder).filter("document_id % 5 = 0").select(
+        "document_id", F.expr("if(document_id % 10 = 0, user_id, 'nobody')").alias("user_id")
+    )
+    out = M.delete_with_references(
+        {"documents": V.documents(spark, folder), "chunks": V.chunks(spark, folder),
+         "conversations": V.conversations(spark, folder), "sources": V.sources(spark, folder)}, asked,
+    )
+    none = F.lit(None).cast("bigint")
+    talks = out["conversations"].select(
+        F.lit("conversation").alias("kind"), F.col("conversation_id").alias("row_id"), none.alias("position"),
+        "document_id", none.alias("chunk_id"),
+    )
+    return talks.unionByName(out["sources"].select(
+        F.lit("citation").alias("kind"), F.col("message_id").alias("row_id"), F.col("position").cast("bigint").alias("position"),
+        "document_id", "chunk_id",
+    ))
+
+
 @query
 def delete_conversations(spark, folder):
     asked = V.conversations(spark, folder).filter("mode = 'web'").select(
@@ -847,6 +868,19 @@ def touch_conversations(spark, folder):
     return rows.select("conversation_id", F.col("updated_at").cast("string").alias("updated_at"))
 
 
+@query
+def apply_progress(spark, folder):
+    """Counters of every second document, each changed twice: the later change holds."""
+    documents = V.processing(spark, folder).select(
+        "document_id", F.col("progress.chunks").alias("progress"), V.as_of().alias("updated_at")
+    )
+    changes = documents.filter("document_id % 2 = 0").select(
+        "document_id", F.explode(F.array(F.struct(F.lit(1).alias("at"), (F.col("progress") * 10).alias("progress")),
+                                         F.struct(F.lit(2).alias("at"), (F.col("progress") + 1).alias("progress")))).alias("c"),
+    ).select("document_id", "c.at", "c.progress")
+    return M.apply_progress(documents, changes, V.as_of(), order="at").select("document_id", "progress")
+
+
 @query
 def set_pinned(spark, folder):
     pins = V.conversations(spark, folder).select("conversation_id", "user_id", F.expr("mode = 'auto'").alias("pinned"))

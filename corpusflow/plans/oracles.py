@@ -885,6 +885,18 @@ add("cascade_delete", "left_sources sessions", """
     union all select 'messages', count(*) from messages m join convs c on c.conversation_id = m.conversation_id
               where c.user_id in (select user_id from left_users)
     union all select 'sources', count(*) from left_sources""")
+add("references_after_delete", "turns messages convs sources lib_chunks lib_documents", """
+    with gone as (select document_id from lib_documents where document_id % 10 = 0),
+    gone_chunks as (select chunk_id from lib_chunks where document_id in (select document_id from gone))
+    select 'conversation' as kind, conversation_id as row_id, null::bigint as position,
+           case when document_id not in (select document_id from gone) then document_id end as document_id, null::bigint as chunk_id
+    from convs
+    union all
+    select 'citation', message_id, position, case when document_id not in (select document_id from gone) then document_id end,
+           case when chunk_id not in (select chunk_id from gone_chunks) then chunk_id end
+    from sources""")
+add("apply_progress", "", """
+    select doc_id as document_id, case when doc_id % 2 = 0 then n_chars + 1 else n_chars end as progress from documents""")
 add("delete_conversations", "convs messages", """
     select conversation_id, nullif((select count(*) from messages m where m.conversation_id = c.conversation_id), 0) as messages
     from convs c where mode != 'web' or pinned""")
