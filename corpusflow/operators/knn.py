@@ -94,8 +94,9 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _prepared(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    # Aliases make the columns new ones: questions may be derived from the very chunks they search.
     return df.select(
-        *columns, *keys, F.col("embedding").cast("array<double>").alias("embedding")
+        *[F.col(c).alias(c) for c in (*columns, *keys)], F.col("embedding").cast("array<double>").alias("embedding")
     ).filter(F.size("embedding") > 0).withColumn("_dim", F.size("embedding"))
 
 
