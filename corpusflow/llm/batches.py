@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
 #: Bytes of text that one numpy step holds at a time.
 SLICE_BYTES = 2 << 20
-#: Entries of a per-worker memo before it starts anew.
-MEMO_ENTRIES = 400_000
+#: Entries of each of the two generations of a per-worker memo.
+MEMO_ENTRIES = 60_000
+#: Rows of an Arrow batch at most: a batch of whole texts is held on both sides at once.
+BATCH_ROWS = 2000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _SEPARATORS = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else (c + 32 if 0x41 <= c <= 0x5A else 0x20)
@@ -47,17 +51,37 @@ def alnum_words(text: bytes) -> list[bytes]:
     return text.translate(_SEPARATORS).split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for frequent words."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small enough for whole texts."""
+    rows = int(spark.conf.get(BATCH_CONF, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_ENTRIES:
+class Memo(dict):
+    """Remembered results of `make`, in two generations: what the older one held and nobody asked for again goes."""
+
+    def __init__(self, make: Callable, entries: int = MEMO_ENTRIES):
+        super().__init__()
+        self.make, self.entries, self.older = make, entries, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.entries:
+            self.older = dict(self)
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        self[key] = value
+        return value
+
+
+_HASHES = Memo(xxhash.xxh3_64_intdigest)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the words."""
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 #: Odd multiplier of the window hash (fixed value).

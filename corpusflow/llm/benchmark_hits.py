@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.batches import alnum_words, slices, text_of
+from corpusflow.llm.batches import alnum_words, bounded_batches, slices, text_of
 from corpusflow.llm.staging import free_name
 
 WINDOW = 10
@@ -123,6 +123,7 @@ def find_hits(
     the new ones are prefixed with "_" then.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n_words, spans, items = (free_name(docs, c) for c in ("n_words", "hit_spans", "hit_items"))
     span_type = "array<struct<start:int,end:int>>"
     out = docs.withColumns({

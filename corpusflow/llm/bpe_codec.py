@@ -19,27 +19,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import MEMO_ENTRIES, slices
+from corpusflow.llm.batches import MEMO_ENTRIES, Memo, bounded_batches, slices
 from corpusflow.llm.pieces import chunks, pretokens
 from corpusflow.llm.staging import free_name
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Characters from which on a piece is worked out each time instead of being remembered.
+LONG = 64
 
 
 class Vocabulary:
     """Ranks by byte string; which tokens fit side by side."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.ranks, self.tokens = token_bytes(path)
         self.longest = max(map(len, self.ranks))
         #: The last merge that makes each token, or None for single bytes and for tokens no merge reaches.
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.reached: set[int] = set()
-        self.fits: dict[int, bool] = {}
+        self.fits = Memo(lambda pair: self._side_by_side(pair >> 32, pair & 0xFFFFFFFF), 2 * MEMO_ENTRIES)
         for token in sorted(self.ranks, key=self.ranks.__getitem__):
             self._split(token)
         #: Lengths of the tokens that end in three given bytes, longest first (two: the only length left).
@@ -81,13 +79,7 @@ class Vocabulary:
         Both tokens are taken apart again, the one merged last first; at each step the border
         pair must not form a token of a rank that merging would have met before that split.
         """
-        key = left << 32 | right
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > MEMO_ENTRIES:
-                self.fits.clear()
-            known = self.fits[key] = self._side_by_side(left, right)
-        return known
+        return self.fits[left << 32 | right]
 
     def _side_by_side(self, left: int, right: int) -> bool:
         tokens, ranks, parts = self.tokens, self.ranks, self.parts
@@ -176,38 +168,21 @@ class Codec:
 
     def __init__(self, path: str = VOCABULARY):
         self.vocabulary = Vocabulary(path)
-        self.packed: dict[str, bytes] = {}
-        self.piece_ids: dict[str, bytes] = {}
+        self.packed = Memo(lambda chunk: b"".join(map(self._piece, pretokens(chunk))))
+        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(piece)
         return [whole] if whole is not None else PrefixEncoder(self.vocabulary, piece).tokens()
 
     def _piece(self, piece: str) -> bytes:
-        known = self.piece_ids.get(piece)
-        if known is None:
-            known = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-            if len(piece) < 64:
-                self.piece_ids[piece] = known
-        return known
-
-    def _chunk(self, chunk: str) -> bytes:
-        known = self.packed.get(chunk)
-        if known is None:
-            known = b"".join(map(self._piece, pretokens(chunk)))
-            if len(chunk) < 64:
-                self.packed[chunk] = known
-        return known
+        return self.pieces[piece] if len(piece) < LONG else self.pieces.make(piece)
 
     def encode_packed(self, text: str) -> bytes:
-        if len(self.packed) > MEMO_ENTRIES:
-            self.packed.clear()
-        if len(self.piece_ids) > MEMO_ENTRIES:
-            self.piece_ids.clear()
         cut = chunks(text)
         if cut is None:
             return b"".join(map(self._piece, pretokens(text)))
-        return b"".join(map(self._chunk, cut))
+        return b"".join([self.packed[c] if len(c) < LONG else self.packed.make(c) for c in cut])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
@@ -216,6 +191,16 @@ class Codec:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
+def token_bytes(path: str) -> tuple[dict[bytes, int], list[bytes]]:
+    """Ranks by token, and tokens by rank."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return ranks, tokens
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str = VOCABULARY) -> Codec:
     """One codec per Python worker."""
@@ -228,6 +213,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str = VOCABU
     Works inside each row: no shuffle, and memory for one slice of texts only. Special strings
     are ordinary text. Clashing input columns stay; the new one is prefixed with "_" then.
     """
+    bounded_batches(docs.sparkSession)
     name = free_name(docs, "token_ids")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType(), False)])
 
@@ -243,14 +229,15 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str = VOCABU
 
 def decode_documents(docs: DataFrame, ids_col: str = "token_ids", path: str = VOCABULARY) -> DataFrame:
     """All rows and columns of `docs` and the decoded bytes of the packed ids (null: none)."""
+    bounded_batches(docs.sparkSession)
     name = free_name(docs, "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType(), False)])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        token = token_bytes(path)[1].__getitem__
         for whole in batches:
             for batch in slices(whole, ids_col):
-                texts = [own.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(ids_col).to_pylist()]
+                texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return docs.mapInArrow(decode, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.batches import mixed, slices, text_of
+from corpusflow.llm.batches import bounded_batches, mixed, slices, text_of
 from corpusflow.llm.staging import parts_for, staged, text_bytes
 
 #: Text bytes whose keys share one task.
@@ -150,6 +150,7 @@ def seen_before(
     without id own no keys; rows with equal ids are one document. One row per document that
     has such keys, as a written table.
     """
+    bounded_batches(docs.sparkSession)
     parts = parts_for(text_bytes(docs, text_col)[1], range_bytes)
     sent = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _sender(keys_of, parts, both), _SENT,

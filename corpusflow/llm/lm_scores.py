@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.batches import WordHashes, slices, space_words, text_of
+from corpusflow.llm.batches import bounded_batches, slices, space_words, text_of, word_hashes
 from corpusflow.llm.ppm_model import ORDER, PPMModel, gram_counts, merge_counts
 from corpusflow.llm.staging import staged
 
@@ -22,13 +22,12 @@ FOLDS, HELD_OUT = 7, 2
 #: Key of the end token: no word contains a line feed.
 END = b"\n"
 
-_HASHES = WordHashes()
-_END_KEY = int(np.uint64(WordHashes()[END]).view(np.int64))
+_END_KEY = int(word_hashes([END]).view(np.int64)[0])
 _COUNTS = "gram boolean, key bigint, n bigint"
 
 
 def _word_keys(words: list[bytes]) -> np.ndarray:
-    return _HASHES.of(words).view(np.int64)
+    return word_hashes(words).view(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +125,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     nothing to learn from, bytes are uniform and the base score is 0. Frequent words come as
     a broadcast of bounded size; the others, each a small share of all tokens, are joined.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     counts = corpus_counts(texts.where("NOT held_out"))

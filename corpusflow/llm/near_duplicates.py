@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.batches import slices, text_of
+from corpusflow.llm.batches import bounded_batches, slices, text_of
 from corpusflow.llm.components import components
 from corpusflow.llm.sketches import BAND_REGISTERS, BANDS, BUCKETS, estimate, filled_up, raw_registers, shingle_set
 from corpusflow.llm.staging import staged
@@ -55,6 +55,7 @@ def _sketcher(width: int):
 
 def sketch_documents(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, n_shingles, class (digest of the set) and raw registers of each row; null for an empty set."""
+    bounded_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"),
     ).mapInArrow(_sketcher(width), _SKETCH)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import slices, space_words
+from corpusflow.llm.batches import bounded_batches, slices, space_words
 from corpusflow.llm.staging import free_name, staged
 
 MIN_WORDS = 50
@@ -75,6 +75,7 @@ def text_counts(text: str) -> tuple[int, int, int, int, int, int]:
 
 def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of `docs` and the counts of the whole text (null: no words)."""
+    bounded_batches(docs.sparkSession)
     names = [free_name(docs, c) for c in (*COUNTS, "n_lines")]
     schema = T.StructType(list(docs.schema.fields) + [T.StructField(n, T.LongType(), False) for n in names])
     arrow_names = [f.name for f in schema.fields]

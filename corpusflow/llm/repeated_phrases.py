@@ -18,20 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import WordHashes, slices, space_words, text_of, window_hashes
+from corpusflow.llm.batches import slices, space_words, text_of, window_hashes, word_hashes
 from corpusflow.llm.first_seen import runs_of, seen_before, with_seen
 from corpusflow.llm.staging import free_name
 
 WINDOW = 13
 
-_HASHES = WordHashes()
-
 
 def text_window_keys(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all word windows of each text, and how many each text has."""
     words = [space_words(t) for t in texts]
     counts = np.fromiter((max(0, len(w) - window + 1) for w in words), np.int64, len(words))
-    found = [window_hashes(_HASHES.of(w), window) for w in words if len(w) >= window]
+    found = [window_hashes(word_hashes(w), window) for w in words if len(w) >= window]
     return (np.concatenate(found) if found else np.empty(0, np.uint64)), counts
 
 
@@ -60,7 +58,7 @@ def shard_spans(ids: list[int | None], words: list[list[bytes]], seen: list[np.n
     for owner, own, keys in zip(ids, words, seen, strict=True):
         if keys is None or len(own) < window:
             continue
-        flags = np.isin(window_hashes(_HASHES.of(own), window), keys)
+        flags = np.isin(window_hashes(word_hashes(own), window), keys)
         for start, stop in runs_of(flags):
             passage = "".join(
                 letters.setdefault(w, _letter(len(letters))) for w in own[start:stop + window - 1]

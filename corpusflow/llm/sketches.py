@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from corpusflow.llm.batches import WordHashes, mixed, space_words, window_hashes
+from corpusflow.llm.batches import mixed, space_words, window_hashes, word_hashes
 
 BUCKETS = 128
 BUCKET_BITS = 7
@@ -20,8 +20,6 @@ BANDS = BUCKETS // BAND_REGISTERS
 COLLISION = 0.169919487159739
 EMPTY = np.uint16(0xFFFF)
 
-_HASHES = WordHashes()
-
 
 def _donors() -> np.ndarray:
     """For each bucket an order of all buckets; an empty one takes over the first filled one in it."""
@@ -40,7 +38,7 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     words = space_words(text.lower())
     if not words:
         return np.empty(0, np.uint64)
-    hashes = _HASHES.of(words)
+    hashes = word_hashes(words)
     if len(words) < width:
         # The length goes in, so that a short text never equals a shingle by chance of construction.
         return window_hashes(np.append(hashes, np.uint64(len(words))), len(words) + 1)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import MEMO_ENTRIES, slices
+from corpusflow.llm.batches import MEMO_ENTRIES, bounded_batches, slices
 from corpusflow.llm.pieces import chunks, pretokens
 from corpusflow.llm.staging import free_name
 
@@ -132,7 +132,7 @@ class RaggedMerger:
                 own = chunks(piece)
                 found.extend(pretokens(piece) if own is None else own)
             cut.append((i, len(pieces) - 1, found))
-        if len(self.chunk_counts) > MEMO_ENTRIES:
+        if len(self.chunk_counts) > 4 * MEMO_ENTRIES:
             self.chunk_counts.clear()
         self.learn({c for _, _, found in cut for c in found})
         return [extra + sum(map(self.chunk_counts.__getitem__, found)) for _, extra, found in cut]
@@ -150,6 +150,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY
     Works inside each row: no shuffle, memory for one slice of texts. Clashing input columns
     stay; the new one is prefixed with "_" then.
     """
+    bounded_batches(docs.sparkSession)
     name = free_name(docs, "n_tokens")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType(), False)])
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.batches import MEMO_ENTRIES, slices, space_words, text_of
+from corpusflow.llm.batches import Memo, bounded_batches, slices, space_words, text_of
 from corpusflow.llm.staging import staged
 
 #: Hashed vocabulary: letters of a word, and its shape (case, digits, marks) with a repeat flag.
@@ -40,31 +40,27 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return places, rng.choice(np.array([-1.0, 1.0]), (ROWS, NONZERO))
 
 
-class Tokens(dict):
-    """word -> rows of its body and its shape, packed into one number."""
+def _rows(word: bytes) -> int:
+    """Rows of a word's body and its shape, packed into one number."""
+    text = word.decode()
+    letters = "".join(_LETTERS.findall(text))
+    marks = "".join(sorted(set(_LETTERS.sub("", text))))
+    case = (letters.islower(), letters.isupper(), letters.istitle(), any(map(str.isdigit, letters)), bool(letters))
+    body = xxhash.xxh3_64_intdigest(letters.lower()) % BODIES
+    shape = xxhash.xxh3_64_intdigest(f"{case} {marks}") % SHAPES
+    return body << 32 | (BODIES + 2 * shape)
 
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode()
-        letters = "".join(_LETTERS.findall(text))
-        marks = "".join(sorted(set(_LETTERS.sub("", text))))
-        case = (letters.islower(), letters.isupper(), letters.istitle(), any(map(str.isdigit, letters)), bool(letters))
-        body = xxhash.xxh3_64_intdigest(letters.lower()) % BODIES
-        shape = xxhash.xxh3_64_intdigest(f"{case} {marks}") % SHAPES
-        value = self[word] = body << 32 | (BODIES + 2 * shape)
-        return value
 
-    def rows_of(self, words: list[bytes]) -> np.ndarray:
-        """Body and shape rows of each word in turn; the shape's row differs where a word repeats the one before."""
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        packed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out = np.empty(2 * len(words), np.int64)
-        out[0::2], out[1::2] = packed >> 32, packed & 0xFFFFFFFF
-        out[3::2] += packed[1:] == packed[:-1]
-        return out
+_ROWS = Memo(_rows)
 
 
-_TOKENS = Tokens()
+def token_rows(words: list[bytes]) -> np.ndarray:
+    """Body and shape rows of each word in turn; the shape's row differs where a word repeats the one before."""
+    packed = np.fromiter(map(_ROWS.__getitem__, words), np.int64, len(words))
+    out = np.empty(2 * len(words), np.int64)
+    out[0::2], out[1::2] = packed >> 32, packed & 0xFFFFFFFF
+    out[3::2] += packed[1:] == packed[:-1]
+    return out
 
 
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +70,7 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, "text", 1 << 20):
             rows, text = [], []
             for i, t in enumerate(text_of(batch, "text")):
-                own = _TOKENS.rows_of(space_words(t))
+                own = token_rows(space_words(t))
                 rows.append(own)
                 text.append(np.full(len(own), i))
             row, owner = np.concatenate(rows), np.concatenate(text)
@@ -119,6 +115,7 @@ def train_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     nodes take about FAN_IN messages each, so no task grows with the corpus. The result has a
     fixed size, whatever the vocabulary.
     """
+    bounded_batches(docs.sparkSession)
     sums = staged(docs.select(F.col(text_col).alias("text")).mapInArrow(_accumulate, _MESSAGE), "vector-sums")
     blocks = ROWS // BLOCK
     left = sums.count() // blocks
@@ -143,7 +140,7 @@ def pooled(vectors: np.ndarray, batch: pa.RecordBatch) -> Iterator[tuple[pa.Reco
     for piece in slices(batch, "text", POOL_BYTES):
         out = np.zeros((piece.num_rows, 2 * DIMENSIONS), np.float32)
         for i, text in enumerate(text_of(piece, "text")):
-            rows = _TOKENS.rows_of(space_words(text))
+            rows = token_rows(space_words(text))
             for at in range(0, len(rows), 1 << 18):
                 part = rows[at:at + (1 << 18)]
                 out[i, :DIMENSIONS] += vectors[part[0::2]].sum(axis=0)
