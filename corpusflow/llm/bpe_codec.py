@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import MEMO_ENTRIES, Memo, bounded_batches, slices
+from corpusflow.llm.batches import Memo, bounded_batches, slices
 from corpusflow.llm.pieces import chunks, pretokens
 from corpusflow.llm.staging import free_name
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters from which on a piece is worked out each time instead of being remembered.
 LONG = 64
+#: Entries of each generation of the codec's memos (pieces, chunks, neighbouring tokens).
+CODEC_ENTRIES = 150_000
 
 
 class Vocabulary:
@@ -37,7 +39,7 @@ class Vocabulary:
         #: The last merge that makes each token, or None for single bytes and for tokens no merge reaches.
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.reached: set[int] = set()
-        self.fits = Memo(lambda pair: self._side_by_side(pair >> 32, pair & 0xFFFFFFFF), 2 * MEMO_ENTRIES)
+        self.fits = Memo(lambda pair: self._side_by_side(pair >> 32, pair & 0xFFFFFFFF), CODEC_ENTRIES)
         for token in sorted(self.ranks, key=self.ranks.__getitem__):
             self._split(token)
         #: Lengths of the tokens that end in three given bytes, longest first (two: the only length left).
@@ -73,15 +75,12 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def side_by_side(self, left: int, right: int) -> bool:
+    def _side_by_side(self, left: int, right: int) -> bool:
         """Whether no merge would have joined anything across the border of two tokens.
 
         Both tokens are taken apart again, the one merged last first; at each step the border
         pair must not form a token of a rank that merging would have met before that split.
         """
-        return self.fits[left << 32 | right]
-
-    def _side_by_side(self, left: int, right: int) -> bool:
         tokens, ranks, parts = self.tokens, self.ranks, self.parts
         bound = never = len(tokens)
         while True:
@@ -112,26 +111,35 @@ class PrefixEncoder:
 
     def append(self, more: bytes) -> None:
         """Go on behind what is stored; nothing before changes."""
-        v = self.vocabulary
         start = len(self.data)
         self.data += more
-        data, last = bytes(self.data), self.last
+        self._extend(bytes(self.data), start)
+
+    def _extend(self, data: bytes, start: int, old: list[int] | None = None) -> None:
+        """Last tokens of the prefixes of `data` beyond `start`; `old` are records to fall in with again."""
+        v, last = self.vocabulary, self.last
+        lengths, known, fits, ranks = v.ends.get, v.known.get, v.fits, v.ranks
+        agreed = 0
         for end in range(start + 1, len(data) + 1):
-            last.append(self._last_token(v, data, end, last))
-
-    @staticmethod
-    def _last_token(v: Vocabulary, data: bytes, end: int, last: list[int]) -> int:
-        known, fits = v.known, v.side_by_side
-        for size in v.ends.get(data[end - 3:end], ()) if end > 2 else ():
-            if size <= end:
-                rank = known.get(data[end - size:end])
-                if rank is not None and (size == end or fits(last[end - size - 1], rank)):
-                    return rank
-        if end > 1:
-            rank = known.get(data[end - 2:end])
-            if rank is not None and (end == 2 or fits(last[end - 3], rank)):
-                return rank
-        return v.ranks[data[end - 1:end]]
+            token = None
+            if end > 2:
+                for size in lengths(data[end - 3:end], ()):
+                    if size <= end:
+                        rank = known(data[end - size:end])
+                        if rank is not None and (size == end or fits[last[end - size - 1] << 32 | rank]):
+                            token = rank
+                            break
+            if token is None and end > 1:
+                rank = known(data[end - 2:end])
+                if rank is not None and (end == 2 or fits[last[end - 3] << 32 | rank]):
+                    token = rank
+            last.append(ranks[data[end - 1:end]] if token is None else token)
+            if old is not None:
+                at = end - start - 1
+                agreed = agreed + 1 if last[-1] == old[at] else 0
+                if agreed >= v.longest:
+                    last.extend(old[at + 1:])
+                    return
 
     def edit(self, start: int, stop: int, new: bytes) -> None:
         """Replace data[start:stop]; prefixes before the edit keep their tokens.
@@ -139,20 +147,12 @@ class PrefixEncoder:
         Behind the edit the old records are taken over as soon as as many prefixes as the
         longest token has bytes agree with them: no later prefix looks further back.
         """
-        v = self.vocabulary
         tail, old = bytes(self.data[stop:]), self.last[stop:]
         del self.data[start:], self.last[start:]
         self.append(new)
-        data, last, agreed = bytes(self.data) + tail, self.last, 0
         begin = len(self.data)
-        for i in range(len(tail)):
-            token = self._last_token(v, data, begin + i + 1, last)
-            last.append(token)
-            agreed = agreed + 1 if token == old[i] else 0
-            if agreed >= v.longest:
-                last.extend(old[i + 1:])
-                break
         self.data += tail
+        self._extend(bytes(self.data), begin, old)
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
@@ -168,8 +168,8 @@ class Codec:
 
     def __init__(self, path: str = VOCABULARY):
         self.vocabulary = Vocabulary(path)
-        self.packed = Memo(lambda chunk: b"".join(map(self._piece, pretokens(chunk))))
-        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
+        self.packed = Memo(lambda chunk: b"".join(map(self._piece, pretokens(chunk))), CODEC_ENTRIES)
+        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes(), CODEC_ENTRIES)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(piece)
