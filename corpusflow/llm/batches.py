@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: reused workers would keep the most that any task has needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

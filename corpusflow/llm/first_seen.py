@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.batches import bounded_batches, mixed, slices, text_of
+from corpusflow.llm.batches import bounded_batches, mixed, release_memory, slices, text_of
 from corpusflow.llm.staging import parts_for, staged, text_bytes
 
 #: Text bytes whose keys share one task.
@@ -105,6 +105,7 @@ def _sender(keys_of: Callable, parts: int, both: bool) -> Callable:
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT_ARROW, strict=True)],
                     schema=_SENT_ARROW,
                 )
+            release_memory()
 
     return send
 
@@ -126,7 +127,9 @@ def _answerer(both: bool, blocks: int) -> Callable:
         if len(keys):
             order, report = _split_seen(ids, keys, both)
             found.append(np.stack([ids[order][report], keys[order][report].view(np.int64)], axis=1))
-        return pack_by_block(np.concatenate(found), blocks)
+        packed = pack_by_block(np.concatenate(found), blocks)
+        release_memory()
+        return packed
 
     return answer
 

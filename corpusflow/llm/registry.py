@@ -21,5 +21,6 @@ ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op4_near_duplicates": near_duplicates.ORACLE_SQL,
     "op6_substring_dedup": repeated_phrases.ORACLE_SQL,
+    "op7_byte_repeats": repeated_bytes.ORACLE_SQL,
     "op9_benchmark_decontamination": benchmark_hits.ORACLE_SQL,
 }

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import mixed, slices, text_of
+from corpusflow.llm.batches import mixed, release_memory, slices, text_of
 from corpusflow.llm.first_seen import PACKED, pack_by_block, seen_before, unpacked
 from corpusflow.llm.run_index import SEPARATOR, RunIndex
 from corpusflow.llm.staging import free_name, parts_for, staged, text_bytes
@@ -28,7 +28,7 @@ CORE = 32
 #: Bytes that are hashed in one numpy step.
 STEP_BYTES = 1 << 18
 #: Text bytes whose stretches share one task.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 4 << 20
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -71,7 +71,8 @@ def window_keys(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
 def _keys_of_some(texts: list[bytes], width: int) -> list[np.ndarray]:
     if sum(map(len, texts)) < width:
         return [np.empty(0, np.uint64)] * len(texts)
-    keys = _sliding_min(_core_hashes(np.frombuffer(b"".join(texts), np.uint8)), width - CORE + 1)
+    # Minima are small numbers; mixed again they spread evenly over the key ranges.
+    keys = mixed(_sliding_min(_core_hashes(np.frombuffer(b"".join(texts), np.uint8)), width - CORE + 1))
     out, at = [], 0
     for text in texts:
         out.append(keys[at:at + max(0, len(text) - width + 1)])
@@ -160,6 +161,7 @@ def _sender(parts: int, width: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT_ARROW, strict=True)], schema=_SENT_ARROW,
                 )
+            release_memory()
 
     return send
 
@@ -222,7 +224,9 @@ def _settle(width: int, blocks: int):
         for row, found in spans.items():
             joined = _join_spans(np.concatenate(found))
             rows.append(np.column_stack([np.broadcast_to(np.array(row, np.int64), (len(joined), 2)), joined]))
-        return pack_by_block(np.concatenate(rows), blocks)
+        packed = pack_by_block(np.concatenate(rows), blocks)
+        release_memory()
+        return packed
 
     return settle
 
@@ -248,7 +252,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spans_col, removed_col, kept_col = (free_name(docs, c) for c in ("found_spans", "removed_bytes", "kept_bytes"))
     parts = parts_for(text_bytes(docs, text_col)[1], RANGE_BYTES)
-    seen = seen_before(docs, _StretchKeys(width), id_col, text_col, both=True)
+    seen = seen_before(docs, _StretchKeys(width), id_col, text_col, RANGE_BYTES, both=True)
     shared = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"),
     ).join(seen.withColumnRenamed("seen_keys", "seen"), "doc_id").select("doc_id", "text_key", "text", "seen")
@@ -292,3 +296,24 @@ def op7_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), n_removed.alias("n_removed"),
         F.size("removed_bytes").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"),
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+keyed AS MATERIALIZED (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+judged AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS first FROM keyed),
+starts AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM judged WHERE first < doc_id),
+runs AS (
+  SELECT doc_id, p, sum((before IS NULL OR p > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM starts),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS gap FROM spans),
+cut AS (
+  SELECT g.doc_id, sum(e - s) AS n, count(*) AS spans, max(e) AS last,
+    string_agg(substr(h, (2 * gap + 1)::BIGINT, (2 * (s - gap))::BIGINT), '' ORDER BY s) AS kept
+  FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+"""
