@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusflow.functions.text import SPACE_CHARS, strip
+from corpusflow.functions.text import SPACE_CHARS
 
 # Encodings tried in this order once UTF-8 has failed; the first that decodes wins.
 FALLBACK_ENCODINGS = ["utf-16", "cp1252", "latin-1"]
