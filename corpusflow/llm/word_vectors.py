@@ -27,6 +27,8 @@ REACH = 2
 BLOCK = 256
 #: Partial sums that meet in one task.
 FAN_IN = 64
+#: Entries of each generation of the memo of words.
+MEMO_ROWS = 200_000
 #: Text bytes whose token vectors are held at once.
 POOL_BYTES = 1 << 18
 
@@ -51,7 +53,7 @@ def _rows(word: bytes) -> int:
     return body << 32 | (BODIES + 2 * shape)
 
 
-_ROWS = Memo(_rows)
+_ROWS = Memo(_rows, MEMO_ROWS)
 
 
 def token_rows(words: list[bytes]) -> np.ndarray:
