@@ -84,6 +84,19 @@ def test_token_counts_equal_the_library(spark):
     assert sorted(rows(token_counts.count_tokens(docs), "doc_id", "n_tokens")) == list(enumerate(expected))
 
 
+def white_runs(n, seed=7):
+    rng = random.Random(seed)
+    runs = ["a \xa0 \xa0 \xa0b", "price:" + " \xa0" * 9 + " 10"]
+    return runs + ["".join(rng.choice(["x", "7", "!", *" \xa0\t\n\u3000" * 2]) for _ in range(rng.randint(1, 24))) for _ in range(n)]
+
+
+def test_runs_of_mixed_white_space_are_exact(reference):
+    codec, library = bpe_codec.Codec(), Tokenizer.from_file(token_counts.VOCABULARY)
+    texts = white_runs(2000)
+    assert [codec.encode(t) for t in texts] == [reference.encode_ordinary(t) for t in texts]
+    assert token_counts.merger().count_texts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 # --- quality rules -----------------------------------------------------------------------
 
 
