@@ -103,8 +103,32 @@ class PPMModel:
                 if child is not None:
                     self.next[i, byte] = child
 
+        #: States from here on are contexts of full length.
+        self.first_full = sum(length < ORDER for length, _ in names)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each whole text and its end."""
+        return self._run(texts, None)
+
+    def score_known(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the log10 probability of the bytes behind contexts of full length; and the other bytes.
+
+        These come as the number of the text and the packed context and byte.
+        """
+        places: list[np.ndarray] = []
+        sums = self._run(texts, places)
+        if not texts:
+            return sums, np.empty(0, np.int64), np.empty(0, np.int64)
+        buffer, _, ends = framed(texts)
+        at = np.sort(np.concatenate(places))
+        keys = np.zeros(len(at), np.int64)
+        for back in range(ORDER, -1, -1):
+            keys <<= 8
+            keys |= buffer[at - back]
+        return sums, np.searchsorted(ends, at, side="right"), keys
+
+    def _run(self, texts: list[bytes], shallow: list[np.ndarray] | None) -> np.ndarray:
+        """Sum along each text; with `shallow`, places with shorter contexts are added to it and not to the sum."""
         if not texts:
             return np.empty(0)
         buffer, starts, ends = framed(texts)
@@ -124,6 +148,11 @@ class PPMModel:
         for step, n in enumerate(active.tolist()):
             at = state[:n] * 256
             at += buffer[begin[:n] + step]
-            total[:n] += logp.take(at)
+            values = logp.take(at)
+            if shallow is not None:
+                short = state[:n] < self.first_full
+                shallow.append(begin[:n][short] + step)
+                values[short] = 0
+            total[:n] += values
             state[:n] = following.take(at)
         return np.bincount(owner, weights=total, minlength=len(texts))

@@ -293,6 +293,28 @@ def test_scores_equal_plain_ones(spark, monkeypatch):
     assert unlearnt.base_score == 0 and math.isclose(unlearnt.score, -(len(texts[0].encode()) + 1) * math.log10(256), rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("contexts", [1, 8, 64])
+def test_rare_contexts_are_scored_exactly(spark, monkeypatch, contexts):
+    monkeypatch.setattr(lm_scores, "CONTEXTS_PER_ORDER", contexts)
+    monkeypatch.setattr(lm_scores, "RANGE_GRAMS", 100)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aaaabcde é\n日") for _ in range(rng.randint(0, 120))) for _ in range(40)] + [None, "", "zz unseen", "b" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    ppm = plain_ppm([(t or "").encode() for i, t in enumerate(texts) if i % 3 and i != 42])
+    found = rows(lm_scores.score_documents(docs, (F.col("doc_id") % 3 == 0) | (F.col("doc_id") == 42)), "doc_id", "score")
+    assert len(found) == len(texts)
+    assert all(math.isclose(score, ppm((texts[i] or "").encode()), rel_tol=1e-5) for i, score in found)
+
+
+def test_contexts_below_the_broadcast_share_count(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(10_000)) for _ in range(6)] + ["abcde fghij" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ppm = plain_ppm([t.encode() for t in texts[1:6]])
+    for i, score in rows(lm_scores.score_documents(docs, F.col("doc_id").isin(0, 6)), "doc_id", "score"):
+        assert math.isclose(score, ppm(texts[i].encode()), rel_tol=1e-5)
+
+
 # --- all --------------------------------------------------------------------------------
 
 
