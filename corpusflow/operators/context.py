@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import schemas as S
 from corpusflow.functions.text import strip
-from corpusflow.operators.ordered import first_rows
+from corpusflow.operators.ordered import first_rows, slab_running_sum
 
 # "[i] " plus the line break: no context block is shorter than this.
 SHORTEST_BLOCK = 5
@@ -158,6 +158,70 @@ def format_history(
     return joined.withColumn("history", F.coalesce(F.nullif("history", F.lit("")), F.lit(NO_HISTORY)))
 
 
+# Spoken messages of one conversation that share a task; the last few of a block are repeated in the next.
+HISTORY_BLOCK = 4096
+
+
+def turn_histories(
+    messages: DataFrame,
+    key: str = "conversation_id",
+    max_messages: int = S.HISTORY_MESSAGES,
+    max_chars: int = S.HISTORY_CHARS,
+    max_chars_per_message: int = S.HISTORY_CHARS_PER_MESSAGE,
+    block: int = HISTORY_BLOCK,
+) -> DataFrame:
+    """``(key, message_id, history)``: for every message the history window as it was before it.
+
+    ``history`` is an array of (role, content), oldest first: the last ``max_messages`` non-blank
+    messages, each cut, dropped from the oldest until they fit; the newest always stays. One bounded
+    frame per message instead of a row per message and earlier message. Non-blank messages are
+    numbered by days, and the frame runs per block of numbers, so a conversation of any length is
+    spread over its blocks. Messages of one time are taken in the order of their ids.
+    """
+    content = F.when(
+        F.length("content") > max_chars_per_message,
+        F.concat(F.substring(F.col("content"), 1, max_chars_per_message), F.lit(" ...")),
+    ).otherwise(F.col("content"))
+    blank = F.coalesce(F.length(strip(F.col("content"))), F.lit(0)) == 0
+    narrow = messages.select(
+        key, "message_id", "created_at", F.when(~blank, F.struct("role", content.alias("content"))).alias("_said")
+    )
+    numbered = slab_running_sum(
+        narrow, [key], F.to_date("created_at"), [F.col("created_at"), F.col("message_id")],
+        F.col("_said").isNotNull().cast("int"), "_n",
+    )
+    home = F.floor(F.col("_n") / block)
+    repeated = F.col("_said").isNotNull() & (F.col("_n") % block >= block - max_messages)
+    spread = numbered.select(
+        key, "message_id", "_said", "_n", home.alias("_home"),
+        F.explode(F.when(repeated, F.array(home, home + 1)).otherwise(F.array(home))).alias("_block"),
+    )
+    order = Window.partitionBy(key, "_block").orderBy("_n")
+    # A blank message has the number of the spoken one before it, which belongs to its history.
+    spoken_before = F.collect_list("_said").over(order.rangeBetween(-max_messages, -1))
+    blank_before = F.collect_list("_said").over(order.rangeBetween(1 - max_messages, 0))
+    framed = spread.withColumn(
+        "_past", F.reverse(F.when(F.col("_said").isNotNull(), spoken_before).otherwise(blank_before))
+    ).filter("_block = _home")
+
+    def fits(_, i):
+        newest = F.slice("_past", F.lit(1), i + 1)
+        return (i == 0) | (F.aggregate(newest, F.lit(0), lambda n, m: n + F.length(m["content"])) <= max_chars)
+
+    return framed.select(key, "message_id", F.reverse(F.filter("_past", fits)).alias("history"))
+
+
+def format_turns(history: Column, max_chars: int = S.PROMPT_HISTORY_CHARS) -> Column:
+    """A history array as ``User:`` / ``Assistant:`` lines."""
+
+    def line(turn: Column) -> Column:
+        clean = strip(F.coalesce(turn["content"], F.lit("")))
+        cut = F.when(F.length(clean) > max_chars, F.concat(F.substring(clean, 1, max_chars), F.lit(" ..."))).otherwise(clean)
+        return F.when(F.length(clean) > 0, F.concat(F.when(turn["role"] == "user", "User: ").otherwise("Assistant: "), cut))
+
+    return F.coalesce(F.nullif(F.array_join(F.transform(history, line), "\n"), F.lit("")), F.lit(NO_HISTORY))
+
+
 # Layout of the question part of the prompt, one per retrieval mode.
 _HISTORY_PART = "Conversation so far (for pronouns and follow-up context only):\n{history}\n\n"
 PROMPT_LAYOUTS = {

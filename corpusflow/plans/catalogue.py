@@ -1021,5 +1021,5 @@ def token_stream(spark, folder):
     session = J.stream_session(spark, spark.sparkContext.defaultParallelism)
     schema = V.table(spark, folder, "conversations").schema
     stored = session.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
-    said = V.turn_rows(stored).filter(F.col("role").isin("user", "assistant"))
+    said = V.turn_rows(stored, V.ids_each(spark, folder)).filter(F.col("role").isin("user", "assistant"))
     return J.drain(J.token_stream_assembly(V.token_rows(said)), spark, "tokens")

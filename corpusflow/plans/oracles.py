@@ -6,7 +6,16 @@ from corpusflow.functions.text import TITLE_LEAD_INS, TITLE_TRAILING_NOISE
 from corpusflow.operators import context, routing
 
 # Model tables as common table expressions, independent of the Spark definitions.
+def _document(vector: str) -> str:
+    return f"({vector}) % z.held * z.step + ({vector}) % z.held % z.step"
+
+
 VIEWS = {
+    "sizes": """
+        select d, v, held, greatest(d // held, 1) as step, (select max(turn) + 2 from conversations) as ids,
+               (select greatest((count(*) + 4) // 5, 1) from pages) as page_groups
+        from (select d, v, greatest(least(d, (v + 2) // 3), 1) as held
+              from (select (select count(*) from documents) as d, (select count(*) from embeddings) as v))""",
     "lib_documents": """
         select d.doc_id as document_id, d.source as user_id, 'doc_' || d.doc_id as name,
                'doc_' || d.doc_id || '.txt' as original_filename, d.n_chars as file_size,
@@ -17,24 +26,25 @@ VIEWS = {
                case when l.quality = 0 then 'NO_TEXT_EXTRACTED' end as error_code,
                d.text, timestamp '2024-01-01' + to_minutes(d.doc_id::int) as created_at
         from documents d left join labels l on l.doc_id = d.doc_id""",
+    "placed_vectors": f"""
+        select e.*, {_document('vec_id')} as document_id, (vec_id // z.held)::int as number from embeddings e, sizes z""",
     "lib_chunks": """
-        select e.vec_id as chunk_id, e.vec_id % 200 as document_id, d.user_id,
-               (e.vec_id // 200)::int as chunk_index, d.text as content, d.status,
+        select e.vec_id as chunk_id, e.document_id, d.user_id, e.number as chunk_index, d.text as content, d.status,
                d.original_filename as document_name, e.embedding::double[] as embedding,
                'm' || (e.label % 2) as embedding_model,
-               case when e.vec_id % 3 = 0 then (e.vec_id // 200)::int + 1 end as page,
-               case when e.vec_id % 3 = 1 then (e.vec_id // 200)::int + 1 end as slide,
-               case when e.vec_id % 2 = 0 then (e.vec_id // 200)::int + 1 end as paragraph,
-               case when e.vec_id % 3 = 2 then (e.vec_id // 200)::int + 1 end as line,
+               case when e.vec_id % 3 = 0 then e.number + 1 end as page,
+               case when e.vec_id % 3 = 1 then e.number + 1 end as slide,
+               case when e.vec_id % 2 = 0 then e.number + 1 end as paragraph,
+               case when e.vec_id % 3 = 2 then e.number + 1 end as line,
                case when e.vec_id % 5 = 1 then 'Section ' || e.label end as section,
                case when e.vec_id % 3 = 1 then 'Slide ' || e.label end as slide_title
-        from embeddings e join lib_documents d on d.document_id = e.vec_id % 200""",
-    "questions": """
+        from placed_vectors e join lib_documents d on d.document_id = e.document_id""",
+    "questions": f"""
         select e.vec_id as query_id, d.user_id, e.embedding::double[] as embedding,
                'm' || (e.label % 2) as embedding_model, e.vec_id % 2 = 0 as allow_weak,
                case when e.vec_id % 3 = 0
-                    then [e.vec_id % 200, (e.vec_id + 20) % 200, (e.vec_id + 40) % 200] end as scope
-        from embeddings e join lib_documents d on d.document_id = e.vec_id % 200""",
+                    then [e.document_id, {_document('e.vec_id + 20')}, {_document('e.vec_id + 40')}] end as scope
+        from placed_vectors e join lib_documents d on d.document_id = e.document_id, sizes z""",
     "users": """
         select source as user_id, source as name, upper(source) || '@Example.com' as email,
                case when source not like '%7' and min(doc_id) % 2 = 0 then 'hash' end as password_hash,
@@ -45,28 +55,27 @@ VIEWS = {
                ts + interval 14 day as expires_at
         from events""",
     "turns": """
-        select conv_id * 100 + turn as message_id, conv_id as conversation_id, role, text as content,
+        select conv_id * z.ids + turn as message_id, conv_id as conversation_id, role, text as content,
                turn as position, timestamp '2024-01-01' + to_minutes((conv_id * 100 + turn)::int) as created_at
-        from conversations""",
+        from conversations, sizes z""",
     "messages": "select * from turns where role in ('user', 'assistant')",
     "convs": """
         select conversation_id, 'src' || (conversation_id % 20) as user_id,
                coalesce(arg_min(content, position) filter (where role = 'user'), 'New chat') as title,
                (['auto', 'document', 'web', 'hybrid'])[conversation_id % 4 + 1] as mode,
-               case when conversation_id % 3 = 0 then conversation_id % 200 end as document_id,
+               case when conversation_id % 3 = 0 then conversation_id % (select d from sizes) end as document_id,
                conversation_id % 7 = 0 as pinned,
                case when conversation_id % 14 = 0 then max(created_at) end as pinned_at,
                min(created_at) as created_at, max(created_at) as updated_at
         from turns group by conversation_id""",
-    "sources": """
-        select m.message_id, p.position,
-               case when p.position = 2 and m.message_id % 2 = 1 then 'web' else 'document' end as type,
-               case when p.position = 2 and m.message_id % 2 = 1 then null
-                    else (m.message_id * 7 + p.position * 13) % 500 end as chunk_id,
-               case when p.position = 2 and m.message_id % 2 = 1 then null
-                    else ((m.message_id * 7 + p.position * 13) % 500) % 200 end as document_id,
-               '{"index":' || (p.position + 1) || '}' as metadata
-        from messages m, (values (0), (1), (2)) p(position) where m.role = 'assistant'""",
+    "sources": f"""
+        select message_id, position, type, chunk_id, case when chunk_id is not null then {_document('chunk_id')} end as document_id,
+               '{{"index":' || (position + 1) || '}}' as metadata
+        from (select m.message_id, p.position,
+                     case when p.position = 2 and m.message_id % 2 = 1 then 'web' else 'document' end as type,
+                     case when p.position = 2 and m.message_id % 2 = 1 then null
+                          else (m.message_id * 7 + p.position * 13) % (select v from sizes) end as chunk_id
+              from messages m, (values (0), (1), (2)) p(position) where m.role = 'assistant'), sizes z""",
     "web_results": """
         select page_id, url, html, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') as title,
                case when page_id % 3 = 0 then null else (page_id % 97) / 97.0::double end as score,
@@ -75,11 +84,13 @@ VIEWS = {
 }
 
 NEEDS = {
-    "lib_chunks": ["lib_documents"],
-    "questions": ["lib_documents"],
+    "placed_vectors": ["sizes"],
+    "lib_chunks": ["lib_documents", "placed_vectors"],
+    "questions": ["lib_documents", "placed_vectors"],
+    "turns": ["sizes"],
     "messages": ["turns"],
-    "convs": ["turns"],
-    "sources": ["turns", "messages"],
+    "convs": ["turns", "sizes"],
+    "sources": ["turns", "messages", "sizes"],
 }
 
 SQL: dict[str, tuple[list[str], str]] = {}
@@ -447,7 +458,7 @@ add("format_history", "messages", """
     select conversation_id, string_agg(line, chr(10) order by recency desc) as history from lines group by conversation_id""")
 VIEWS["message_sources"] = """
     select s.message_id as query_id, s.position + 1 as idx, s.type, s.document_id, s.chunk_id, c.content, c.page,
-           case when s.type = 'web' then 'Page ' || s.message_id else 'doc_' || (s.chunk_id % 200) || '.txt' end as title,
+           case when s.type = 'web' then 'Page ' || s.message_id else 'doc_' || s.document_id || '.txt' end as title,
            case when s.type = 'web' then 'https://example.com/' || s.message_id end as url
     from sources s left join lib_chunks c on c.chunk_id = s.chunk_id"""
 NEEDS["message_sources"] = ["turns", "messages", "sources", "lib_documents", "lib_chunks"]
@@ -959,16 +970,15 @@ for _stream, _batch in (
 # --- prompts -------------------------------------------------------------------------------------------
 
 _NOTICE = "'" + context.NO_CURRENT_DATA.replace("'", "''") + "'"
-VIEWS["last_asked"] = f"""
+VIEWS["turns_asked"] = f"""
     select r.message_id as query_id, r.conversation_id, r.user_id, r.message as question, r.requires_fresh_data, m.created_at,
            {_MODE.replace('route', 'r.route')} as mode, e.embedding::double[] as embedding, 'm' || (e.label % 2) as embedding_model
-    from routed r join messages m on m.message_id = r.message_id join embeddings e on e.vec_id = r.conversation_id % 500
-    qualify row_number() over (partition by r.conversation_id order by r.message_id desc) = 1"""
-NEEDS["last_asked"] = ["routed", "messages"]
-add("assemble_prompts", "last_asked lib_chunks page_texts", f"""
+    from routed r join messages m on m.message_id = r.message_id join embeddings e on e.vec_id = r.message_id % (select v from sizes)"""
+NEEDS["turns_asked"] = ["routed", "messages", "sizes"]
+add("assemble_prompts", "turns_asked lib_chunks page_texts", f"""
     with spoken as (
         select q.query_id, m.*, row_number() over (partition by q.query_id order by m.created_at desc, m.message_id desc) as back
-        from last_asked q join messages m on m.conversation_id = q.conversation_id and m.created_at < q.created_at
+        from turns_asked q join messages m on m.conversation_id = q.conversation_id and m.created_at < q.created_at
         where trim(m.content) != '' qualify back <= 6),
     cut as (select query_id, role, back, case when length(content) > 1200 then substr(content, 1, 1200) || ' ...' else content end as content from spoken),
     fitted as (select *, sum(length(content)) over (partition by query_id order by back) as total from cut qualify back = 1 or total <= 6000),
@@ -979,7 +989,7 @@ add("assemble_prompts", "last_asked lib_chunks page_texts", f"""
     pairs as (
         select q.query_id, q.mode, c.chunk_id, c.content, c.document_name, c.page,
                round(list_cosine_distance(q.embedding, c.embedding), 12) as d
-        from last_asked q join lib_chunks c on c.user_id = q.user_id and c.embedding_model = q.embedding_model
+        from turns_asked q join lib_chunks c on c.user_id = q.user_id and c.embedding_model = q.embedding_model
         where c.status = 'ready' and q.mode in ('document', 'hybrid')),
     ranked as (select * from pairs qualify row_number() over (partition by query_id order by d, chunk_id) <= 12),
     flagged as (select *, max((d <= 0.75)::int) over (partition by query_id) as any_near from ranked),
@@ -995,13 +1005,13 @@ add("assemble_prompts", "last_asked lib_chunks page_texts", f"""
         group by query_id),
     doc_counts as (select query_id, count(*) as n from kept group by query_id),
     page_hits as (
-        select p.page_id % 50 as grp, coalesce(nullif(regexp_extract(p.html, '<title>([^<]*)</title>', 1), ''), p.url) as title, p.url,
+        select p.page_id % (select page_groups from sizes) as grp, coalesce(nullif(regexp_extract(p.html, '<title>([^<]*)</title>', 1), ''), p.url) as title, p.url,
                substr(t.text, 1, 600) as snippet, substr(t.text, 1, 8000) as body,
-               row_number() over (partition by p.page_id % 50 order by p.page_id) as pos
+               row_number() over (partition by p.page_id % (select page_groups from sizes) order by p.page_id) as pos
         from pages p join page_texts t on t.page_id = p.page_id qualify pos <= 5),
     web as (
         select q.query_id, q.mode, h.pos, h.snippet, h.body, coalesce(n, 0) + h.pos as number, h.title, h.url
-        from last_asked q join page_hits h on h.grp = q.conversation_id % 50 left join doc_counts dc on dc.query_id = q.query_id
+        from turns_asked q join page_hits h on h.grp = q.query_id % (select page_groups from sizes) left join doc_counts dc on dc.query_id = q.query_id
         where q.mode in ('web', 'hybrid')),
     web_context as (
         select query_id, string_agg('[' || number || '] ' || title || ' - ' || url || chr(10) || snippet, chr(10) || chr(10) order by number) as context,
@@ -1014,7 +1024,7 @@ add("assemble_prompts", "last_asked lib_chunks page_texts", f"""
                    || case when w.scraped != '' then chr(10) || chr(10) || 'Full text of the most relevant page:' || chr(10) || w.scraped else '' end
                    || case when q.requires_fresh_data and w.query_id is null then {_NOTICE} else '' end, 1, 12000), ''),
                    '(no web results found)') as web_part
-        from last_asked q left join history h on h.query_id = q.query_id left join doc_context d on d.query_id = q.query_id
+        from turns_asked q left join history h on h.query_id = q.query_id left join doc_context d on d.query_id = q.query_id
         left join web_context w on w.query_id = q.query_id)
     select query_id, mode, 'Conversation so far (for pronouns and follow-up context only):' || chr(10) || past || chr(10) || chr(10)
         || case mode when 'llm' then 'Question:' || chr(10) || question

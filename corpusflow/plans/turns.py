@@ -15,12 +15,6 @@ from corpusflow.sources.web import normalise_web_results, page_text, strip_html
 # --- operators over question tables ------------------------------------------------
 
 
-def history_before(questions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Messages of each question's conversation that precede it, keyed by ``query_id``."""
-    asked = questions.select("query_id", "conversation_id", F.col("created_at").alias("_asked_at"))
-    return messages.join(asked, "conversation_id").filter(F.col("created_at") < F.col("_asked_at")).drop("_asked_at")
-
-
 def hybrid_retrieve(
     questions: DataFrame, chunks: DataFrame, documents: DataFrame, web: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -40,13 +34,13 @@ def assemble_turn_prompts(
     questions: DataFrame, messages: DataFrame, document_sources: DataFrame, web_sources: DataFrame,
     scraped: DataFrame | None = None,
 ) -> DataFrame:
-    """Prompt per question.
+    """Prompt per question. A question is a message: its history is the bounded window before it.
 
-    ``questions``: query_id, conversation_id, created_at, question, mode, requires_fresh_data.
+    ``questions``: query_id (the message id), conversation_id, created_at, question, mode, requires_fresh_data.
     ``scraped``: query_id, scraped (text of the page read for the question).
     """
-    spoken = context.build_history(history_before(questions, messages), key="query_id")
-    history = context.format_history(spoken, key="query_id")
+    past = context.turn_histories(messages)
+    history = past.select(F.col("message_id").alias("query_id"), context.format_turns(F.col("history")).alias("history"))
     counts = document_sources.groupBy("query_id").agg(F.count("*").alias("_n"))
     from_documents = context.build_context(document_sources).withColumnRenamed("context", "document_context")
     numbered = web_sources.join(counts, "query_id", "left").withColumn("_start", F.coalesce("_n", F.lit(0)) + 1)
@@ -133,15 +127,14 @@ def turn_report_query(spark, folder) -> DataFrame:
 
 
 def turn_questions(spark, folder) -> DataFrame:
-    """The last question of every conversation with a vector and its mode."""
+    """Every question asked in a conversation, with a vector and its mode."""
     asked = routed_turns(spark, folder)
     times = V.messages(spark, folder).select("message_id", "created_at")
-    last = asked.groupBy("conversation_id").agg(F.max("message_id").alias("message_id"))
     vectors = V.table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("_vec"), "embedding", F.expr("concat('m', label % 2)").alias("embedding_model")
     )
-    picked = asked.join(last, ["conversation_id", "message_id"]).join(times, "message_id")
-    return picked.withColumn("_vec", F.col("conversation_id") % 500).join(vectors, "_vec").select(
+    numbered = asked.join(times, "message_id").withColumn("_vec", F.col("message_id") % V.rows_in(spark, folder, "embeddings"))
+    return numbered.join(vectors, "_vec").select(
         F.col("message_id").alias("query_id"), "conversation_id", "user_id", "created_at",
         F.col("message").alias("question"), routing.retrieval_mode(F.col("route")).alias("mode"),
         "requires_fresh_data", "embedding", "embedding_model",
@@ -149,23 +142,23 @@ def turn_questions(spark, folder) -> DataFrame:
 
 
 def prompts_of_turns(spark, folder) -> DataFrame:
-    """Prompts of the last questions; search results are those of the page group of the conversation."""
+    """Prompts of all questions; search results are those of the question's group of pages."""
     # Seven branches read the routed questions; they are routed once.
     questions = staged(turn_questions(spark, folder), "questions")
-    pages = V.web_results(spark, folder).select(
-        (F.col("page_id") % 50).alias("query_id"), F.col("page_id").alias("rank"), "title", "url",
-        page_text(F.col("html")).alias("content"), "score",
+    # Five pages a group, so that every page is a result.
+    groups = F.greatest(F.floor((V.rows_in(spark, folder, "pages") + 4) / 5), F.lit(1).cast("bigint"))
+    grouped = V.web_results(spark, folder).withColumn("_group", F.col("page_id") % groups)
+    found = grouped.select(
+        F.col("_group").alias("query_id"), F.col("page_id").alias("rank"), "title", "url", page_text(F.col("html")).alias("content"), "score",
     )
     # Five results per group are picked before the groups meet the questions.
-    top = normalise_web_results(pages).withColumnRenamed("query_id", "_group")
-    groups = questions.select("query_id", (F.col("conversation_id") % 50).alias("_group"), "mode")
-    web = groups.join(top, "_group").drop("_group", "mode")
+    top = normalise_web_results(found).withColumnRenamed("query_id", "_group")
+    asking = questions.select("query_id", (F.col("query_id") % groups).alias("_group"), "mode")
+    web = asking.join(top, "_group").drop("_group", "mode")
     documents_found, web_found = hybrid_retrieve(questions, V.chunks(spark, folder), V.documents(spark, folder), web)
     # The page of the first hit is read: its visible text up to the length limit, not the short snippet.
-    first = V.web_results(spark, folder).groupBy((F.col("page_id") % 50).alias("_group")).agg(
-        F.min_by("html", "page_id").alias("html")
-    )
-    scraped = groups.join(first, "_group").select("query_id", strip_html(F.col("html")).alias("scraped"))
+    first = grouped.groupBy("_group").agg(F.min_by("html", "page_id").alias("html"))
+    scraped = asking.join(first, "_group").select("query_id", strip_html(F.col("html")).alias("scraped"))
     return assemble_turn_prompts(questions, V.messages(spark, folder), documents_found, web_found, scraped)
 
 

@@ -66,13 +66,33 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Chunks of a document, while the stored vectors last.
+CHUNKS_EACH = 3
+
+
+def rows_in(spark: SparkSession, folder: str, name: str) -> Column:
+    """Number of rows of a stored table, as a scalar subquery."""
+    return table(spark, folder, name).agg(F.count(F.lit(1))).scalar()
+
+
+def document_of(spark: SparkSession, folder: str, vector: Column) -> tuple[Column, Column]:
+    """(document, number in it) of a stored vector: the vectors are dealt over documents of the whole id range."""
+    documents = rows_in(spark, folder, "documents")
+    held = F.greatest(F.least(documents, F.ceil(rows_in(spark, folder, "embeddings") / CHUNKS_EACH)), F.lit(1).cast("bigint"))
+    step = F.greatest(F.floor(documents / held), F.lit(1).cast("bigint"))
+    place = vector % held
+    return place * step + place % step, F.floor(vector / held)
+
+
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored vectors as chunks of the first 200 documents (every scale factor has them)."""
+    """Every stored vector as a chunk of a document."""
     owners = documents(spark, folder).select("document_id", "user_id", F.col("text").alias("content"))
-    position = "cast(vec_id div 200 as int)"
+    document, number = document_of(spark, folder, F.col("vec_id"))
+    placed = table(spark, folder, "embeddings").withColumns({"_document": document, "_number": number.cast("int")})
+    position = "_number"
     metadata = F.expr(
         "named_struct("
-        "'documentName', concat('doc_', vec_id % 200, '.txt'),"
+        "'documentName', concat('doc_', _document, '.txt'),"
         f"'page', case when vec_id % 3 = 0 then {position} + 1 end,"
         f"'slide', case when vec_id % 3 = 1 then {position} + 1 end,"
         f"'paragraph', case when vec_id % 2 = 0 then {position} + 1 end,"
@@ -82,10 +102,9 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
         "'title', case when vec_id % 3 = 1 then concat('Slide ', label) end)"
     )
     return (
-        table(spark, folder, "embeddings")
-        .select(
-            F.col("vec_id").alias("chunk_id"), F.expr("vec_id % 200").alias("document_id"),
-            F.expr(position).alias("chunk_index"), metadata.alias("metadata"), "embedding",
+        placed.select(
+            F.col("vec_id").alias("chunk_id"), F.col("_document").alias("document_id"),
+            F.col("_number").alias("chunk_index"), metadata.alias("metadata"), "embedding",
             F.expr("concat('m', label % 2)").alias("embedding_model"),
         )
         .join(owners, "document_id")
@@ -95,16 +114,14 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """Every stored vector asked as a question by the owner of its document."""
     owners = documents(spark, folder).select("document_id", "user_id")
+    scoped = [document_of(spark, folder, F.col("vec_id") + i)[0] for i in (0, 20, 40)]
     return (
         table(spark, folder, "embeddings")
         .select(
-            F.col("vec_id").alias("query_id"), F.expr("vec_id % 200").alias("document_id"),
+            F.col("vec_id").alias("query_id"), scoped[0].alias("document_id"),
             "embedding", F.expr("concat('m', label % 2)").alias("embedding_model"),
             F.expr("vec_id % 2 = 0").alias("allow_weak"),
-            F.expr(
-                "case when vec_id % 3 = 0 then array(vec_id % 200, (vec_id + 20) % 200, (vec_id + 40) % 200)"
-                " end"
-            ).alias("scope"),
+            F.when(F.col("vec_id") % 3 == 0, F.array(*scoped)).alias("scope"),
         )
         .join(owners, "document_id").drop("document_id")
     )
@@ -136,12 +153,22 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """All stored turns, including roles the message table does not allow."""
-    return turn_rows(table(spark, folder, "conversations"))
+    return turn_rows(table(spark, folder, "conversations"), _ids_each(spark, folder).scalar())
+
+
+def _ids_each(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").agg((F.max("turn") + 2).alias("ids"))
+
 
+def ids_each(spark: SparkSession, folder: str) -> Column:
+    """Message ids of a conversation, as a number known now: streams have no scalar subqueries."""
+    return F.lit(_ids_each(spark, folder).first()[0])
 
-def turn_rows(stored: DataFrame) -> DataFrame:
+
+def turn_rows(stored: DataFrame, ids: Column) -> DataFrame:
+    """Turns as messages; a conversation has `ids` message ids, more than it has turns, so no two share one."""
     return stored.select(
-        F.expr("conv_id * 100 + turn").alias("message_id"),
+        (F.col("conv_id") * ids + F.col("turn")).alias("message_id"),
         F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"),
         F.col("turn").alias("position"),
         _minutes("conv_id * 100 + turn").alias("created_at"),
@@ -162,7 +189,7 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
         "conversation_id", F.expr("concat('src', conversation_id % 20)").alias("user_id"),
         F.expr("coalesce(title, 'New chat')").alias("title"),
         F.expr("element_at(array('auto', 'document', 'web', 'hybrid'), cast(conversation_id % 4 as int) + 1)").alias("mode"),
-        F.expr("case when conversation_id % 3 = 0 then conversation_id % 200 end").alias("document_id"),
+        F.when(F.col("conversation_id") % 3 == 0, F.col("conversation_id") % rows_in(spark, folder, "documents")).alias("document_id"),
         F.expr("conversation_id % 7 = 0").alias("pinned"),
         F.expr("case when conversation_id % 14 = 0 then updated_at end").alias("pinned_at"),
         "created_at", "updated_at",
@@ -172,14 +199,14 @@ def conversations(spark: SparkSession, folder: str) -> DataFrame:
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     """Three citations per assistant message; the last of every second message is a web page."""
     answers = messages(spark, folder).filter("role = 'assistant'")
-    return answers.select(
-        "message_id", F.explode(F.expr("array(0, 1, 2)")).alias("position")
-    ).selectExpr(
-        "message_id", "position",
-        "case when position = 2 and message_id % 2 = 1 then 'web' else 'document' end as type",
-        "case when position = 2 and message_id % 2 = 1 then null else (message_id * 7 + position * 13) % 500 end as chunk_id",
-        "case when position = 2 and message_id % 2 = 1 then null else ((message_id * 7 + position * 13) % 500) % 200 end as document_id",
-        "concat('{\"index\":', position + 1, '}') as metadata",
+    placed = answers.select("message_id", F.explode(F.expr("array(0, 1, 2)")).alias("position"))
+    web = (F.col("position") == 2) & (F.col("message_id") % 2 == 1)
+    chunk = (F.col("message_id") * 7 + F.col("position") * 13) % rows_in(spark, folder, "embeddings")
+    cited = placed.withColumn("chunk_id", F.when(~web, chunk))
+    return cited.select(
+        "message_id", "position", F.when(web, "web").otherwise("document").alias("type"), "chunk_id",
+        document_of(spark, folder, F.col("chunk_id"))[0].alias("document_id"),
+        F.expr("concat('{\"index\":', position + 1, '}')").alias("metadata"),
     )
 
 

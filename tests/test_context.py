@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -66,6 +67,30 @@ def test_newest_message_always_stays(spark):
     assert rows(cut, "content") == [("x" * 1200 + " ...",)]
 
 
+@pytest.mark.parametrize("block", [4096, 8])
+def test_history_before_every_turn(spark, block):
+    generator = random.Random(block)
+    talks = {c: [generator.choice(["", " \n", "a", "x" * 700, "y" * 1300, "z" * 40]) for _ in range(n)] for c, n in ((1, 120), (2, 3), (3, 1))}
+    t0 = datetime(2024, 1, 1)
+    # Some messages share their time; their ids decide.
+    data = [(c, 1000 * c + i, ["user", "assistant"][i % 2], t, t0 + timedelta(hours=i // 2)) for c, texts in talks.items() for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "conversation_id int, message_id int, role string, content string, created_at timestamp")
+    found = context.turn_histories(df, block=block).select("message_id", "history", context.format_turns(F.col("history")).alias("text"))
+    got = {r.message_id: ([tuple(h) for h in r.history], r.text) for r in found.collect()}
+    assert len(got) == len(data)
+    for c, texts in talks.items():
+        for i in range(len(texts)):
+            window, used = [], 0
+            for j in reversed([j for j in range(i) if texts[j].strip()][-6:]):
+                said = texts[j] if len(texts[j]) <= 1200 else texts[j][:1200] + " ..."
+                used += len(said)
+                if window and used > 6000:
+                    break
+                window.insert(0, (["user", "assistant"][j % 2], said))
+            lines = [("User: " if r == "user" else "Assistant: ") + (s.strip()[:800] + " ..." if len(s.strip()) > 800 else s.strip()) for r, s in window]
+            assert got[1000 * c + i] == (window, "\n".join(lines) or context.NO_HISTORY)
+
+
 def test_format_history(spark):
     got = context.format_history(messages(spark, ["hi", "  ", " there ", "x" * 900]))
     assert rows(got, "history") == [("User: hi\nUser: there\nAssistant: " + "x" * 800 + " ...",)]
