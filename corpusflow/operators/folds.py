@@ -51,6 +51,11 @@ def document_state(events: DataFrame) -> DataFrame:
         F.max_by("index", F.when(frames, F.col("seq"))).alias("_batches"),
         F.max(F.when(result, F.col("batches"))).alias("_batches_total"),
     )
+    return judged_state(folded)
+
+
+def judged_state(folded: DataFrame) -> DataFrame:
+    """State, outcome and counters of documents from their folded events."""
     nothing = F.col("_result") & (F.col("_chunks") == 0)
     failed = F.col("_error") | nothing
     done = F.col("_result") & ~failed

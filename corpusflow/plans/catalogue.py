@@ -960,8 +960,8 @@ def _event_stream(spark, folder):
 
 @query
 def rate_limit_stream(spark, folder):
-    rows = J.rate_limit_stream(_event_stream(spark, folder).select("key", "request_id", "at"), 2, 86400)
-    return J.drain(rows, spark, "rate-limit")
+    stream = J.replay(V.requests(spark, folder).select("key", "request_id", "at"), "at", "requests")
+    return J.drain(J.rate_limit_stream(stream, 2, 86400), spark, "rate-limit")
 
 
 @query
@@ -975,10 +975,10 @@ def ttl_memo_stream(spark, folder):
 
 @query
 def progress_throttle_stream(spark, folder):
-    rows = _event_stream(spark, folder).select(
+    rows = V.requests(spark, folder).select(
         F.col("key").alias("document_id"), "request_id", "at", F.expr("event_type = 'signup'").alias("stage_change")
     )
-    return J.drain(J.progress_throttle_stream(rows, 86_400_000), spark, "throttle")
+    return J.drain(J.progress_throttle_stream(J.replay(rows, "at", "ticks"), 86_400_000), spark, "throttle")
 
 
 @query
@@ -987,6 +987,18 @@ def document_state_stream(spark, folder):
     return J.drain(J.ingest_progress_stream(stream), spark, "document-state", "update", "document_id")
 
 
+@query
+def document_runs(spark, folder):
+    return FO.document_state(V.processing_runs(spark, folder))
+
+
+@query
+def document_runs_stream(spark, folder):
+    """Documents from their first event to their end, each forgotten after it."""
+    stream = J.replay(V.processing_runs(spark, folder), "at", "runs")
+    return J.drain(J.document_progress_stream(stream), spark, "document-runs", "update", "document_id")
+
+
 @query
 def asked_spaces(spark, folder):
     """Chunks whose owner and model occur among the questions that accept weak matches."""
@@ -1018,8 +1030,5 @@ def extraction_info(spark, folder):
 @query
 def token_stream(spark, folder):
     """Answers assembled while their tokens arrive."""
-    session = J.stream_session(spark, spark.sparkContext.defaultParallelism)
-    schema = V.table(spark, folder, "conversations").schema
-    stored = session.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
-    said = V.turn_rows(stored, V.ids_each(spark, folder)).filter(F.col("role").isin("user", "assistant"))
-    return J.drain(J.token_stream_assembly(V.token_rows(said)), spark, "tokens")
+    stream = J.replay(V.answer_events(spark, folder), "at", "tokens")
+    return J.drain(J.token_stream_assembly(stream), spark, "answers")

@@ -730,8 +730,14 @@ VIEWS["processing_events"] = f"""
         event_type = 'signup' and k < 10 as ocr, case when event_type != 'click' and k % 2 = 0 then k end as page,
         case when event_type != 'click' and k % 5 = 0 then k + 100 end as pages, case when event_type = 'signup' then k end as ocr_pages,
         case when event_type = 'view' and k % 3 = 0 then k end as block, case when event_type = 'view' and k % 7 = 0 then k + 50 end as blocks,
-        k % 64 as n, event_id as idx, k + 1 as batches, case when k = 98 then null else 'E' || k end as code, 'failed at ' || k as message
+        k % 64 as n, event_id as idx, k + 1 as batches, case when k = 98 then null else 'E' || k end as code, 'failed at ' || k as message,
+        ts
     from (select *, {_K} as k from events)"""
+VIEWS["processing_runs"] = """
+    select * replace (document_id || '-' || coalesce(sum((type in ('result', 'error'))::int) over (
+        partition by document_id order by ts, seq rows between unbounded preceding and 1 preceding), 0) as document_id)
+    from processing_events"""
+NEEDS["processing_runs"] = ["processing_events"]
 add("document_state", "processing_events", """
     with folded as (
         select document_id,
@@ -757,6 +763,7 @@ add("document_state", "processing_events", """
         case when done then coalesce(total, frames) when not failed then frames end::bigint as batches,
         case when done then coalesce(total, frames) end::bigint as batches_total, case when done then chunks end::bigint as chunks_total
     from judged""")
+SQL["document_runs"] = (["processing_runs"], SQL["document_state"][1].replace("processing_events", "processing_runs"))
 VIEWS["answers"] = """
     select message_id, conversation_id, content, critique, tokens,
         case when empty and err is null and reason = 'stop' then 'error' else reason end as finish_reason,
@@ -964,6 +971,7 @@ add("ingest_documents", "judged lib_documents", """
 for _stream, _batch in (
     ("rate_limit_stream", "fixed_window_limits"), ("ttl_memo_stream", "ttl_cache_hits"),
     ("progress_throttle_stream", "progress_throttle"), ("document_state_stream", "document_state"),
+    ("document_runs_stream", "document_runs"),
 ):
     SQL[_stream] = SQL[_batch]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import embedding, folds
 from corpusflow.plans import ingest
-from corpusflow.session import shared_dir
+from corpusflow.session import shared_dir, staged
 from corpusflow.streaming import processors
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,30 +29,41 @@ def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkS
     return session
 
 
-def _mode(ttl_ms: int | None) -> str:
-    return "ProcessingTime" if ttl_ms else "None"
+#: How far events may lag behind the newest one, in seconds; later ones are dropped.
+LATE_SECONDS = 600
+#: Life time of an unfinished answer and of an unfinished document without events, in seconds.
+ANSWER_LIFE_SECONDS = 3600
+DOCUMENT_LIFE_SECONDS = 86_400
 
 
-def rate_limit_stream(requests: DataFrame, points: int, window_seconds: int, state_ttl_ms: int | None = None) -> DataFrame:
+def _timed(events: DataFrame, late_seconds: int) -> DataFrame:
+    """Events with a watermark on ``at`` (microseconds), or on the time they are read where they have none."""
+    at = F.timestamp_micros("at") if "at" in events.columns else F.current_timestamp()
+    timed = events.withColumn("event_time", at).withWatermark("event_time", f"{late_seconds} seconds")
+    return timed.withColumn("event_ms", F.unix_millis("event_time"))
+
+
+def rate_limit_stream(requests: DataFrame, points: int, window_seconds: int, late_seconds: int = LATE_SECONDS) -> DataFrame:
     """Decision per request. ``requests``: key, request_id, at (microseconds)."""
-    return requests.groupBy("key").transformWithStateInPandas(
-        processors.FixedWindow(points, window_seconds, state_ttl_ms),
+    return _timed(requests, late_seconds).groupBy("key").transformWithStateInPandas(
+        processors.FixedWindow(points, window_seconds),
         "request_id bigint, used bigint, allowed boolean, remaining bigint, reset_seconds bigint",
-        "append", _mode(state_ttl_ms),
+        "append", "EventTime",
     )
 
 
 def ttl_memo_stream(events: DataFrame, ttl_seconds: int, state_ttl_ms: int | None = None) -> DataFrame:
     """Hit or miss per request. ``events``: owner, key, request_id, at, storable, clears."""
     return events.groupBy("owner").transformWithStateInPandas(
-        processors.MemoCache(ttl_seconds, state_ttl_ms), "request_id bigint, hit boolean", "append", _mode(state_ttl_ms)
+        processors.MemoCache(ttl_seconds, state_ttl_ms), "request_id bigint, hit boolean", "append",
+        "ProcessingTime" if state_ttl_ms else "None",
     )
 
 
-def progress_throttle_stream(events: DataFrame, interval_ms: int, state_ttl_ms: int | None = None) -> DataFrame:
+def progress_throttle_stream(events: DataFrame, interval_ms: int, late_seconds: int = LATE_SECONDS) -> DataFrame:
     """Written flag per event. ``events``: document_id, request_id, at, stage_change."""
-    return events.groupBy("document_id").transformWithStateInPandas(
-        processors.Throttle(interval_ms, state_ttl_ms), "request_id bigint, written boolean", "append", _mode(state_ttl_ms)
+    return _timed(events, late_seconds).groupBy("document_id").transformWithStateInPandas(
+        processors.Throttle(interval_ms), "request_id bigint, written boolean", "append", "EventTime"
     )
 
 
@@ -61,18 +72,63 @@ def ingest_progress_stream(events: DataFrame) -> DataFrame:
     return folds.document_state(events)
 
 
-def token_stream_assembly(events: DataFrame, state_ttl_ms: int | None = None) -> DataFrame:
-    """Finished answers. ``events``: message_id, seq, type, text, finish_reason, code, aborted."""
-    return events.groupBy("message_id").transformWithStateInPandas(
-        processors.AnswerAssembly(state_ttl_ms),
+def document_progress_stream(
+    events: DataFrame, late_seconds: int = LATE_SECONDS, life_seconds: int = DOCUMENT_LIFE_SECONDS
+) -> DataFrame:
+    """Current state per document, updated as events arrive; documents that have ended leave the state.
+
+    ``events``: those of ``folds.document_state`` and at (microseconds).
+    """
+    folded = _timed(events, late_seconds).withColumn("document_id", F.col("document_id").cast("string")).groupBy("document_id")
+    return folds.judged_state(folded.transformWithStateInPandas(
+        processors.DocumentFold(late_seconds * 1000, life_seconds * 1000), processors.FOLDED, "update", "EventTime"
+    ))
+
+
+def token_stream_assembly(
+    events: DataFrame, late_seconds: int = LATE_SECONDS, life_seconds: int = ANSWER_LIFE_SECONDS
+) -> DataFrame:
+    """Finished answers. ``events``: message_id, seq, type, text, finish_reason, code, aborted and optionally at."""
+    return _timed(events, late_seconds).groupBy("message_id").transformWithStateInPandas(
+        processors.AnswerAssembly(late_seconds * 1000, life_seconds * 1000),
         "message_id bigint, content string, critique string, tokens bigint, finish_reason string, error_code string",
-        "append", _mode(state_ttl_ms),
+        "append", "EventTime",
     )
 
 
-def drain(stream: DataFrame, spark: SparkSession, label: str, mode: str = "append", key: str | None = None) -> DataFrame:
+#: Rows of one micro-batch of a replay, and the least number of micro-batches.
+REPLAY_ROWS = 1_000_000
+REPLAY_BATCHES = 4
+
+
+def replay(rows: DataFrame, time: str, label: str, session: SparkSession | None = None) -> DataFrame:
+    """Stored rows as a stream in the order of ``time``: files of bounded size, one a micro-batch.
+
+    The rows are dealt to slices of time once; the slices are then written one after the other,
+    because a file source reads files in the order of their writing. Rows of one time share a file.
+    """
+    spark = rows.sparkSession
+    session = session or stream_session(spark, spark.sparkContext.defaultParallelism)
+    total = rows.count()
+    batches = max(REPLAY_BATCHES, -(-total // REPLAY_ROWS))
+    found = rows.agg(F.percentile_approx(time, [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+    cuts = sorted(set(found))
+    number = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col(time))) if cuts else F.lit(0)
+    sliced = staged(rows.withColumn("_slice", number).repartition("_slice"), f"{label}-slices", "_slice")
+    path = f"{shared_dir(spark)}/corpusflow/{label}-{uuid.uuid4().hex}"
+    for i in range(len(cuts) + 1):
+        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drain(
+    stream: DataFrame, spark: SparkSession, label: str, mode: str = "append", key: str | None = None,
+    progress: list | None = None,
+) -> DataFrame:
     """Run a stream over what is available now and return its sink table.
 
+    ``progress`` receives the progress report of every micro-batch.
+
     In update mode each micro-batch is written with its number and the latest row per ``key`` wins.
     A micro-batch that is run again replaces its own folder.
     """
@@ -87,6 +143,8 @@ def drain(stream: DataFrame, spark: SparkSession, label: str, mode: str = "appen
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
     table = spark.read.schema(stream.schema.add("batch", "long")).parquet(sink)
     if mode == "append":
         return table.drop("batch")

@@ -1,39 +1,88 @@
-"""Stateful processors: one small state per key, rows folded in time order per micro-batch."""
+"""Stateful processors: one small state per key, rows folded in time order per micro-batch.
+
+Each state ends: a timer in event time removes it when the watermark has passed the time up to
+which it can matter.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Rows of one output frame.
+OUT_ROWS = 10_000
+
+
 def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
 
 
+def _times(rows: Iterator[pd.DataFrame], *more: str) -> list[np.ndarray]:
+    """(at, request_id, more...) of all rows in time order; of each frame read only these columns are kept."""
+    names = ("at", "request_id", *more)
+    pieces = [[pdf[name].to_numpy() for name in names] for pdf in rows]
+    columns = [np.concatenate(column) for column in zip(*pieces, strict=True)]
+    order = np.lexsort((columns[1], columns[0]))
+    return [column[order] for column in columns]
+
+
+def _frames(names: list[str], columns: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(columns[0]), OUT_ROWS):
+        yield pd.DataFrame({name: column[at:at + OUT_ROWS] for name, column in zip(names, columns, strict=True)})
+
+
+def _wake_at(handle: StatefulProcessorHandle, millis: int) -> None:
+    """One timer per key: at this event time, and no longer at an earlier one."""
+    for set_before in list(handle.listTimers()):
+        handle.deleteTimer(set_before[0] if isinstance(set_before, (list, tuple)) else set_before)
+    handle.registerTimer(int(millis))
+
+
+def _millis_after(micros: int) -> int:
+    """First whole millisecond at or after a time in microseconds."""
+    return -(-int(micros) // 1000)
+
+
 class FixedWindow(StatefulProcessor):
-    """Counter window anchored at the first request; rejected requests count as well."""
+    """Counter window anchored at the first request; rejected requests count as well.
 
-    def __init__(self, points: int, window_seconds: int, ttl_ms: int | None = None):
+    A window whose end the watermark has passed decides nothing any more: its state goes.
+    """
+
+    def __init__(self, points: int, window_seconds: int):
         self.points, self.window_seconds, self.width = points, window_seconds, window_seconds * 1_000_000
-        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start bigint, used bigint", self.ttl_ms)
+        self.handle = handle
+        self.window = handle.getValueState("window", "start bigint, used bigint")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        pdf = _in_order(rows, ["at", "request_id"])
+        at, requests = _times(rows)
         start, used = self.window.get() if self.window.exists() else (None, 0)
-        out = []
-        for request, at in zip(pdf["request_id"], pdf["at"]):
-            if start is None or at >= start + self.width:
-                start, used = int(at), 0
-            used += 1
-            seconds = (start + self.width - int(at) + 500_000) // 1_000_000
-            out.append((int(request), used, used <= self.points, max(self.points - used, 0), seconds or self.window_seconds))
+        starts, counts, i = np.empty(len(at), np.int64), np.empty(len(at), np.int64), 0
+        while i < len(at):
+            if start is None or at[i] >= start + self.width:
+                start, used = int(at[i]), 0
+            end = max(i + 1, int(np.searchsorted(at, start + self.width, side="left")))
+            starts[i:end] = start
+            counts[i:end] = np.arange(used + 1, used + 1 + end - i)
+            used, i = used + end - i, end
         self.window.update((start, used))
-        yield pd.DataFrame(out, columns=["request_id", "used", "allowed", "remaining", "reset_seconds"])
+        _wake_at(self.handle, _millis_after(start + self.width))
+        seconds = (starts + self.width - at + 500_000) // 1_000_000
+        yield from _frames(
+            ["request_id", "used", "allowed", "remaining", "reset_seconds"],
+            [requests, counts, counts <= self.points, np.maximum(self.points - counts, 0), np.where(seconds == 0, self.window_seconds, seconds)],
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        self.window.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -70,67 +119,103 @@ class MemoCache(StatefulProcessor):
 
 
 class Throttle(StatefulProcessor):
-    """At most one counter write per interval; a stage change always writes and restarts the clock."""
+    """At most one counter write per interval; a stage change always writes and restarts the clock.
 
-    def __init__(self, interval_ms: int, ttl_ms: int | None = None):
-        self.width, self.ttl_ms = interval_ms * 1000, ttl_ms
+    When the interval after the last write has passed, the next event is written anyway: the state goes.
+    """
+
+    def __init__(self, interval_ms: int):
+        self.width = interval_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_write", "at bigint", self.ttl_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last_write", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        pdf = _in_order(rows, ["at", "request_id"])
+        at, requests, change = _times(rows, "stage_change")
         last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for request, at, change in zip(pdf["request_id"], pdf["at"], pdf["stage_change"]):
-            written = bool(change) or last is None or int(at) >= last + self.width
-            if written:
-                last = int(at)
-            out.append((int(request), written))
+        written = change.astype(bool)
+        changes = np.append(np.flatnonzero(written), len(at))
+        i, next_change = 0, 0
+        while i < len(at):
+            while changes[next_change] < i:
+                next_change += 1
+            stop = int(changes[next_change])
+            due = i if last is None else i + int(np.searchsorted(at[i:stop], last + self.width, side="left"))
+            due = min(due, stop)
+            if due == len(at):
+                break
+            written[due] = True
+            last, i = int(at[due]), due + 1
         self.last.update((last,))
-        yield pd.DataFrame(out, columns=["request_id", "written"])
+        _wake_at(self.handle, _millis_after(last + self.width))
+        yield from _frames(["request_id", "written"], [requests, written])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 class AnswerAssembly(StatefulProcessor):
-    """Collects the tokens of a message and emits the answer when its done or error event arrives."""
+    """Collects the tokens of a message and emits the answer when its done or error event arrives.
+
+    The mark of an ended answer stays for the time that late tokens may take; an answer whose end never
+    comes is given out as it is when nothing has arrived for its life time. Then nothing of it is kept.
+    """
 
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, late_ms: int, life_ms: int):
+        self.late_ms, self.life_ms = late_ms, life_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tokens = handle.getListState("tokens", "seq bigint, critique boolean, text string", self.ttl_ms)
-        self.ended = handle.getValueState("ended", "at bigint", self.ttl_ms)
+        self.handle = handle
+        self.tokens = handle.getListState("tokens", "seq bigint, critique boolean, text string")
+        self.status = handle.getValueState("status", "ended boolean, aborted boolean")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        pdf = _in_order(rows, ["seq"])
-        # An answer ends once; what arrives later would only fill the state.
-        if self.ended.exists():
-            return
-        fresh = pdf[pdf["type"].isin(["token", "critique_token"])]
-        if len(fresh):
-            self.tokens.appendList(
-                [(int(s), t == "critique_token", x or "") for s, t, x in zip(fresh["seq"], fresh["type"], fresh["text"])]
-            )
-        ends = pdf[pdf["type"].isin(["done", "error"])]
-        if not len(ends):
+        ended, aborted = self.status.get() if self.status.exists() else (False, False)
+        last, code, code_seq, reason, latest = None, None, None, None, 0
+        for pdf in rows:
+            # An answer ends once; what arrives later would only fill the state.
+            if ended:
+                continue
+            latest = max(latest, int(pdf["event_ms"].max()))
+            aborted = aborted or bool(pdf["aborted"].any())
+            fresh = pdf[pdf["type"].isin(["token", "critique_token"])]
+            if len(fresh):
+                self.tokens.appendList(
+                    [(int(s), t == "critique_token", x or "") for s, t, x in zip(fresh["seq"], fresh["type"], fresh["text"])]
+                )
+            for s, t, why, c in pdf[pdf["type"].isin(["done", "error"])][["seq", "type", "finish_reason", "code"]].itertuples(index=False):
+                if last is None or s > last:
+                    last, reason = s, "error" if t == "error" else why or "stop"
+                if t == "error" and (code_seq is None or s > code_seq):
+                    code_seq, code = s, c or "RAG_ERROR"
+        if ended:
             return
+        self.status.update((last is not None, aborted))
+        _wake_at(self.handle, latest + (self.life_ms if last is None else self.late_ms))
+        if last is not None:
+            yield self._answer(key, reason, code, aborted)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        ended, aborted = self.status.get() if self.status.exists() else (True, False)
+        if not ended:
+            yield self._answer(key, "stop", None, aborted)
+        self.status.clear()
+
+    def _answer(self, key, reason, code, aborted) -> pd.DataFrame:
         pieces = sorted(self.tokens.get()) if self.tokens.exists() else []
         self.tokens.clear()
-        last = ends.iloc[-1]
-        self.ended.update((int(last["seq"]),))
         content = "".join(text for _, critique, text in pieces if not critique)
         critique = "".join(text for _, critique, text in pieces if critique)
-        errors = ends[ends["type"] == "error"]
-        code = None if not len(errors) else errors.iloc[-1]["code"] or "RAG_ERROR"
-        reason = "error" if last["type"] == "error" else last["finish_reason"] or "stop"
-        if reason != "error" and bool(pdf["aborted"].any()):
+        if reason != "error" and aborted:
             reason = "aborted"
         if not content.strip() and code is None and reason == "stop":
             reason, code = "error", "EMPTY_RESPONSE"
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {
                 "message_id": [key[0]], "content": [content], "critique": [critique if critique.strip() else None],
                 "tokens": [sum(not c for _, c, _ in pieces)], "finish_reason": [reason], "error_code": [code],
@@ -139,3 +224,76 @@ class AnswerAssembly(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+#: Counters of which the latest measured value counts, and the flags of a document, as they are kept.
+MEASURES = ("page", "pages", "ocrPages", "block", "blocks")
+FOLDED = (
+    "document_id string, " + "".join(f"{m} bigint, " for m in MEASURES) + "_ocr boolean, _embedding boolean, _result boolean, "
+    "_error boolean, _code string, _message string, _chunks bigint, _batches bigint, _batches_total bigint"
+)
+
+
+class DocumentFold(StatefulProcessor):
+    """The running state of a document; one that has ended is forgotten when late events can't come any more.
+
+    Every micro-batch with events of a document gives its state so far. A document that never ends is
+    forgotten after its life time without events; what was given out stays.
+    """
+
+    def __init__(self, late_ms: int, life_ms: int):
+        self.late_ms, self.life_ms = late_ms, life_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # Number of the event that a value comes from beside the value; a number alone for sums and flags.
+        self.folded = handle.getValueState("folded", "state string")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        state = json.loads(self.folded.get()[0]) if self.folded.exists() else {}
+        latest = 0
+        for pdf in rows:
+            latest = max(latest, int(pdf["event_ms"].max()))
+            self._add(state, pdf)
+        self.folded.update((json.dumps(state),))
+        over = state.get("_result") or state.get("_error")
+        _wake_at(self.handle, latest + (self.late_ms if over else self.life_ms))
+        value = lambda name: state[name][1] if name in state else None
+        yield pd.DataFrame({
+            "document_id": [key[0]], **{m: pd.array([value(m)], dtype="Int64") for m in MEASURES},
+            **{f: [bool(state.get(f))] for f in ("_ocr", "_embedding", "_result", "_error")},
+            "_code": [value("_code")], "_message": [value("_message")], "_chunks": [state.get("_chunks", 0)],
+            "_batches": pd.array([value("_batches")], dtype="Int64"), "_batches_total": pd.array([state.get("_batches_total")], dtype="Int64"),
+        })
+
+    @staticmethod
+    def _add(state: dict, pdf: pd.DataFrame) -> None:
+        def keep(name: str, part: pd.DataFrame, column: str, last: bool = True) -> None:
+            if not len(part):
+                return
+            row = part.loc[part["seq"].idxmax() if last else part["seq"].idxmin()]
+            seq, value = int(row["seq"]), row[column]
+            if name not in state or (seq > state[name][0]) == last:
+                state[name] = [seq, None if pd.isna(value) else value if isinstance(value, str) else int(value)]
+
+        status, frames = pdf[pdf["type"] == "status"], pdf[pdf["type"] == "chunks"]
+        results, errors = pdf[pdf["type"] == "result"], pdf[pdf["type"] == "error"]
+        for name in MEASURES:
+            keep(name, status[status[name].notna()], name)
+        keep("_batches", frames, "index")
+        keep("_code", errors, "code", last=False)
+        keep("_message", errors, "message", last=False)
+        state["_ocr"] = bool(state.get("_ocr")) or bool((status["stage"] == "ocr").any())
+        for flag, part in (("_embedding", frames), ("_result", results), ("_error", errors)):
+            state[flag] = bool(state.get(flag)) or len(part) > 0
+        state["_chunks"] = state.get("_chunks", 0) + int(frames["count"].fillna(0).sum())
+        totals = results["batches"].dropna()
+        if len(totals):
+            state["_batches_total"] = max(state.get("_batches_total") or 0, int(totals.max()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        self.folded.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass

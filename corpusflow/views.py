@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators.ordered import slab_running_sum
+
 BASE = "timestamp_ntz'2024-01-01 00:00:00'"
 
 
@@ -153,16 +155,8 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """All stored turns, including roles the message table does not allow."""
-    return turn_rows(table(spark, folder, "conversations"), _ids_each(spark, folder).scalar())
-
-
-def _ids_each(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations").agg((F.max("turn") + 2).alias("ids"))
-
-
-def ids_each(spark: SparkSession, folder: str) -> Column:
-    """Message ids of a conversation, as a number known now: streams have no scalar subqueries."""
-    return F.lit(_ids_each(spark, folder).first()[0])
+    stored = table(spark, folder, "conversations")
+    return turn_rows(stored, stored.agg(F.max("turn") + 2).scalar())
 
 
 def turn_rows(stored: DataFrame, ids: Column) -> DataFrame:
@@ -522,6 +516,17 @@ def processing_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+def processing_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Processing events by run: a document's next event after its end begins a document of its own."""
+    asked = requests(spark, folder)
+    rows = processing_rows(asked).join(asked.select(F.col("request_id").alias("seq"), "at"), "seq")
+    ends = F.col("type").isin("result", "error").cast("int")
+    numbered = slab_running_sum(
+        rows, ["document_id"], F.floor(F.col("at") / 86_400_000_000), [F.col("at"), F.col("seq")], ends, "run", inclusive=False
+    )
+    return numbered.withColumn("document_id", F.concat_ws("-", "document_id", "run")).drop("run")
+
+
 def answer_events(spark: SparkSession, folder: str) -> DataFrame:
     """Answers replayed as token events, word by word, each ended by a done or an error event."""
     return token_rows(messages(spark, folder))
@@ -529,13 +534,15 @@ def answer_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_rows(said: DataFrame) -> DataFrame:
     answers = said.filter("role = 'assistant'")
-    words = answers.select("message_id", F.posexplode(F.split("content", " ", -1)).alias("seq", "word"))
+    # A token a millisecond, from the time of the message.
+    said_at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)")
+    words = answers.select("message_id", "created_at", F.posexplode(F.split("content", " ", -1)).alias("seq", "word"))
     tokens = words.select(
         "message_id", F.col("seq").cast("bigint").alias("seq"),
         F.expr("case when message_id % 5 = 0 and seq % 10 = 9 then 'critique_token' else 'token' end").alias("type"),
         F.expr("case when message_id % 13 = 0 then ' ' else concat(word, ' ') end").alias("text"),
         F.lit(None).cast("string").alias("finish_reason"), F.lit(None).cast("string").alias("code"),
-        F.lit(False).alias("aborted"),
+        F.lit(False).alias("aborted"), (said_at + F.col("seq") * 1000).alias("at"),
     )
     ends = answers.select(
         # Behind the last token, however long the answer is.
@@ -543,7 +550,7 @@ def token_rows(said: DataFrame) -> DataFrame:
         F.expr("if(message_id % 11 = 0, 'error', 'done')").alias("type"), F.lit(None).cast("string").alias("text"),
         F.expr("if(message_id % 3 = 0, 'stop', null)").alias("finish_reason"),
         F.expr("if(message_id % 22 = 0, 'LLM_TIMEOUT', null)").alias("code"),
-        F.expr("message_id % 7 = 0").alias("aborted"),
+        F.expr("message_id % 7 = 0").alias("aborted"), (said_at + F.size(F.split("content", " ", -1)) * 1000).alias("at"),
     )
     return tokens.unionByName(ends)
 

@@ -131,6 +131,87 @@ def test_streams_equal_batch_forms(spark, tmp_path):
     assert {r[0]: r[1:] for r in rows(got, *COLUMNS)} == WANT
 
 
+def state_rows(progress):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+
+
+def test_state_ends_with_its_windows(spark):
+    """Thousands of keys, each with one window: the state of all but the last windows is gone when the replay ends."""
+    requests = [(k, k, (86_400 + k * 10) * SECOND) for k in range(4000)]
+    df = spark.createDataFrame(requests, "key long, request_id long, at long")
+    progress = []
+    got = jobs.drain(jobs.rate_limit_stream(jobs.replay(df, "at", "ends"), 3, 20, late_seconds=5), spark, "ends", progress=progress)
+    assert got.count() == 4000
+    sizes = state_rows(progress)
+    assert max(sizes) >= 1000 and sizes[-1] <= 20
+
+    ticks = df.selectExpr("key as document_id", "request_id", "at", "false as stage_change")
+    progress = []
+    got = jobs.drain(jobs.progress_throttle_stream(jobs.replay(ticks, "at", "tick-ends"), 700, late_seconds=5), spark, "tick-ends", progress=progress)
+    assert got.filter("written").count() == 4000
+    sizes = state_rows(progress)
+    assert max(sizes) >= 1000 and sizes[-1] <= 20
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_throttle_stream_equals_batch_form(spark, hot):
+    generator = random.Random(8)
+    ticks = [(0 if hot else i % 5, i, (100_000 + generator.randrange(0, 100_000)) * 1000, generator.random() < 0.1) for i in range(900)]
+    df = spark.createDataFrame(ticks, "document_id long, request_id long, at long, stage_change boolean")
+    want = dict(rows(anchored.throttled_writes(df, 700), "request_id", "written"))
+    got = jobs.drain(jobs.progress_throttle_stream(jobs.replay(df, "at", "hot"), 700), spark, "hot")
+    assert dict(rows(got, "request_id", "written")) == want
+
+
+def test_answers_leave_the_state(spark):
+    """Ended answers are forgotten after late tokens, unfinished ones are given out when their life ends."""
+    events = []
+    for m in range(400):
+        at = (86_400 + m * 60) * SECOND
+        events += [(m, 0, "token", f"t{m}", None, None, False, at), (m, 1, "critique_token", "c", None, None, False, at + 1)]
+        if m % 4:
+            events.append((m, 2, "done", None, None, None, m % 8 == 1, at + 2))
+            events.append((m, 3, "token", "late", None, None, False, at + 3 * 60 * SECOND))
+    df = spark.createDataFrame(events, EVENTS + ", at long")
+    progress = []
+    stream = jobs.token_stream_assembly(jobs.replay(df, "at", "lives"), late_seconds=600, life_seconds=1200)
+    answers = rows(jobs.drain(stream, spark, "lives", progress=progress), *COLUMNS)
+    got = {r[0]: r[1:] for r in answers}
+    assert len(got) == len(answers)
+    # A token after the end counts only if it came in the same micro-batch; it never makes a second answer.
+    for m in range(400):
+        if m % 4:
+            assert got[m][0] in (f"t{m}", f"t{m}late") and got[m][1] == "c" and got[m][3:] == ("aborted" if m % 8 == 1 else "stop", None)
+    # Answers without an end come out with what they had, but for the last ones, whose life has not ended.
+    assert {m for m in range(0, 370, 4)} <= set(got) and got[0] == ("t0", "c", 1, "stop", None)
+    sizes = state_rows(progress)
+    assert sizes[-1] < max(sizes)
+
+
+def test_ended_documents_leave_the_state(spark):
+    schema = (
+        "document_id string, seq long, type string, stage string, page long, pages long, ocrPages long, block long, "
+        "blocks long, count long, index long, batches long, code string, message string, at long"
+    )
+    log = []
+    for d in range(300):
+        at, name = (86_400 + d * 100) * SECOND, f"d{d}"
+        log.append((name, 4 * d, "status", "ocr" if d % 3 else "extracting", d, None, None, None, None, None, None, None, None, None, at))
+        log.append((name, 4 * d + 1, "chunks", None, None, None, None, None, None, d % 5, 1, None, None, None, at + 50 * SECOND))
+        if d % 2:
+            log.append((name, 4 * d + 2, "result", None, None, None, None, None, None, None, None, 1, None, None, at + 2000 * SECOND))
+        elif d % 4:
+            log.append((name, 4 * d + 2, "error", None, None, None, None, None, None, None, None, None, "E", "m", at + 2000 * SECOND))
+    df = spark.createDataFrame(log, schema)
+    progress = []
+    stream = jobs.document_progress_stream(jobs.replay(df, "at", "docs"), late_seconds=60, life_seconds=5000)
+    got = jobs.drain(stream, spark, "docs", "update", "document_id", progress=progress)
+    want = folds.document_state(df)
+    assert sorted(map(str, rows(got.select(want.columns)))) == sorted(map(str, rows(want)))
+    sizes = state_rows(progress)
+    assert sizes[-1] < max(sizes) / 2
+
+
 def test_document_state_as_stream(spark, tmp_path):
     schema = (
         "document_id string, seq long, type string, stage string, page long, pages long, ocrPages long, block long, "
