@@ -1,10 +1,11 @@
 """Exact nearest neighbours by block products.
 
-Only the best ``n`` rows per query and task leave the Python stage: query-chunk
-pairs are never rows of a DataFrame. Chunks and queries are hashed into bounded
-blocks per space and each pair of blocks is one task, so a tenant owning a third
-of the chunks is spread over as many tasks as its size asks for. The plan is the
-same for any number of queries.
+Only the best ``n`` rows per query and block leave the Python stage: query-chunk pairs are never
+rows of a DataFrame. Chunks are hashed into blocks of bounded bytes per space and are never
+copied; the queries of a space are copied once per block and stream past it, Arrow batch by Arrow
+batch. A task so holds one block and one batch, whatever the number of chunks and queries, and a
+tenant owning a third of the chunks is spread over as many tasks as its size asks for. The plan is
+the same for any number of queries.
 
 A caller that knows its queries to be few can ask for ``broadcast_queries``: the
 chunk table is then scanned once, without a shuffle of vectors. More queries than
@@ -13,20 +14,24 @@ the stated bound are an error there, never another plan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from corpusflow.operators.ordered import first_rows
 
 BROADCAST_QUERY_ROWS = 4096
 BROADCAST_QUERY_VALUES = 4_000_000
-CHUNK_BLOCK_ROWS = 16384
-QUERY_BLOCK_ROWS = 4096
-# Chunks that one block of queries is multiplied with at a time.
-STEP_ROWS = 1024
+# Bytes of the vectors (as doubles) of one block of chunks.
+BLOCK_BYTES = 64 << 20
+# Queries that a block is multiplied with at a time.
+STEP_ROWS = 256
 DISTANCE_DIGITS = {"cosine": 12, "l2": 6, "squared_l2": 6}
 
 
@@ -96,7 +101,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _prepared(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     # Aliases make the columns new ones: questions may be derived from the very chunks they search.
     return df.select(
-        *[F.col(c).alias(c) for c in (*columns, *keys)], F.col("embedding").cast("array<double>").alias("embedding")
+        *[F.col(c).alias(c) for c in (*columns, *keys)], F.col("embedding").alias("embedding")
     ).filter(F.size("embedding") > 0).withColumn("_dim", F.size("embedding"))
 
 
@@ -107,8 +112,8 @@ def nearest(
     metric: str = "cosine",
     keys: tuple[str, ...] = ("user_id", "embedding_model"),
     broadcast_queries: bool = False,
-    chunk_block_rows: int = CHUNK_BLOCK_ROWS,
-    query_block_rows: int = QUERY_BLOCK_ROWS,
+    chunk_block_rows: int | None = None,
+    query_block_rows: int = STEP_ROWS,
     live: DataFrame | None = None,
 ) -> DataFrame:
     """``(query_id, chunk_id, distance, rank)`` of the ``n`` nearest chunks sharing all ``keys``.
@@ -116,6 +121,7 @@ def nearest(
     ``queries``: query_id, keys, embedding and optionally ``scope`` (array of document ids;
     null or empty means every document). ``chunks``: chunk_id, document_id, keys, embedding.
     ``live``: (document_id, user_id) of the documents that may answer; every document without it.
+    ``chunk_block_rows`` sets the size of a block in place of ``BLOCK_BYTES``.
     """
     keys = list(keys)
     if "scope" not in queries.columns:
@@ -195,39 +201,79 @@ def _arrow_schema(query_schema, chunk_rows):
     )
 
 
-def _block_join(query_rows, chunk_rows, keys, n, metric, schema, chunk_block_rows, query_block_rows):
-    space = [*keys, "_dim"]
+class _Block:
+    """A block of chunks, against which batches of queries are ranked."""
+
+    def __init__(self, pieces: list[pa.RecordBatch], dim: int, n: int, metric: str):
+        self.ids = pa.concat_arrays([p.column("chunk_id") for p in pieces])
+        self.vectors = np.concatenate([_matrix(p.column("embedding"), dim) for p in pieces])
+        documents = pa.concat_arrays([p.column("document_id") for p in pieces]).dictionary_encode()
+        self.documents = documents.indices.to_numpy(zero_copy_only=False)
+        self.known = {d: i for i, d in enumerate(documents.dictionary.to_pylist())}
+        # Rank of each id, for ties.
+        order = pc.sort_indices(self.ids).to_numpy()
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.dim, self.n, self.metric = dim, n, metric
+
+    def best(self, queries: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(query_id, chunk_id, distance) of the ``n`` nearest chunks of every query of the batch."""
+        scores = distances(self.vectors, _matrix(queries.column("embedding"), self.dim), self.metric)
+        allowed = np.ones(scores.shape, dtype=bool)
+        for position, scope in enumerate(queries.column("scope").to_pylist()):
+            if scope:
+                allowed[position] = np.isin(self.documents, [self.known[d] for d in set(scope) if d in self.known])
+        masked = np.where(allowed, scores, np.inf)
+        n = min(self.n, scores.shape[1])
+        limit = np.partition(masked, n - 1, axis=1)[:, n - 1]
+        rows, cols = np.nonzero(allowed & (masked <= limit[:, None]))
+        order = np.lexsort((self.place[cols], scores[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        firsts = np.searchsorted(rows, rows, side="left")
+        kept = np.arange(len(rows)) - firsts < n
+        rows, cols = rows[kept], cols[kept]
+        distance = scores[rows, cols]
+        return queries.column("query_id").take(pa.array(rows)), self.ids.take(pa.array(cols)), pa.array(distance, mask=np.isinf(distance))
 
-    def sizes(df, rows, name):
-        return df.groupBy(*space).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    grid = sizes(chunk_rows, chunk_block_rows, "_cn").join(
-        sizes(query_rows, query_block_rows, "_qn"), space
-    )
-
-    def placed(df, id_name, own, other):
-        own_block, other_block = f"{own}b", f"{other}b"
-        return (
-            df.join(grid, space)
-            .withColumn(own_block, F.pmod(F.xxhash64(id_name), F.col(f"{own}n")).cast("int"))
-            .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(f"{other}n") - 1)))
-            .drop("_cn", "_qn")
+def _block_join(query_rows, chunk_rows, keys, n, metric, schema, chunk_block_rows, step_rows):
+    space = [*keys, "_dim"]
+    each = F.lit(chunk_block_rows) if chunk_block_rows else F.greatest(F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("_dim"))), F.lit(1))
+    grid = chunk_rows.groupBy(*space).agg(F.count("*").alias("_n")).select(*space, F.ceil(F.col("_n") / each).cast("int").alias("_blocks"))
+    cells = [*space, "_block"]
+    vector = "array<float>" if all(df.schema["embedding"].dataType.elementType == FloatType() for df in (query_rows, chunk_rows)) else "array<double>"
+    types = {"query_id": query_rows.schema["query_id"].dataType, "scope": "array<string>",
+             "chunk_id": chunk_rows.schema["chunk_id"].dataType, "document_id": "string"}
+
+    def side(df, is_query, block):
+        own = [F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t) for c, t in types.items()]
+        return df.join(grid, space).select(
+            *space, block.alias("_block"), F.lit(is_query).alias("_query"),
+            *[c.alias(name) for c, name in zip(own, types, strict=True)], F.col("embedding").cast(vector).alias("embedding"),
         )
 
-    cells = [*space, "_cb", "_qb"]
-    left = placed(query_rows, "query_id", "_q", "_c").groupBy(*cells)
-    right = placed(chunk_rows, "chunk_id", "_c", "_q").groupBy(*cells)
-
-    def cell(query_block: pd.DataFrame, chunk_block: pd.DataFrame) -> pd.DataFrame:
-        if not len(query_block) or not len(chunk_block):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
-        best = _Best(
-            query_block["query_id"].to_numpy(), np.stack(query_block["embedding"].to_list()),
-            list(query_block["scope"]), n, metric,
-        )
-        for at in range(0, len(chunk_block), STEP_ROWS):
-            part = chunk_block.iloc[at:at + STEP_ROWS]
-            best.add(part["chunk_id"].to_numpy(), part["document_id"].to_numpy(), np.stack(part["embedding"].to_list()))
-        return best.frame()
+    held = side(chunk_rows, False, F.pmod(F.xxhash64("chunk_id"), F.col("_blocks")).cast("int"))
+    asked = side(query_rows, True, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
 
-    return left.cogroup(right).applyInPandas(cell, schema)
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The chunks of the block come first, then its queries.
+        pieces, block = [], None
+        for batch in batches:
+            queries = pc.sum(pc.cast(batch.column("_query"), pa.int64())).as_py()
+            chunks = batch.num_rows - queries
+            if chunks:
+                if block is not None:
+                    raise ValueError("chunks of a block must precede its queries")
+                pieces.append(batch.slice(0, chunks))
+            if not queries:
+                continue
+            if not pieces:
+                return
+            if block is None:
+                block = _Block(pieces, batch.column("_dim")[0].as_py(), n, metric)
+            for at in range(chunks, batch.num_rows, step_rows):
+                query_ids, chunk_ids, found = block.best(batch.slice(at, step_rows))
+                yield pa.RecordBatch.from_arrays([query_ids, chunk_ids, found], names=["query_id", "chunk_id", "distance"])
+
+    ordered = held.unionByName(asked).repartition(*cells).sortWithinPartitions(*cells, "_query")
+    return ordered.groupBy(*cells).applyInArrow(rank, schema)

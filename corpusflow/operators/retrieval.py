@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from corpusflow import schemas as S
 from corpusflow.functions.vectors import relevance, similarity
+from corpusflow.operators.chunk_store import ChunkStore
 from corpusflow.operators.knn import nearest
 from corpusflow.operators.ordered import first_rows
+from corpusflow.session import staged
 
 
 def tenant_scope(df: DataFrame, users: str | DataFrame) -> DataFrame:
@@ -133,6 +135,22 @@ def retrieve(
     return citation_records(kept.select("query_id", "chunk_id", "distance", "index"), chunks, documents)
 
 
+def retrieve_stored(
+    queries: DataFrame, store: ChunkStore, documents: DataFrame, k: int = S.RETRIEVAL_K, fetch_k: int = S.RETRIEVAL_FETCH_K,
+    max_distance: float = S.MAX_COSINE_DISTANCE, **blocks,
+) -> DataFrame:
+    """``retrieve`` over a stored chunk table.
+
+    Vectors are read from the partitions of the asking users; content from those of the users with
+    citations, where it meets them by chunk id in the buckets it is stored in.
+    """
+    asked = store.holding(queries)
+    found = cosine_knn(queries, asked, documents, k, fetch_k, **blocks)
+    kept = staged(keep_first(distance_filter(found, max_distance, F.lit(True)), k).select("query_id", "chunk_id", "distance", "index"), "kept")
+    cited = kept.join(queries.select("query_id", "user_id"), "query_id")
+    return citation_records(kept, store.holding(cited), documents)
+
+
 def l2_retrieve(
     queries: DataFrame, chunks: DataFrame,
     k: int = S.RETRIEVAL_K, fetch_k: int = S.RETRIEVAL_FETCH_K,

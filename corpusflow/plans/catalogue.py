@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusflow import views as V
 from corpusflow.functions import text as TX
 from corpusflow.functions import vectors as VF
 from corpusflow.operators import anchored as AN
+from corpusflow.operators import chunk_store as CS
 from corpusflow.operators import chunking as CH
 from corpusflow.operators import constraints as C
 from corpusflow.operators import context as X
@@ -20,6 +23,7 @@ from corpusflow.operators import retrieval as R
 from corpusflow.operators import routing as RT
 from corpusflow.plans import ingest as I
 from corpusflow.plans import turns as T
+from corpusflow.session import shared_dir
 from corpusflow.sources import event_logs as SE
 from corpusflow.sources import files as SF
 from corpusflow.sources import office as SO
@@ -91,6 +95,30 @@ def approx_knn(spark, folder):
     return found.select("query_id", "chunk_id", "rank", F.round("distance", 4).alias("distance"))
 
 
+def _chunk_store(spark, folder):
+    """The chunks of the model written into a store of their own."""
+    chunks = V.chunks(spark, folder).drop("status")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
+    store = CS.open_store(spark, f"{shared_dir(spark)}/corpusflow/chunk-store-{uuid.uuid4().hex}", schema)
+    store.append(chunks, V.documents(spark, folder))
+    return store
+
+
+@query
+def stored_citations(spark, folder):
+    """Retrieval over the written chunk table."""
+    found = R.retrieve_stored(_plain_questions(spark, folder), _chunk_store(spark, folder), V.documents(spark, folder))
+    return found.select("query_id", "index", "chunk_id", "document_id", "document_name", "chunk_index", "snippet", "score", "distance")
+
+
+@query
+def stored_chunks_after_delete(spark, folder):
+    """The written chunk table, read again after deletion requests."""
+    store = _chunk_store(spark, folder)
+    store.delete(_wanted_documents(spark, folder))
+    return store.table().select("chunk_id", "document_id", "user_id", F.md5(F.col("content")).alias("digest"))
+
+
 @query
 def embedding_guard(spark, folder):
     return C.embedding_guard(V.chunks(spark, folder), 64)

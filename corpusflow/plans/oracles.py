@@ -160,6 +160,8 @@ add("knn_topk", "lib_chunks questions", _ranked() + """
 add("retrieve_sources", "lib_chunks questions", _ranked() + _kept(0.75, "true") + f"""
     select query_id, idx as index, chunk_id, document_id, document_name, page, slide, paragraph, line,
            section, slide_title, chunk_index, substr(content, 1, 600) as snippet, {_SCORES} from kept""")
+add("stored_citations", "lib_chunks questions", _ranked() + _kept(0.75, "true") + f"""
+    select query_id, idx as index, chunk_id, document_id, document_name, chunk_index, substr(content, 1, 600) as snippet, {_SCORES} from kept""")
 add("retrieve_no_weak", "lib_chunks questions", _ranked() + _kept(0.6, "false") + f"""
     select query_id, idx as index, chunk_id, {_SCORES} from kept""")
 add("retrieve_scoped", "lib_chunks questions",
@@ -884,6 +886,9 @@ add("delete_documents", "doomed lib_chunks lib_documents", """
 add("delete_documents_kept", "doomed lib_chunks lib_documents", """
     select d.document_id, nullif((select count(*) from lib_chunks c where c.document_id = d.document_id), 0) as chunks
     from lib_documents d where d.document_id not in (select document_id from doomed)""")
+add("stored_chunks_after_delete", "doomed lib_chunks", """
+    select chunk_id, document_id, user_id, md5(content) as digest from lib_chunks
+    where document_id not in (select document_id from doomed)""")
 VIEWS["left_users"] = "select user_id from users where password_hash is not null or google_id is not null"
 NEEDS["left_users"] = ["users"]
 VIEWS["left_sources"] = """
