@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,23 +111,43 @@ def _sender(keys_of: Callable, parts: int, both: bool) -> Callable:
     return send
 
 
+def _values(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
+    """All values of a column of packed numbers, one row behind the other; not copied where it is one chunk."""
+    pieces = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if not len(chunk):
+            continue
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        if ends[-1] > ends[0]:
+            pieces.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(kind))
+    return pieces[0] if len(pieces) == 1 else np.concatenate(pieces) if pieces else np.empty(0, kind)
+
+
+def _entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, keys) of all entries of some messages. Only the ids are made; the keys stay where they arrived."""
+    keys = _values(rows.column("keys"), np.uint64)
+    ids, at = np.empty(len(keys), np.int64), 0
+    for batch in rows.select(["ids", "owner", "keys"]).to_batches():
+        for table, owner, own in zip(*(batch.column(i) for i in range(3)), strict=True):
+            n = len(own.as_buffer()) // 8
+            places = np.frombuffer(owner.as_buffer(), np.uint16 if len(owner.as_buffer()) == 2 * n else np.uint32)
+            ids[at:at + n] = np.frombuffer(table.as_buffer(), np.int64)[places]
+            at += n
+    return ids, keys
+
+
 def _answerer(both: bool, blocks: int) -> Callable:
     def answer(group: pa.Table) -> pa.Table:
         """Of one hash range: passed-on findings, and the entries to report."""
-        found, sent = [np.empty((0, 2), np.int64)], ([np.empty(0, np.int64)], [np.empty(0, np.uint64)])
-        for row in group.select(["local", "ids", "owner", "keys"]).to_pylist():
-            keys = np.frombuffer(row["keys"], np.uint64)
-            at = np.frombuffer(row["owner"], np.uint16 if len(row["owner"]) == 2 * len(keys) else np.uint32)
-            ids = np.frombuffer(row["ids"], np.int64)[at]
-            if row["local"]:
-                found.append(np.stack([ids, keys.view(np.int64)], axis=1))
-            else:
-                sent[0].append(ids)
-                sent[1].append(keys)
-        ids, keys = np.concatenate(sent[0]), np.concatenate(sent[1])
+        local = group.column("local")
+        ids, keys = _entries(group.filter(local))
+        found = [np.stack([ids, keys.view(np.int64)], axis=1)]
+        ids, keys = _entries(group.filter(pc.invert(local)))
         if len(keys):
             order, report = _split_seen(ids, keys, both)
-            found.append(np.stack([ids[order][report], keys[order][report].view(np.int64)], axis=1))
+            order = order[report]
+            found.append(np.stack([ids[order], keys[order].view(np.int64)], axis=1))
+        del ids, keys
         packed = pack_by_block(np.concatenate(found), blocks)
         release_memory()
         return packed
@@ -136,10 +157,13 @@ def _answerer(both: bool, blocks: int) -> Callable:
 
 def _per_document(group: pa.Table) -> pa.Table:
     rows, cuts = unpacked(group, 2, 1)
-    return pa.table({
+    made = pa.table({
         "doc_id": pa.array(rows[cuts[:-1], 0], pa.int64()),
         "seen_keys": pa.array([rows[a:b, 1].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
     })
+    del rows
+    release_memory()
+    return made
 
 
 def seen_before(
@@ -158,8 +182,9 @@ def seen_before(
     sent = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _sender(keys_of, parts, both), _SENT,
     )
-    answered = sent.groupBy("part").applyInArrow(_answerer(both, parts), PACKED)
-    return staged(answered.groupBy("block").applyInArrow(_per_document, _FOUND), "seen-keys")
+    # As many tasks as ranges and as blocks, however few partitions the session shuffles into.
+    answered = sent.repartition(parts, "part").groupBy("part").applyInArrow(_answerer(both, parts), PACKED)
+    return staged(answered.repartition(parts, "block").groupBy("block").applyInArrow(_per_document, _FOUND), "seen-keys")
 
 
 def with_seen(docs: DataFrame, seen: DataFrame, id_col: str, seen_col: str) -> DataFrame:

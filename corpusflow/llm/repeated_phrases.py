@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import slices, space_words, text_of, window_hashes, word_hashes
+from corpusflow.llm.batches import release_memory, slices, space_words, text_of, window_hashes, word_hashes
 from corpusflow.llm.first_seen import runs_of, seen_before, with_seen
 from corpusflow.llm.staging import free_name
 
@@ -128,6 +128,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64()))),
                     pa.array([_without(w, s) for w, s in zip(words, spans, strict=True)], pa.binary()).cast(pa.string()),
                 ], names=schema.names)
+                del words, seen, spans
+            release_memory()
 
     return joined.mapInArrow(cut, schema)
 
