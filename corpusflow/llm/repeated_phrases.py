@@ -23,6 +23,9 @@ from corpusflow.llm.first_seen import runs_of, seen_before, with_seen
 from corpusflow.llm.staging import free_name
 
 WINDOW = 13
+#: Words of one pattern at most. A longer passage is several patterns that share window - 1 words, so each of its
+#: windows lies in one; the automaton's depth stays bounded however long a text is.
+PASSAGE_WORDS = 4096
 
 
 def text_window_keys(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -41,9 +44,32 @@ class _WindowKeys:
         return text_window_keys(texts, self.window)
 
 
+#: Distinct words that code points can stand for, surrogates and 0 left out.
+LETTERS = 0x10FFFF - 0x800
+
+
 def _letter(number: int) -> str:
     """A code point for the n-th distinct word; surrogates are left out, 0 stands for other words."""
-    return chr(number + 1 if number < 0xD7FF else number + 0x801)
+    return chr(number if number <= 0xD7FF else number + 0x800)
+
+
+class _Alphabet:
+    """Words as numbers from 1 on, and sequences of them in the form that the automaton takes.
+
+    Strings, a code point a word; for a shard of more words than there are code points, sequences of numbers.
+    """
+
+    def __init__(self, numbers: dict[bytes, int]):
+        self.numbers, self.wide = numbers, len(numbers) > LETTERS
+        self.letters = None if self.wide else {w: _letter(n) for w, n in numbers.items()}
+
+    def automaton(self) -> ahocorasick.Automaton:
+        return ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if self.wide else ahocorasick.Automaton()
+
+    def sequence(self, words: list[bytes]):
+        if self.wide:
+            return tuple(self.numbers.get(w, 0) for w in words)
+        return "".join([self.letters.get(w, "\0") for w in words])
 
 
 def shard_spans(ids: list[int | None], words: list[list[bytes]], seen: list[np.ndarray | None], window: int) -> list[np.ndarray]:
@@ -53,20 +79,26 @@ def shard_spans(ids: list[int | None], words: list[list[bytes]], seen: list[np.n
     with it stands the smallest id that it was confirmed for, because only documents from that
     id on are known to have a smaller owner for all its windows.
     """
-    letters: dict[bytes, str] = {}
-    passages: dict[str, int] = {}
+    numbers: dict[bytes, int] = {}
+    confirmed: list[tuple[int, list[bytes]]] = []
     for owner, own, keys in zip(ids, words, seen, strict=True):
         if keys is None or len(own) < window:
             continue
         flags = np.isin(window_hashes(word_hashes(own), window), keys)
         for start, stop in runs_of(flags):
-            passage = "".join(
-                letters.setdefault(w, _letter(len(letters))) for w in own[start:stop + window - 1]
-            )
-            passages[passage] = min(owner, passages.get(passage, owner))
-    if not passages:
+            for at in range(start, stop, PASSAGE_WORDS - window + 1):
+                passage = own[at:min(at + PASSAGE_WORDS, stop + window - 1)]
+                for w in passage:
+                    numbers.setdefault(w, len(numbers) + 1)
+                confirmed.append((owner, passage))
+    if not confirmed:
         return [np.empty((0, 2), np.int64)] * len(words)
-    automaton = ahocorasick.Automaton()
+    alphabet = _Alphabet(numbers)
+    passages: dict = {}
+    for owner, passage in confirmed:
+        key = alphabet.sequence(passage)
+        passages[key] = min(owner, passages.get(key, owner))
+    automaton = alphabet.automaton()
     for passage, owner in passages.items():
         automaton.add_word(passage, (len(passage), owner))
     automaton.make_automaton()
@@ -74,8 +106,7 @@ def shard_spans(ids: list[int | None], words: list[list[bytes]], seen: list[np.n
     for owner, own in zip(ids, words, strict=True):
         hits = np.zeros(len(own) + 1, np.int32)
         if owner is not None:
-            stream = "".join([letters.get(w, "\0") for w in own])
-            for end, (length, since) in automaton.iter(stream):
+            for end, (length, since) in automaton.iter(alphabet.sequence(own)):
                 if owner >= since:
                     hits[end - length + 1] += 1
                     hits[end + 1] -= 1

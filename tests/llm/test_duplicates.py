@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,25 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     found = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert found == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in docs}
     assert 4 not in found and 12 not in found and 13 not in found and 14 not in found and 17 not in found
+
+
+def test_shards_with_more_words_than_code_points(monkeypatch):
+    """Numbers stand for words where code points don't suffice; small shards give the same spans either way."""
+    rng = random.Random(6)
+    names = [f"w{i}".encode() for i in range(50)]
+    texts = [[rng.choice(names) for _ in range(80)] for _ in range(6)]
+    texts += [t[10:60] + [rng.choice(names) for _ in range(20)] for t in texts]
+    keys = [repeated_phrases.text_window_keys([b" ".join(t)], 5)[0] for t in texts]
+    seen = [None if i < 6 else np.intersect1d(k, np.concatenate(keys[:i])) for i, k in enumerate(keys)]
+    plain = repeated_phrases.shard_spans(list(range(12)), texts, seen, 5)
+    monkeypatch.setattr(repeated_phrases, "LETTERS", 3)
+    monkeypatch.setattr(repeated_phrases, "PASSAGE_WORDS", 7)
+    assert all((a == b).all() for a, b in zip(plain, repeated_phrases.shard_spans(list(range(12)), texts, seen, 5), strict=True))
+    assert sum(len(s) for s in plain) >= 6
+
+
+def test_a_text_of_more_words_than_code_points():
+    long = [b"%d" % i for i in range(1_200_000)]
+    keys = repeated_phrases.text_window_keys([b" ".join(long)], 13)[0]
+    spans = repeated_phrases.shard_spans([1, 2], [long, long], [None, keys], 13)
+    assert not len(spans[0]) and spans[1].tolist() == [[0, len(long)]]
