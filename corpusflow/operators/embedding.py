@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,15 +52,34 @@ def embed_chunks(
     return chunks.mapInPandas(run, schema)
 
 
-def hashing_embeddings(texts: DataFrame, column: str = "content", dimension: int = S.EMBEDDING_DIMENSION) -> DataFrame:
-    """Built-in provider: hashed word counts scaled to unit length, entirely in the JVM."""
+def _word_counts(texts: DataFrame, column: str, dimension: int) -> DataFrame:
     words = RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", minTokenLength=1)
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit")
-    out = unit.transform(counts.transform(words.transform(texts)))
+    return counts.transform(words.transform(texts)).drop("_words")
+
+
+def fit_idf(texts: DataFrame, column: str = "content", dimension: int = S.EMBEDDING_DIMENSION) -> IDFModel:
+    """Inverse document frequencies of the hashed words over a corpus: sums that merge, one number per dimension."""
+    return IDF(inputCol="_counts", outputCol="_weighted").fit(_word_counts(texts, column, dimension))
+
+
+def hashing_embeddings(
+    texts: DataFrame, column: str = "content", dimension: int = S.EMBEDDING_DIMENSION, idf: IDFModel | None = None
+) -> DataFrame:
+    """Built-in provider: hashed word counts scaled to unit length, entirely in the JVM.
+
+    With ``idf`` (from ``fit_idf``) the counts are weighted first. The weights are part of the model's
+    name, so vectors weighted by different corpora are different spaces and never compared.
+    """
+    counted, name = _word_counts(texts, column, dimension), f"{HASHING_MODEL}-{dimension}"
+    if idf is not None:
+        counted = idf.transform(counted).drop("_counts").withColumnRenamed("_weighted", "_counts")
+        digest = hashlib.sha256(repr(idf.idf.toArray().tolist()).encode()).hexdigest()[:8]
+        name = f"{HASHING_MODEL}idf-{dimension}-{digest}"
+    out = Normalizer(inputCol="_counts", outputCol="_unit").transform(counted)
     return out.withColumn("embedding", vector_to_array("_unit", "float32")).withColumn(
-        "embedding_model", F.lit(f"{HASHING_MODEL}-{dimension}")
-    ).drop("_words", "_counts", "_unit")
+        "embedding_model", F.lit(name)
+    ).drop("_counts", "_unit")
 
 
 def zip_embeddings(texts: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from corpusflow.operators import retrieval as R
 from corpusflow.operators import routing as RT
 from corpusflow.plans import ingest as I
 from corpusflow.plans import turns as T
-from corpusflow.session import shared_dir
+from corpusflow.session import shared_dir, staged
 from corpusflow.sources import event_logs as SE
 from corpusflow.sources import files as SF
 from corpusflow.sources import office as SO
@@ -660,6 +660,78 @@ def embed_documents(spark, folder):
     )
 
 
+VOWELS = "aeiou"
+
+
+@query
+def embed_with_provider(spark, folder):
+    """The provider hook with a provider of known vectors: counts of the vowels and the length, scaled to one."""
+
+    def embed(texts):
+        raw = [[*(float(t.count(c)) for c in VOWELS), float(len(t))] for t in texts]
+        norms = [sum(x * x for x in v) ** 0.5 for v in raw]
+        return [[x / n for x in v] for v, n in zip(raw, norms, strict=True)]
+
+    texts = EM.drop_blank_texts(V.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content")))
+    rows = EM.embed_chunks(texts, embed, "vowels-6", dimension=len(VOWELS) + 1)
+    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 4))
+    return rows.select("doc_id", rounded.alias("embedding"), "embedding_model")
+
+
+@query
+def observed_progress(spark, folder):
+    """Rows of each ingestion stage as a listener saw them pass, beside the rows counted afterwards."""
+    seen, counts = {}, []
+
+    def stage(name, rows):
+        counted, counter = I.observed(rows, name)
+        written = staged(counted, f"observed-{name}")
+        I.report_progress(counter, lambda event: seen.update({name: event["rows"]}))
+        I.report_progress(counter, lambda event: 1 / 0)
+        counts.append((name, seen[name], written.count()))
+        return written
+
+    files = stage("files", V.paragraph_texts(spark, folder))
+    blocks = stage("blocks", ST.extract_txt_blocks(files))
+    stage("chunks", CH.chunk_blocks(blocks))
+    return spark.createDataFrame(counts, "stage string, observed bigint, recounted bigint")
+
+
+def _raw_folder(spark, label):
+    return f"{shared_dir(spark)}/corpusflow/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def scan_raw_files(spark, folder):
+    """Every stored text written as a file and scanned; files above the limit keep their row without bytes."""
+    path = _raw_folder(spark, "raw-files")
+    V.write_raw_files(V.raw_texts(spark, folder), path)
+    files = SF.scan_raw_files(spark, path, glob="*.txt", max_bytes=4000)
+    return files.select(
+        F.regexp_extract("path", "document_id=([0-9]+)/", 1).cast("bigint").alias("document_id"), V.owner_of(F.col("path")).alias("user_id"),
+        "extension", "length", F.when(F.col("content").isNotNull(), TX.content_hash(F.col("content"))).alias("content_hash"),
+    )
+
+
+@query
+def incremental_ingest(spark, folder):
+    """Files that arrive in two parts, each ingested once by a stream; a third run finds nothing new."""
+    path, target = _raw_folder(spark, "arriving"), _raw_folder(spark, "ingested")
+    texts = V.raw_texts(spark, folder)
+    for part in ("document_id % 2 = 0", "document_id % 2 = 1", None):
+        if part:
+            V.write_raw_files(texts.filter(part), path)
+        session = J.stream_session(spark, spark.sparkContext.defaultParallelism)
+        stream = SF.scan_raw_files(session, path, glob="*.txt", stream=True, max_files=100_000).drop("document_id")
+        J.incremental_ingest(stream.drop("user_id"), target, f"{target}/checkpoint", user_of=V.owner_of).awaitTermination()
+    documents = J.current_documents(spark, target)
+    chunks = spark.read.parquet(f"{target}/chunks")
+    contents = chunks.groupBy("document_id").agg(X.ordered_concat("content", "chunk_index", "\n").alias("contents"))
+    return documents.join(contents, "document_id", "left").select(
+        "user_id", "content_hash", "status", F.col("chunk_count").cast("int").alias("chunk_count"), F.md5(F.coalesce("contents", F.lit(""))).alias("chunks_digest")
+    )
+
+
 @query
 def embedding_mismatches(spark, folder):
     """Vector batches checked against text batches of 64 by position."""
@@ -698,6 +770,24 @@ def parse_sse(spark, folder):
     return SE.parse_sse_frames(V.sse_frames(spark, folder))
 
 
+def _written_sse(spark, folder):
+    """The events as files of server-sent frames, each ended by a blank line."""
+    path = _raw_folder(spark, "sse")
+    V.sse_frames(spark, folder).select("value").write.option("lineSep", "\n\n").text(path)
+    return path
+
+
+@query
+def read_sse(spark, folder):
+    return SE.read_sse(spark, _written_sse(spark, folder))
+
+
+@query
+def read_sse_stream(spark, folder):
+    session = J.stream_session(spark, spark.sparkContext.defaultParallelism)
+    return J.drain(SE.read_sse(session, _written_sse(spark, folder), stream=True), spark, "sse-frames")
+
+
 @query
 def document_state(spark, folder):
     return FO.document_state(V.processing_events(spark, folder))

@@ -658,6 +658,49 @@ VIEWS["blocks"] = """
     from paragraphs window before as (partition by document_id order by pos rows between unbounded preceding and 1 preceding)"""
 NEEDS["blocks"] = ["paragraphs"]
 add("txt_blocks", "blocks", "select document_id, block_no, text, line::int as line from blocks where text != ''")
+# Splitting of one-line blocks: a window takes words while they fit in 1000 characters; the next one begins at
+# most 100 characters before its end. Bounds are 0, every blank and the end; words are shorter than a window.
+VIEWS["chunk_rows"] = """
+    select document_id, block_no, (row_number() over (partition by document_id order by block_no, k) - 1)::int as chunk_index, content
+    from (
+        with recursive bounded as (
+            select document_id, block_no, text, list_concat([0], list_filter(range(1, length(text)), lambda p: text[p + 1] = ' '), [length(text)]) as b
+            from blocks where text != ''),
+        spans as (
+            select document_id, block_no, text, b, 0 as k, 1::bigint as f,
+                   list_min(list_filter(range(2, len(b)), lambda i: b[i + 1] - b[1] > 1000)) as i from bounded
+            union all
+            select document_id, block_no, text, b, k + 1, g, list_min(list_filter(range(g + 1, len(b)), lambda x: b[x + 1] - b[g] > 1000))
+            from (select *, list_min(list_filter(range(f, i + 1), lambda j: j = i or (b[i] - b[j] <= 100 and b[i + 1] - b[j] <= 1000))) as g
+                  from spans where i is not null))
+        select document_id, block_no, k, trim(substr(text, b[f] + 1, coalesce(b[i], b[len(b)]) - b[f])) as content from spans)
+    where content != ''"""
+NEEDS["chunk_rows"] = ["blocks"]
+add("chunk_documents", "chunk_rows", "select document_id, block_no, chunk_index, content from chunk_rows")
+add("chunk_stats", "chunk_rows", """
+    select document_id, count(*) as chunks, max(chunk_index) as last_index, max(length(content))::int as longest from chunk_rows group by document_id""")
+_RAW = """
+    with raw as (
+        select doc_id as document_id, source as user_id, replace(text, chr(10), case when doc_id % 5 = 0 then chr(10) || chr(10) || ' ' || chr(10) || chr(10)
+               else chr(10) || chr(10) end) || chr(10) as body from documents)"""
+add("scan_raw_files", "", _RAW + """
+    select document_id, user_id, '.txt' as extension, strlen(body)::bigint as length,
+           case when strlen(body) <= 4000 then sha256(body) end as content_hash from raw""")
+add("incremental_ingest", "chunk_rows", _RAW + """,
+    firsts as (select user_id, sha256(body) as content_hash, min(document_id) as document_id from raw
+        -- A file whose first 4096 bytes end inside a character is not taken for text.
+        where hex(encode(body))[8193:8193] not in ('8', '9', 'A', 'B') group by all)
+    select f.user_id, f.content_hash, case when count(c.content) > 0 then 'ready' else 'failed' end as status, count(c.content)::int as chunk_count,
+           md5(coalesce(string_agg(c.content, chr(10) order by c.chunk_index), '')) as chunks_digest
+    from firsts f left join chunk_rows c on c.document_id = f.document_id group by all""")
+add("observed_progress", "blocks chunk_rows", """
+    select 'files' as stage, count(*) as observed, count(*) as recounted from documents
+    union all select 'blocks', count(*), count(*) from blocks where text != ''
+    union all select 'chunks', count(*), count(*) from chunk_rows""")
+_VECTOR = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::double" for c in "aeiou") + ", length(text)::double]"
+add("embed_with_provider", "", f"""
+    select doc_id, list_transform({_VECTOR}, lambda x: round(x / sqrt(list_inner_product({_VECTOR}, {_VECTOR})), 4)) as embedding,
+           'vowels-6' as embedding_model from documents where trim(text, ' ' || chr(10)) != ''""")
 VIEWS["md_lines"] = r"""
     select document_id, pos, line, starts_with(ltrim(line), '```') as fence
     from (select document_id, g.pos, string_split(body, chr(10))[g.pos + 1] as line
@@ -722,6 +765,11 @@ add("parse_sse", "", """
     select event_id, case when event_id % 10 = 1 then 'message' else event_type end as event,
            case when event_id % 10 = 2 then '{"k":' || chr(10) || '1}' else props end as data
     from events where event_id % 10 not in (0, 3)""")
+add("read_sse", "", """
+    select case when event_id % 10 = 1 then 'message' else event_type end as event,
+           case when event_id % 10 = 2 then '{"k":' || chr(10) || '1}' else props end as data
+    from events where event_id % 10 not in (0, 3)""")
+SQL["read_sse_stream"] = SQL["read_sse"]
 add("latest_events", "", """
     select user_id, event_id, event_type, value from events
     qualify row_number() over (partition by user_id order by event_id desc) = 1""")

@@ -171,7 +171,8 @@ def incremental_ingest(
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = current_documents(spark, target).filter(F.col("batch") != number)
-        out = ingest.ingest_documents(batch, known, embed)
+        # The files are read once; every step of ingestion reads the written bytes.
+        out = ingest.ingest_documents(staged(batch, "arrived-files"), known, embed)
         out["chunks"].write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
         out["documents"].write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
         out["replaced"].write.mode("overwrite").parquet(f"{target}/replaced/batch={number}")

@@ -357,6 +357,22 @@ def paragraph_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def write_raw_files(rows: DataFrame, path: str) -> None:
+    """Texts (document_id, user_id, text) as files: one folder per user and document, the text and a line end in it."""
+    rows.select("user_id", "document_id", "text").repartition("document_id").write.mode("append").partitionBy("user_id", "document_id").option(
+        "compression", "none"
+    ).text(path)
+
+
+def raw_texts(spark: SparkSession, folder: str) -> DataFrame:
+    owners = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"))
+    return paragraph_texts(spark, folder).join(owners, "document_id")
+
+
+def owner_of(path: Column) -> Column:
+    return F.regexp_extract(path, "user_id=([^/]+)/", 1)
+
+
 def markdown_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Stored texts as Markdown: some lines become headings, some open or close a code fence."""
     text = "regexp_replace(regexp_replace(regexp_replace(text, '(?m)^(E[a-z])', '## $1'), '(?m)^(Th[a-f])', '```$1'), '(?m)^(An?[a-z])', ' # $1')"
