@@ -82,7 +82,9 @@ def _links_in_block(percent: int):
     def links(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         """Confirmed links of one pair of chunks that connect what wasn't connected in the block yet."""
         left_chunk, right_chunk = key[1].as_py(), key[2].as_py()
-        rows = group.select(["rep", "chunk", "registers", "shingles"]).sort_by("rep").to_pydict()
+        # An id may stand for several texts; each of them is compared on its own.
+        rows = group.select(["rep", "text_key", "chunk", "registers", "shingles"]).sort_by(
+            [("rep", "ascending"), ("text_key", "ascending")]).to_pydict()
         reps, chunk = rows["rep"], np.array(rows["chunk"])
         raw = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(-1, BUCKETS)
         sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
@@ -149,14 +151,17 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, width: int, percent: in
     )
     # Of repeated rows with the same id and text one is enough.
     sets = staged(
-        placed.join(texts, ["rep", "text_key"]).select("cluster", "rep", "chunks", "chunk", "registers", "text")
-        .mapInArrow(_shingler(width), "cluster bigint, rep bigint, chunks int, chunk int, registers binary, shingles binary"),
+        placed.join(texts, ["rep", "text_key"]).select("cluster", "rep", "text_key", "chunks", "chunk", "registers", "text")
+        .mapInArrow(
+            _shingler(width),
+            "cluster bigint, rep bigint, text_key bigint, chunks int, chunk int, registers binary, shingles binary",
+        ),
         "cluster-sets",
-    ).dropDuplicates(["rep", "cluster"])
+    ).dropDuplicates(["rep", "text_key", "cluster"])
     # Each chunk meets every chunk of its cluster, itself included; blocks are (lower, upper).
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "cluster", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "rep", "chunk",
-        "registers", "shingles",
+        "cluster", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "rep",
+        "text_key", "chunk", "registers", "shingles",
     )
     return paired.groupBy("cluster", "a", "b").applyInArrow(_links_in_block(percent), "u bigint, v bigint")
 

@@ -89,6 +89,17 @@ def test_repeated_ids_are_one_document(spark):
     assert [r.doc_id for r in kept.collect()] == [5, 5] and kept.columns == ["doc_id", "text", "class", "component_id"]
 
 
+def test_texts_of_one_id_keep_the_links_of_each(spark):
+    # Both texts of id 5 stand for their sets and are near each other, so they meet in one cluster of candidates.
+    base = [f"w{i}" for i in range(120)]
+    other = [*base[:60], *(f"x{i}" for i in range(12)), *base[72:]]
+    near_base = ["first", *base[1:]]
+    near_other = [*other[:-1], "last"]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (9, " ".join(near_base)), (11, " ".join(near_other)), (12, "alone " * 9)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates.near_duplicates(frame(spark, rows), 5).collect()}
+    assert got == {5: (5, True), 9: (5, False), 11: (5, False), 12: (12, True)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
