@@ -43,19 +43,24 @@ def shuffle_into_shards(
     Law `rows`: shard sizes differ by one record at most. Every record, also a repeated one or
     one of nulls only, is scattered by a hash of the seed and its place in the input, so no
     group of equal rows meets in one bucket; the number of buckets follows the input. The
-    order is repeatable for the same files and settings. Empty input gives no rows. Clashing
+    order is repeatable for the same files and settings: a bucket is put into the order of its
+    places before it is shuffled, whatever order its blocks arrived in. Empty input gives no rows. Clashing
     input columns stay; the new ones are prefixed with "_" then.
     """
     rows, size = text_bytes(docs, text_col)
     buckets = parts_for(size + RECORD_BYTES * rows, bucket_bytes)
     record = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    scattered = docs.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).alias("bucket"),
-        record.alias("record"),
+    placed = docs.select(F.monotonically_increasing_id().alias("place"), record.alias("record"))
+    scattered = placed.withColumn(
+        "bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("place")), F.lit(buckets)),
     ).repartition(buckets, "bucket")
-    shuffled = scattered.groupBy("bucket").agg(F.collect_list("record").alias("records")).select(
-        "bucket", F.posexplode(F.shuffle("records", seed)).alias("at", "record"),
+    # By place only: a record may hold columns without an order.
+    in_place = F.array_sort(
+        F.collect_list(F.struct("place", "record")), lambda a, b: F.signum(a["place"] - b["place"]).cast("int"),
     )
+    shuffled = scattered.groupBy("bucket").agg(in_place.alias("records")).select(
+        "bucket", F.posexplode(F.shuffle("records", seed)).alias("at", "placed"),
+    ).select("bucket", "at", "placed.record")
     written = staged(shuffled, "shuffled-buckets")
     place = F.col("offset") + F.col("at")
     shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
