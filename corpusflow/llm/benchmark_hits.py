@@ -9,6 +9,7 @@ these two words are compared with the text directly.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ TABLE_WORDS = 2_000_000
 class WordSearch:
     """Wu-Manber tables for patterns of one length (in words); block size two, one for single words."""
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[int]]):
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], dict[int, None]]):
         self.length = length
         self.block = min(2, length)
         self.default = length - self.block + 1
@@ -40,7 +41,7 @@ class WordSearch:
                     self.shift[block] = move
             self.ends.setdefault(block, []).append((list(words), owners))
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, dict[int, None]]]:
         """(start, owners) of every occurrence, in order."""
         length, default, get = self.length, self.default, self.shift.get
         head, n = length - 1, len(words)
@@ -66,23 +67,24 @@ class Benchmark:
     """All windows of a bounded set of items, grouped by length."""
 
     def __init__(self, items: Iterable[tuple[int, bytes]], window: int = WINDOW):
-        by_length: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+        by_length: dict[int, dict[tuple[bytes, ...], dict[int, None]]] = {}
         for item, text in items:
             words = alnum_words(text)
             length = min(window, len(words))
             for at in range(len(words) - length + 1) if length else ():
-                owners = by_length.setdefault(length, {}).setdefault(tuple(words[at:at + length]), [])
-                if item not in owners:
-                    owners.append(item)
+                by_length.setdefault(length, {}).setdefault(tuple(words[at:at + length]), {})[item] = None
         self.tables = [WordSearch(length, patterns) for length, patterns in sorted(by_length.items())]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit spans [start, end) of words and the items that own them."""
-        spans, items = [], set()
+        spans, items, met = [], set(), set()
         for table in self.tables:
             for start, owners in table.find(words):
                 spans.append((start, start + table.length))
-                items.update(owners)
+                # A window that many items share may occur often in one text; its owners are added once.
+                if id(owners) not in met:
+                    met.add(id(owners))
+                    items.update(owners)
         return spans, items
 
 
@@ -96,6 +98,18 @@ def merged_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+#: The tables that this Python worker built last, by the name of their block.
+_BUILT: dict[str, Benchmark] = {}
+
+
+def _built(name: str, items: Iterable[tuple[int, bytes]], window: int) -> Benchmark:
+    """The tables of a block, made once per worker; those of one block are held at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Benchmark(items, window)
+    return _BUILT[name]
+
+
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of at most about TABLE_WORDS words, read partition by partition."""
     block, held = [], 0
@@ -120,7 +134,8 @@ def find_hits(
     and all documents pass each block. Documents are never shuffled. A null text has no
     words; a null item text or one without words hits nothing; an empty benchmark leaves all
     documents clean. Items with equal ids count once; an item without id marks words but is not listed. Input columns with clashing names stay;
-    the new ones are prefixed with "_" then.
+    the new ones are prefixed with "_" then. Repeated rows each get their own result, empty `docs`
+    give none. A very long text is held as the list of its words, one text at a time.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -137,12 +152,12 @@ def find_hits(
 
 
 def _search_block(spark, docs, schema, block, window, text_col, names) -> DataFrame:
-    shared = spark.sparkContext.broadcast(block)
+    shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
     n_words, spans, items = names
     span_arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Benchmark(shared.value, window)
+        tables = _built(name, shared.value, window)
         for whole in batches:
             for batch in slices(whole, text_col):
                 counts, all_spans, all_items = [], [], []
@@ -159,7 +174,7 @@ def _search_block(spark, docs, schema, block, window, text_col, names) -> DataFr
                     items: pa.array(all_items, pa.list_(pa.int64())),
                 }
                 yield pa.RecordBatch.from_arrays(
-                    [new.get(name, batch.column(name)) for name in batch.schema.names], names=batch.schema.names,
+                    [new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names,
                 )
 
     return docs.mapInArrow(search, schema)
