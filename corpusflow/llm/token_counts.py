@@ -8,6 +8,7 @@ once; a sequence without a mergeable pair is done, and its symbols that are left
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -27,6 +28,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
 #: Symbols that one round holds at a time (a longer pre-token is held alone).
 ROUND_SYMBOLS = 1 << 18
+#: Bytes from which a pre-token finds its lowest rank by a heap instead of a look at all its pairs in each round.
+LONG_PIECE = 256
+#: Characters from which a chunk is counted each time instead of being remembered.
+LONG_CHUNK = 64
 
 
 def byte_letters() -> list[str]:
@@ -61,6 +66,8 @@ class RaggedMerger:
         order = np.argsort(keys)
         self.keys, self.rank_of_key, self.made = keys[order], order, made
         self.never = len(pairs)
+        #: The same ranks for single look-ups.
+        self.pairs = dict(zip((left * self.size + right).tolist(), range(len(pairs)), strict=True))
         special = [t["content"] for t in stored.get("added_tokens", []) if t["content"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.chunk_counts: dict[str, int] = {}
@@ -74,6 +81,12 @@ class RaggedMerger:
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols that are left of each byte string after all merges."""
         out = np.zeros(len(pieces), np.int64)
+        long = [i for i, p in enumerate(pieces) if len(p) >= LONG_PIECE]
+        if long:
+            short = [i for i, p in enumerate(pieces) if len(p) < LONG_PIECE]
+            out[long] = [self._count_long(pieces[i]) for i in long]
+            out[short] = self.counts([pieces[i] for i in short])
+            return out
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
         start = 0
@@ -84,6 +97,51 @@ class RaggedMerger:
             start = stop
         return out
 
+    def _count_long(self, piece: bytes) -> int:
+        """As `_count` for one long sequence: n log n instead of n for every rank that occurs.
+
+        The places of each rank wait in a list, the ranks in a heap. A round takes the lowest
+        rank, joins its places from the left and files the pairs that this makes; they are all
+        of higher rank. A place is out of date if its pair has another rank by then.
+        """
+        symbols = self.base[np.frombuffer(piece, np.uint8)]
+        n = len(symbols)
+        first = self._ranks(symbols)
+        places: dict[int, list[int]] = {}
+        by_rank = np.argsort(first, kind="stable")
+        by_rank = by_rank[first[by_rank] < self.never]
+        found, starts = np.unique(first[by_rank], return_index=True)
+        for rank, start, stop in zip(found.tolist(), starts.tolist(), [*starts.tolist()[1:], len(by_rank)]):
+            places[rank] = by_rank[start:stop].tolist()
+        heap = sorted(places)
+        rank_at, held = [*first.tolist(), self.never], symbols.tolist()
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        left, pairs, never, size = n, self.pairs, self.never, self.size
+        while heap:
+            rank = heapq.heappop(heap)
+            made = int(self.made[rank])
+            for at in sorted(places.pop(rank)):
+                if rank_at[at] != rank:
+                    continue
+                gone = after[at]
+                following, previous = after[gone], before[at]
+                held[at], after[at], rank_at[gone] = made, following, never
+                left -= 1
+                rank_at[at] = never
+                if following >= 0:
+                    before[following] = at
+                    rank_at[at] = pairs.get(made * size + held[following], never)
+                if previous >= 0:
+                    rank_at[previous] = pairs.get(held[previous] * size + made, never)
+                for place in (at, previous):
+                    new = rank_at[place] if place >= 0 else never
+                    if new < never:
+                        if new not in places:
+                            places[new] = []
+                            heapq.heappush(heap, new)
+                        places[new].append(place)
+        return left
+
     def _count(self, pieces: list[bytes], lengths: np.ndarray) -> np.ndarray:
         out = lengths.copy()
         symbols = self.base[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -110,14 +168,17 @@ class RaggedMerger:
             symbols, owner = symbols[keep], owner[keep]
         return out
 
-    def learn(self, texts: set[str]) -> None:
-        """Count the chunks that are not known yet, all in the same rounds."""
+    def learn(self, texts: set[str]) -> dict[str, int]:
+        """Count the chunks that are not known yet, all in the same rounds; those too long to be remembered are returned."""
+        once = {}
         new = [t for t in texts if t not in self.chunk_counts]
         cut = [pretokens(t) for t in new]
         pieces = sorted({p for found in cut for p in found})
         known = dict(zip(pieces, self.counts([p.encode() for p in pieces]).tolist(), strict=True))
         for text, found in zip(new, cut, strict=True):
-            self.chunk_counts[text] = sum(map(known.__getitem__, found))
+            kept = self.chunk_counts if len(text) < LONG_CHUNK else once
+            kept[text] = sum(map(known.__getitem__, found))
+        return once
 
     def count_texts(self, texts: list[str]) -> list[int]:
         """Tokens of each whole text; a special string is one token."""
@@ -134,8 +195,9 @@ class RaggedMerger:
             cut.append((i, len(pieces) - 1, found))
         if len(self.chunk_counts) > 4 * MEMO_ENTRIES:
             self.chunk_counts.clear()
-        self.learn({c for _, _, found in cut for c in found})
-        return [extra + sum(map(self.chunk_counts.__getitem__, found)) for _, extra, found in cut]
+        once = self.learn({c for _, _, found in cut for c in found})
+        known = self.chunk_counts
+        return [extra + sum(once[c] if len(c) >= LONG_CHUNK else known[c] for c in found) for _, extra, found in cut]
 
 
 @functools.lru_cache(maxsize=2)
@@ -147,8 +209,9 @@ def merger(path: str = VOCABULARY) -> RaggedMerger:
 def count_tokens(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """All rows and columns of `docs` and n_tokens of the whole text (null and empty: 0).
 
-    Works inside each row: no shuffle, memory for one slice of texts. Clashing input columns
-    stay; the new one is prefixed with "_" then.
+    Works inside each row: no shuffle, memory for one slice of texts, or for one text that is
+    longer than a slice. Pieces without blanks cost n log n. Repeated rows are counted each;
+    empty input gives no rows. Clashing input columns stay; the new one is prefixed with "_" then.
     """
     bounded_batches(docs.sparkSession)
     name = free_name(docs, "n_tokens")

@@ -90,6 +90,25 @@ def white_runs(n, seed=7):
     return runs + ["".join(rng.choice(["x", "7", "!", *" \xa0\t\n\u3000" * 2]) for _ in range(rng.randint(1, 24))) for _ in range(n)]
 
 
+@pytest.mark.parametrize("text", [
+    "ab" * 4000, "a" * 5000, "=" * 3001, "theinternationalizationof" * 90, "\u6f22\u5b57\u4eee\u540d" * 700, "zqxj" * 64,
+    "".join(random.Random(3).choice("etaoinshrdlu") for _ in range(20_000)),
+    "".join(random.Random(4).choice("ABCdef+/=") for _ in range(20_000)),
+])
+def test_long_pieces_are_counted_as_the_library_does(text):
+    own = token_counts.RaggedMerger()
+    library = Tokenizer.from_file(str(token_counts.VOCABULARY))
+    texts = [text, f"{text} {text}", f"word {text} word"]
+    assert own.count_texts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert all(len(chunk) < token_counts.LONG_CHUNK for chunk in own.chunk_counts)
+
+
+def test_both_forms_of_merging_agree():
+    own, rng = token_counts.RaggedMerger(), random.Random(8)
+    pieces = ["".join(rng.choice("abcdeth nio") for _ in range(rng.randint(1, 300))).encode() for _ in range(300)] + [b"\x00", b"\x00\xff"]
+    assert own._count(pieces, np.array([len(p) for p in pieces])).tolist() == [own._count_long(p) for p in pieces]
+
+
 def test_runs_of_mixed_white_space_are_exact(reference):
     codec, library = bpe_codec.Codec(), Tokenizer.from_file(token_counts.VOCABULARY)
     texts = white_runs(2000)
@@ -168,6 +187,30 @@ def test_shards_are_written_in_slot_order(spark, tmp_path):
 # --- decontamination ---------------------------------------------------------------------
 
 
+def test_a_bucket_is_shuffled_from_the_order_of_places(spark):
+    rows = [(i, f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    # The same places behind different exchanges.
+    orders = [
+        {r.doc_id: (r.shard, r.slot) for r in shuffle_shards.shuffle_into_shards(df, 7, bucket_bytes=2000).collect()} for _ in range(2)
+    ]
+    assert orders[0] == orders[1] and len(orders[0]) == 500
+    maps = df.withColumn("tags", F.create_map(F.lit("k"), F.col("text")))
+    assert shuffle_shards.shuffle_into_shards(maps, 7).count() == 500
+
+
+def test_a_window_of_very_many_items():
+    items = [(i, b"one two three four five six seven eight nine ten") for i in range(200_000)]
+    spans, owners = benchmark_hits.Benchmark(items).search(b"zero one two three four five six seven eight nine ten".split() * 50)
+    assert len(owners) == 200_000 and len(spans) == 50
+
+
+def test_hits_without_documents(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "some words")], "item_id bigint, text string")
+    assert benchmark_hits.find_hits(none, items).count() == 0
+
+
 def test_hits_equal_plain_search(spark, monkeypatch):
     monkeypatch.setattr(benchmark_hits, "TABLE_WORDS", 25)
     rng = random.Random(8)
