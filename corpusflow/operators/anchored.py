@@ -3,8 +3,8 @@
 A window opens at an event, covers ``width`` microseconds, and the next window opens at the
 first event after it ended. This is not a calendar window: where a window starts depends on the
 whole history of the key, so each key is read in time order by one pass with a single number of
-state. Every key is cut into slabs of about ``hot_rows`` events, by quantiles of its times (most
-keys are one slab), and
+state. Keys of more than ``hot_rows`` events are cut into slabs, the ranges of one range
+partitioning of their rows by key and time, and
 
 1. per slab: for every event that could open its first window, which window is open when the
    slab ends (a small monotone table);
@@ -14,6 +14,8 @@ keys are one slab), and
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.operators.ordered import slab_running_sum
+from corpusflow.session import staged
 
 HOT_ROWS = 1_000_000
-# Quantiles kept per key: the most slabs that a key is cut into.
-QUANTILES = 1024
+# Stands for "no window" in arrays of starts.
+NO_WINDOW = -(1 << 63)
 
 
 def chain_ends(times: np.ndarray, width: int) -> np.ndarray:
@@ -45,9 +48,10 @@ def chain_ends(times: np.ndarray, width: int) -> np.ndarray:
     return jump
 
 
-def slab_summary(times: np.ndarray, slab_start: int, width: int):
+def slab_summary(times: np.ndarray, width: int):
     """Openers that may meet a window reaching into the slab, the window open at its end and its events."""
-    reach = np.searchsorted(times, slab_start + width, side="left") + 1
+    # Earlier windows began at the slab's first time at the latest.
+    reach = np.searchsorted(times, times[0] + width, side="left") + 1
     ends = times[chain_ends(times, width)][:reach]
     opens = times[: len(ends)]
     keep = np.append(ends[1:] != ends[:-1], True)
@@ -55,22 +59,65 @@ def slab_summary(times: np.ndarray, slab_start: int, width: int):
     return opens[keep], ends[keep], inside
 
 
-def _slabs(rows: DataFrame, keys: list[str], time: str, hot_rows: int) -> DataFrame:
-    """Per key the times at which its slabs begin, the first slab's left out.
+def windows_of_run(times, able, first, entry, used, width: int):
+    """Window start, whether it opened here, and openers so far, for rows of several groups.
+
+    ``times`` ascend inside a group, ``first`` marks where groups begin, ``entry`` and ``used`` are, per group, the
+    window open before its first row (or NO_WINDOW) and the openers that it already had.
 
-    Quantiles of the times: a burst inside one window is spread like any other stretch.
+    Gaps beyond a window say no more than a gap of one window, so all groups go on one axis with gaps of at most
+    ``width`` and exactly ``width`` between groups: no window reaches from one to the next. A window that
+    is already open is a row of its own before the group.
     """
-    steps = [i / QUANTILES for i in range(1, QUANTILES)]
-    sized = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx(time, steps, 10_000).alias("_at"), F.min(time).alias("_origin")
-    )
-    slabs = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(QUANTILES)).cast("int")
-    picked = F.transform(
-        F.sequence(F.lit(1), F.greatest(slabs - 1, F.lit(1))), lambda i: F.get("_at", (i * QUANTILES / slabs).cast("int") - 1)
-    )
-    # Equal times stay in one slab.
-    cuts = F.when(slabs > 1, F.filter(F.array_distinct(picked), lambda c: c > F.col("_origin"))).otherwise(F.array().cast("array<bigint>"))
-    return sized.select(*keys, cuts.cast("array<bigint>").alias("_cuts"))
+    at = np.flatnonzero(first)
+    has = np.flatnonzero(entry != NO_WINDOW)
+    real = np.ones(len(times) + len(has), bool)
+    real[at[has] + np.arange(len(has))] = False
+    clock = np.empty(len(real), np.int64)
+    clock[real], clock[~real] = times, entry[has]
+    opener = np.ones(len(real), bool)
+    opener[real] = able
+    heads = np.zeros(len(real), bool)
+    heads[real] = first
+    carried = np.flatnonzero(~real)
+    heads[carried], heads[carried + 1] = True, False
+    gaps = np.minimum(np.diff(clock, prepend=clock[:1]), width)
+    gaps[heads] = width
+    axis = np.cumsum(gaps)
+
+    openers = np.flatnonzero(opener)
+    following = np.searchsorted(axis[openers], axis[openers] + width, side="left").tolist()
+    chain, here = [], 0
+    while here < len(following):
+        chain.append(here)
+        here = following[here]
+    opened = np.zeros(len(real), bool)
+    opened[openers[chain]] = True
+    last = np.maximum.accumulate(np.where(opened, np.arange(len(real)), -1))
+    inside = (last >= 0) & (axis - axis[last] < width)
+    counted = opener & inside & real
+    total = np.cumsum(counted)
+    base = np.zeros(len(real), np.int64)
+    base[carried] = used[has]
+    ordinal = np.where(inside, base[last] + total - (total - counted)[last], 0)
+    starts = np.where(inside, clock[last], NO_WINDOW)
+    return starts[real], opened[real], ordinal[real]
+
+
+def _hot_slabs(rows: DataFrame, keys: list[str], time: str, hot_rows: int) -> tuple[DataFrame | None, DataFrame]:
+    """The rows of hot keys with their ``_slab``, written once (None without any), and all others.
+
+    Slabs are the ranges of one range partitioning by key and time, so their number grows with the rows, a burst
+    inside one window is spread like any other stretch, and equal times of a key stay together.
+    """
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    total = hot.agg(F.sum("_n")).first()[0]
+    if total is None:
+        return None, rows
+    hot = staged(hot.select(*keys), "hot-keys")
+    ranges = rows.join(hot, keys, "left_semi").repartitionByRange(math.ceil(total / hot_rows), *keys, time)
+    cut = staged(ranges.withColumn("_slab", F.spark_partition_id().cast("bigint")), "hot-slabs")
+    return cut, rows.join(hot, keys, "left_anti")
 
 
 def _entries(hot_rows: DataFrame, keys: list[str], time: str, width: int) -> DataFrame:
@@ -81,13 +128,11 @@ def _entries(hot_rows: DataFrame, keys: list[str], time: str, width: int) -> Dat
     times = T.ArrayType(T.LongType())
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        opens, ends, inside = slab_summary(
-            np.sort(pdf[time].to_numpy(dtype=np.int64)), int(pdf["_slab_start"].iloc[0]), width
-        )
+        opens, ends, inside = slab_summary(np.sort(pdf[time].to_numpy(dtype=np.int64)), width)
         head = pdf[group].iloc[:1].reset_index(drop=True)
         return head.assign(_opens=[opens.tolist()], _ends=[ends.tolist()], _inside=[inside.tolist()], _rows=len(pdf))
 
-    summary = hot_rows.filter("can_open").select(*group, "_slab_start", time).groupBy(*group).applyInPandas(
+    summary = hot_rows.filter("can_open").select(*group, time).groupBy(*group).applyInPandas(
         summarise,
         T.StructType([
             *key_fields, slab_field, T.StructField("_opens", times), T.StructField("_ends", times),
@@ -137,48 +182,44 @@ def anchored_windows(
     every event may.
     """
     rows = events if "can_open" in events.columns else events.withColumn("can_open", F.lit(True))
-    cut = rows.join(_slabs(rows, keys, time, hot_rows), keys, "left").withColumn(
-        "_slab", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(time))), F.lit(0)).cast("bigint")
-    )
-    later = cut.filter(F.size("_cuts") > 0).withColumn(
-        "_slab_start", F.when(F.col("_slab") > 0, F.get("_cuts", (F.col("_slab") - 1).cast("int"))).otherwise(F.lit(-(1 << 62)))
-    )
-    entries = _entries(later, keys, time, width)
-    # Keys of one slab have no entry and don't take part in the join.
-    single = cut.filter(F.coalesce(F.size("_cuts"), F.lit(0)) <= 0).withColumns(
-        {"_entry": F.lit(None).cast("bigint"), "_used": F.lit(None).cast("bigint")}
-    )
-    rows = single.unionByName(cut.filter(F.size("_cuts") > 0).join(entries, [*keys, "_slab"], "left")).drop("_cuts")
+    cut, rest = _hot_slabs(rows, keys, time, hot_rows)
+    none = {name: F.lit(None).cast("bigint") for name in ("_entry", "_used")}
+    # Keys of one slab have no entry.
+    rows = rest.withColumns({"_slab": F.lit(0).cast("bigint"), **none})
+    if cut is not None:
+        rows = rows.unionByName(cut.join(_entries(cut, keys, time, width), [*keys, "_slab"], "left"))
 
     group = [*keys, "_slab"]
     columns = events.columns
 
     def assign(batches):
-        group_key, start, used = None, None, 0
+        group_key, start, used = None, NO_WINDOW, 0
         for pdf in batches:
             if not len(pdf):
                 continue
-            fresh = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
-            fresh[0] = tuple(pdf[group].iloc[0]) != group_key
-            group_key = tuple(pdf[group].iloc[-1])
-            entries = [None if missing else int(value) for value, missing in zip(pdf["_entry"], pdf["_entry"].isna())]
-            before = pdf["_used"].fillna(0).astype("int64").tolist()
-            starts, opened, ordinals = [], [], []
-            for new, entry, count, at, able in zip(
-                fresh.tolist(), entries, before, pdf[time].tolist(), pdf["can_open"].tolist()
-            ):
-                if new:
-                    start, used = entry, count
-                opens = able and (start is None or at >= start + width)
-                if opens:
-                    start, used = at, 0
-                inside = start is not None and at < start + width
-                used += able and inside
-                starts.append(start if inside else None)
-                opened.append(opens)
-                ordinals.append(used if inside else None)
+            first = np.zeros(len(pdf), bool)
+            for name in group:
+                column = pdf[name]
+                before = column.shift()
+                first |= ((column != before) & ~(column.isna() & before.isna())).to_numpy(dtype=bool)
+            first[0] = True
+            ends = pdf[group].iloc[[0, -1]].astype(object)
+            ends = ends.where(ends.notna(), None)
+            heads = np.flatnonzero(first)
+            entries = pdf["_entry"].iloc[heads].astype("Int64").fillna(NO_WINDOW).to_numpy(dtype=np.int64)
+            counts = pdf["_used"].iloc[heads].astype("Int64").fillna(0).to_numpy(dtype=np.int64)
+            if tuple(ends.iloc[0]) == group_key:
+                entries[0], counts[0] = start, used
+            group_key = tuple(ends.iloc[-1])
+            starts, opened, ordinals = windows_of_run(
+                pdf[time].to_numpy(dtype=np.int64), pdf["can_open"].eq(True).to_numpy(dtype=bool), first, entries, counts, width
+            )
+            outside = starts == NO_WINDOW
+            # A window that has ended opens nothing any more, so it needn't be carried on.
+            start, used = int(starts[-1]), int(ordinals[-1])
             yield pdf[columns].assign(
-                window_start=pd.array(starts, dtype="Int64"), opened=opened, ordinal=pd.array(ordinals, dtype="Int64")
+                window_start=pd.arrays.IntegerArray(starts, outside), opened=opened,
+                ordinal=pd.arrays.IntegerArray(ordinals, outside),
             )
 
     ordered = rows.select(*dict.fromkeys([*columns, "can_open", "_slab", "_entry", "_used"]))
@@ -233,7 +274,7 @@ def ttl_cache_hits(
         F.lit(False).alias("storable"), F.lit(True).alias("_clears"),
     )
     events = requests.select("owner", "key", "request_id", "at", "storable", F.lit(False).alias("_clears")).unionByName(marks)
-    dated = _epochs(events, ["owner"], "_clears", width, "_epoch").filter("not _clears").drop("_clears")
+    dated = staged(_epochs(events, ["owner"], "_clears", width, "_epoch").filter("not _clears").drop("_clears"), "cache-epochs")
     windows = anchored_windows(
         dated.withColumnRenamed("storable", "can_open"), ["owner", "key", "_epoch"], "at", width, hot_rows=hot_rows
     )
@@ -249,6 +290,6 @@ def throttled_writes(events: DataFrame, interval_ms: int, hot_rows: int = HOT_RO
     ``events``: document_id, request_id, at, stage_change. A stage change restarts the clock.
     """
     width = interval_ms * 1000
-    dated = _epochs(events, ["document_id"], "stage_change", width, "_epoch")
+    dated = staged(_epochs(events, ["document_id"], "stage_change", width, "_epoch"), "progress-epochs")
     windows = anchored_windows(dated, ["document_id", "_epoch"], "at", width, hot_rows=hot_rows)
     return windows.withColumnRenamed("opened", "written").drop("_epoch", "ordinal")

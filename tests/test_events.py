@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +247,36 @@ def test_latest_row(spark):
     assert rows(folds.latest_per_key(df, ["k"], "seq"), "k", "seq", "v") == [(1, 3, None)]
     assert df.groupBy("k").agg(folds.latest_value("v", "seq")).first()[1] == "b"
     assert df.select(F.max("seq")).first()[0] == 3
+
+
+def plain_windows(times, able, first, entry, used, width):
+    out, group, start, count = [], -1, None, 0
+    for at, opens, head in zip(times, able, first):
+        if head:
+            group += 1
+            start, count = (None if entry[group] == anchored.NO_WINDOW else entry[group]), used[group]
+        opened = opens and (start is None or at >= start + width)
+        if opened:
+            start, count = at, 0
+        inside = start is not None and at < start + width
+        count += opens and inside
+        out.append((start if inside else anchored.NO_WINDOW, bool(opened), count if inside else 0))
+    return out
+
+
+def test_windows_of_several_groups_at_once():
+    generator = random.Random(2)
+    for _ in range(1500):
+        n, width = generator.randint(1, 30), generator.choice([1, 5, 10])
+        first = [i == 0 or generator.random() < 0.3 for i in range(n)]
+        at, times, entry, used = 0, [], [], []
+        for head in first:
+            if head:
+                at = generator.randint(0, 50)
+                entry.append(generator.choice([anchored.NO_WINDOW, at - generator.randint(0, 20)]))
+                used.append(0 if entry[-1] == anchored.NO_WINDOW else generator.randint(1, 5))
+            at += generator.choice([0, 1, 3, 9, 40])
+            times.append(at)
+        able = [generator.random() < 0.7 for _ in range(n)]
+        got = anchored.windows_of_run(np.array(times), np.array(able), np.array(first), np.array(entry), np.array(used), width)
+        assert list(zip(*(x.tolist() for x in got))) == plain_windows(times, able, first, entry, used, width)
