@@ -205,11 +205,28 @@ def hybrid_sources(document_sources: DataFrame, web_sources: DataFrame) -> DataF
     return document_sources.unionByName(moved, allowMissingColumns=True)
 
 
+def _left_join_nullable(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join by a key that may be null in many rows.
+
+    Rows without a key match nothing, but would all meet in one task. A second key spreads them: the hash of the
+    key, or of the whole row where there is none.
+    """
+    def by(df: DataFrame, fallback: Column) -> DataFrame:
+        text = F.col(key).cast("string")
+        return df.withColumn("_place", F.when(text.isNull(), fallback).otherwise(F.xxhash64(text)))
+
+    spread = by(left, F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]))
+    return spread.join(by(right, F.lit(None).cast("bigint")), [key, "_place"], "left").drop("_place")
+
+
 def resolved_citations(sources: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Citation to chunk to document by nullable keys; both sides may be gone."""
+    """Citation to chunk to document by nullable keys; both sides may be gone.
+
+    Citations of web pages have neither key; they are spread over all tasks.
+    """
     wanted = chunks.select("chunk_id", "chunk_index", F.col("document_id").alias("chunk_document_id"))
     names = documents.select("document_id", "original_filename")
-    return sources.join(wanted, "chunk_id", "left").join(names, "document_id", "left")
+    return _left_join_nullable(_left_join_nullable(sources, wanted, "chunk_id"), names, "document_id")
 
 
 def approx_knn(

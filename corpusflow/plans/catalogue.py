@@ -436,6 +436,12 @@ def route_messages(spark, folder):
     return _routed(spark, folder).select("message_id", "route", "confidence", "reason", "requires_fresh_data")
 
 
+@query
+def route_with_labels(spark, folder):
+    routed = RT.route_messages(V.questions_asked(spark, folder), labels=V.route_labels(spark, folder))
+    return routed.select("message_id", "route", "confidence", "reason", "requires_fresh_data")
+
+
 @query
 def retrieval_modes(spark, folder):
     rows = _routed(spark, folder).withColumn("mode", RT.retrieval_mode(F.col("route")))

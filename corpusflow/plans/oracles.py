@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusflow.functions.text import TITLE_LEAD_INS, TITLE_TRAILING_NOISE
 from corpusflow.operators import context, routing
+from corpusflow.views import ROUTE_ANSWERS
 
 # Model tables as common table expressions, independent of the Spark definitions.
 def _document(vector: str) -> str:
@@ -550,6 +551,20 @@ VIEWS["routed"] = f"""
                      else 'no retrieval signal detected' end as why
             from hits))"""
 NEEDS["routed"] = ["hits"]
+# With labels: an answer that names a route decides where no rule does.
+_ANSWERS = "[" + ", ".join(f"'{a}'" for a in ROUTE_ANSWERS) + "]"
+_LABELLED = VIEWS["routed"]
+for _old, _new in (
+    ("when has_documents then 'documents' else 'llm' end as base", "when label is not null then label"),
+    ("when has_documents then 0.4 else 0.5 end as conf", "when label is not null then 0.7"),
+    ("when has_documents then 'defaulting to the user documents'", "when label is not null then 'classified by the language model'"),
+):
+    _LABELLED = _LABELLED.replace(_old, f"{_new} {_old}")
+VIEWS["routed_by_label"] = _LABELLED.replace("from hits)", f"""from (
+                select *, case when message_id % 4 != 0 then nullif(regexp_extract(
+                    lower({_ANSWERS}[message_id % {len(ROUTE_ANSWERS)} + 1]), 'llm|documents|web|hybrid'), '') end as label from hits))""")
+NEEDS["routed_by_label"] = ["hits"]
+add("route_with_labels", "routed_by_label", "select message_id, route, confidence, reason, requires_fresh_data from routed_by_label")
 _MODE = "case route when 'documents' then 'document' when 'web' then 'web' when 'hybrid' then 'hybrid' else 'llm' end"
 add("signal_hits", "hits", """
     select message_id, trivial_hits, document_hits, web_hits, hybrid_hits, general_hits, fresh_hits from hits""")

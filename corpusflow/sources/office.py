@@ -24,11 +24,24 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
+#: Bytes that the parts of a package may take unpacked, and columns that one merged cell may cover. A package beyond
+#: either is reported as unreadable: a small file could otherwise fill a worker.
+MAX_UNPACKED = 256 << 20
+MAX_SPAN = 1024
+
 ELEMENTS = (
     "document_id string, seq int, part int, kind string, style string, level int, text string, cells array<string>"
 )
 
 
+def _open(content: bytes) -> zipfile.ZipFile:
+    """The package, if the sizes that it states are in bounds; reading a part never gives more than it states."""
+    package = zipfile.ZipFile(io.BytesIO(content))
+    if sum(part.file_size for part in package.infolist()) > MAX_UNPACKED:
+        raise ValueError("package too large unpacked")
+    return package
+
+
 def _word_text(node) -> str:
     marks = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
     pieces = []
@@ -46,6 +59,8 @@ def _word_cells(row, above: list[str]) -> list[str]:
         span, merge = (None, None) if props is None else (props.find(f"{W}gridSpan"), props.find(f"{W}vMerge"))
         continued = merge is not None and merge.get(f"{W}val", "continue") == "continue"
         width = 1 if span is None else int(span.get(f"{W}val"))
+        if width > MAX_SPAN:
+            raise ValueError("merged cell too wide")
         # A merged cell repeats in every column and row it covers.
         for _ in range(width):
             cells.append(above[len(cells)] if continued and len(cells) < len(above) else text)
@@ -54,7 +69,7 @@ def _word_cells(row, above: list[str]) -> list[str]:
 
 def word_elements(content: bytes) -> Iterator[dict]:
     """Paragraphs and table rows of the document body."""
-    package = zipfile.ZipFile(io.BytesIO(content))
+    package = _open(content)
     names = {}
     if "word/styles.xml" in package.namelist():
         for style in ElementTree.fromstring(package.read("word/styles.xml")).findall(f"{W}style"):
@@ -104,7 +119,7 @@ def _placeholder(shape):
 
 def slide_elements(content: bytes) -> Iterator[dict]:
     """Titles, text lines, table rows and notes of every slide, in presentation order."""
-    package = zipfile.ZipFile(io.BytesIO(content))
+    package = _open(content)
     root = ElementTree.fromstring(package.read("ppt/presentation.xml"))
     targets = _relations(package, "ppt/presentation.xml")
     for number, entry in enumerate(root.iter(f"{P}sldId"), 1):

@@ -317,6 +317,9 @@ PHRASES = [
 ]
 
 
+ROUTE_ANSWERS = ["web", "The route is DOCUMENTS.", "llm", "Hybrid", "no idea", "", "documents or web"]
+
+
 def questions_asked(spark: SparkSession, folder: str) -> DataFrame:
     """User messages behind phrases that carry routing signals, with the flags of their turn."""
     phrases = ", ".join("'" + p + "'" for p in PHRASES)
@@ -336,6 +339,14 @@ def questions_asked(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def route_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers of a classifier to three of four messages, some of them in a sentence or without a route."""
+    answers = ", ".join("'" + a + "'" for a in ROUTE_ANSWERS)
+    return messages(spark, folder).filter("message_id % 4 != 0").select(
+        "message_id", F.expr(f"element_at(array({answers}), cast(message_id % {len(ROUTE_ANSWERS)} as int) + 1)").alias("label"),
+    )
+
+
 MODEL_PATH = (
     "element_at(array("
     "concat('C:\\\\hub\\\\models--org--model-', label, '\\\\snapshots\\\\', vec_id),"

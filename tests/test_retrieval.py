@@ -100,3 +100,24 @@ def test_locators(spark):
     data = [((2, None, 3, 4, None, "", None),), ((None, None, 3, 4, None, "S", None),), ((None, 7, 3, None, 1, None, "T"),)]
     df = spark.createDataFrame(data, schema)
     assert [r[0] for r in rows(df.select(retrieval.locators(F.col("m"))))] == [["p. 2"], ["¶ 3", "line 4", "S"], ["slide 7"]]
+
+
+def test_citations_without_keys_are_spread(spark):
+    sources = spark.createDataFrame(
+        [(1, 10, 100), (2, 11, None), (3, None, 100), (4, 99, 999), *[(i, None, None) for i in range(5, 400)], (5, None, None)],
+        "message_id long, chunk_id long, document_id long",
+    )
+    chunks = spark.createDataFrame([(10, 0, 100), (11, 1, 100)], "chunk_id long, chunk_index int, document_id long")
+    documents = spark.createDataFrame([(100, "a.txt")], "document_id long, original_filename string")
+    got = retrieval.resolved_citations(sources, chunks, documents)
+    found = {r.message_id: (r.chunk_index, r.chunk_document_id, r.original_filename) for r in got.collect()}
+    assert {k: found[k] for k in range(1, 5)} == {1: (0, 100, "a.txt"), 2: (1, 100, None), 3: (None, None, "a.txt"), 4: (None, None, None)}
+    assert got.count() == 400 and set(found) == set(range(1, 400))
+    # Both keys take part in the exchange of the rows without any.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = retrieval.resolved_citations(sources, chunks, documents)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert exchanges and all("_place" in line for line in exchanges)

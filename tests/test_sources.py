@@ -1,4 +1,6 @@
+import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,28 @@ def test_docx(spark):
     assert {r[0]: r[1:] for r in rows(office.docx_info(elements))} == {"d": (6, 1, None), "bad": (0, 0, "PARSE_FAILED")}
 
 
+def test_packages_out_of_bounds_are_unreadable(spark, monkeypatch):
+    package = views.word_package(["Overview", "text", "a", "b", "c", "d", "e"])
+    slides = views.slide_package([{"title": "Only title"}])
+    wide = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(package)) as old, zipfile.ZipFile(wide, "w") as new:
+        for name in old.namelist():
+            span = b'<w:tc><w:tcPr><w:gridSpan w:val="2000000000"/></w:tcPr>'
+            new.writestr(name, old.read(name).replace(b"<w:tc>", span, 1))
+    bomb = io.BytesIO()
+    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as new:
+        new.writestr("word/document.xml", b" " * (2 << 20))
+    assert list(office.word_elements(package)) and list(office.slide_elements(slides))
+    with pytest.raises(ValueError):
+        list(office.word_elements(wide.getvalue()))
+    monkeypatch.setattr(office, "MAX_UNPACKED", 1 << 20)
+    for read in (office.word_elements, office.slide_elements):
+        with pytest.raises(ValueError):
+            list(read(bomb.getvalue()))
+    df = spark.createDataFrame([("wide", bytearray(wide.getvalue()))], "document_id string, content binary")
+    assert rows(office.docx_elements(df), "kind", "text") == [("error", "PARSE_FAILED")]
+
+
 def test_pptx(spark):
     package = views.slide_package([
         {"title": "RAG", "lines": [(0, "Retrieve"), (1, "Ground"), (0, " ")], "notes": "Mention accuracy."},
