@@ -14,31 +14,31 @@ import numpy as np
 SEPARATOR = 0xFF
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by at least their first `depth` bytes, by doubling; equal ones in text order."""
-    rank = text.astype(np.int64) + 1
-    width = 1
-    order = np.argsort(rank, kind="stable")
-    while width < depth:
-        behind = np.zeros(len(text), np.int64)
-        behind[:-width] = rank[width:]
-        key = rank * (int(rank.max()) + 1) + behind
-        order = np.argsort(key, kind="stable")
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Places of the suffixes in their order, by doubling from their first eight bytes."""
+    n, width = len(text), 8
+    padded = np.append(text, np.zeros(width - 1, np.uint8)).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for j in range(width):
+        key = (key << np.uint64(8)) | padded[j:j + n]
+    while True:
+        order = np.argsort(key)
         sorted_key = key[order]
         fresh = np.append(True, sorted_key[1:] != sorted_key[:-1])
-        rank = np.empty(len(text), np.int64)
+        if fresh.all() or width >= n:
+            return order
+        rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(fresh)
+        key = rank << np.uint64(32)
+        key[:-width] |= rank[width:]
         width *= 2
-        if fresh.all():
-            break
-    return order
 
 
 class RunIndex:
-    """Backward search over the runs of the transform of `text`."""
+    """Backward search over the runs of the transform of `text` (at least a byte, the last one SEPARATOR)."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        order = suffix_order(text, depth)
+    def __init__(self, text: np.ndarray):
+        order = suffix_order(text)
         n = self.n = len(text)
         before = text[order - 1]  # the byte before each suffix; the first text byte follows the last
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
@@ -49,6 +49,7 @@ class RunIndex:
         self.start, self.length, self.byte = heads[by_byte], lengths[by_byte], byte[by_byte]
         #: Text place of the last suffix of each run, in this order.
         self.end_sample = ends[by_byte]
+        self.last = int(order[-1])
         # Equal bytes in earlier runs, plus all smaller bytes: where LF leads a run's first row.
         self.target = np.append(0, np.cumsum(self.length)[:-1])
         self.key = self.byte * (n + 1) + self.start
@@ -59,33 +60,37 @@ class RunIndex:
     def runs(self) -> int:
         return len(self.start)
 
-    def _lead(self, byte: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Rows that LF leads to: smaller bytes, and equal bytes before `row`."""
+    def _lead(self, byte: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that LF leads to: smaller bytes, and equal bytes before `row`; and the last run of that byte before it."""
         run = np.searchsorted(self.key, byte * (self.n + 1) + row, side="left") - 1
         own = run >= self.first[byte]
         run = np.maximum(run, 0)
         inside = self.target[run] + np.minimum(row - self.start[run], self.length[run])
-        return np.where(own, inside, self.smaller[byte])
+        return np.where(own, inside, self.smaller[byte]), run
 
     def shared(self, text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(which, interval): the patterns text[s:s + width] that occur at least twice, and their interval's first row.
+        """(which, place): the patterns text[s:s + width] that occur at least twice, and where one occurrence lies.
 
-        Patterns whose interval has shrunk to their own occurrence leave the search at once:
-        the lengths reached there are their matching statistics against the rest.
+        All occurrences of a pattern get the same place, that of its interval's last row: inside a run
+        it stays in sight, past a run's end its sample takes over. Patterns whose interval has shrunk to
+        their own occurrence leave the search at once: the lengths reached there are their matching
+        statistics against the rest.
         """
         which = np.arange(len(starts))
         low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
-        at = starts + width
+        place, at = np.full(len(starts), self.last), starts + width
         for _ in range(width):
             at = at - 1
             byte = text[at].astype(np.int64)
-            low, high = self._lead(byte, low), self._lead(byte, high)
-            alive = high - low > 1
+            low, _ = self._lead(byte, low)
+            last, run = self._lead(byte, high)
+            place = np.where(self.start[run] + self.length[run] < high, self.end_sample[run], place) - 1
+            high, alive = last, last - low > 1
             if not alive.all():
-                which, low, high, at = which[alive], low[alive], high[alive], at[alive]
+                which, low, high, place, at = which[alive], low[alive], high[alive], place[alive], at[alive]
             if not len(which):
                 break
-        return which, low
+        return which, place
 
     def locate(self, pattern: bytes) -> int | None:
         """The place of one occurrence, from the samples at run ends; None if there is none."""
@@ -93,7 +98,7 @@ class RunIndex:
         for byte in reversed(pattern):
             run = int(np.searchsorted(self.key, byte * (self.n + 1) + high, side="left")) - 1
             one = np.array([byte])
-            new_low, new_high = (int(self._lead(one, np.array([x]))[0]) for x in (low, high))
+            new_low, new_high = (int(self._lead(one, np.array([x]))[0][0]) for x in (low, high))
             if new_high <= new_low:
                 return None
             # Inside a run the last row stays in sight; past a run's end its sample takes over.

@@ -168,13 +168,44 @@ def test_repeated_bytes_equal_brute_force(spark):
     assert sorted(found, key=order) == sorted(brute_bytes(rows, 50), key=order)
 
 
+@pytest.mark.parametrize("options", [{"hot_kinds": 3}, {"index_bytes": 200}])
+def test_repeated_bytes_of_hot_cores(spark, options):
+    """One passage with other surroundings in every document: few different stretches an index, or none of its key."""
+    rng = random.Random(31)
+    core = "a passage of sixty bytes that everybody has copied somewhere"
+    letters = "abcd"
+    rows = [
+        (i, "".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) + core[rng.randint(0, 8):len(core) - rng.randint(0, 8)] * rng.randint(1, 2)
+         + "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))) for i in rng.sample(range(500), 60)
+    ]
+    rows += [(600, "".join(rng.choice("ab") for _ in range(4000))), (601, "ab" * 300), (602, "b" + "ab" * 200)]
+    out = repeated_bytes.remove_repeated_bytes(frame(spark, rows).withColumn("found_id", F.lit(1)).withColumn("removed_bytes", F.lit("x")), **options)
+    assert out.columns == ["doc_id", "text", "found_id", "removed_bytes", "_removed_bytes", "kept_bytes"]
+    found = [(r.doc_id, len(r.text), sum(b - a for a, b in r._removed_bytes), bytes(r.kept_bytes)) for r in out.collect()]
+    assert sorted(found) == sorted(brute_bytes(rows, 50)) and sum(f[2] for f in found) > 1000
+
+
+def test_names_of_stretches_are_those_of_their_bytes():
+    rng = random.Random(8)
+    shared = bytes(rng.choice(b"xyz ") for _ in range(5000))
+    texts = [bytes(rng.choice(b"pq") for _ in range(rng.randint(0, 90))) + shared[a:a + 700] + b"k" * rng.randint(0, 200) for a in range(0, 4000, 130)]
+    found = repeated_bytes.Stretches([b"", b"short", *texts])
+    assert found.counts[:2].tolist() == [0, 0] and found.counts.sum() == len(found.names)
+    of_name = {}
+    for i, (a, b) in enumerate(zip(found.bounds()[2:-1], found.bounds()[3:])):
+        for at in range(a, b):
+            piece = texts[i][found.starts[at]:found.ends[at]]
+            assert of_name.setdefault(found.names[at], piece) == piece
+    assert len(of_name) == len(set(of_name.values())) < len(found.names)
+
+
 def test_run_index_against_search():
     import numpy as np
 
     rng = random.Random(4)
     pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(60, 90))) for _ in range(8)] + ["ab" * 40, "ab" * 35]
     text = b"".join(p.encode() + bytes([SEPARATOR]) for p in pieces)
-    index = RunIndex(np.frombuffer(text, np.uint8), 50)
+    index = RunIndex(np.frombuffer(text, np.uint8))
     assert index.runs < len(text)
     for _ in range(200):
         at = rng.randrange(len(text) - 60)
@@ -184,12 +215,13 @@ def test_run_index_against_search():
             assert text[place:place + len(pattern)] == pattern
     assert index.locate(b"c") is None and index.locate(b"abbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb") is None
     starts = np.array([s for s in range(len(text) - 50) if bytes([SEPARATOR]) not in text[s:s + 50]])
-    which, interval = index.shared(np.frombuffer(text, np.uint8), starts, 50)
+    which, places = index.shared(np.frombuffer(text, np.uint8), starts, 50)
     shared = {s for s in starts.tolist() if sum(text[t:t + 50] == text[s:s + 50] for t in starts.tolist()) > 1}
     assert set(starts[which].tolist()) == shared
     names = {}
-    for w, low in zip(which.tolist(), interval.tolist()):
-        assert names.setdefault(low, text[starts[w]:starts[w] + 50]) == text[starts[w]:starts[w] + 50]
+    for w, place in zip(which.tolist(), places.tolist()):
+        window = text[starts[w]:starts[w] + 50]
+        assert names.setdefault(window, place) == place and text[place:place + 50] == window
 
 
 @pytest.mark.parametrize("operator", [
