@@ -34,8 +34,8 @@ CORE = 32
 STEP_BYTES = 1 << 18
 #: Text bytes whose stretches share one task.
 RANGE_BYTES = 8 << 20
-#: Bytes of stretches in one index; a key is never cut.
-INDEX_BYTES = 1 << 20
+#: Bytes of stretches in one index, so that it fits a core's cache; a key is never cut.
+INDEX_BYTES = 1 << 17
 #: Different stretches of one key that one index takes; the windows of hotter keys are spread by their own hashes.
 HOT_KINDS = 2048
 #: Low bits of a stretch's name, free for what is to be done about it.

@@ -44,17 +44,18 @@ class RunIndex:
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         lengths = np.diff(np.append(heads, n))
         ends = order[heads + lengths - 1]
-        byte = before[heads].astype(np.int64)
-        by_byte = np.argsort(byte, kind="stable")
-        self.start, self.length, self.byte = heads[by_byte], lengths[by_byte], byte[by_byte]
+        by_byte = np.argsort(before[heads], kind="stable")
+        #: Numbers as narrow as the text allows, because the search is bound by the memory it walks through.
+        self.kind = np.int32 if 257 * (n + 1) < 1 << 31 else np.int64
+        self.start, self.length, self.byte = (x[by_byte].astype(self.kind) for x in (heads, lengths, before[heads]))
         #: Text place of the last suffix of each run, in this order.
-        self.end_sample = ends[by_byte]
+        self.end_sample = ends[by_byte].astype(self.kind)
         self.last = int(order[-1])
         # Equal bytes in earlier runs, plus all smaller bytes: where LF leads a run's first row.
-        self.target = np.append(0, np.cumsum(self.length)[:-1])
-        self.key = self.byte * (n + 1) + self.start
-        self.first = np.searchsorted(self.byte, np.arange(257))
-        self.smaller = np.append(self.target, n)[self.first]
+        self.target = np.append(0, np.cumsum(self.length)[:-1]).astype(self.kind)
+        self.key = self.byte * self.kind(n + 1) + self.start
+        self.first = np.searchsorted(self.byte, np.arange(257, dtype=self.kind)).astype(self.kind)
+        self.smaller = np.append(self.target, self.kind(n))[self.first]
 
     @property
     def runs(self) -> int:
@@ -62,7 +63,7 @@ class RunIndex:
 
     def _lead(self, byte: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that LF leads to: smaller bytes, and equal bytes before `row`; and the last run of that byte before it."""
-        run = np.searchsorted(self.key, byte * (self.n + 1) + row, side="left") - 1
+        run = np.searchsorted(self.key, byte * self.kind(self.n + 1) + row, side="left") - 1
         own = run >= self.first[byte]
         run = np.maximum(run, 0)
         inside = self.target[run] + np.minimum(row - self.start[run], self.length[run])
@@ -77,11 +78,11 @@ class RunIndex:
         statistics against the rest.
         """
         which = np.arange(len(starts))
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
-        place, at = np.full(len(starts), self.last), starts + width
+        low, high, place = (np.full(len(starts), x, self.kind) for x in (0, self.n, self.last))
+        at = starts + width
         for _ in range(width):
             at = at - 1
-            byte = text[at].astype(np.int64)
+            byte = text[at].astype(self.kind)
             low, _ = self._lead(byte, low)
             last, run = self._lead(byte, high)
             place = np.where(self.start[run] + self.length[run] < high, self.end_sample[run], place) - 1
@@ -96,9 +97,8 @@ class RunIndex:
         """The place of one occurrence, from the samples at run ends; None if there is none."""
         low, high, place = 0, self.n, None
         for byte in reversed(pattern):
-            run = int(np.searchsorted(self.key, byte * (self.n + 1) + high, side="left")) - 1
-            one = np.array([byte])
-            new_low, new_high = (int(self._lead(one, np.array([x]))[0][0]) for x in (low, high))
+            leads, runs = self._lead(np.array([byte, byte], self.kind), np.array([low, high], self.kind))
+            (new_low, new_high), run = leads.tolist(), int(runs[1])
             if new_high <= new_low:
                 return None
             # Inside a run the last row stays in sight; past a run's end its sample takes over.
