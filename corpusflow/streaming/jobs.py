@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import embedding, folds
 from corpusflow.plans import ingest
 from corpusflow.session import shared_dir, staged
+from corpusflow.sources.files import LISTING_TASKS_CONF, listing_tasks
 from corpusflow.streaming import processors
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,6 +25,8 @@ def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkS
     """
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A stream of many files lists them in every micro-batch.
+    session.conf.set(LISTING_TASKS_CONF, listing_tasks(spark))
     if partitions:
         session.conf.set("spark.sql.shuffle.partitions", str(partitions))
     return session

@@ -7,10 +7,15 @@ row numbers, so the same definition can be written in any SQL engine.
 from __future__ import annotations
 
 import io
+import os
+import re
+import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -368,11 +373,55 @@ def paragraph_texts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Top folders of written files: above Spark's threshold (32), so that one distributed job lists them.
+RAW_SLICES = 64
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_raw_files(rows: DataFrame, path: str) -> None:
-    """Texts (document_id, user_id, text) as files: one folder per user and document, the text and a line end in it."""
-    rows.select("user_id", "document_id", "text").repartition("document_id").write.mode("append").partitionBy("user_id", "document_id").option(
-        "compression", "none"
-    ).text(path)
+    """Texts (document_id, user_id, text) as files: one folder per user and document, the text and a line end in it.
+
+    Rows of one user and document share a file. On mounted folders the tasks write the files themselves,
+    because Hadoop's local file system starts several processes for each folder and file.
+    """
+    spark = rows.sparkSession
+    slice_of = F.pmod(F.hash("document_id"), F.lit(RAW_SLICES)).alias("slice")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(slice_of, F.nullif("user_id", F.lit("")).alias("user_id"), "document_id", "text").repartition(tasks, "document_id")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getScheme() != "file":
+        dealt.write.mode("append").partitionBy("slice", "user_id", "document_id").option("compression", "none").text(path)
+        return
+    base, name = system.makeQualified(place).toUri().getPath(), f"part-{uuid.uuid4().hex}.txt"
+    columns = [F.col(c).cast("string") for c in ("slice", "user_id", "document_id", "text")]
+    ordered = dealt.sortWithinPartitions("user_id", "document_id").select(*columns)
+    ordered.mapInArrow(lambda batches: _written_files(batches, base, name), "files bigint").agg(F.sum("files")).collect()
+
+
+def _folder(column: str, value: str | None) -> str:
+    """Folder of a partition value, named as Spark names it."""
+    escaped = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", value or "")
+    return f"{column}={escaped or NO_VALUE}"
+
+
+def _written_files(batches: Iterator[pa.RecordBatch], base: str, name: str) -> Iterator[pa.RecordBatch]:
+    """One file per run of rows of the same user and document; the number of files."""
+    last, out, files = None, None, 0
+    try:
+        for batch in batches:
+            for place, user, document, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (user, document) != last:
+                    if out:
+                        out.close()
+                    folder = os.path.join(base, f"slice={place}", _folder("user_id", user), _folder("document_id", document))
+                    os.makedirs(folder, exist_ok=True)
+                    out, last, files = open(os.path.join(folder, name), "wb"), (user, document), files + 1
+                out.write((text or "").encode() + b"\n")
+    finally:
+        if out:
+            out.close()
+    yield pa.RecordBatch.from_pydict({"files": [files]})
 
 
 def raw_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -170,3 +170,39 @@ def test_streams_read_every_folder_and_skip_large_bytes(spark, tmp_path):
     stream = files.scan_raw_files(spark, *folders, stream=True)
     seen = jobs.drain(stream.select("path", "length"), spark, "two-folders")
     assert sorted(r[0] for r in rows(seen, "length")) == [5, 26]
+
+
+def test_listing_starts_few_tasks(spark, tmp_path):
+    """Hundreds of folders are listed by a few tasks a core, not by one each."""
+    for i in range(300):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "f.txt").write_text(str(i))
+    before = spark.conf.get(files.LISTING_TASKS_CONF)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        found = files.scan_raw_files(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) <= int(files.listing_tasks(spark)) < 300
+    assert found.count() == 300 and spark.conf.get(files.LISTING_TASKS_CONF) == before
+
+
+def test_written_raw_files(spark, tmp_path):
+    """A file per user and document, in slices that one job lists; rows of one document share it, odd names are escaped."""
+    texts = [("u", 1, "a\nb"), ("u", 1, "c"), ("u", 2, None), ("v/w=x", 1, "é"), (None, 3, "n"), ("", 3, "e")]
+    views.write_raw_files(spark.createDataFrame(texts, "user_id string, document_id long, text string"), str(tmp_path / "raw"))
+    written = {}
+    for file in (tmp_path / "raw").rglob("*.txt"):
+        top, user, document, _ = file.relative_to(tmp_path / "raw").parts
+        assert top.startswith("slice=")
+        assert (user, document) not in written
+        written[user, document] = sorted(file.read_bytes().decode().splitlines())
+    assert written == {
+        ("user_id=u", "document_id=1"): ["a", "b", "c"], ("user_id=u", "document_id=2"): [""],
+        ("user_id=v%2Fw%3Dx", "document_id=1"): ["é"], ("user_id=__HIVE_DEFAULT_PARTITION__", "document_id=3"): ["e", "n"],
+    }
+    views.write_raw_files(spark.range(300).selectExpr("'u' as user_id", "id as document_id", "'t' as text"), str(tmp_path / "many"))
+    assert 32 < len(list((tmp_path / "many").iterdir())) <= views.RAW_SLICES
+    assert files.scan_raw_files(spark, str(tmp_path / "many"), glob="*.txt").select("path").distinct().count() == 300
