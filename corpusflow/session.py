@@ -28,6 +28,18 @@ def build_session(app: str = "corpusflow", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+#: Rows of an Arrow batch at most where rows are whole files or texts: a worker holds a batch in several forms at once.
+FILE_BATCH_ROWS = 500
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small enough for whole files."""
+    rows = int(spark.conf.get(BATCH_CONF, "10000"))
+    if rows <= 0 or rows > FILE_BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(FILE_BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read; only a local master may fall back to a temporary one."""
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()

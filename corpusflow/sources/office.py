@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import strip
+from corpusflow.session import bounded_batches
 from corpusflow.sources.text_files import location
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -29,6 +30,9 @@ REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}i
 MAX_UNPACKED = 256 << 20
 MAX_SPAN = 1024
 
+#: Elements that a worker holds as Python objects before it hands them on.
+FRAME_ROWS = 2000
+
 ELEMENTS = (
     "document_id string, seq int, part int, kind string, style string, level int, text string, cells array<string>"
 )
@@ -156,20 +160,29 @@ def slide_elements(content: bytes) -> Iterator[dict]:
 def _elements(files: DataFrame, reader) -> DataFrame:
     names = [field.split(" ")[0] for field in ELEMENTS.split(", ")]
 
+    def frame(rows):
+        made = pd.DataFrame({n: pd.Series([row.get(n) for row in rows], dtype=object) for n in names})
+        for name in ("seq", "part", "level"):
+            made[name] = made[name].astype("Int32")
+        return made
+
     def read(batches):
+        rows = []
         for pdf in batches:
-            rows = []
             for key, content in zip(pdf["document_id"], pdf["content"]):
                 try:
                     found = list(reader(bytes(content)))
                 except Exception:  # noqa: BLE001 - one bad file must not fail the job
                     found = [{"kind": "error", "text": "PARSE_FAILED"}]
-                rows += [{"document_id": key, "seq": i, **element} for i, element in enumerate(found)]
-            frame = pd.DataFrame({n: pd.Series([row.get(n) for row in rows], dtype=object) for n in names})
-            for name in ("seq", "part", "level"):
-                frame[name] = frame[name].astype("Int32")
-            yield frame
-
+                for i, element in enumerate(found):
+                    rows.append({"document_id": key, "seq": i, **element})
+                    if len(rows) == FRAME_ROWS:
+                        yield frame(rows)
+                        rows = []
+        if rows:
+            yield frame(rows)
+
+    bounded_batches(files.sparkSession)
     return files.select(F.col("document_id").cast("string"), "content").mapInPandas(read, ELEMENTS)
 
 

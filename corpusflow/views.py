@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.ordered import slab_running_sum
+from corpusflow.session import bounded_batches
 
 BASE = "timestamp_ntz'2024-01-01 00:00:00'"
 
@@ -394,6 +395,7 @@ def write_raw_files(rows: DataFrame, path: str) -> None:
         dealt.write.mode("append").partitionBy("slice", "user_id", "document_id").option("compression", "none").text(path)
         return
     base, name = system.makeQualified(place).toUri().getPath(), f"part-{uuid.uuid4().hex}.txt"
+    bounded_batches(spark)
     columns = [F.col(c).cast("string") for c in ("slice", "user_id", "document_id", "text")]
     ordered = dealt.sortWithinPartitions("user_id", "document_id").select(*columns)
     ordered.mapInArrow(lambda batches: _written_files(batches, base, name), "files bigint").agg(F.sum("files")).collect()
@@ -518,6 +520,7 @@ def _packaged(spark: SparkSession, folder: str, build) -> DataFrame:
                 {"document_id": pdf["doc_id"], "content": [build(t.split("\n")) for t in pdf["text"]]}
             )
 
+    bounded_batches(spark)
     return texts(spark, folder).select("doc_id", "text").mapInPandas(
         pack, "document_id bigint, content binary"
     )

@@ -2,6 +2,7 @@ import io
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,26 @@ def test_raw_files_and_catalogue(spark, tmp_path):
     chunks = listing.filter("name = 'y.pdf'").select("content_hash").union(listing.filter("name = 'y.pdf'").select("content_hash"))
     got = sorted(rows(library.catalog_files(again, chunks), "name", "indexed", "chunks"))
     assert got == [("x.pdf", False, 0), ("y.pdf", True, 2)]
+
+
+def test_packages_leave_in_frames_of_bounded_size(spark):
+    """A batch of packages is handed on piece by piece, an element's number still counting within its package."""
+    built = views.slide_package([{"title": f"T{i}", "lines": [(0, "a"), (1, "b")]} for i in range(100)])
+    held = []
+
+    class Files:
+        sparkSession = spark  # noqa: N815
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, read, schema):  # noqa: N802
+            batch = pd.DataFrame({"document_id": [str(i) for i in range(30)], "content": [built] * 29 + [b"junk"]})
+            held.extend(read([batch]))
+
+    office.pptx_elements(Files())
+    assert len(held) > 1 and max(map(len, held)) <= office.FRAME_ROWS
+    every = pd.concat(held)
+    assert len(every) == 29 * 400 + 1 and (every["kind"] == "error").sum() == 1
+    assert every.groupby("document_id")["seq"].agg(lambda s: list(s) == list(range(len(s)))).all()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
