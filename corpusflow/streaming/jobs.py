@@ -99,7 +99,8 @@ def token_stream_assembly(
     )
 
 
-#: Rows of one micro-batch of a replay, and the least number of micro-batches.
+#: Rows of one micro-batch of a replay for each state partition, and the least number of micro-batches. The number of
+#: calls is that of keys times micro-batches, so micro-batches grow with the partitions that share them.
 REPLAY_ROWS = 1_000_000
 REPLAY_BATCHES = 4
 
@@ -113,7 +114,7 @@ def replay(rows: DataFrame, time: str, label: str, session: SparkSession | None
     spark = rows.sparkSession
     session = session or stream_session(spark, spark.sparkContext.defaultParallelism)
     total = rows.count()
-    batches = max(REPLAY_BATCHES, -(-total // REPLAY_ROWS))
+    batches = max(REPLAY_BATCHES, -(-total // (REPLAY_ROWS * int(session.conf.get("spark.sql.shuffle.partitions")))))
     found = rows.agg(F.percentile_approx(time, [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     cuts = sorted(set(found))
     number = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col(time))) if cuts else F.lit(0)

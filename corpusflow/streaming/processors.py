@@ -43,6 +43,15 @@ def _wake_at(handle: StatefulProcessorHandle, millis: int) -> None:
     handle.registerTimer(int(millis))
 
 
+def _move_timer(handle: StatefulProcessorHandle, before: int | None, millis: int) -> None:
+    """As ``_wake_at`` where the state tells the timer set before, so that most calls need no message to the store."""
+    if before == millis:
+        return
+    if before is not None:
+        handle.deleteTimer(before)
+    handle.registerTimer(int(millis))
+
+
 def _millis_after(micros: int) -> int:
     """First whole millisecond at or after a time in microseconds."""
     return -(-int(micros) // 1000)
@@ -63,7 +72,7 @@ class FixedWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
         at, requests = _times(rows)
-        start, used = self.window.get() if self.window.exists() else (None, 0)
+        start, used = before = self.window.get() or (None, 0)
         starts, counts, i = np.empty(len(at), np.int64), np.empty(len(at), np.int64), 0
         while i < len(at):
             if start is None or at[i] >= start + self.width:
@@ -73,7 +82,7 @@ class FixedWindow(StatefulProcessor):
             counts[i:end] = np.arange(used + 1, used + 1 + end - i)
             used, i = used + end - i, end
         self.window.update((start, used))
-        _wake_at(self.handle, _millis_after(start + self.width))
+        _move_timer(self.handle, None if before[0] is None else _millis_after(before[0] + self.width), _millis_after(start + self.width))
         seconds = (starts + self.width - at + 500_000) // 1_000_000
         yield from _frames(
             ["request_id", "used", "allowed", "remaining", "reset_seconds"],
@@ -133,7 +142,7 @@ class Throttle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
         at, requests, change = _times(rows, "stage_change")
-        last = self.last.get()[0] if self.last.exists() else None
+        last = before = (self.last.get() or (None,))[0]
         written = change.astype(bool)
         changes = np.append(np.flatnonzero(written), len(at))
         i, next_change = 0, 0
@@ -147,8 +156,9 @@ class Throttle(StatefulProcessor):
                 break
             written[due] = True
             last, i = int(at[due]), due + 1
-        self.last.update((last,))
-        _wake_at(self.handle, _millis_after(last + self.width))
+        if last != before:
+            self.last.update((last,))
+            _move_timer(self.handle, None if before is None else _millis_after(before + self.width), _millis_after(last + self.width))
         yield from _frames(["request_id", "written"], [requests, written])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
@@ -172,43 +182,50 @@ class AnswerAssembly(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.tokens = handle.getListState("tokens", "seq bigint, critique boolean, text string")
-        self.status = handle.getValueState("status", "ended boolean, aborted boolean")
+        self.status = handle.getValueState("status", "ended boolean, aborted boolean, wakes bigint")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-        ended, aborted = self.status.get() if self.status.exists() else (False, False)
-        last, code, code_seq, reason, latest = None, None, None, None, 0
+        before = self.status.get()
+        ended, aborted, wakes = before or (False, False, None)
+        # An answer ends once; what arrives later would only fill the state.
+        if ended:
+            for _ in rows:
+                pass
+            return
+        last, code, code_seq, reason, latest, arrived = None, None, None, None, 0, []
         for pdf in rows:
-            # An answer ends once; what arrives later would only fill the state.
-            if ended:
-                continue
             latest = max(latest, int(pdf["event_ms"].max()))
             aborted = aborted or bool(pdf["aborted"].any())
-            fresh = pdf[pdf["type"].isin(["token", "critique_token"])]
-            if len(fresh):
-                self.tokens.appendList(
-                    [(int(s), t == "critique_token", x or "") for s, t, x in zip(fresh["seq"], fresh["type"], fresh["text"])]
-                )
-            for s, t, why, c in pdf[pdf["type"].isin(["done", "error"])][["seq", "type", "finish_reason", "code"]].itertuples(index=False):
-                if last is None or s > last:
-                    last, reason = s, "error" if t == "error" else why or "stop"
-                if t == "error" and (code_seq is None or s > code_seq):
-                    code_seq, code = s, c or "RAG_ERROR"
-        if ended:
-            return
-        self.status.update((last is not None, aborted))
-        _wake_at(self.handle, latest + (self.life_ms if last is None else self.late_ms))
+            for s, t, x, why, c in zip(*(pdf[n].tolist() for n in ("seq", "type", "text", "finish_reason", "code")), strict=True):
+                if t in ("token", "critique_token"):
+                    arrived.append((int(s), t == "critique_token", x or ""))
+                elif t in ("done", "error"):
+                    if last is None or s > last:
+                        last, reason = s, "error" if t == "error" else why or "stop"
+                    if t == "error" and (code_seq is None or s > code_seq):
+                        code_seq, code = s, c or "RAG_ERROR"
+        wake = latest + (self.life_ms if last is None else self.late_ms)
+        self.status.update((last is not None, aborted, wake))
+        _move_timer(self.handle, wakes, wake)
         if last is not None:
-            yield self._answer(key, reason, code, aborted)
+            # Of an answer that comes whole nothing goes through the state.
+            yield self._answer(key, reason, code, aborted, self._stored() + arrived if before else arrived)
+        elif arrived:
+            self.tokens.appendList(arrived)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
-        ended, aborted = self.status.get() if self.status.exists() else (True, False)
+        ended, aborted, _ = self.status.get() or (True, False, None)
         if not ended:
-            yield self._answer(key, "stop", None, aborted)
+            yield self._answer(key, "stop", None, aborted, self._stored())
         self.status.clear()
 
-    def _answer(self, key, reason, code, aborted) -> pd.DataFrame:
-        pieces = sorted(self.tokens.get()) if self.tokens.exists() else []
+    def _stored(self) -> list[tuple]:
+        pieces = list(self.tokens.get()) if self.tokens.exists() else []
         self.tokens.clear()
+        return pieces
+
+    def _answer(self, key, reason, code, aborted, pieces) -> pd.DataFrame:
+        pieces = sorted(pieces)
         content = "".join(text for _, critique, text in pieces if not critique)
         critique = "".join(text for _, critique, text in pieces if critique)
         if reason != "error" and aborted:

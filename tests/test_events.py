@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import anchored, folds
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, processors
 from tests.conftest import rows
 
 SECOND = 1_000_000
@@ -280,3 +281,79 @@ def test_windows_of_several_groups_at_once():
         able = [generator.random() < 0.7 for _ in range(n)]
         got = anchored.windows_of_run(np.array(times), np.array(able), np.array(first), np.array(entry), np.array(used), width)
         assert list(zip(*(x.tolist() for x in got))) == plain_windows(times, able, first, entry, used, width)
+
+
+def test_replay_batches_grow_with_the_partitions(spark, monkeypatch):
+    """Micro-batches are bounded for each state partition: more partitions don't make more calls of the same key."""
+    monkeypatch.setattr(jobs, "REPLAY_ROWS", 100)
+    df = spark.range(4000).selectExpr("id % 7 as key", "id as request_id", "86400000000 + id * 1000000 as at")
+    progress = []
+    stream = jobs.replay(df, "at", "grown", session=jobs.stream_session(spark, 8))
+    got = jobs.drain(jobs.rate_limit_stream(stream, 3, 500), spark, "grown", progress=progress)
+    assert sum(p["numInputRows"] > 0 for p in progress) <= 6
+    columns = ("request_id", "used", "allowed", "remaining", "reset_seconds")
+    assert sorted(rows(got, *columns)) == sorted(rows(anchored.fixed_window_limits(df, 3, 500), *columns))
+
+
+class _Value:
+    def __init__(self):
+        self.value, self.written = None, 0
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value, self.written = value, self.written + 1
+
+    def clear(self):
+        self.value = None
+
+    def appendList(self, more):  # noqa: N802
+        self.value, self.written = (self.value or []) + list(more), self.written + 1
+
+
+class _Handle:
+    """Counts the messages about timers."""
+
+    def __init__(self):
+        self.timers, self.calls = set(), 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return _Value()
+
+    getListState = getValueState
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return iter([(t,) for t in self.timers])
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_timers_and_tokens_take_few_messages():
+    handle, limits = _Handle(), processors.FixedWindow(2, 10)
+    limits.init(handle)
+    for at in (1, 2, 3):
+        list(limits.handleInputRows((1,), [pd.DataFrame({"at": [at * SECOND], "request_id": [at]})], None))
+    assert handle.calls == 1 and handle.timers == {11_000}
+    list(limits.handleInputRows((1,), [pd.DataFrame({"at": [11 * SECOND], "request_id": [4]})], None))
+    assert handle.timers == {21_000}
+
+    handle, answers = _Handle(), processors.AnswerAssembly(600_000, 3_600_000)
+    answers.init(handle)
+    whole = pd.DataFrame({
+        "seq": [1, 0, 2], "type": ["token", "token", "done"], "text": ["b", "a", None], "finish_reason": [None, None, None],
+        "code": [None] * 3, "aborted": [False] * 3, "event_ms": [5, 5, 5],
+    })
+    out = list(answers.handleInputRows((1,), [whole], None))
+    assert out[0]["content"].tolist() == ["ab"] and answers.tokens.written == 0 and handle.timers == {600_005}
+    assert list(answers.handleInputRows((1,), [whole], None)) == []
