@@ -23,6 +23,9 @@ from corpusflow.llm.staging import parts_for, staged, text_bytes
 #: Text bytes whose keys share one task.
 RANGE_BYTES = 12 << 20
 
+#: Stretches in which the keys of a range are sorted, by their lowest bits.
+STRETCHES = 8
+
 _SENT = "part bigint, local boolean, ids binary, owner binary, keys binary"
 _SENT_ARROW = pa.schema([
     ("part", pa.int64()), ("local", pa.bool_()), ("ids", pa.binary()), ("owner", pa.binary()), ("keys", pa.binary()),
@@ -143,11 +146,17 @@ def _answerer(both: bool, blocks: int) -> Callable:
         ids, keys = _entries(group.filter(local))
         found = [np.stack([ids, keys.view(np.int64)], axis=1)]
         ids, keys = _entries(group.filter(pc.invert(local)))
-        if len(keys):
-            order, report = _split_seen(ids, keys, both)
+        # Sorted stretch by stretch of the hash: the copies that sorting needs are those of a stretch.
+        stretch = keys.view(np.uint8)[::8] % STRETCHES
+        for number in range(STRETCHES):
+            at = np.flatnonzero(stretch == number)
+            if not len(at):
+                continue
+            part_ids, part_keys = ids[at], keys[at]
+            order, report = _split_seen(part_ids, part_keys, both)
             order = order[report]
-            found.append(np.stack([ids[order], keys[order].view(np.int64)], axis=1))
-        del ids, keys
+            found.append(np.stack([part_ids[order], part_keys[order].view(np.int64)], axis=1))
+        del ids, keys, stretch
         packed = pack_by_block(np.concatenate(found), blocks)
         release_memory()
         return packed
