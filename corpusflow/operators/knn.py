@@ -30,20 +30,27 @@ BROADCAST_QUERY_ROWS = 4096
 BROADCAST_QUERY_VALUES = 4_000_000
 # Bytes of the vectors (as doubles) of one block of chunks.
 BLOCK_BYTES = 64 << 20
-# Queries that a block is multiplied with at a time.
+# Queries that a block is multiplied with at a time, and the bytes that their distances may take in one array.
 STEP_ROWS = 256
+STEP_BYTES = 16 << 20
 DISTANCE_DIGITS = {"cosine": 12, "l2": 6, "squared_l2": 6}
 
 
-def distances(chunks: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+def sizes(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """What ``distances`` needs of each vector alone: its length, or the square of it."""
+    return np.linalg.norm(vectors, axis=1) if metric == "cosine" else (vectors**2).sum(axis=1)
+
+
+def distances(chunks: np.ndarray, queries: np.ndarray, metric: str, chunk_sizes: np.ndarray | None = None) -> np.ndarray:
     """Distance matrix (queries x chunks) in double precision, rounded so that ties are exact."""
+    chunk_sizes = sizes(chunks, metric) if chunk_sizes is None else chunk_sizes
     dots = queries @ chunks.T
     if metric == "cosine":
-        norms = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(chunks, axis=1))
+        norms = np.outer(sizes(queries, metric), chunk_sizes)
         with np.errstate(divide="ignore", invalid="ignore"):
             out = 1.0 - dots / norms
     elif metric in ("l2", "squared_l2"):
-        squares = (queries**2).sum(axis=1)[:, None] + (chunks**2).sum(axis=1)[None, :]
+        squares = sizes(queries, metric)[:, None] + chunk_sizes[None, :]
         out = np.maximum(squares - 2.0 * dots, 0.0)
         if metric == "l2":
             out = np.sqrt(out)
@@ -215,10 +222,18 @@ class _Block:
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
         self.dim, self.n, self.metric = dim, n, metric
+        parts = np.array_split(self.vectors, -(-self.vectors.nbytes // STEP_BYTES) or 1)
+        self.sizes = np.concatenate([sizes(part, metric) for part in parts])
+
+    def ranked(self, queries: pa.RecordBatch, step_rows: int) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+        """``best`` of all queries, so many at a time that their distances stay bounded whatever the block's rows."""
+        step = max(1, min(step_rows, STEP_BYTES // (8 * max(1, len(self.vectors)))))
+        for at in range(0, queries.num_rows, step):
+            yield self.best(queries.slice(at, step))
 
     def best(self, queries: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
         """(query_id, chunk_id, distance) of the ``n`` nearest chunks of every query of the batch."""
-        scores = distances(self.vectors, _matrix(queries.column("embedding"), self.dim), self.metric)
+        scores = distances(self.vectors, _matrix(queries.column("embedding"), self.dim), self.metric, self.sizes)
         allowed = np.ones(scores.shape, dtype=bool)
         for position, scope in enumerate(queries.column("scope").to_pylist()):
             if scope:
@@ -271,8 +286,7 @@ def _block_join(query_rows, chunk_rows, keys, n, metric, schema, chunk_block_row
                 return
             if block is None:
                 block = _Block(pieces, batch.column("_dim")[0].as_py(), n, metric)
-            for at in range(chunks, batch.num_rows, step_rows):
-                query_ids, chunk_ids, found = block.best(batch.slice(at, step_rows))
+            for query_ids, chunk_ids, found in block.ranked(batch.slice(chunks), step_rows):
                 yield pa.RecordBatch.from_arrays([query_ids, chunk_ids, found], names=["query_id", "chunk_id", "distance"])
 
     ordered = held.unionByName(asked).repartition(*cells).sortWithinPartitions(*cells, "_query")

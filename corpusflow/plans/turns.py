@@ -9,7 +9,7 @@ from corpusflow import views as V
 from corpusflow.functions.text import clean_rewrite, generate_title
 from corpusflow.operators import context, folds, retrieval, routing
 from corpusflow.plans import ingest
-from corpusflow.session import staged
+from corpusflow.session import bounded_batches, staged
 from corpusflow.sources.web import normalise_web_results, page_text, strip_html
 
 # --- operators over question tables ------------------------------------------------
@@ -143,6 +143,8 @@ def turn_questions(spark, folder) -> DataFrame:
 
 def prompts_of_turns(spark, folder) -> DataFrame:
     """Prompts of all questions; search results are those of the question's group of pages."""
+    # Python steps read whole pages here.
+    bounded_batches(spark)
     # Seven branches read the routed questions; they are routed once.
     questions = staged(turn_questions(spark, folder), "questions")
     # Five pages a group, so that every page is a result.

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,22 @@ def test_citations_without_keys_are_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [line for line in plan.splitlines() if "hashpartitioning(" in line]
     assert exchanges and all("_place" in line for line in exchanges)
+
+
+def test_distances_of_a_block_are_bounded():
+    """Many chunks in a block make the steps of queries smaller, not the arrays larger; the answers stay."""
+    generator = np.random.default_rng(5)
+    vectors, asked = generator.normal(size=(60_000, 4)).astype(np.float32), generator.normal(size=(256, 4)).astype(np.float32)
+    table = lambda v, **more: pa.record_batch({"embedding": pa.array(v.tolist(), pa.list_(pa.float32())), **more})
+    ids = pa.array(range(len(vectors)), pa.int64())
+    queries = table(asked, query_id=pa.array(range(len(asked)), pa.int64()), scope=pa.array([None] * len(asked), pa.list_(pa.string())))
+    for metric in ("cosine", "l2"):
+        block = knn._Block([table(vectors, chunk_id=ids, document_id=ids.cast(pa.string()))], 4, 3, metric)
+        tracemalloc.start()
+        found = [part for part in block.ranked(queries, knn.STEP_ROWS)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 10 * knn.STEP_BYTES
+        whole = block.best(queries)
+        for column in range(3):
+            assert [v for part in found for v in part[column].to_pylist()] == whole[column].to_pylist()
