@@ -41,6 +41,7 @@ HOT_KINDS = 2048
 #: Low bits of a stretch's name, free for what is to be done about it.
 _NEEDED, _HOT = 1, 2
 _MARKS = np.uint64(3)
+_UPPER = np.uint64(0xFFFFFFFF << 32)
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -92,31 +93,34 @@ class Stretches:
                 held += len(texts[stop])
                 stop += 1
             if held >= width:
-                found.extend(self._of_some(texts[at:stop], width, self.counts[at:stop]))
+                found.append(self._of_some(texts[at:stop], width, self.counts[at:stop]))
             at = stop
         self.keys, self.names = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in (0, 1))
         self.starts, self.ends = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (2, 3))
 
     @staticmethod
-    def _of_some(texts: list[bytes], width: int, counts: np.ndarray) -> Iterator[tuple]:
+    def _of_some(texts: list[bytes], width: int, counts: np.ndarray) -> tuple:
         cores = _core_hashes(np.frombuffer(b"".join(texts), np.uint8))
         # Minima are small numbers; mixed again they spread evenly over the key ranges.
         keys = mixed(_sliding_min(cores, width - CORE + 1))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(sizes) - sizes
+        stop = begin + np.maximum(0, sizes - width + 1)
+        # A stretch begins where the key changes and where a text does; behind a text's last window is none.
+        border = np.append(True, keys[1:] != keys[:-1])
+        border[begin[begin < len(keys)]] = True
+        border[stop[stop < len(keys)]] = True
+        starts = np.flatnonzero(border)
+        ends = np.append(starts[1:], len(keys))
+        text = np.searchsorted(begin, starts, side="right") - 1
+        inside = starts < stop[text]
+        starts, ends, text = starts[inside], ends[inside], text[inside]
+        counts[:] = np.bincount(text, minlength=len(texts))
         with np.errstate(over="ignore"):
             sums = np.append(np.uint64(0), np.cumsum(cores * _powers(_STEP, len(cores))))
             back = _powers(_UNSTEP, len(cores))
-            at = 0
-            for i, text in enumerate(texts):
-                windows = len(text) - width + 1
-                if windows > 0:
-                    own = keys[at:at + windows]
-                    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    ends = np.append(starts[1:], windows)
-                    last = at + ends + (width - CORE)
-                    names = mixed((sums[last] - sums[at + starts]) * back[at + starts] + own[starts]) & ~_MARKS
-                    counts[i] = len(starts)
-                    yield own[starts], names, starts, ends + (width - 1)
-                at += len(text)
+            names = mixed((sums[ends + (width - CORE)] - sums[starts]) * back[starts] + keys[starts]) & ~_MARKS
+        return keys[starts], names, starts - begin[text], ends - begin[text] + (width - 1)
 
     def bounds(self) -> np.ndarray:
         """Where each text's stretches begin, with the end."""
@@ -148,20 +152,20 @@ def _name_sender(parts: int, width: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids = np.array(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-                by_id = np.argsort(ids, kind="stable")
-                texts = text_of(batch, "text")
-                found = Stretches([texts[i] for i in by_id.tolist()], width)
+                found = Stretches(text_of(batch, "text"), width)
                 if not len(found.keys):
                     continue
-                owners = np.repeat(ids[by_id], found.counts)
-                order = np.lexsort((found.names, found.keys))  # stable: owners ascend
+                owners = np.repeat(ids, found.counts)
+                # By the upper halves: should different names interleave, each piece of a group sends its owner.
+                order = np.argsort((found.keys & _UPPER) | (found.names >> np.uint64(32)))
                 keys, names, owners = found.keys[order], found.names[order], owners[order]
                 head = np.append(True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1]))
-                settled = owners > owners[head][np.cumsum(head) - 1]
+                smallest = np.minimum.reduceat(owners, np.flatnonzero(head))
+                settled = owners > smallest[np.cumsum(head) - 1]
                 rows = []
                 if settled.any():
                     rows.append(_named(int(ids[0]) % parts, True, owners[settled], np.empty(0, np.uint64), names[settled]))
-                keys, names, owners = keys[head], names[head], owners[head]
+                keys, names, owners = keys[head], names[head], smallest
                 part = _part_of(keys, parts)
                 cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):
@@ -195,16 +199,17 @@ def _name_answerer(blocks: int, hot_kinds: int):
         told = [np.stack([ids, names.view(np.int64)], axis=1)]
         ids, keys, names = _entries(group.filter(pc.invert(local)))
         if len(keys):
-            order = np.lexsort((ids, names, keys))
+            # By key and the upper half of the name: should different names interleave, each piece of a group has its owner.
+            order = np.argsort((keys.astype(np.uint64) << np.uint64(32)) | (names >> np.uint64(32)))
             ids, keys, names = ids[order], keys[order], names[order]
             del order
             key_head = np.append(True, keys[1:] != keys[:-1])
             name_head = key_head | np.append(True, names[1:] != names[:-1])
             key, heads = np.cumsum(key_head) - 1, np.flatnonzero(key_head)
-            settled = ids > ids[name_head][np.cumsum(name_head) - 1]
+            settled = ids > np.minimum.reduceat(ids, np.flatnonzero(name_head))[np.cumsum(name_head) - 1]
             kinds = np.bincount(key[name_head])
             several = (kinds > 1) & (np.maximum.reduceat(ids, heads) > np.minimum.reduceat(ids, heads))
-            needed = name_head & several[key]
+            needed = ~settled & several[key]
             marks = np.where(kinds > hot_kinds, _NEEDED | _HOT, _NEEDED).astype(np.uint64)
             told.append(np.stack([ids[settled], names[settled].view(np.int64)], axis=1))
             told.append(np.stack([ids[needed], (names[needed] | marks[key[needed]]).view(np.int64)], axis=1))
@@ -241,6 +246,17 @@ _SENT_ARROW = pa.schema([
 ])
 
 
+def _first_of(found: Stretches, asked: list[np.ndarray]) -> np.ndarray:
+    """In their order, the first stretch of each text with each of the names that are asked for of it."""
+    with np.errstate(over="ignore"):
+        # One look for all texts: a name is taken together with the number of its text.
+        salt = mixed(np.arange(1, len(asked) + 1, dtype=np.uint64))
+        own = found.names ^ np.repeat(salt, found.counts)
+        wanted = (np.concatenate(asked) & ~_MARKS) ^ np.repeat(salt, list(map(len, asked)))
+    at = np.flatnonzero(np.isin(own, wanted))
+    return np.sort(at[np.unique(own[at], return_index=True)[1]])
+
+
 def _piece_sender(parts: int, width: int):
     """The bytes of needed stretches, once per document; those of hot keys window by window, keyed by the window."""
 
@@ -251,10 +267,11 @@ def _piece_sender(parts: int, width: int):
                 found = Stretches(texts, width)
                 bounds = found.bounds()
                 travel: dict[int, list[tuple[int, int, int, int, bytes]]] = defaultdict(list)
-                for text, owner, packed, a, b in zip(texts, ids, batch.column("needed").to_pylist(), bounds[:-1], bounds[1:], strict=True):
-                    needed = np.frombuffer(packed, np.uint64)
-                    names, at = np.unique(found.names[a:b], return_index=True)
-                    chosen = at[np.isin(names, needed & ~_MARKS)] + a
+                asked = [np.frombuffer(packed, np.uint64) for packed in batch.column("needed").to_pylist()]
+                first = _first_of(found, asked)
+                cuts = np.searchsorted(first, bounds)
+                for text, owner, needed, a, b in zip(texts, ids, asked, cuts[:-1], cuts[1:], strict=True):
+                    chosen = first[a:b]
                     hot = set((needed[(needed & np.uint64(_HOT)) != 0] & ~_MARKS).tolist())
                     columns = (found.names, found.keys, found.starts, found.ends)
                     for name, key, start, end in zip(*(c[chosen].tolist() for c in columns), strict=True):
@@ -279,8 +296,8 @@ def _piece_sender(parts: int, width: int):
     return send
 
 
-def later_windows(pieces: list[bytes], owners: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each of several different stretches: the windows that also occur in a stretch of a smaller owner."""
+def later_spans(pieces: list[bytes], owners: np.ndarray, width: int) -> list[list[list[int]]]:
+    """For each of several different stretches: the spans of windows that also occur in a stretch of a smaller owner."""
     text = np.frombuffer(b"".join(p + bytes([SEPARATOR]) for p in pieces), np.uint8)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     begin = np.cumsum(sizes + 1) - sizes - 1
@@ -292,8 +309,12 @@ def later_windows(pieces: list[bytes], owners: np.ndarray, width: int) -> list[n
     smallest = np.full(len(rows), np.iinfo(np.int64).max)
     np.minimum.at(smallest, at, owners[owner_of[which]])
     later = which[smallest[at] < owners[owner_of[which]]]
-    cuts = np.searchsorted(owner_of[later], np.arange(len(pieces) + 1))
-    return [offset[later[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    piece, start = owner_of[later], offset[later]
+    head = np.append(True, (piece[1:] != piece[:-1]) | (start[1:] > start[:-1] + width))[:len(later)]
+    last = np.append(head[1:], True)[:len(later)]
+    spans = np.stack([start[head], start[last] + width], axis=1).tolist()
+    cuts = np.searchsorted(piece[head], np.arange(len(pieces) + 1)).tolist()
+    return [spans[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 #: Rows of (owner, name, start, end): what goes from a stretch, in bytes of the stretch.
@@ -316,9 +337,8 @@ def _settle(width: int, blocks: int, index_bytes: int):
         firsts: list[list[_Place]] = []
 
         def compare() -> None:
-            for found, windows in zip(firsts, later_windows(pieces, np.array([f[0][0] for f in firsts], np.int64), width), strict=True):
-                if len(windows):
-                    own = _join_spans(np.stack([windows, windows + width], axis=1)).tolist()
+            for found, own in zip(firsts, later_spans(pieces, np.array([f[0][0] for f in firsts], np.int64), width), strict=True):
+                if own:
                     gone.extend((owner, name, at + a, at + b) for owner, name, at in found for a, b in own)
             pieces.clear()
             firsts.clear()

@@ -12,6 +12,8 @@ import numpy as np
 
 #: Behind each passage; no UTF-8 text contains it.
 SEPARATOR = 0xFF
+#: Bytes behind which a search begins.
+ENTRY = 32
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -38,7 +40,8 @@ class RunIndex:
     """Backward search over the runs of the transform of `text` (at least a byte, the last one SEPARATOR)."""
 
     def __init__(self, text: np.ndarray):
-        order = suffix_order(text)
+        self.text = text
+        order = self.order = suffix_order(text)
         n = self.n = len(text)
         before = text[order - 1]  # the byte before each suffix; the first text byte follows the last
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
@@ -69,18 +72,47 @@ class RunIndex:
         inside = self.target[run] + np.minimum(row - self.start[run], self.length[run])
         return np.where(own, inside, self.smaller[byte]), run
 
+    def _entered(self, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Interval and last row's place of each string of `width` bytes that starts at one of `places` of the text.
+
+        Rows of equal strings lie side by side; a border is where the first `width` bytes of two neighbours differ.
+        """
+        words, rest = divmod(width, 8)
+        padded = np.append(self.text, np.zeros(width, np.uint8))
+        key = sum(padded[j:j + self.n].astype(np.uint64) << np.uint64(8 * j) for j in range(8)) if words else None
+        border = np.zeros(self.n, bool)
+        border[0] = True
+        for word in range(words):
+            own = key[np.minimum(self.order + 8 * word, self.n - 1)]
+            border[1:] |= own[1:] != own[:-1]
+        for j in range(8 * words, width):
+            own = padded[self.order + j]
+            border[1:] |= own[1:] != own[:-1]
+        heads = np.flatnonzero(border).astype(self.kind)
+        ends = np.append(heads[1:], self.kind(self.n))
+        group = np.empty(self.n, self.kind)
+        group[self.order] = np.cumsum(border, dtype=self.kind) - 1
+        group = group[places]
+        return heads[group], ends[group], self.order.astype(self.kind)[ends - 1][group]
+
     def shared(self, text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(which, place): the patterns text[s:s + width] that occur at least twice, and where one occurrence lies.
 
         All occurrences of a pattern get the same place, that of its interval's last row: inside a run
-        it stays in sight, past a run's end its sample takes over. Patterns whose interval has shrunk to
+        it stays in sight, past a run's end its sample takes over. Patterns of the indexed text itself enter
+        at the interval of their last ENTRY bytes, from a table. Patterns whose interval has shrunk to
         their own occurrence leave the search at once: the lengths reached there are their matching
         statistics against the rest.
         """
-        which = np.arange(len(starts))
-        low, high, place = (np.full(len(starts), x, self.kind) for x in (0, self.n, self.last))
-        at = starts + width
-        for _ in range(width):
+        entry = min(ENTRY, width) if text is self.text else 0
+        if entry:
+            low, high, place = self._entered(starts + (width - entry), entry)
+        else:
+            low, high, place = (np.full(len(starts), x, self.kind) for x in (0, self.n, self.last))
+        which = np.flatnonzero(high - low > 1)
+        low, high, place = low[which], high[which], place[which]
+        at = starts[which] + (width - entry)
+        for _ in range(width - entry):
             at = at - 1
             byte = text[at].astype(self.kind)
             low, _ = self._lead(byte, low)

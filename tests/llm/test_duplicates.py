@@ -224,6 +224,22 @@ def test_run_index_against_search():
         assert names.setdefault(window, place) == place and text[place:place + 50] == window
 
 
+def test_the_index_is_entered_behind_the_last_32_bytes(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(6)
+    core = "".join(rng.choice("ab") for _ in range(70))
+    pieces = [rng.choice(("", "x", "yx")) + core[rng.randint(0, 12):rng.randint(58, 70)] + rng.choice(("", "x", "zz")) for _ in range(60)]
+    text = np.frombuffer(b"".join(p.encode() + bytes([SEPARATOR]) for p in pieces), np.uint8)
+    starts = np.array([s for s in range(len(text) - 50) if SEPARATOR not in text[s:s + 50]])
+    index = RunIndex(text)
+    plain = [x.tolist() for x in index.shared(text.copy(), starts, 50)]
+    steps = []
+    monkeypatch.setattr(RunIndex, "_lead", lambda self, byte, row, real=RunIndex._lead: (steps.append(len(row)), real(self, byte, row))[1])
+    assert [x.tolist() for x in index.shared(text, starts, 50)] == plain and plain[0]
+    assert len(steps) == 2 * (50 - 32)
+
+
 @pytest.mark.parametrize("operator", [
     near_duplicates.near_duplicates, near_duplicates.drop_near_duplicates, repeated_phrases.remove_repeats,
     repeated_bytes.remove_repeated_bytes,
