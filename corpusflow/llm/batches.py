@@ -85,12 +85,9 @@ class Memo(dict):
         return value
 
 
-_HASHES = Memo(xxhash.xxh3_64_intdigest)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the words."""
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 #: Odd multiplier of the window hash (fixed value).
