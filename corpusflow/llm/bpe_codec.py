@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.batches import Memo, bounded_batches, slices
-from corpusflow.llm.pieces import chunks, pretokens
+from corpusflow.llm.batches import Memo, bounded_batches, release_memory, slices
+from corpusflow.llm.pieces import pretokens
 from corpusflow.llm.staging import free_name
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Characters from which on a piece is worked out each time instead of being remembered.
+#: Characters from which on a piece is worked out for each slice of texts instead of being remembered.
 LONG = 64
-#: Entries of each generation of the codec's memos (pieces, chunks, neighbouring tokens).
-CODEC_ENTRIES = 150_000
+#: Entries of the memo of pieces, besides those of one slice, and of each generation of that of neighbouring tokens.
+PIECE_ENTRIES, CODEC_ENTRIES = 400_000, 150_000
 
 
 class Vocabulary:
@@ -141,6 +141,15 @@ class PrefixEncoder:
                     last.extend(old[at + 1:])
                     return
 
+    def turn_into(self, data: bytes) -> None:
+        """Become the record of `data`; the tokens of the prefixes that both share stay."""
+        size = min(len(self.data), len(data))
+        differ = int.from_bytes(self.data[:size]) ^ int.from_bytes(data[:size])
+        shared = size - (differ.bit_length() + 7) // 8
+        del self.last[shared:]
+        self.data = bytearray(data)
+        self._extend(data, shared)
+
     def edit(self, start: int, stop: int, new: bytes) -> None:
         """Replace data[start:stop]; prefixes before the edit keep their tokens.
 
@@ -164,28 +173,45 @@ class PrefixEncoder:
 
 
 class Codec:
-    """Text to ids and back; remembers the ids of frequent chunks, packed as little-endian 32-bit integers."""
+    """Text to ids and back; remembers the ids of pieces, packed as little-endian 32-bit integers."""
 
     def __init__(self, path: str = VOCABULARY):
         self.vocabulary = Vocabulary(path)
-        self.packed = Memo(lambda chunk: b"".join(map(self._piece, pretokens(chunk))), CODEC_ENTRIES)
-        self.pieces = Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes(), CODEC_ENTRIES)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.vocabulary.ranks.get(piece)
-        return [whole] if whole is not None else PrefixEncoder(self.vocabulary, piece).tokens()
-
-    def _piece(self, piece: str) -> bytes:
-        return self.pieces[piece] if len(piece) < LONG else self.pieces.make(piece)
-
-    def encode_packed(self, text: str) -> bytes:
-        cut = chunks(text)
-        if cut is None:
-            return b"".join(map(self._piece, pretokens(text)))
-        return b"".join([self.packed[c] if len(c) < LONG else self.packed.make(c) for c in cut])
+        self.packed_id = [rank.to_bytes(4, "little") for rank in range(len(self.vocabulary.tokens))]
+        self.pieces: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Empty the memo of pieces: workers are used again, also by other steps, and would keep it."""
+        self.pieces = {}
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Pieces that aren't remembered, in their order: each goes on from the prefix that it shares with the one before."""
+        fresh = sorted(p for p in wanted if p not in self.pieces)
+        if len(self.pieces) + len(fresh) > PIECE_ENTRIES:
+            self.pieces = {p: self.pieces[p] for p in wanted if p in self.pieces}
+        encoder, packed_id, whole = PrefixEncoder(self.vocabulary), self.packed_id.__getitem__, self.vocabulary.ranks.get
+        for piece in fresh:
+            data = piece.encode()
+            rank = whole(data)
+            if rank is None:
+                encoder.turn_into(data)
+                self.pieces[piece] = b"".join(map(packed_id, encoder.tokens()))
+            else:
+                self.pieces[piece] = packed_id(rank)
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [pretokens(t) for t in texts]
+        wanted = set().union(*cut)
+        self._learn(wanted)
+        out = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+        for piece in wanted:
+            if len(piece) >= LONG:
+                del self.pieces[piece]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+        return np.frombuffer(self.encode_packed([text])[0], "<u4").tolist()
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
@@ -219,10 +245,14 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str = VOCABU
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for whole in batches:
-            for batch in slices(whole, text_col):
-                ids = [own.encode_packed(t or "") for t in batch.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=schema.names)
+        try:
+            for whole in batches:
+                for batch in slices(whole, text_col):
+                    ids = own.encode_packed([t or "" for t in batch.column(text_col).to_pylist()])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=schema.names)
+        finally:
+            own.forget()
+            release_memory()
 
     return docs.mapInArrow(encode, schema)
 
@@ -239,6 +269,8 @@ def decode_documents(docs: DataFrame, ids_col: str = "token_ids", path: str = VO
             for batch in slices(whole, ids_col):
                 texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
+        del token
+        release_memory()
 
     return docs.mapInArrow(decode, schema)
 

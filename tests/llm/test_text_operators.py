@@ -5,17 +5,21 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusflow.llm import benchmark_hits, bpe_codec, lm_scores, quality_classifier, quality_rules, registry, shuffle_shards, token_counts
+from corpusflow.llm.batches import word_hashes
 from corpusflow.llm.ppm_model import ORDER, PPMModel, gram_counts
 from tests.conftest import rows
 
@@ -49,6 +53,42 @@ def test_codec_equals_the_library(reference):
         assert ids == reference.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+def test_pieces_go_on_from_the_prefix_they_share(reference, monkeypatch):
+    codec = bpe_codec.Codec()
+    asked = []
+    monkeypatch.setattr(bpe_codec.PrefixEncoder, "_extend", lambda self, data, start, old=None, real=bpe_codec.PrefixEncoder._extend: (asked.append(len(data) - start), real(self, data, start, old))[1])
+    words = ["antiontionzwq" + a + b for a in "bcdfgh" for b in "klmnpqrs"]
+    random.Random(3).shuffle(words)
+    texts = [" ".join(words[:20]), "", " ".join(words[20:]), words[3] * 30]
+    for text, packed in zip(texts, codec.encode_packed(texts)):
+        assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(text)
+    # A piece a word and at most the bytes that differ, besides the long piece and first ones.
+    assert sum(asked) < 3 * len(words) + 500
+    assert not any(len(p) >= bpe_codec.LONG for p in codec.pieces)
+
+
+def test_the_codec_forgets_its_pieces_with_the_task(spark):
+    docs = spark.createDataFrame([(i, f"unseen{i}word other{i * 7}") for i in range(500)], "doc_id bigint, text string").coalesce(1)
+
+    def left(batches):
+        for batch in batches:
+            own = bpe_codec.codec()
+            yield pa.RecordBatch.from_arrays([pa.array([len(own.pieces)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert bpe_codec.encode_documents(docs).count() == 500
+    assert {r.n for r in spark.range(8).mapInArrow(left, "n bigint").collect()} == {0}
+
+
+def test_hashes_of_words_are_not_remembered():
+    words = [b"word%d" % i for i in range(200_000)]
+    word_hashes(words[:10])
+    tracemalloc.start()
+    found = word_hashes(words)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert found[7] == xxhash.xxh3_64_intdigest(words[7]) and held < 2 * found.nbytes
+
+
 def test_appends_and_edits_are_exact():
     vocabulary = bpe_codec.codec().vocabulary
     rng = random.Random(5)
