@@ -174,9 +174,12 @@ def incremental_ingest(
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = current_documents(spark, target).filter(F.col("batch") != number)
         # The files are read once; every step of ingestion reads the written bytes.
-        out = ingest.ingest_documents(staged(batch, "arrived-files"), known, embed)
+        arrived = staged(batch, "arrived-files")
+        if arrived.isEmpty() and not _exists(spark, f"{target}/chunks/batch={number}"):
+            return
+        known = current_documents(spark, target).filter(F.col("batch") != number)
+        out = ingest.ingest_documents(arrived, known, embed)
         out["chunks"].write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
         out["documents"].write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
         out["replaced"].write.mode("overwrite").parquet(f"{target}/replaced/batch={number}")
@@ -200,7 +203,11 @@ def current_documents(spark: SparkSession, target: str) -> DataFrame:
 
 def existing_documents(spark: SparkSession, target: str) -> DataFrame:
     """Document rows of all batches; empty before the first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/documents")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, f"{target}/documents"):
         return spark.createDataFrame([], DOCUMENT_COLUMNS)
     return spark.read.schema(DOCUMENT_COLUMNS).parquet(f"{target}/documents")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
